@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from flowspark.operators.joins import key_join
@@ -13,13 +13,13 @@ from flowspark.operators.order_stats import average_rank, global_rank
 from flowspark.session import settle
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def upper_tail(z: pd.Series) -> pd.Series:
     """Upper tail of the standard normal distribution."""
     return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     from statistics import NormalDist
 
