@@ -1,4 +1,4 @@
 """Imports every query module, which fills the registry."""
 
-from flowspark.plans import monitor_queries, prepare_queries  # noqa: F401
+from flowspark.plans import model_queries, monitor_queries, prepare_queries  # noqa: F401
 from flowspark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowspark.operators.scaling import fit_minmax
-from flowspark.schemas import FEATURES  # noqa: F401
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -50,6 +47,19 @@ def flows(spark: SparkSession, sf_dir: str, client: bool = False) -> DataFrame:
     return line.join(orders, "l_orderkey").select(*cols, "client_id")
 
 
+def training_flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows (one in five) of all clients, with a row key."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("client_id")
+    )
+    line = table(spark, sf_dir, "lineitem").withColumn("key", F.xxhash64("*"))
+    rows = line.join(orders, "l_orderkey").select(
+        "client_id", "key", *FLOW_FEATURES, (F.col("l_returnflag") == "R").cast("int").alias("label")
+    )
+    held = F.pmod(F.xxhash64(F.lit("test"), "key"), F.lit(5)) == 0
+    return rows.filter(~held), rows.filter(held)
+
+
 FLOWS = """flows AS (
   SELECT l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag AS class,
          CAST(l_returnflag = 'R' AS INTEGER) AS label, o_orderpriority AS client_id
@@ -204,7 +214,3 @@ CUT_TEXT = """substr('{"metadata":{"IPV4_SRC_ADDR":"10.0.0.' || user_id || '","L
 # A fixed linear model over the four flow features, applied after min-max scaling.
 LINEAR_WEIGHTS = [0.731, -1.203, 0.417, 0.288]
 LINEAR_BIAS = -0.0531
-
-
-def flow_scaler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fit_minmax(flows(spark, sf_dir), FLOW_FEATURES)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -31,6 +33,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/flowspark/{uuid.uuid4().hex}/{name}"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once."""
+    sc = spark.sparkContext
+    if getattr(sc, "_flowspark_shipped", False):
+        return
+    parent = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="flowspark-"), "flowspark")
+    sc.addPyFile(shutil.make_archive(archive, "zip", parent, "flowspark"))
+    sc._flowspark_shipped = True
+
+
 def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     """Write ``df`` to shared scratch once and read it back.
 
