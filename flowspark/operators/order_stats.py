@@ -76,34 +76,36 @@ def order_buckets(
     return df.withColumn(out, combined.cast("long")).drop("_sub")
 
 
-def running(
-    df: DataFrame, order: str, tie: str, sums: dict[str, Column], by: list[str] = (),
-    buckets: int | None = None,
-) -> DataFrame:
-    """Add running sums (this row included) along ``(order, tie)``, per ``by`` group.
+def bucket_sums(rows: DataFrame, by: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Per (``by``, bucket): each sum up to and with the bucket (``name``) and before it
+    (``_before_name``). Rows fold map-side; the window sees one row per group and bucket."""
+    totals = rows.groupBy(*by, "_bucket").agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
+    upto = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
+    totals = totals.select(
+        *by, "_bucket", *[F.sum(f"_t_{n}").over(upto).alias(n) for n in sums],
+        *[F.col(f"_t_{n}") for n in sums],
+    )
+    return totals.select(
+        *by, "_bucket", *sums, *[(F.col(n) - F.col(f"_t_{n}")).alias(f"_before_{n}") for n in sums]
+    )
 
-    ``sums`` maps output names to the expression to add up. Rows with equal ``order`` are taken in
-    the order of the unique numeric ``tie``. A group of any size is spread over the buckets.
-    """
-    by = list(by)
+
+def add_running(
+    rows: DataFrame, base: DataFrame, order: str, tie: str, by: list[str], sums: dict[str, Column]
+) -> DataFrame:
+    """Running sums on bucketed ``rows``. ``base`` has the same rows and buckets with a shorter plan:
+    the bucket totals come from it, so chained calls do not repeat each other's work."""
     keys = [*by, "_bucket"]
-    rows = order_buckets(df, order, tie, buckets)
-    for name, expr in sums.items():
-        rows = rows.withColumn(f"_in_{name}", expr)
-    totals = rows.groupBy(*keys).agg(*[F.sum(f"_in_{n}").alias(f"_before_{n}") for n in sums])
-    before = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, *[F.sum(f"_before_{n}").over(before).alias(f"_before_{n}") for n in sums]
-    )
+    offsets = bucket_sums(base, by, sums).drop(*sums)
     if not by:
         offsets = F.broadcast(offsets)  # one row per bucket, bounded by the bucket count
     inside = W.partitionBy(*keys).orderBy(order, tie).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.select(
-        *df.columns, "_bucket", *[F.sum(f"_in_{n}").over(inside).alias(f"_run_{n}") for n in sums]
+    ran = rows.select(
+        *rows.columns, *[F.sum(e).over(inside).alias(f"_run_{n}") for n, e in sums.items()]
     )
     zero = F.lit(0)
-    return key_join(rows, offsets, keys, "left").select(
-        *df.columns,
+    return key_join(ran, offsets, keys, "left").select(
+        *rows.columns,
         *[
             (F.coalesce(F.col(f"_run_{n}"), zero) + F.coalesce(F.col(f"_before_{n}"), zero)).alias(n)
             for n in sums
@@ -111,6 +113,19 @@ def running(
     )
 
 
+def running(
+    df: DataFrame, order: str, tie: str, sums: dict[str, Column], by: list[str] = (),
+    buckets: int | None = None,
+) -> DataFrame:
+    """Add running sums (this row included) along ``(order, tie)``, per ``by`` group.
+
+    ``sums`` maps output names to the expression to add up. Rows with equal ``order`` are taken in
+    the order of the unique numeric ``tie``. A group of any size is spread over the buckets.
+    """
+    rows = order_buckets(df, order, tie, buckets)
+    return add_running(rows, rows, order, tie, list(by), sums).drop("_bucket")
+
+
 def global_rank(
     df: DataFrame, order: str, tie: str, by: list[str] = (), out: str = "rank",
     buckets: int | None = None,
