@@ -38,6 +38,8 @@ def _splits(bounds: list[float]) -> tuple[list[float], list[float]]:
 
 
 def _bucketed(df: DataFrame, edges: list[float], source: Column, out: str) -> DataFrame:
+    if len(edges) < 3:  # no rows, or no finite bound: one bucket
+        return df.withColumn(out, F.lit(0).cast("long"))
     model = Bucketizer(
         splits=edges, inputCol="_src", outputCol="_dbl", handleInvalid="keep"
     )
@@ -91,26 +93,37 @@ def bucket_sums(rows: DataFrame, by: list[str], sums: dict[str, Column]) -> Data
 
 
 def add_running(
-    rows: DataFrame, base: DataFrame, order: str, tie: str, by: list[str], sums: dict[str, Column]
+    rows: DataFrame, base: DataFrame, order: str, tie: str, by: list[str], sums: dict[str, Column],
+    start: DataFrame | None = None,
 ) -> DataFrame:
     """Running sums on bucketed ``rows``. ``base`` has the same rows and buckets with a shorter plan:
-    the bucket totals come from it, so chained calls do not repeat each other's work."""
+    the bucket totals come from it, so chained calls do not repeat each other's work.
+
+    What comes before a bucket enters its window as one extra first row, so rows are shuffled once,
+    by (``by``, bucket), and never joined. ``start`` (``by`` and the sums) adds to it what comes
+    before all rows.
+    """
+    before = bucket_sums(base, by, sums).drop(*sums)
+    if start is not None:
+        old = start.select(*by, *[F.col(n).alias(f"_start_{n}") for n in sums])
+        before = key_join(before, old, by, "left")
+        for n in sums:
+            old_sum = F.coalesce(F.col(f"_start_{n}"), F.lit(0))
+            before = before.withColumn(f"_before_{n}", F.col(f"_before_{n}") + old_sum)
     keys = [*by, "_bucket"]
-    offsets = bucket_sums(base, by, sums).drop(*sums)
-    if not by:
-        offsets = F.broadcast(offsets)  # one row per bucket, bounded by the bucket count
-    inside = W.partitionBy(*keys).orderBy(order, tie).rowsBetween(W.unboundedPreceding, 0)
-    ran = rows.select(
-        *rows.columns, *[F.sum(e).over(inside).alias(f"_run_{n}") for n, e in sums.items()]
+    own = rows.select(
+        *rows.columns, F.lit(1).alias("_real"), *[e.alias(f"_in_{n}") for n, e in sums.items()]
     )
-    zero = F.lit(0)
-    return key_join(ran, offsets, keys, "left").select(
-        *rows.columns,
-        *[
-            (F.coalesce(F.col(f"_run_{n}"), zero) + F.coalesce(F.col(f"_before_{n}"), zero)).alias(n)
-            for n in sums
-        ],
+    heads = before.select(
+        *[F.col(c) if c in keys else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes],
+        F.lit(0).alias("_real"), *[F.col(f"_before_{n}").alias(f"_in_{n}") for n in sums],
+    )
+    inside = W.partitionBy(*keys).orderBy("_real", order, tie)
+    inside = inside.rowsBetween(W.unboundedPreceding, 0)
+    ran = own.union(heads).select(
+        *rows.columns, "_real", *[F.sum(f"_in_{n}").over(inside).alias(n) for n in sums]
     )
+    return ran.filter("_real = 1").drop("_real")
 
 
 def running(

@@ -66,14 +66,14 @@ def running_top(
     rows = order_buckets(df, order, tie, buckets)
     one = F.col(flag).cast("long")
     carries = [_carry(rows, col, flag, n, base) for col in cols.values()]
-    out = add_running(rows, rows, order, tie, [], sums) if sums else rows
+    out = rows
     for i, col in enumerate(cols.values()):
-        out = add_running(out, rows, order, tie, [col], {f"_count{i}": one})
+        old = None
         if base is not None:
-            old = _base_counts(base, col).withColumnRenamed("key", col)
-            out = key_join(out, old, [col], "left").withColumn(
-                f"_count{i}", F.col(f"_count{i}") + F.coalesce(F.col("_base"), F.lit(0))
-            ).drop("_base")
+            old = _base_counts(base, col).select(F.col("key").alias(col), F.col("_base").alias(f"_count{i}"))
+        out = add_running(out, rows, order, tie, [col], {f"_count{i}": one}, old)
+    # the sums come last: their window already leaves each bucket whole in one partition
+    out = add_running(out, rows, order, tie, [], sums) if sums else out.repartition("_bucket")
     keep = [*df.columns, *(sums or {})]
     shared = df.sparkSession.sparkContext.broadcast(carries)
     fields = list(cols.items())
@@ -102,7 +102,7 @@ def running_top(
                 result[name] = pd.Series(lists, index=pdf.index, dtype=object)
             yield result
 
-    ordered = out.repartition("_bucket").sortWithinPartitions("_bucket", order, tie)
+    ordered = out.sortWithinPartitions("_bucket", order, tie)
     fields_ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(*keep).schema.fields]
     lists_ddl = [f"`{name}` array<struct<key:string,value:bigint>>" for name in cols]
     return ordered.mapInPandas(scan, ", ".join([*fields_ddl, *lists_ddl]))

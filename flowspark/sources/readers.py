@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from flowspark.functions import to_float, to_int
 from flowspark.operators.prep import union_clients
-from flowspark.schemas import ALERT, CENTRAL_LOG, FEDERATED_LOG, IDENTITY, REQUEST, TRAIN_LOG
+from flowspark.schemas import (
+    ALERT, CENTRAL_METRICS, EPOCH_LOSSES, FEDERATED_METRICS, IDENTITY, REQUEST, ROUND_HISTORY,
+)
 
 
 def read_flows(spark: SparkSession, path: str, drop: list[str] = ()) -> DataFrame:
@@ -43,23 +45,24 @@ def read_clients(spark: SparkSession, registry: list[tuple[str, str, str]]) -> D
     )
 
 
-def _documents(spark: SparkSession, path: str, schema: T.DataType) -> DataFrame:
-    """One row per JSON document of a folder of log files, with its file name."""
+def _documents(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (file, name, body): the entries of each JSON document of a folder, bodies as text."""
     docs = spark.read.text(path, wholetext=True)
-    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return docs.select(name.alias("file"), F.from_json("value", schema).alias("doc"))
+    file = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    entries = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
+    return docs.select(file.alias("file"), F.explode(entries).alias("name", "body"))
 
 
 def read_metric_log(spark: SparkSession, path: str, setting: str = "federated") -> DataFrame:
     """Metric logs as rows (file, client, metric, model, round, value).
 
     ``federated`` logs hold a list of rounds per model; ``central`` logs one value per model, which
-    becomes round 1. Parts of a log that are not such lists are left out.
+    becomes round 1. Entries of another shape (such as the weighted history) are left out.
     """
     nested = setting == "federated"
-    docs = _documents(spark, path, FEDERATED_LOG if nested else CENTRAL_LOG)
-    rows = docs.select("file", F.explode("doc").alias("client", "metrics"))
-    rows = rows.select("file", "client", F.explode("metrics").alias("metric", "models"))
+    docs = _documents(spark, path).withColumnRenamed("name", "client")
+    metrics = F.from_json("body", FEDERATED_METRICS if nested else CENTRAL_METRICS)
+    rows = docs.select("file", "client", F.explode(metrics).alias("metric", "models"))
     rows = rows.select("file", "client", "metric", F.posexplode("models").alias("model", "rounds"))
     if not nested:
         return rows.select(
@@ -73,13 +76,27 @@ def read_metric_log(spark: SparkSession, path: str, setting: str = "federated")
     )
 
 
+def read_round_losses(spark: SparkSession, path: str) -> DataFrame:
+    """Weighted loss history of federated logs as rows (file, model, round, loss)."""
+    docs = _documents(spark, path).filter("name = 'weighted_metrics'")
+    models = docs.select("file", F.posexplode(F.from_json("body", ROUND_HISTORY)).alias("model", "_m"))
+    rows = models.select("file", "model", F.explode("_m").alias("_name", "_history"))
+    rows = rows.select("file", "model", F.explode("_history.losses_distributed").alias("_pair"))
+    return rows.select(
+        "file", "model", F.get("_pair", F.lit(0)).cast("int").alias("round"),
+        F.get("_pair", F.lit(1)).alias("loss"),
+    )
+
+
 def read_train_log(spark: SparkSession, path: str) -> DataFrame:
     """Training logs as rows (file, client, epoch, loss)."""
-    docs = _documents(spark, path, TRAIN_LOG)
-    rows = docs.select("file", F.explode("doc").alias("client", "epochs"))
-    rows = rows.select("file", "client", F.explode("epochs").alias("_epoch", "log"))
+    docs = _documents(spark, path)
+    rows = docs.select(
+        "file", F.col("name").alias("client"),
+        F.explode(F.from_json("body", EPOCH_LOSSES)).alias("_epoch", "_log"),
+    )
     epoch = F.regexp_extract("_epoch", r"(\d+)$", 1).cast("int")
-    return rows.select("file", "client", epoch.alias("epoch"), F.col("log.loss").alias("loss"))
+    return rows.select("file", "client", epoch.alias("epoch"), F.col("_log.loss").alias("loss"))
 
 
 def read_json_glob(
