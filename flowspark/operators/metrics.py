@@ -121,14 +121,11 @@ def loss_curve(log: DataFrame, approach: str, metric: str = "final_loss") -> Dat
 
 def describe(df: DataFrame, cols: list[str]) -> DataFrame:
     """Count, mean, sample deviation, min, quartiles and max; a row per column."""
-    points = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    rows = None
-    for c in cols:
-        basic = df.agg(
-            F.lit(c).alias("feature"), F.count(c).alias("n"), F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
-        )
-        point = exact_quantiles(df, c, points).select(F.struct("*").alias("p")).scalar()
-        one = basic.select("*", *[point[p].alias(p) for p in points])
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    rows = doubles.unpivot([], cols, "feature", "_x")
+    basic = rows.groupBy("feature").agg(
+        F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
+        F.min("_x").alias("min"), F.max("_x").alias("max"),
+    )
+    points = exact_quantiles(rows, "_x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["feature"])
+    return basic.join(points, "feature", "left")

@@ -206,8 +206,9 @@ def exact_quantiles(
     by = list(by)
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     if largest_group(rows, by) <= small:
-        return rows.groupBy(*by).agg(
-            *[F.percentile("_v", F.lit(float(q))).alias(name) for name, q in qs.items()]
+        points = F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs.values()]))
+        return rows.groupBy(*by).agg(points.alias("_q")).select(
+            *by, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(qs)]
         )
     rows = order_buckets(rows, "_v", None, buckets)
     totals = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("n"))

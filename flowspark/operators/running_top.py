@@ -8,7 +8,6 @@ buckets, then one ordered pass through each bucket.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from flowspark.operators.joins import key_join
@@ -81,28 +80,36 @@ def running_top(
     def scan(batches):
         from bisect import bisect_left
 
-        states: list = [None] * len(fields)
-        for pdf in batches:
-            result = pdf[keep].copy()
-            for i, (name, col) in enumerate(fields):
+        import pyarrow as pa
+
+        states: list = [(None, {}, [])] * len(fields)
+        for batch in batches:
+            buckets, flags = batch.column("_bucket").to_pylist(), batch.column(flag).to_pylist()
+            arrays = [batch.column(c) for c in keep]
+            for i, (_, col) in enumerate(fields):
                 starts, before = shared.value[i]
-                bucket, now, shown = states[i] or (None, {}, [])
-                lists = []
-                for b, bad, key, count in zip(pdf["_bucket"], pdf[flag], pdf[col], pdf[f"_count{i}"]):
+                bucket, now, shown = states[i]
+                items, ends = [], [0]
+                values, counts = batch.column(col).to_pylist(), batch.column(f"_count{i}").to_pylist()
+                for b, bad, key, count in zip(buckets, flags, values, counts):
                     if b != bucket:
-                        bucket, shown = b, None
-                        now = dict(before[bisect_left(starts, b)])
+                        bucket, now = b, before[bisect_left(starts, b)]
+                        shown = list(now.items())
                     if bad:
-                        now[key] = int(count)
-                        now, shown = _best(now, n), None
-                    if shown is None:
-                        shown = [{"key": k, "value": v} for k, v in now.items()]
-                    lists.append(shown)
+                        now = _best({**now, key: count}, n)
+                        shown = list(now.items())
+                    items += shown
+                    ends.append(len(items))
                 states[i] = (bucket, now, shown)
-                result[name] = pd.Series(lists, index=pdf.index, dtype=object)
-            yield result
+                pairs = pa.StructArray.from_arrays(
+                    [pa.array([k for k, _ in items], pa.string()),
+                     pa.array([c for _, c in items], pa.int64())],
+                    names=["key", "value"],
+                )
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *cols])
 
     ordered = out.sortWithinPartitions("_bucket", order, tie)
     fields_ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(*keep).schema.fields]
     lists_ddl = [f"`{name}` array<struct<key:string,value:bigint>>" for name in cols]
-    return ordered.mapInPandas(scan, ", ".join([*fields_ddl, *lists_ddl]))
+    return ordered.mapInArrow(scan, ", ".join([*fields_ddl, *lists_ddl]))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flowspark.operators.joins import key_join
 from flowspark.operators.order_stats import exact_quantiles, largest_group
-from flowspark.operators.prep import union_clients
 from flowspark.session import SMALL_GROUP, settle
 
 
@@ -54,20 +53,21 @@ def fit_robust(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
     by = list(by)
     points = {"q25": 0.25, "center": 0.5, "q75": 0.75}
     if largest_group(df, by) <= SMALL_GROUP:
+        levels = F.array(*[F.lit(q) for q in points.values()])
         stats = df.groupBy(*by).agg(
+            *[F.percentile(F.col(c).cast("double"), levels).alias(c) for c in cols]
+        ).select(
+            *by,
             *[
-                F.percentile(F.col(c).cast("double"), F.lit(q)).alias(f"{c}__{name}")
-                for c in cols for name, q in points.items()
-            ]
+                F.get(c, F.lit(i)).alias(f"{c}__{name}")
+                for c in cols for i, name in enumerate(points)
+            ],
         )
         rows = _long(stats, cols, by, list(points))
     else:
-        rows = union_clients(
-            [
-                exact_quantiles(df, c, points, by).select(*by, F.lit(c).alias("feature"), *points)
-                for c in cols
-            ]
-        )
+        doubles = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+        stacked = doubles.unpivot(by, cols, "feature", "_x")
+        rows = exact_quantiles(stacked, "_x", points, [*by, "feature"])
     spread = F.col("q75") - F.col("q25")
     return rows.select(
         *by, "feature", "center", F.when(spread == 0, 1.0).otherwise(spread).alias("spread")
