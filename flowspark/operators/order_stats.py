@@ -5,8 +5,8 @@ A window without PARTITION BY, or over one hot key, puts its rows in one task. H
 rows. Bucket totals (one row per bucket) are summed up first; each row then needs only a window
 inside its bucket plus the total of the buckets before it.
 
-Bucket bounds come from one ``approx_percentile`` pass. They only steer the balance; results are
-exact whatever the bounds are. A value frequent enough to fill a bucket gets a bucket of its own,
+Bucket bounds come from one pass of approximate percentiles. They only steer the balance; results
+are exact whatever the bounds are. A value frequent enough to fill a bucket gets a bucket of its own,
 which is split again by a unique tie key.
 """
 
@@ -15,20 +15,59 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowspark.operators.joins import key_join
 from flowspark.session import SMALL_GROUP, default_buckets, settle
 
+#: Bounds are merged from this many groups of tasks, each described by this many points.
+_GROUPS, _POINTS = 512, 256
+#: A hot value is divided in at most this many parts.
+_TIE_BUCKETS = 1024
+
 
 def _as_double(df: DataFrame, column: str) -> Column:
+    """The order of a column as a double, independent of the session time zone."""
     kind = dict(df.dtypes)[column]
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double")
+    if kind == "timestamp_ntz":
+        since = f"`{column}` - TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+        return F.expr(f"CAST(CAST({since} AS INTERVAL SECOND) AS DECIMAL(20, 6))").cast("double") * 1e6
+    if kind == "timestamp":
+        return F.unix_micros(column).cast("double")
     return F.col(column).cast("double")
 
 
+def _bounds(df: DataFrame, columns: dict[str, tuple[Column, int]]) -> dict[str, list[float]]:
+    """For each column and number ``n``, ``n - 1`` values that cut the rows in about equal parts.
+
+    Percentiles are taken per group of tasks, so that no reducer merges the summaries of all tasks;
+    what reaches the driver is a fixed number of points, weighted by the rows they stand for.
+    """
+    points = F.array(*[F.lit((i + 0.5) / _POINTS) for i in range(_POINTS)])
+    group = F.pmod(F.spark_partition_id(), F.lit(_GROUPS)).alias("_group")
+    aggs = []
+    for name, (c, _) in columns.items():
+        c = F.when(~F.isnan(c), c)
+        aggs += [F.approx_percentile(c, points, F.lit(5_000)).alias(name), F.count(c).alias(f"n_{name}")]
+    rows = df.groupBy(group).agg(*aggs).collect()
+    out = {}
+    for name, (_, n) in columns.items():
+        parts = [(np.array(r[name], float), r[f"n_{name}"]) for r in rows if r[f"n_{name}"]]
+        if not parts:
+            out[name] = []
+            continue
+        values = np.concatenate([v for v, _ in parts])
+        weights = np.concatenate([np.full(len(v), k / len(v)) for v, k in parts])
+        order = np.argsort(values, kind="stable")
+        upto = np.cumsum(weights[order])
+        cuts = min(n, max(2, len(values) // 2))  # no finer than the points can tell apart
+        at = np.searchsorted(upto, upto[-1] * np.arange(1, cuts) / cuts)
+        out[name] = [float(v) for v in values[order][np.minimum(at, len(values) - 1)]]
+    return out
+
+
 def _splits(bounds: list[float]) -> tuple[list[float], list[float]]:
     """Bucket edges and the values frequent enough to get a bucket of their own."""
     hot = sorted({a for a, b in zip(bounds, bounds[1:]) if a == b})
@@ -61,17 +100,15 @@ def order_buckets(
     n = buckets or default_buckets(df.sparkSession)
     if n <= 1:
         return df.withColumn(out, F.lit(0).cast("long"))
-    steps = F.array(*[F.lit(i / n) for i in range(1, n)])
-    accuracy = F.lit(max(10_000, 10 * n))
-    aggs = [F.approx_percentile(_as_double(df, order), steps, accuracy).alias("order")]
+    wanted = {"order": (_as_double(df, order), n)}
     if tie is not None:
-        aggs.append(F.approx_percentile(_as_double(df, tie), steps, accuracy).alias("tie"))
-    bounds = df.agg(*aggs).first()
-    edges, hot = _splits(list(bounds["order"] or []))
+        wanted["tie"] = (_as_double(df, tie), min(n, _TIE_BUCKETS))
+    bounds = _bounds(df, wanted)
+    edges, hot = _splits(bounds["order"])
     df = _bucketed(df, edges, _as_double(df, order), out)
     if tie is None or not hot:
         return df
-    tie_edges, _ = _splits(list(bounds["tie"]))
+    tie_edges, _ = _splits(bounds["tie"])
     df = _bucketed(df, tie_edges, _as_double(df, tie), "_sub")
     is_hot = _as_double(df, order).isin(hot)
     combined = F.col(out) * F.lit(len(tie_edges) + 1) + F.when(is_hot, F.col("_sub")).otherwise(0)

@@ -13,8 +13,8 @@ from flowspark.plans.standins import (
 from flowspark.schemas import ALERT, WORKER_FILE, check_width, parse_messages
 from flowspark.session import scratch_path
 from flowspark.sources import (
-    read_clients, read_flows, read_flows_csv, read_json_glob, read_metric_log, read_packets,
-    write_csv, write_flows, write_json,
+    read_clients, read_flows, read_flows_csv, read_json_glob, read_metric_log, read_packets, read_scaler,
+    write_csv, write_flows, write_json, write_metric_log, write_scaler,
 )
 
 
@@ -105,21 +105,8 @@ def client_union(spark, sf):
     FROM metric_log""",
 )
 def metric_log_long(spark, sf):
-    log = metric_log(spark, sf)
-    # one list per (client, metric, model): a value per day, whatever the number of events
-    per_model = log.groupBy("client", "metric", "model").agg(
-        F.sort_array(F.collect_list(F.struct("round", "value")))["value"].alias("rounds")
-    )
-    per_metric = per_model.groupBy("client", "metric").agg(
-        F.sort_array(F.collect_list(F.struct("model", "rounds")))["rounds"].alias("models")
-    )
-    doc = per_metric.groupBy("client").agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", "models"))).alias("metrics")
-    ).select(
-        "client", F.to_json(F.map_from_arrays(F.array("client"), F.array("metrics"))).alias("value")
-    )
     path = scratch_path(spark, "metric_log")
-    doc.write.partitionBy("client").text(path)  # one document per file
+    write_metric_log(metric_log(spark, sf), path)
     docs = read_metric_log(spark, path)
     return docs.select("client", "metric", "model", "round", r6("value"))
 
@@ -412,6 +399,17 @@ def apply_minmax_legacy(spark, sf):
     return scaled.select("class", *[r6(c) for c in FLOW_FEATURES])
 
 
+@query(
+    "scaler_roundtrip",
+    f"""WITH fit AS ({_per_feature(MINMAX, 'lineitem')})
+    SELECT feature, round(scale, 6) AS scale, round(-data_min * scale, 6) AS "offset" FROM fit""",
+)
+def scaler_roundtrip(spark, sf):
+    path = scratch_path(spark, "scaler")
+    write_scaler(scaling.fit_minmax(flows(spark, sf), FLOW_FEATURES), FLOW_FEATURES, path)
+    return read_scaler(spark, path, FLOW_FEATURES).select("feature", r6("scale"), r6("offset"))
+
+
 def _scaled_sql(center: str, spread: str) -> str:
     fits = ", ".join(
         f"{center.format(c=c)} AS c{i}, {spread.format(c=c)} AS s{i}" for i, c in enumerate(FLOW_FEATURES)

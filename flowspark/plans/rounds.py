@@ -32,7 +32,7 @@ def federated_run(
     rounds: int, strategy: fed.Strategy, cfg: TrainConfig, models: int = 1,
     fit_clients: int | None = None, eval_clients: int | None = None,
     config_fn: Callable[[int], dict] | None = None, on_round: Hook | None = None,
-    weight_unit: str = "rows", rows_per_shard: int = train.ROWS_PER_SHARD,
+    weight_unit: str = "rows", rows_per_shard: int = train.ROWS_PER_SHARD, out: str | None = None,
 ) -> DataFrame:
     """Federated training; rows (model, round, client, metric, value).
 
@@ -40,11 +40,14 @@ def federated_run(
     round trains all taking-part clients, combines them and evaluates the new global model; its
     parameters and metrics are written to shared scratch, so no round depends on an earlier plan.
     ``config_fn`` may change settings per round; ``on_round`` sees the metrics of each round.
+
+    ``out`` (by default a scratch folder) receives ``params`` (layer, pos, value), ``metrics`` and
+    ``history`` (loss and accuracy over clients, weighted by rows), by model and round.
     """
     if rounds <= 0 or models <= 0:
         raise ValueError("at least one round and one model are needed")
     spark = data.sparkSession
-    base = scratch_path(spark, "federated")
+    base = out or scratch_path(spark, "federated")
     scaler = settle(fit_minmax(data, features, [client]), "scalers")
     scaled_test = apply_minmax(test, scaler, features, [client])
     scaled = apply_minmax(data, scaler, features, [client])
@@ -87,6 +90,8 @@ def federated_run(
                         some.withColumnRenamed("client", client), client, "left_semi"
                     )
                 scored = evaluate_models(seen, {str(number): start}, features, label, client)
+                scored = settle(scored, "scored")
+                weighted_history(scored).write.parquet(f"{base}/history/model={number}/round={r}")
                 log = as_metric_log(scored, client).select("client", "metric", "value")
                 path = f"{base}/metrics/model={number}/round={r}"
                 log.write.parquet(path)
@@ -97,13 +102,34 @@ def federated_run(
     return spark.read.parquet(f"{base}/metrics").select("model", "round", "client", "metric", "value")
 
 
+def weighted_history(scored: DataFrame) -> DataFrame:
+    """Loss and accuracy over the clients of a round, weighted by their rows."""
+    rows = scored.withColumn("n", F.expr("tp + fp + fn + tn"))
+    return rows.agg(
+        (F.sum(F.col("final_loss") * F.col("n")) / F.sum("n")).alias("loss"),
+        (F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("accuracy"),
+        F.sum("n").alias("n"),
+    )
+
+
+def _train_and_save(shards, features, start, cfg, run: int, base: str) -> DataFrame:
+    """Train every client once; keep the training output, the models and the epoch losses."""
+    trained = settle(train.client_update(shards, features, start, cfg, run), "trained")
+    path = f"{base}/params/run={run}"
+    train.merge_shards(trained, run).select("client", "layer", "pos", "value").write.parquet(path)
+    train.train_log(trained).write.parquet(f"{base}/train_log/run={run}")
+    return shards.sparkSession.read.parquet(path)
+
+
 def local_run(
     data: DataFrame, test: DataFrame, features: list[str], label: str, client: str, key: str,
     cfg: TrainConfig, runs: int = 1, rows_per_shard: int = train.ROWS_PER_SHARD,
+    out: str | None = None,
 ) -> DataFrame:
     """One model per client, each evaluated on all clients with its own scaler.
 
-    Rows (run, model, client, metric, value); all clients train in one job.
+    Rows (run, model, client, metric, value); all clients train in one job. ``out`` receives
+    ``params``, ``train_log`` and ``metrics`` by run.
     """
     spark = data.sparkSession
     scaler = settle(fit_minmax(data, features, [client]), "scalers")
@@ -112,28 +138,29 @@ def local_run(
     shards = shards.persist(StorageLevel.MEMORY_AND_DISK)
     scalers = scaler_arrays(scaler, features, client)
     shapes = mlp.shapes(len(features), cfg.hidden)
-    base = scratch_path(spark, "local")
+    base = out or scratch_path(spark, "local")
     try:
         for run in range(1, runs + 1):
             step = cfg.with_(seed=cfg.seed + run)
             start = mlp.init(len(features), cfg.hidden, step.seed)
-            trained = train.client_update(shards, features, start, step, run)
-            merged = settle(train.merge_shards(trained, run), "client_models")
+            merged = _train_and_save(shards, features, start, step, run, base)
             models = load_models(merged, shapes, "client")
             scored = evaluate_models(test, models, features, label, client, scalers)
-            as_metric_log(scored, client).write.parquet(f"{base}/run={run}")
+            as_metric_log(scored, client).write.parquet(f"{base}/metrics/run={run}")
     finally:
         shards.unpersist()
-    return spark.read.parquet(base).select("run", "model", "client", "metric", "value")
+    return spark.read.parquet(f"{base}/metrics").select("run", "model", "client", "metric", "value")
 
 
 def central_run(
     data: DataFrame, test: DataFrame, features: list[str], label: str, client: str, key: str,
     cfg: TrainConfig, runs: int = 1, rows_per_shard: int = train.ROWS_PER_SHARD,
+    out: str | None = None,
 ) -> DataFrame:
     """One model on the distinct rows of all clients, evaluated per client with its scaler.
 
-    Rows (run, client, metric, value).
+    Rows (run, client, metric, value). ``out`` receives ``params``, ``train_log`` and ``metrics``
+    by run.
     """
     spark = data.sparkSession
     pooled = data.groupBy(*features, label).agg(F.min(key).alias(key))
@@ -143,16 +170,15 @@ def central_run(
     shards = shards.persist(StorageLevel.MEMORY_AND_DISK)
     scalers = {"central": scaler_arrays(scaler, features)[""]}
     shapes = mlp.shapes(len(features), cfg.hidden)
-    base = scratch_path(spark, "central")
+    base = out or scratch_path(spark, "central")
     try:
         for run in range(1, runs + 1):
             step = cfg.with_(seed=cfg.seed + run)
             start = mlp.init(len(features), cfg.hidden, step.seed)
-            trained = train.client_update(shards, features, start, step, run)
-            merged = settle(train.merge_shards(trained, run), "central_model")
+            merged = _train_and_save(shards, features, start, step, run, base)
             models = load_models(merged, shapes, "client")
             scored = evaluate_models(test, models, features, label, client, scalers)
-            as_metric_log(scored, client).drop("model").write.parquet(f"{base}/run={run}")
+            as_metric_log(scored, client).drop("model").write.parquet(f"{base}/metrics/run={run}")
     finally:
         shards.unpersist()
-    return spark.read.parquet(base).select("run", "client", "metric", "value")
+    return spark.read.parquet(f"{base}/metrics").select("run", "client", "metric", "value")

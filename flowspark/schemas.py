@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F, types as T
 
 # NetFlow v2 column names, in the order of the feature vector.
@@ -70,6 +72,25 @@ ITEM_COUNT = T.StructType(
     [T.StructField("key", T.StringType()), T.StructField("value", T.LongType())]
 )
 
+STATISTICS = T.StructType(
+    [
+        T.StructField("total_packets", T.LongType()),
+        T.StructField("total_malicious", T.LongType()),
+        T.StructField("malicious_ips", T.ArrayType(ITEM_COUNT)),
+        T.StructField("targeted_ips", T.ArrayType(ITEM_COUNT)),
+        T.StructField("avg_latency", T.DoubleType()),
+        T.StructField("avg_classification_time", T.DoubleType()),
+    ]
+)
+
+SNAPSHOT = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("stats", STATISTICS),
+        T.StructField("packet_info", ALERT),
+    ]
+)
+
 WORKER_FILE = T.StructType(
     [
         T.StructField("processed_packets", T.LongType()),
@@ -102,12 +123,22 @@ def required_paths(schema: T.StructType, prefix: str = "") -> list[str]:
     return paths
 
 
+def _has_all(parts: list[str]):
+    """A test of one list item: none of its parts is missing."""
+    return lambda item: reduce(lambda a, b: a & b, [item[p].isNotNull() for p in parts])
+
+
 def is_complete(column: str, schema: T.StructType):
-    """True when no required leaf of the struct ``column`` is missing."""
-    checks = [F.col(f"{column}.{path}").isNotNull() for path in required_paths(schema)]
+    """True when no required leaf of the struct ``column`` is missing, inside lists too."""
     ok = F.col(column).isNotNull()
-    for check in checks:
-        ok = ok & check
+    for field in schema.fields:
+        name, kind = f"{column}.{field.name}", field.dataType
+        if isinstance(kind, T.StructType):
+            ok = ok & is_complete(name, kind)
+        else:
+            ok = ok & F.col(name).isNotNull()
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            ok = ok & F.forall(name, _has_all(kind.elementType.names))
     return ok
 
 

@@ -58,5 +58,7 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
 
 
 def default_buckets(spark: SparkSession) -> int:
-    """Number of order buckets: follows the shuffle width, within 16 .. 4,096."""
-    return max(16, min(4096, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    """Number of order buckets: four per shuffle partition, so that hashing them to partitions
+    evens out, within 16 .. 16,384."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(16, min(16_384, 4 * width))

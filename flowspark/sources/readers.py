@@ -109,6 +109,14 @@ def read_json_glob(
     )
 
 
+def read_scaler(spark: SparkSession, path: str, features: list[str]) -> DataFrame:
+    """A scaler document as rows (feature, scale, offset); its ``min`` list holds the offsets."""
+    doc = spark.read.json(path, schema="min array<double>, scale array<double>", multiLine=True)
+    names = F.array(*[F.lit(f) for f in features])
+    rows = doc.select(F.explode(F.arrays_zip(names.alias("feature"), "scale", "min")).alias("_s"))
+    return rows.select("_s.feature", "_s.scale", F.col("_s.min").alias("offset"))
+
+
 def message_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Raw message text of a folder of JSON-lines files (column ``value``)."""
     reader = spark.readStream.schema("value string").option("recursiveFileLookup", True)

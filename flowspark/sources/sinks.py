@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def write_flows(df: DataFrame, path: str, mode: str = "error", by: list[str] = ()) -> None:
@@ -11,8 +11,46 @@ def write_flows(df: DataFrame, path: str, mode: str = "error", by: list[str] = (
 
 
 def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).json(path)
+    """JSON lines, timestamps to the microsecond."""
+    writer = df.write.mode(mode).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).csv(path, header=True)
+
+
+def write_metric_log(log: DataFrame, path: str, mode: str = "error") -> None:
+    """Metric rows as nested logs, a document per client: metric -> model -> values by round.
+
+    A list holds the rounds of one model of one client: its length is the number of rounds.
+    """
+    per_model = log.groupBy("client", "metric", "model").agg(
+        F.sort_array(F.collect_list(F.struct("round", "value")))["value"].alias("rounds")
+    )
+    per_metric = per_model.groupBy("client", "metric").agg(
+        F.sort_array(F.collect_list(F.struct("model", "rounds")))["rounds"].alias("models")
+    )
+    docs = per_metric.groupBy("client").agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", "models"))).alias("metrics")
+    )
+    text = F.to_json(F.map_from_arrays(F.array("client"), F.array("metrics")))
+    docs.select(F.col("client").alias("log"), text.alias("value")).write.mode(mode).partitionBy(
+        "log"
+    ).text(path)
+
+
+def write_scaler(scaler: DataFrame, features: list[str], path: str, mode: str = "error") -> None:
+    """A min-max scaler as one JSON document: lists ``min`` (the offsets) and ``scale``, in feature
+    order."""
+    by_name = scaler.agg(
+        *[
+            F.max(F.when(F.col("feature") == f, F.col(field))).alias(f"{f}__{field}")
+            for f in features for field in ("offset", "scale")
+        ]
+    )
+    lists = by_name.select(
+        F.array(*[F.col(f"{f}__offset") for f in features]).alias("min"),
+        F.array(*[F.col(f"{f}__scale") for f in features]).alias("scale"),
+    )
+    lists.write.mode(mode).json(path)

@@ -269,6 +269,18 @@ def test_chosen_clients_and_round_settings(spark):
     assert log.groupby(["model", "round"])["client"].nunique().eq(1).all()
 
 
+def test_saved_run(spark, tmp_path):
+    df = rows(spark, 300)
+    rounds.federated_run(
+        df, df, FEATURES, "label", "client", "key", 2, fed.strategy("fedavg"), CFG, out=str(tmp_path / "run")
+    )
+    last = spark.read.parquet(str(tmp_path / "run/params")).filter("round = 2")
+    model = score.load_models(last, mlp.shapes(3, CFG.hidden))[""]
+    assert [t.shape for t in model] == mlp.shapes(3, CFG.hidden)
+    history = spark.read.parquet(str(tmp_path / "run/history")).toPandas()
+    assert len(history) == 2 and (history["n"] == 300).all()
+
+
 def test_local_and_central_runs(spark):
     df = rows(spark, 600)
     train_rows, test_rows = df.filter("key % 5 <> 0"), df.filter("key % 5 = 0")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.operators import joins, metrics, monitor, prep, sampling, scaling
-from flowspark.schemas import ALERT, check_width, validate
+from flowspark.schemas import ALERT, SNAPSHOT, check_width, validate
 from flowspark.sources import (
     read_clients, read_metric_log, read_packets, read_round_losses, read_train_log,
     write_csv, write_flows,
@@ -149,6 +149,28 @@ def test_width_and_validation(spark):
     assert valid.first()["message"]["metadata"]["IPV4_SRC_ADDR"] == "a"
 
 
+def test_snapshot_validation(spark):
+    import json
+
+    alert = {
+        "metadata": {"IPV4_SRC_ADDR": "a", "L4_SRC_PORT": 1, "IPV4_DST_ADDR": "b", "L4_DST_PORT": 2},
+        "classification_time": 0.1, "latency": 0.2, "worker_name": "w", "is_malicious": True,
+        "timestamp": 5,
+    }
+
+    def message(ips):
+        stats = {
+            "total_packets": 1, "total_malicious": 1, "malicious_ips": ips, "targeted_ips": [],
+            "avg_latency": 0.1, "avg_classification_time": 0.1,
+        }
+        return json.dumps({"id": "x", "stats": stats, "packet_info": alert})
+
+    texts = [message([{"key": "a", "value": 1}]), message([]), message([{"key": "a"}]), message(None)]
+    msgs = spark.createDataFrame([(t,) for t in texts], "value string")
+    valid, rejected = validate(msgs, "value", SNAPSHOT)
+    assert valid.count() == 2 and rejected.count() == 2
+
+
 def test_packets(spark, tmp_path):
     rows = [("1.1.1.1", "2.2.2.2", "x", "80", "3.5", "bad")]
     raw = spark.createDataFrame(
