@@ -52,6 +52,41 @@ def _carry(rows: DataFrame, col: str, flag: str, n: int, base: DataFrame | None)
     return [starts, [*lists, _best(top, n)]]
 
 
+def _lists(buckets, flags, keys, counts, carry, state, n: int):
+    """The list after each row of a batch, as an Arrow array, and the state after the batch.
+
+    Only rows that can enter the list (flagged, with a count no lower than the lowest one listed)
+    are looked at one by one; the lists between two changes are repeated by index.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    starts, before = carry
+    bucket, now = state
+    shown, changed = [list(now.items())], np.zeros(len(buckets), dtype=np.int64)
+    edges = np.flatnonzero(np.diff(buckets)) + 1
+    for lo, hi in zip([0, *edges], [*edges, len(buckets)]):
+        if buckets[lo] != bucket:
+            bucket = buckets[lo]
+            now = before[int(np.searchsorted(starts, bucket))]
+            shown.append(list(now.items()))
+            changed[lo] += 1
+        floor = min(now.values()) if len(now) == n else 0
+        spots = lo + np.flatnonzero(flags[lo:hi] & (counts[lo:hi] >= floor))
+        for at, key in zip(spots, keys.take(pa.array(spots)).to_pylist()):
+            now = _best({**now, key: int(counts[at])}, n)
+            shown.append(list(now.items()))
+            changed[at] += 1
+    items = [item for entry in shown for item in entry]
+    pairs = pa.StructArray.from_arrays(
+        [pa.array([k for k, _ in items], pa.string()), pa.array([c for _, c in items], pa.int64())],
+        names=["key", "value"],
+    )
+    ends = np.concatenate([[0], np.cumsum([len(entry) for entry in shown])])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+    return lists.take(pa.array(np.cumsum(changed))), (bucket, now)
+
+
 def running_top(
     df: DataFrame, cols: dict[str, str], n: int = 5, order: str = "ts", tie: str = "event_id",
     flag: str = "is_malicious", sums: dict | None = None, base: DataFrame | None = None,
@@ -78,35 +113,19 @@ def running_top(
     fields = list(cols.items())
 
     def scan(batches):
-        from bisect import bisect_left
-
         import pyarrow as pa
 
-        states: list = [(None, {}, [])] * len(fields)
+        states: list = [(None, {})] * len(fields)
         for batch in batches:
-            buckets, flags = batch.column("_bucket").to_pylist(), batch.column(flag).to_pylist()
+            buckets = batch.column("_bucket").to_numpy(zero_copy_only=False)
+            flags = batch.column(flag).to_numpy(zero_copy_only=False)
             arrays = [batch.column(c) for c in keep]
             for i, (_, col) in enumerate(fields):
-                starts, before = shared.value[i]
-                bucket, now, shown = states[i]
-                items, ends = [], [0]
-                values, counts = batch.column(col).to_pylist(), batch.column(f"_count{i}").to_pylist()
-                for b, bad, key, count in zip(buckets, flags, values, counts):
-                    if b != bucket:
-                        bucket, now = b, before[bisect_left(starts, b)]
-                        shown = list(now.items())
-                    if bad:
-                        now = _best({**now, key: count}, n)
-                        shown = list(now.items())
-                    items += shown
-                    ends.append(len(items))
-                states[i] = (bucket, now, shown)
-                pairs = pa.StructArray.from_arrays(
-                    [pa.array([k for k, _ in items], pa.string()),
-                     pa.array([c for _, c in items], pa.int64())],
-                    names=["key", "value"],
+                counts = batch.column(f"_count{i}").to_numpy(zero_copy_only=False)
+                lists, states[i] = _lists(
+                    buckets, flags, batch.column(col), counts, shared.value[i], states[i], n
                 )
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs))
+                arrays.append(lists)
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *cols])
 
     ordered = out.sortWithinPartitions("_bucket", order, tie)
