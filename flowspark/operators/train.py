@@ -211,7 +211,8 @@ def grid_search(
                 out.append((c, f, float(right.mean()), int(inside.sum())))
         return pd.DataFrame(out, columns=["candidate", "fold", "score", "n"])
 
-    folds = shards.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "key"), F.lit(k)).cast("int"))
+    digits = F.substring(F.md5(F.concat(F.lit("fold:"), F.col("key").cast("string"))), 1, 8)
+    folds = shards.withColumn("fold", (F.conv(digits, 16, 10).cast("long") % k).cast("int"))
     scores = folds.groupBy("client", "shard").applyInPandas(
         run, "candidate int, fold int, score double, n long"
     )

@@ -14,6 +14,8 @@ from flowspark.plans.registry import query
 from flowspark.plans.standins import (
     FLOW_FEATURES, FLOWS, LINEAR_BIAS, LINEAR_WEIGHTS, flows, table, training_flows,
 )
+from flowspark.schemas import FEATURES
+from flowspark.session import spread
 
 SMALL = train.TrainConfig(hidden=(16, 8), epochs=2, lr=1e-3, weight_decay=1e-2, batch_size=512)
 
@@ -84,12 +86,30 @@ def network_sql(model: list[np.ndarray], key: str, source: str, features: list[s
     return f"WITH {', '.join(steps)} SELECT {key}, round({dot(w, b, 0, width)}, 6) AS logit FROM h{level}"
 
 
+def packet_vector():
+    """A vector as wide as a real packet, from the four flow features."""
+    return [
+        (F.col(FLOW_FEATURES[i % 4]) / (50.0, 100000.0, 0.1, 0.1)[i % 4] * (1 + i / 10)).alias(f"p{i}")
+        for i in range(len(FEATURES))
+    ]
+
+
+@query("score_mlp_full")
+def score_mlp_full(spark, sf):
+    """The published network, 39 features to 512-256-128-96-48-1, over every row."""
+    line = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *FLOW_FEATURES))
+    rows = line.select("l_orderkey", "l_linenumber", *packet_vector())
+    model = mlp.init(len(FEATURES), train.TrainConfig().hidden, 69)
+    scored = score.score(rows, model, [f"p{i}" for i in range(len(FEATURES))])
+    return scored.select("l_orderkey", "l_linenumber", r6("logit"))
+
+
 _SCALED = [f"{c} / {d}" for c, d in zip(FLOW_FEATURES, ("50", "100000", "0.1e0", "0.1e0"))]
 
 
 @query("score_mlp", network_sql(demo_network(), "l_orderkey, l_linenumber", "lineitem", _SCALED))
 def score_mlp(spark, sf):
-    line = table(spark, sf, "lineitem")
+    line = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *FLOW_FEATURES))
     scaled = line.select(
         "l_orderkey", "l_linenumber",
         *[(F.col(c) / d).alias(c) for c, d in zip(FLOW_FEATURES, (50.0, 100000.0, 0.1, 0.1))],
@@ -216,18 +236,23 @@ def central_run(spark, sf):
     return rounds.central_run(data, test, FLOW_FEATURES, "label", "client_id", "key", SMALL)
 
 
-@query("grid_search")
-def grid_search(spark, sf):
+def _tuning_shards(spark, sf):
+    """A tenth of the training rows of all clients, scaled together."""
     data, _ = training_flows(spark, sf)
     sample = sampling.hash_sample(data, "key", 0.1, 69)
     scaled = scaling.apply_minmax(sample, scaling.fit_minmax(sample, FLOW_FEATURES), FLOW_FEATURES)
-    shards = train.to_shards(scaled, FLOW_FEATURES, "label", "client_id", "key")
+    pooled = scaled.withColumn("_all", F.lit("all"))
+    return train.to_shards(pooled, FLOW_FEATURES, "label", "_all", "key")
+
+
+@query("grid_search")
+def grid_search(spark, sf):
     base = SMALL.with_(hidden=(8,), epochs=2)
     grid = [
         base.with_(batch_size=b, lr=lr, weight_decay=w)
         for b in (256, 512) for lr in (1e-3, 1e-4) for w in (0.1, 0.01)
     ]
-    return train.grid_summary(train.grid_search(shards, FLOW_FEATURES, grid))
+    return train.grid_summary(train.grid_search(_tuning_shards(spark, sf), FLOW_FEATURES, grid))
 
 
 @query(

@@ -484,6 +484,66 @@ def shapiro_by_group(spark, sf):
     return hypothesis.shapiro(table(spark, sf, "events"), "value", "event_id", ["event_type"])
 
 
+# Wichura (1988), algorithm AS 241, ascending powers.
+_CENTRE = (
+    [3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
+     1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,
+     3.3430575583588128105e4, 2.5090809287301226727e3],
+    [1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
+     2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4,
+     5.2264952788528545610e3],
+)
+_TAIL = (
+    [1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0,
+     3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1,
+     2.27238449892691845833e-2, 7.74545014278341407640e-4],
+    [1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
+     1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4,
+     1.05075007164441684324e-9],
+)
+# End of fixed values.
+
+
+def _ratio(parts: tuple[list[float], list[float]], r: str) -> str:
+    def poly(coefficients):
+        text = f"{coefficients[-1]!r}::DOUBLE"
+        for c in reversed(coefficients[:-1]):
+            text = f"({text} * {r} + {c!r}::DOUBLE)"
+        return text
+
+    return f"{poly(parts[0])} / {poly(parts[1])}"
+
+
+# Normal quantile of p in SQL; q = p - 1/2, t = sqrt(-ln(min(p, 1 - p))) below 5.
+_QUANTILE = f"""CASE WHEN abs(q) <= 0.425 THEN q * {_ratio(_CENTRE, '(0.180625::DOUBLE - q * q)')}
+  ELSE sign(q) * {_ratio(_TAIL, '(t - 1.6::DOUBLE)')} END"""
+
+
+@query(
+    "shapiro_w",
+    f"""WITH r AS (SELECT event_type, value AS x, row_number() OVER (PARTITION BY event_type
+        ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+    q AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) - 0.5::DOUBLE AS q,
+      sqrt(-ln(least((i - 0.375::DOUBLE) / (n + 0.25::DOUBLE), 1 - (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE)))) AS t
+      FROM r),
+    m AS (SELECT *, {_QUANTILE} AS m, 1 / sqrt(n) AS u FROM q),
+    s AS (SELECT event_type, n, max(u) AS u, sum(m * m) AS mm, max(m) AS m1,
+      max(CASE WHEN i = n - 1 THEN m END) AS m2, var_pop(x) * n AS ss,
+      max(CASE WHEN i = n THEN x END) - max(CASE WHEN i = 1 THEN x END) AS d1,
+      max(CASE WHEN i = n - 1 THEN x END) - max(CASE WHEN i = 2 THEN x END) AS d2,
+      sum(CASE WHEN i > 2 AND i < n - 1 THEN m * x ELSE 0 END) AS mid FROM m GROUP BY event_type, n),
+    a AS (SELECT *, 0.221157 * u - 0.147981 * u ** 2 - 2.071190 * u ** 3 + 4.434685 * u ** 4
+        - 2.706056 * u ** 5 + m1 / sqrt(mm) AS a1,
+      0.042981 * u - 0.293762 * u ** 2 - 1.752461 * u ** 3 + 5.682633 * u ** 4
+        - 3.582633 * u ** 5 + m2 / sqrt(mm) AS a2 FROM s)
+    SELECT event_type, n, round((a1 * d1 + a2 * d2 + mid / sqrt((mm - 2 * m1 ** 2 - 2 * m2 ** 2)
+      / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))) ** 2 / ss, 6) AS w FROM a""",
+)
+def shapiro_w(spark, sf):
+    rows = hypothesis.shapiro(table(spark, sf, "events"), "value", "event_id", ["event_type"])
+    return rows.select("event_type", "n", r6("w"))
+
+
 # --- parameters ---------------------------------------------------------------------------------
 
 AVG = "SELECT round, layer, pos, sum(value * weight) / sum(weight) AS value FROM params GROUP BY ALL"

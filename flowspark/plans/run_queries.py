@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from flowspark.operators import mlp, params as fed, train
 from flowspark.plans import rounds
+from flowspark.plans.model_queries import _tuning_shards
 from flowspark.plans.prepare_queries import r6
 from flowspark.plans.registry import query
 from flowspark.plans.standins import FLOW_FEATURES, TRAINING, training_flows
@@ -189,3 +190,39 @@ def central_linear(spark, sf):
         data, test, FLOW_FEATURES, "label", "client_id", "key", LINEAR.with_(epochs=1)
     )
     return log.select("run", "client", "metric", r6("value"))
+
+
+_RATES = (0.5, 2.0)
+
+
+def grid_sql(k: int = 5) -> str:
+    """SQL of a k-fold search over two rates, one full-batch step from the initial weights."""
+    w, b = mlp.init(_N, (), LINEAR.seed)
+    start = ", ".join(f"{_number(v)} AS w{i}" for i, v in enumerate([*map(float, w[:, 0]), float(b[0])]))
+    key = "l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber"
+    rates = ", ".join(f"({i}, {_number(r)})" for i, r in enumerate(_RATES))
+    error = f"(1 / (1 + exp(-{_Z})) - x.label)"
+    grads = ", ".join([f"avg({error} * x.x{i}) AS g{i}" for i in range(_N)] + [f"avg({error}) AS g{_N}"])
+    return f"""WITH keyed AS (SELECT *, {key} AS key, CAST(l_returnflag = 'R' AS INTEGER) AS label
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    picked AS (SELECT * FROM keyed WHERE substr(md5(key), 1, 2) >= '33'
+      AND substr(md5('69:' || key), 1, 8) < '19999999'),
+    fit AS (SELECT {_RANGES} FROM picked),
+    x AS (SELECT label, CAST('0x' || substr(md5('fold:' || key), 1, 8) AS BIGINT) % {k} AS fold, {_SCALED}
+      FROM picked CROSS JOIN fit),
+    start AS (SELECT {start}),
+    folds AS (SELECT unnest(range({k})) AS f),
+    g AS (SELECT f, {grads} FROM folds JOIN x ON x.fold <> f CROSS JOIN start w GROUP BY f),
+    rates(candidate, lr) AS (VALUES {rates}),
+    w AS (SELECT candidate, f, {_each('w{i} - lr * g{i}')} FROM rates CROSS JOIN g CROSS JOIN start),
+    scores AS (SELECT w.candidate, f, avg(CAST(({_Z} > 0) = (x.label = 1) AS DOUBLE)) AS score
+      FROM w JOIN x ON x.fold = f GROUP BY w.candidate, f)
+    SELECT candidate, round(avg(score), 6) AS mean_score, round(stddev_pop(score), 6) AS std_score,
+      row_number() OVER (ORDER BY avg(score) DESC, candidate) = 1 AS best FROM scores GROUP BY candidate"""
+
+
+@query("grid_linear", grid_sql())
+def grid_linear(spark, sf):
+    grid = [LINEAR.with_(epochs=1, lr=lr) for lr in _RATES]
+    rows = train.grid_summary(train.grid_search(_tuning_shards(spark, sf), FLOW_FEATURES, grid))
+    return rows.select("candidate", r6("mean_score"), r6("std_score"), "best")

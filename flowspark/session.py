@@ -57,6 +57,15 @@ def settle(df: DataFrame, name: str = "settled") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain file scan of fewer splits than cores, before work that is heavy per row.
+
+    A large table has more splits than cores and is left as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def default_buckets(spark: SparkSession) -> int:
     """Number of order buckets: four per shuffle partition, so that hashing them to partitions
     evens out, within 16 .. 16,384."""
