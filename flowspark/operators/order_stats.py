@@ -36,6 +36,10 @@ def _as_double(df: DataFrame, column: str) -> Column:
         return F.expr(f"CAST(CAST({since} AS INTERVAL SECOND) AS DECIMAL(20, 6))").cast("double") * 1e6
     if kind == "timestamp":
         return F.unix_micros(column).cast("double")
+    if kind == "date":
+        return F.unix_date(column).cast("double")
+    if kind.split("(")[0] not in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal"):
+        raise TypeError(f"{column} orders rows and must be a number or a time, not {kind}")
     return F.col(column).cast("double")
 
 
@@ -82,9 +86,8 @@ def _bucketed(df: DataFrame, edges: list[float], source: Column, out: str) -> Da
     model = Bucketizer(
         splits=edges, inputCol="_src", outputCol="_dbl", handleInvalid="keep"
     )
-    return model.transform(df.withColumn("_src", source)).withColumn(
-        out, F.col("_dbl").cast("long")
-    ).drop("_src", "_dbl")
+    bucket = F.coalesce(F.col("_dbl").cast("long"), F.lit(len(edges)))  # NULL after NaN
+    return model.transform(df.withColumn("_src", source)).withColumn(out, bucket).drop("_src", "_dbl")
 
 
 def order_buckets(
@@ -93,7 +96,7 @@ def order_buckets(
 ) -> DataFrame:
     """Add ``out``, a number that never falls along ``(order, tie)``.
 
-    No bucket holds much more than ``1/buckets`` of the rows: a hot value of ``order`` is divided
+    NaN and then NULL come last. No bucket holds much more than ``1/buckets`` of the rows: a hot value of ``order`` is divided
     along the quantiles of the numeric key ``tie`` over all rows. Without ``tie`` the values of
     ``order`` are taken to be few rows each (for example already grouped by value).
     """
@@ -155,7 +158,7 @@ def add_running(
         *[F.col(c) if c in keys else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes],
         F.lit(0).alias("_real"), *[F.col(f"_before_{n}").alias(f"_in_{n}") for n in sums],
     )
-    inside = W.partitionBy(*keys).orderBy("_real", order, tie)
+    inside = W.partitionBy(*keys).orderBy("_real", F.asc_nulls_last(order), tie)
     inside = inside.rowsBetween(W.unboundedPreceding, 0)
     ran = own.union(heads).select(
         *rows.columns, "_real", *[F.sum(f"_in_{n}").over(inside).alias(n) for n in sums]

@@ -93,6 +93,11 @@ def param_distance(a: DataFrame, b: DataFrame, by: list[str] = ()) -> DataFrame:
     )
 
 
+def params_equal(a: DataFrame, b: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Whether two models agree in every parameter."""
+    return param_distance(a, b, by).drop("distance")
+
+
 def fedplus_mix(
     local: DataFrame, global_: DataFrame, lr: float, delta: float = 0.1, constraint: float = 0.9,
     keys: list[str] = ("round", "layer", "pos"),

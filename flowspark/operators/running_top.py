@@ -28,7 +28,7 @@ def _carry(rows: DataFrame, col: str, flag: str, n: int, base: DataFrame | None)
 
     At most n rows per bucket reach the driver.
     """
-    bad = rows.filter(flag).select(F.col(col).alias("key"), "_bucket")
+    bad = rows.filter(flag).select(F.col(col).alias("key"), "_bucket").filter("key IS NOT NULL")
     ends = bucket_sums(bad, ["key"], {"_count": F.lit(1).cast("long")})
     top: dict[str, int] = {}
     if base is not None:
@@ -64,6 +64,7 @@ def _lists(buckets, flags, keys, counts, carry, state, n: int):
     starts, before = carry
     bucket, now = state
     shown, changed = [list(now.items())], np.zeros(len(buckets), dtype=np.int64)
+    valid = keys.is_valid().to_numpy(zero_copy_only=False)
     edges = np.flatnonzero(np.diff(buckets)) + 1
     for lo, hi in zip([0, *edges], [*edges, len(buckets)]):
         if buckets[lo] != bucket:
@@ -72,7 +73,7 @@ def _lists(buckets, flags, keys, counts, carry, state, n: int):
             shown.append(list(now.items()))
             changed[lo] += 1
         floor = min(now.values()) if len(now) == n else 0
-        spots = lo + np.flatnonzero(flags[lo:hi] & (counts[lo:hi] >= floor))
+        spots = lo + np.flatnonzero(flags[lo:hi] & valid[lo:hi] & (counts[lo:hi] >= floor))
         for at, key in zip(spots, keys.take(pa.array(spots)).to_pylist()):
             now = _best({**now, key: int(counts[at])}, n)
             shown.append(list(now.items()))
@@ -98,8 +99,9 @@ def running_top(
     ``base`` (kind, key, value; the kind is the column name) holds counts from before the first row.
     """
     rows = order_buckets(df, order, tie, buckets)
-    one = F.col(flag).cast("long")
-    carries = [_carry(rows, col, flag, n, base) for col in cols.values()]
+    rows = rows.withColumn("_flag", F.coalesce(F.col(flag).cast("boolean"), F.lit(False)))
+    one = F.col("_flag").cast("long")
+    carries = [_carry(rows, col, "_flag", n, base) for col in cols.values()]
     out = rows
     for i, col in enumerate(cols.values()):
         old = None
@@ -118,7 +120,7 @@ def running_top(
         states: list = [(None, {})] * len(fields)
         for batch in batches:
             buckets = batch.column("_bucket").to_numpy(zero_copy_only=False)
-            flags = batch.column(flag).to_numpy(zero_copy_only=False)
+            flags = batch.column("_flag").to_numpy(zero_copy_only=False)
             arrays = [batch.column(c) for c in keep]
             for i, (_, col) in enumerate(fields):
                 counts = batch.column(f"_count{i}").to_numpy(zero_copy_only=False)
@@ -128,7 +130,7 @@ def running_top(
                 arrays.append(lists)
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *cols])
 
-    ordered = out.sortWithinPartitions("_bucket", order, tie)
+    ordered = out.sortWithinPartitions("_bucket", F.asc_nulls_last(order), tie)
     fields_ddl = [f"`{f.name}` {f.dataType.simpleString()}" for f in out.select(*keep).schema.fields]
     lists_ddl = [f"`{name}` array<struct<key:string,value:bigint>>" for name in cols]
     return ordered.mapInArrow(scan, ", ".join([*fields_ddl, *lists_ddl]))

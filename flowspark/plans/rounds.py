@@ -49,7 +49,8 @@ def federated_run(
     spark = data.sparkSession
     base = out or scratch_path(spark, "federated")
     scaler = settle(fit_minmax(data, features, [client]), "scalers")
-    scaled_test = apply_minmax(test, scaler, features, [client])
+    scaled_test = apply_minmax(test, scaler, features, [client]).select(client, *features, label)
+    scaled_test = scaled_test.persist(StorageLevel.MEMORY_AND_DISK)
     scaled = apply_minmax(data, scaler, features, [client])
     shards = train.to_shards(scaled, features, label, client, key, rows_per_shard)
     shards = shards.persist(StorageLevel.MEMORY_AND_DISK)
@@ -99,6 +100,7 @@ def federated_run(
                     on_round(r, spark.read.parquet(path))
     finally:
         shards.unpersist()
+        scaled_test.unpersist()
     return spark.read.parquet(f"{base}/metrics").select("model", "round", "client", "metric", "value")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from flowspark.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -53,7 +55,10 @@ def training_flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderpriority").alias("client_id")
     )
     key = F.concat_ws("-", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").select(
+    line = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *FLOW_FEATURES, "l_returnflag"
+    )
+    rows = spread(line).join(orders, "l_orderkey").select(
         "client_id", key.alias("key"), *FLOW_FEATURES,
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
     )

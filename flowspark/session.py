@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Groups up to this many rows may be handled by one task (plain window, built-in percentile).
-SMALL_GROUP = 1_000_000
+SMALL_GROUP = 250_000
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -57,6 +57,32 @@ def test_null_group_is_kept(spark):
     assert got == {1: 1, 2: 2, 3: 1}
 
 
+@pytest.mark.parametrize("buckets", [1, 6])
+def test_missing_order_comes_last(spark, buckets):
+    rows = [(i, float(i % 5) if i % 4 else None) for i in range(40)] + [(40, float("nan"))]
+    df = spark.createDataFrame(rows, "id long, t double")
+    got = [r["id"] for r in os_.global_rank(df, "t", "id", buckets=buckets).orderBy("rank").collect()]
+    want = sorted(rows, key=lambda r: (2 if r[1] is None else 1 if r[1] != r[1] else 0,
+                                       0.0 if r[1] is None or r[1] != r[1] else r[1], r[0]))
+    assert got == [r[0] for r in want]
+
+
+def test_text_cannot_order_rows(spark):
+    df = spark.createDataFrame([(1, "9"), (2, "10")], "id long, t string")
+    with pytest.raises(TypeError):
+        os_.global_rank(df, "t", "id")
+
+
+def test_times_order_rows(spark):
+    df = spark.sql(
+        "SELECT id, TIMESTAMP_NTZ'2024-03-31 00:00:00' + make_dt_interval(0, 0, 0, id * 0.001) AS t,"
+        " DATE'2024-01-01' + CAST(id AS INT) AS d FROM range(0, 5000)"
+    )
+    for col in ("t", "d"):
+        out = os_.global_rank(df, col, "id", buckets=9).filter("rank <> id + 1")
+        assert out.count() == 0
+
+
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_quantiles_both_ways(spark, frame, by):
     df = spark.createDataFrame(frame)
@@ -117,7 +143,9 @@ def test_no_global_window_over_rows(spark, frame):
 @pytest.mark.parametrize("buckets", [1, 7])
 def test_running_top(spark, frame, buckets):
     frame = frame.assign(bad=frame["id"] % 3 != 0)
-    df = spark.createDataFrame(frame)
+    df = spark.createDataFrame(frame).withColumn("bad", F.when(F.col("bad"), True))
+    extra = [(-1, 50.0, 0.0, None, True)]  # a flagged row without an address changes nothing
+    df = df.union(spark.createDataFrame(extra, "id long, t double, x double, g string, bad boolean"))
     rows = running_top(df, {"top": "g"}, 2, "t", "id", "bad", buckets=buckets).collect()
     got = {r["id"]: [(i["key"], i["value"]) for i in r["top"]] for r in rows}
     counts: dict = {}
