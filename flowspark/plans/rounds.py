@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
-from flowspark.operators import mlp, params as fed, train
+from flowspark.operators import mlp, params as fed, score, train
 from flowspark.operators.scaling import apply_minmax, fit_minmax
 from flowspark.operators.score import (
     as_metric_log, evaluate_models, load_models, model_rows, scaler_arrays,
@@ -138,17 +139,26 @@ def local_run(
     scaled = apply_minmax(data, scaler, features, [client])
     shards = train.to_shards(scaled, features, label, client, key, rows_per_shard)
     shards = shards.persist(StorageLevel.MEMORY_AND_DISK)
-    scalers = scaler_arrays(scaler, features, client)
     shapes = mlp.shapes(len(features), cfg.hidden)
+    size = sum(math.prod(shape) for shape in shapes)
     base = out or scratch_path(spark, "local")
     try:
         for run in range(1, runs + 1):
             step = cfg.with_(seed=cfg.seed + run)
             start = mlp.init(len(features), cfg.hidden, step.seed)
             merged = _train_and_save(shards, features, start, step, run, base)
-            models = load_models(merged, shapes, "client")
-            scored = evaluate_models(test, models, features, label, client, scalers)
-            as_metric_log(scored, client).write.parquet(f"{base}/metrics/run={run}")
+            clients = merged.select("client").distinct().count()
+            groups = math.ceil(2 * clients * size / score.MAX_PARAMETERS)
+            for g in range(groups):  # one group unless the models together are too large to ship
+
+                def mine(column: str):
+                    return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(groups)) == g
+
+                models = load_models(merged.filter(mine("client")), shapes, "client")
+                scalers = scaler_arrays(scaler.filter(mine(client)), features, client)
+                scored = evaluate_models(test, models, features, label, client, scalers)
+                log = as_metric_log(scored, client)
+                log.write.mode("append").parquet(f"{base}/metrics/run={run}")
     finally:
         shards.unpersist()
     return spark.read.parquet(f"{base}/metrics").select("run", "model", "client", "metric", "value")

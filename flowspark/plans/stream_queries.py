@@ -3,11 +3,13 @@ drained and returns what the job wrote."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F, types as T
 
-from flowspark.operators import mlp, scaling, score
+from flowspark.operators import scaling, score
 from flowspark.operators.monitor import ranked
 from flowspark.operators.running_top import running_top
+from flowspark.plans.model_queries import _LOGIT, _RANGE
 from flowspark.plans.monitor_queries import TOTALS, _top
 from flowspark.plans.prepare_queries import r6
 from flowspark.plans.registry import query
@@ -15,18 +17,15 @@ from flowspark.plans.standins import (
     ALERTS, CUT_TEXT, FLOW_FEATURES, LINEAR_BIAS, LINEAR_WEIGHTS, alert_messages, alerts,
     message_texts, table,
 )
-from flowspark.plans.model_queries import _LOGIT, _RANGE
-from flowspark.schemas import ALERT, METADATA, REQUEST
+from flowspark.schemas import ALERT, REQUEST, SNAPSHOT, parse_messages
 from flowspark.session import scratch_path
 from flowspark.sources import alert_stream, message_stream, request_stream, write_json
 from flowspark.streaming import (
     alert_snapshots, current, dead_letter, flat_alerts, latest_batch, live_latest, live_top,
     live_totals, live_workers, run_until_drained, save_changes, save_result, score_messages,
-    write_alerts,
+    snapshot_messages, snapshots, write_alerts,
 )
 
-import numpy as np
-
 KEYED_ALERT = T.StructType(
     [T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), *ALERT.fields]
 )
@@ -207,3 +206,19 @@ def stream_snapshots(spark, sf):
         *[(F.round(F.col(c) * n, 6) / n).alias(c) for c in means],
     )
     return stats.join(_listed(rows, "targeted_ips"), "event_id")
+
+
+@query(
+    "snapshot_messages",
+    f"""WITH {ALERTS} SELECT event_id % 60000 AS port, true AS valid, row_number() OVER (ORDER BY ts, event_id) AS total_packets,
+      dst_ip FROM alerts""",
+)
+def messages(spark, sf):
+    rows = snapshots(flat_alerts(alert_messages(spark, sf)))
+    sent = snapshot_messages(rows).select(F.to_json(F.struct("*")).alias("value"))
+    back = parse_messages(sent, "value", SNAPSHOT)
+    return back.select(
+        (F.col("message.packet_info.metadata.L4_SRC_PORT") - 1024).cast("long").alias("port"), "valid",
+        F.col("message.stats.total_packets").alias("total_packets"),
+        F.col("message.packet_info.metadata.IPV4_DST_ADDR").alias("dst_ip"),
+    )

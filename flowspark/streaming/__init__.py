@@ -2,7 +2,8 @@
 
 from flowspark.streaming.live import (  # noqa: F401
     alert_snapshots, current, flat_alerts, latest_batch, live_latest, live_top, live_totals,
-    live_workers, run_until_drained, save_changes, save_result,
+    live_workers, run_until_drained, save_changes, save_result, snapshot_messages,
+    snapshots,
 )
 from flowspark.streaming.scoring import (  # noqa: F401
     dead_letter, score_messages, score_stream, write_alerts,

@@ -8,15 +8,16 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from flowspark.functions import alert_id
 from flowspark.operators import monitor
 from flowspark.operators.running_top import running_top
+from flowspark.schemas import ALERT, STATISTICS
 
 
 def flat_alerts(alerts: DataFrame) -> DataFrame:
-    """Alert messages in the column names of the monitor operators; other columns stay."""
+    """Alert messages with the columns of the monitor operators added."""
     return alerts.select(
-        *[c for c in alerts.columns if c not in ("metadata", "worker_name", "timestamp")],
-        F.col("metadata.IPV4_SRC_ADDR").alias("src_ip"),
+        "*", F.col("metadata.IPV4_SRC_ADDR").alias("src_ip"),
         F.col("metadata.IPV4_DST_ADDR").alias("dst_ip"), F.col("worker_name").alias("worker"),
     )
 
@@ -131,8 +132,13 @@ class CarriedCounts:
             folded.write.mode("overwrite").parquet(f"{self.path}/snapshot={number + 1}")
 
 
-def _snapshots(batch: DataFrame, carried: DataFrame, totals: DataFrame, n: int) -> DataFrame:
-    """Each alert of a batch with the statistics as they stand after it."""
+def snapshots(
+    alerts: DataFrame, n: int = 5, carried: DataFrame | None = None, totals: DataFrame | None = None
+) -> DataFrame:
+    """Each alert with totals, means and top lists as they stand after it.
+
+    ``carried`` (kind, key, value) and the one row ``totals`` hold what came before these alerts.
+    """
     sums = {
         "total_packets": F.lit(1).cast("long"),
         "total_malicious": F.col("is_malicious").cast("long"),
@@ -140,11 +146,26 @@ def _snapshots(batch: DataFrame, carried: DataFrame, totals: DataFrame, n: int)
         "_classification": F.col("classification_time"),
     }
     lists = {"malicious_ips": "src_ip", "targeted_ips": "dst_ip"}
-    rows = running_top(batch, lists, n, sums=sums, base=carried)
-    start = totals.select(F.struct("*").alias("t")).scalar()
-    for name in sums:
-        rows = rows.withColumn(name, F.col(name) + start[name])
-    return rows
+    rows = running_top(alerts, lists, n, sums=sums, base=carried)
+    if totals is not None:
+        start = totals.select(F.struct("*").alias("t")).scalar()
+        for name in sums:
+            rows = rows.withColumn(name, F.col(name) + start[name])
+    count = F.col("total_packets")
+    return rows.select(
+        *alerts.columns, "total_packets", "total_malicious",
+        (F.col("_latency") / count).alias("avg_latency"),
+        (F.col("_classification") / count).alias("avg_classification_time"),
+        *lists,
+    )
+
+
+def snapshot_messages(rows: DataFrame, order: str = "ts", tie: str = "event_id") -> DataFrame:
+    """Snapshots in the shape of the dashboard message: id, statistics and the alert itself."""
+    return rows.select(
+        alert_id(order, tie).alias("id"), F.struct(*STATISTICS.names).alias("stats"),
+        F.struct(*ALERT.names).alias("packet_info"),
+    )
 
 
 def alert_snapshots(
@@ -166,14 +187,8 @@ def alert_snapshots(
                 totals = spark.read.schema(total_cols).parquet(f"{state}/totals={number - 1}")
             else:
                 totals = spark.createDataFrame([(0, 0, 0.0, 0.0)], total_cols)
-            rows = _snapshots(batch, counts.before(number), totals, n)
-            count = F.col("total_packets")
-            rows.select(
-                *batch.columns, "total_packets", "total_malicious",
-                (F.col("_latency") / count).alias("avg_latency"),
-                (F.col("_classification") / count).alias("avg_classification_time"),
-                "malicious_ips", "targeted_ips",
-            ).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            rows = snapshots(batch, n, counts.before(number), totals)
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
             added = batch.agg(
                 F.count(F.lit(1)).alias("total_packets"),
                 F.count_if("is_malicious").alias("total_malicious"),

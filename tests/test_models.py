@@ -281,6 +281,21 @@ def test_saved_run(spark, tmp_path):
     assert len(history) == 2 and (history["n"] == 300).all()
 
 
+def test_local_run_in_groups_of_models(spark, monkeypatch):
+    df = rows(spark, 600, ("a", "b", "c", "d"))
+
+    def result():
+        log = rounds.local_run(df, df, FEATURES, "label", "client", "key", CFG).toPandas()
+        return log.sort_values(["model", "client", "metric"]).reset_index(drop=True)
+
+    whole = result()
+    size = sum(int(np.prod(s)) for s in mlp.shapes(3, CFG.hidden))
+    monkeypatch.setattr(score, "MAX_PARAMETERS", 4 * size)
+    parts = result()
+    assert len(whole) == 4 * 4 * 5
+    np.testing.assert_allclose(whole["value"], parts["value"], atol=1e-9)
+
+
 def test_local_and_central_runs(spark):
     df = rows(spark, 600)
     train_rows, test_rows = df.filter("key % 5 <> 0"), df.filter("key % 5 = 0")
