@@ -20,7 +20,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowspark.operators.joins import key_join
-from flowspark.session import SMALL_GROUP, default_buckets, settle
+from flowspark.session import SMALL_GROUP, SMALL_TABLE, default_buckets, settle
 
 #: Bounds are merged from this many groups of tasks, each described by this many points.
 _GROUPS, _POINTS = 512, 256
@@ -193,6 +193,11 @@ def largest_group(df: DataFrame, by: list[str] = ()) -> int:
     return row["n"] or 0
 
 
+def small_limit(by: list[str]) -> int:
+    """Rows of a group that one task may hold."""
+    return SMALL_GROUP if by else SMALL_TABLE
+
+
 def value_counts(
     df: DataFrame, value: str, by: list[str] = (), counts: dict[str, Column] | None = None,
     small: int = SMALL_GROUP, buckets: int | None = None,
@@ -236,7 +241,7 @@ def average_rank(
 
 def exact_quantiles(
     df: DataFrame, value: str, qs: dict[str, float], by: list[str] = (),
-    small: int = SMALL_GROUP, buckets: int | None = None,
+    small: int | None = None, buckets: int | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one row per ``by`` group.
 
@@ -245,7 +250,7 @@ def exact_quantiles(
     """
     by = list(by)
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    if largest_group(rows, by) <= small:
+    if largest_group(rows, by) <= (small_limit(by) if small is None else small):
         points = F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs.values()]))
         return rows.groupBy(*by).agg(points.alias("_q")).select(
             *by, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(qs)]

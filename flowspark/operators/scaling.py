@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowspark.operators.joins import key_join
-from flowspark.operators.order_stats import exact_quantiles, largest_group
-from flowspark.session import SMALL_GROUP, settle
+from flowspark.operators.order_stats import exact_quantiles, largest_group, small_limit
+from flowspark.session import settle
 
 
 def _long(stats: DataFrame, cols: list[str], by: list[str], fields: list[str]) -> DataFrame:
@@ -52,7 +52,7 @@ def fit_robust(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
     """Median and interquartile range (1 for a range of 0)."""
     by = list(by)
     points = {"q25": 0.25, "center": 0.5, "q75": 0.75}
-    if largest_group(df, by) <= SMALL_GROUP:
+    if largest_group(df, by) <= small_limit(by):
         levels = F.array(*[F.lit(q) for q in points.values()])
         stats = df.groupBy(*by).agg(
             *[F.percentile(F.col(c).cast("double"), levels).alias(c) for c in cols]

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Groups up to this many rows may be handled by one task (plain window, built-in percentile).
 SMALL_GROUP = 250_000
+#: The same for a table without groups, of which a task holds only one.
+SMALL_TABLE = 1_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
