@@ -46,7 +46,8 @@ def dup_by_class(df: DataFrame, cols: list[str], cls: str, key: str) -> DataFram
     of the table is one row per class; the class that owns the first key has one repeat fewer.
     """
     folded = df.groupBy(*cols, cls).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first"))
-    owner = F.col("first") == F.min("first").over(W.partitionBy(*cols))
+    place = F.struct("first", cls)
+    owner = place == F.min(place).over(W.partitionBy(*cols))
     repeats = folded.withColumn("repeats", F.col("n") - F.when(owner, 1).otherwise(0))
     return (
         repeats.groupBy(cls).agg(F.sum("repeats").alias("duplicates")).filter("duplicates > 0")

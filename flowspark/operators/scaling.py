@@ -9,6 +9,12 @@ from flowspark.operators.order_stats import exact_quantiles, largest_group, smal
 from flowspark.session import settle
 
 
+def _known(c: str) -> Column:
+    """The value of a column; NaN counts as missing in every fit."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _long(stats: DataFrame, cols: list[str], by: list[str], fields: list[str]) -> DataFrame:
     """From columns ``<feature>__<field>`` to rows (by, feature, fields)."""
     items = [
@@ -26,7 +32,7 @@ def fit_minmax(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
     """
     stats = df.groupBy(*by).agg(
         *[
-            fn(F.col(c).cast("double")).alias(f"{c}__{name}")
+            fn(_known(c)).alias(f"{c}__{name}")
             for c in cols for name, fn in (("data_min", F.min), ("data_max", F.max))
         ]
     )
@@ -40,7 +46,7 @@ def fit_standard(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFram
     """Mean and population standard deviation (1 for a constant column)."""
     stats = df.groupBy(*by).agg(
         *[
-            fn(F.col(c).cast("double")).alias(f"{c}__{name}")
+            fn(_known(c)).alias(f"{c}__{name}")
             for c in cols for name, fn in (("center", F.avg), ("spread", F.stddev_pop))
         ]
     )
@@ -55,7 +61,7 @@ def fit_robust(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
     if largest_group(df, by) <= small_limit(by):
         levels = F.array(*[F.lit(q) for q in points.values()])
         stats = df.groupBy(*by).agg(
-            *[F.percentile(F.col(c).cast("double"), levels).alias(c) for c in cols]
+            *[F.percentile(_known(c), levels).alias(c) for c in cols]
         ).select(
             *by,
             *[
@@ -65,7 +71,7 @@ def fit_robust(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
         )
         rows = _long(stats, cols, by, list(points))
     else:
-        doubles = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+        doubles = df.select(*by, *[_known(c).alias(c) for c in cols])
         stacked = doubles.unpivot(by, cols, "feature", "_x")
         rows = exact_quantiles(stacked, "_x", points, [*by, "feature"])
     spread = F.col("q75") - F.col("q25")

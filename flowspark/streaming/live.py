@@ -40,7 +40,11 @@ def live_workers(alerts: DataFrame) -> DataFrame:
 def run_until_drained(writer: DataStreamWriter, timeout: int | None = None) -> None:
     """Process what the source holds, in batches of its size, then stop; raise what failed."""
     stream = writer.trigger(availableNow=True).start()
-    stream.awaitTermination(timeout)
+    if timeout is None:
+        stream.awaitTermination()
+    elif not stream.awaitTermination(timeout):
+        stream.stop()
+        raise TimeoutError(f"stream not drained in {timeout} s")
 
 
 def save_result(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

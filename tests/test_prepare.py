@@ -2,10 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowspark.operators import joins, metrics, monitor, prep, sampling, scaling
-from flowspark.schemas import ALERT, SNAPSHOT, check_width, validate
+from flowspark.schemas import ALERT, SNAPSHOT, WORKER_FILE, check_width, validate
 from flowspark.sources import (
-    read_clients, read_metric_log, read_packets, read_round_losses, read_train_log,
-    write_csv, write_flows,
+    read_clients, read_json_glob, read_metric_log, read_packets, read_round_losses, read_scaler,
+    read_train_log, write_csv, write_flows, write_metric_log, write_scaler,
 )
 
 
@@ -128,6 +128,39 @@ def test_standard_and_robust(spark):
     assert list(rob["x"]) == pytest.approx([(v - 3) / 3.25 for v in (1, 2, 4, 8)])
 
 
+def test_missing_values_do_not_spoil_a_fit(spark):
+    rows = [(v,) for v in (0.0, 2.0, 4.0, float("nan"))] + [(None,)]
+    df = spark.createDataFrame(rows, "x double")
+    fit = scaling.fit_minmax(df, ["x"]).first()
+    assert (fit["data_min"], fit["data_max"]) == (0.0, 4.0)
+    assert scaling.fit_standard(df, ["x"]).first()["center"] == 2.0
+    assert scaling.fit_robust(df, ["x"]).first()["center"] == 2.0
+
+
+def test_scaler_documents(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, 5.0), (58.0, 5.0)], "x double, c double")
+    write_scaler(scaling.fit_minmax(df, ["x", "c"]), ["x", "c"], str(tmp_path / "s"))
+    back = {r["feature"]: r for r in read_scaler(spark, str(tmp_path / "s"), ["x", "c"]).collect()}
+    assert back["x"]["scale"] == 1 / 57 and back["x"]["offset"] == -1 / 57
+    assert back["c"]["scale"] == 1.0 and back["c"]["offset"] == -5.0
+
+
+def test_files_by_prefix(spark, tmp_path):
+    for name, n in (("worker_a.json", 1), ("deep/worker_b.json", 2), ("run.json", 9)):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f'{{"processed_packets": {n}, "total_timer": 1.5}}')
+    rows = read_json_glob(spark, str(tmp_path), "worker", WORKER_FILE).collect()
+    assert sorted(r["processed_packets"] for r in rows) == [1, 2]
+
+
+def test_metric_log_round_trip(spark, tmp_path):
+    rows = [("client-1: A", "f1", m, r, m + r / 10) for m in (0, 1) for r in (1, 2, 3)]
+    log = spark.createDataFrame(rows, "client string, metric string, model int, round int, value double")
+    write_metric_log(log, str(tmp_path / "log"))
+    back = read_metric_log(spark, str(tmp_path / "log")).drop("file")
+    assert sorted(tuple(r) for r in back.collect()) == sorted(rows)
+
+
 def test_scaler_of_other_client_rows(spark):
     df = spark.createDataFrame([("a", 0.0), ("a", 10.0), ("b", 5.0), (None, 1.0)], "g string, x double")
     fit = scaling.fit_minmax(df, ["x"], ["g"])

@@ -4,7 +4,7 @@ import json
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import Window, functions as F
 
 from flowspark.operators import monitor
 from flowspark.operators.running_top import running_top
@@ -67,7 +67,7 @@ def test_snapshots_over_batches(spark, messages, tmp_path, monkeypatch):
     monkeypatch.setattr(
         live.CarriedCounts, "__init__", lambda self, s, p, every=2: original(self, s, p, every)
     )
-    ordered = messages.withColumn("_part", F.ntile(5).over(__import__("pyspark").sql.Window.orderBy("event_id")))
+    ordered = messages.withColumn("_part", F.ntile(5).over(Window.orderBy("event_id")))
     for part in range(1, 6):
         ordered.filter(F.col("_part") == part).drop("_part").write.json(str(tmp_path / "in" / f"part={part}"))
         stream = flat_alerts(alert_stream(spark, str(tmp_path / "in/*"), None, KEYED_ALERT))
