@@ -4,28 +4,14 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import DataFrame, functions as F
 
+from flowspark.functions.normal import normal_quantile, poly, tail_depth, upper_tail
 from flowspark.operators.joins import key_join
 from flowspark.operators.order_stats import average_rank, global_rank
 from flowspark.session import settle
 
 
-@pandas_udf(T.DoubleType())
-def upper_tail(z: pd.Series) -> pd.Series:
-    """Upper tail of the standard normal distribution."""
-    return z.map(lambda v: 0.5 * math.erfc(v / math.sqrt(2)))
-
-
-@pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    from statistics import NormalDist
-
-    return p.map(NormalDist().inv_cdf)
-
-
 def mann_whitney(df: DataFrame, value: str, group: str, by: list[str] = (), **kw) -> DataFrame:
     """Two-sided test of the rows with ``group`` true (first sample) against the others.
 
@@ -56,15 +42,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, by: list[str] = (), **kw
 def mann_whitney_p(df: DataFrame, value: str, group: str, by: list[str] = (), **kw) -> DataFrame:
     """:func:`mann_whitney` with the two-sided p-value."""
     tested = mann_whitney(df, value, group, by, **kw)
-    return tested.withColumn("p", F.least(F.lit(1.0), 2 * upper_tail("z")))
-
-
-def _poly(coefficients: list[float], x):
-    """Polynomial with ascending coefficients."""
-    total = F.lit(0.0)
-    for c in reversed(coefficients):
-        total = total * x + F.lit(c)
-    return total
+    return tested.withColumn("p", F.least(F.lit(1.0), 2 * upper_tail(F.col("z"))))
 
 
 # Royston (1995), algorithm AS R94, ascending powers.
@@ -101,7 +79,9 @@ def shapiro(
         one = settle(sizes, "sizes").select(F.struct("*").alias("s")).scalar()
         ranked = ranked.withColumn("n", one["n"]).withColumn("_mean", one["_mean"])
     n, i = F.col("n"), F.col("_rank")
-    scored = ranked.withColumn("_m", normal_quantile((i - 0.375) / (n + 0.25)))
+    scored = ranked.withColumn("_p", (i - 0.375) / (n + 0.25))
+    scored = scored.withColumn("_t", tail_depth(F.col("_p")))
+    scored = scored.withColumn("_m", normal_quantile(F.col("_p"), F.col("_t")))
     centred = F.col("_x") - F.col("_mean")
     # The two outermost scores on each side get their own weights; all others are proportional.
     edge = F.when(i == n, 1).when(i == 1, -1).otherwise(0)
@@ -117,9 +97,10 @@ def shapiro(
         F.sum(F.when(inner, F.col("_m") * centred)).alias("_inner"),
         F.sum(F.when((i > 1) & (i < n), F.col("_m") * centred)).alias("_inner1"),
     )
-    root = 1 / F.sqrt("n")
-    a1 = _poly(_LAST, root) + F.col("_m1") / F.sqrt("_mm")
-    a2 = _poly(_SECOND, root) + F.col("_m2") / F.sqrt("_mm")
+    sums = sums.withColumn("_root", 1 / F.sqrt("n")).withColumn("_log", F.log("n"))
+    root = F.col("_root")
+    a1 = poly(_LAST, root) + F.col("_m1") / F.sqrt("_mm")
+    a2 = poly(_SECOND, root) + F.col("_m2") / F.sqrt("_mm")
     sums = sums.withColumn("_a1", a1).withColumn("_a2", a2)
     phi_small = (F.col("_mm") - 2 * F.pow("_m1", F.lit(2))) / (1 - 2 * F.pow("_a1", F.lit(2)))
     phi_large = (
@@ -135,13 +116,15 @@ def shapiro(
     )
     w = F.least(F.lit(1.0), F.try_divide(F.pow(top, F.lit(2)), F.col("_ss")))
     sums = sums.withColumn("w", F.when((n >= 3) & (F.col("_ss") > 0), w))
-    log_n, gap = F.log("n"), F.log(1 - F.col("w"))
+    sums = sums.withColumn("_gap", F.log(1 - F.col("w")))
+    log_n, gap = F.col("_log"), F.col("_gap")
     small = (
-        -F.log(_poly(_GAMMA, n) - gap) - _poly(_MEAN_SMALL, n)
-    ) / F.exp(_poly(_SD_SMALL, n))
-    large = (gap - _poly(_MEAN_LARGE, log_n)) / F.exp(_poly(_SD_LARGE, log_n))
+        -F.log(poly(_GAMMA, n) - gap) - poly(_MEAN_SMALL, n)
+    ) / F.exp(poly(_SD_SMALL, n))
+    large = (gap - poly(_MEAN_LARGE, log_n)) / F.exp(poly(_SD_LARGE, log_n))
     exact3 = F.lit(6 / math.pi) * (F.asin(F.sqrt("w")) - F.lit(math.asin(math.sqrt(0.75))))
-    tail = upper_tail(F.when(n <= 11, small).otherwise(large))
+    sums = sums.withColumn("_z", F.when(n <= 11, small).otherwise(large))
+    tail = upper_tail(F.col("_z"))
     p = F.when(n == 3, F.greatest(exact3, F.lit(0.0))).otherwise(tail)
     return sums.select(
         *by, F.col("n").cast("long").alias("n"), "w", F.when(F.col("w").isNotNull(), p).alias("p")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowspark import functions as fn
+from flowspark.functions import normal
 from flowspark.operators import hypothesis, joins, metrics, monitor, params as fed
 from flowspark.plans.prepare_queries import r6
 from flowspark.plans.registry import query
@@ -456,54 +457,6 @@ def describe_feature(spark, sf):
 # --- significance tests -------------------------------------------------------------------------
 
 
-@query(
-    "mann_whitney_u",
-    f"""WITH {ALERTS},
-    v AS (SELECT worker, latency, count(*) AS n, count(*) FILTER (WHERE is_malicious) AS c1
-      FROM alerts GROUP BY worker, latency),
-    r AS (SELECT *, sum(n) OVER (PARTITION BY worker ORDER BY latency) - n + (n + 1) / 2 AS ar FROM v),
-    s AS (SELECT worker, sum(c1) AS n1, sum(n - c1) AS n2, sum(n) AS nn, sum(c1 * ar) AS r1,
-      sum(CAST(n AS DOUBLE) ** 3 - n) AS ties FROM r GROUP BY worker),
-    t AS (SELECT worker, n1, n2, r1 - n1 * (n1 + 1) / 2 AS u,
-      sqrt(n1 * n2 / 12 * ((nn + 1) - ties / (nn * (nn - 1)))) AS sd FROM s)
-    SELECT worker, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, u,
-      round((greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd, 6) AS z FROM t""",
-)
-def mann_whitney_u(spark, sf):
-    rows = hypothesis.mann_whitney(alerts(spark, sf), "latency", "is_malicious", ["worker"])
-    return rows.select("worker", "n1", "n2", "u", r6("z"))
-
-
-@query("mann_whitney_p")
-def mann_whitney_p(spark, sf):
-    return hypothesis.mann_whitney_p(alerts(spark, sf), "latency", "is_malicious", ["worker"])
-
-
-@query("shapiro_by_group")
-def shapiro_by_group(spark, sf):
-    return hypothesis.shapiro(table(spark, sf, "events"), "value", "event_id", ["event_type"])
-
-
-# Wichura (1988), algorithm AS 241, ascending powers.
-_CENTRE = (
-    [3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3,
-     1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4,
-     3.3430575583588128105e4, 2.5090809287301226727e3],
-    [1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3,
-     2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4,
-     5.2264952788528545610e3],
-)
-_TAIL = (
-    [1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0,
-     3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1,
-     2.27238449892691845833e-2, 7.74545014278341407640e-4],
-    [1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1,
-     1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4,
-     1.05075007164441684324e-9],
-)
-# End of fixed values.
-
-
 def _ratio(parts: tuple[list[float], list[float]], r: str) -> str:
     def poly(coefficients):
         text = f"{coefficients[-1]!r}::DOUBLE"
@@ -515,13 +468,46 @@ def _ratio(parts: tuple[list[float], list[float]], r: str) -> str:
 
 
 # Normal quantile of p in SQL; q = p - 1/2, t = sqrt(-ln(min(p, 1 - p))) below 5.
-_QUANTILE = f"""CASE WHEN abs(q) <= 0.425 THEN q * {_ratio(_CENTRE, '(0.180625::DOUBLE - q * q)')}
-  ELSE sign(q) * {_ratio(_TAIL, '(t - 1.6::DOUBLE)')} END"""
+_QUANTILE = f"""CASE WHEN abs(q) <= 0.425 THEN q * {_ratio(normal.QUANTILE_CENTRE, '(0.180625::DOUBLE - q * q)')}
+  ELSE sign(q) * {_ratio(normal.QUANTILE_TAIL, '(t - 1.6::DOUBLE)')} END"""
+
+
+def _tail_sql(z: str) -> str:
+    """Upper tail of the standard normal in SQL, for |z| below 5.6."""
+    x = f"(abs({z}) / sqrt(2::DOUBLE))"
+    erfc = f"""CASE WHEN {x} <= 0.46875 THEN 1 - {x} * {_ratio(normal.ERF_SMALL, f'({x} * {x})')}
+      ELSE exp(-{x} * {x}) * {_ratio(normal.ERFC_MIDDLE, x)} END"""
+    return f"CASE WHEN {z} >= 0 THEN ({erfc}) / 2 ELSE 1 - ({erfc}) / 2 END"
+
+
+RANK_TEST = f"""WITH {ALERTS},
+    v AS (SELECT worker, latency, count(*) AS n, count(*) FILTER (WHERE is_malicious) AS c1
+      FROM alerts GROUP BY worker, latency),
+    r AS (SELECT *, sum(n) OVER (PARTITION BY worker ORDER BY latency) - n + (n + 1) / 2 AS ar FROM v),
+    s AS (SELECT worker, sum(c1) AS n1, sum(n - c1) AS n2, sum(n) AS nn, sum(c1 * ar) AS r1,
+      sum(CAST(n AS DOUBLE) ** 3 - n) AS ties FROM r GROUP BY worker),
+    t AS (SELECT worker, n1, n2, r1 - n1 * (n1 + 1) / 2 AS u,
+      sqrt(n1 * n2 / 12 * ((nn + 1) - ties / (nn * (nn - 1)))) AS sd FROM s),
+    z AS (SELECT worker, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, u,
+      (greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd AS z FROM t)"""
+
+
+@query("mann_whitney_u", f"{RANK_TEST} SELECT worker, n1, n2, u, round(z, 6) AS z FROM z")
+def mann_whitney_u(spark, sf):
+    rows = hypothesis.mann_whitney(alerts(spark, sf), "latency", "is_malicious", ["worker"])
+    return rows.select("worker", "n1", "n2", "u", r6("z"))
 
 
 @query(
-    "shapiro_w",
-    f"""WITH r AS (SELECT event_type, value AS x, row_number() OVER (PARTITION BY event_type
+    "mann_whitney_p",
+    f"{RANK_TEST} SELECT worker, u, round(least(1, 2 * ({_tail_sql('z')})), 6) AS p FROM z",
+)
+def mann_whitney_p(spark, sf):
+    rows = hypothesis.mann_whitney_p(alerts(spark, sf), "latency", "is_malicious", ["worker"])
+    return rows.select("worker", "u", r6("p"))
+
+
+SHAPIRO = f"""WITH r AS (SELECT event_type, value AS x, row_number() OVER (PARTITION BY event_type
         ORDER BY value, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
     q AS (SELECT *, (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE) - 0.5::DOUBLE AS q,
       sqrt(-ln(least((i - 0.375::DOUBLE) / (n + 0.25::DOUBLE), 1 - (i - 0.375::DOUBLE) / (n + 0.25::DOUBLE)))) AS t
@@ -535,15 +521,28 @@ _QUANTILE = f"""CASE WHEN abs(q) <= 0.425 THEN q * {_ratio(_CENTRE, '(0.180625::
     a AS (SELECT *, 0.221157 * u - 0.147981 * u ** 2 - 2.071190 * u ** 3 + 4.434685 * u ** 4
         - 2.706056 * u ** 5 + m1 / sqrt(mm) AS a1,
       0.042981 * u - 0.293762 * u ** 2 - 1.752461 * u ** 3 + 5.682633 * u ** 4
-        - 3.582633 * u ** 5 + m2 / sqrt(mm) AS a2 FROM s)
-    SELECT event_type, n, round((a1 * d1 + a2 * d2 + mid / sqrt((mm - 2 * m1 ** 2 - 2 * m2 ** 2)
-      / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))) ** 2 / ss, 6) AS w FROM a""",
-)
+        - 3.582633 * u ** 5 + m2 / sqrt(mm) AS a2 FROM s),
+    w AS (SELECT event_type, n, (a1 * d1 + a2 * d2 + mid / sqrt((mm - 2 * m1 ** 2 - 2 * m2 ** 2)
+      / (1 - 2 * a1 ** 2 - 2 * a2 ** 2))) ** 2 / ss AS w FROM a)"""
+
+
+@query("shapiro_w", f"{SHAPIRO} SELECT event_type, n, round(w, 6) AS w FROM w")
 def shapiro_w(spark, sf):
     rows = hypothesis.shapiro(table(spark, sf, "events"), "value", "event_id", ["event_type"])
     return rows.select("event_type", "n", r6("w"))
 
 
+@query(
+    "shapiro_by_group",
+    f"""{SHAPIRO}, z AS (SELECT *, (ln(1 - w) - (-1.5861 - 0.31082 * ln(n) - 0.083751 * ln(n) ** 2
+      + 0.0038915 * ln(n) ** 3)) / exp(-0.4803 - 0.082676 * ln(n) + 0.0030302 * ln(n) ** 2) AS z FROM w)
+    SELECT event_type, n, round(w, 6) AS w, round({_tail_sql('z')}, 6) AS p FROM z""",
+)
+def shapiro_by_group(spark, sf):
+    rows = hypothesis.shapiro(table(spark, sf, "events"), "value", "event_id", ["event_type"])
+    return rows.select("event_type", "n", r6("w"), r6("p"))
+
+
 # --- parameters ---------------------------------------------------------------------------------
 
 AVG = "SELECT round, layer, pos, sum(value * weight) / sum(weight) AS value FROM params GROUP BY ALL"

@@ -69,3 +69,17 @@ def test_alert_id_is_stable_and_distinct(spark):
     df = spark.range(100).withColumn("id2", fn.alert_id("id"))
     assert df.select("id2").distinct().count() == 100
     assert df.first()["id2"] == df.first()["id2"]
+
+
+def test_normal_distribution(spark):
+    import math
+    from statistics import NormalDist
+
+    from flowspark.functions.normal import normal_quantile, upper_tail
+
+    ps = [1e-300, 1e-15, 1e-5, 0.01, 0.07, 0.2, 0.5, 0.63, 0.925, 0.99, 1 - 1e-9]
+    got = values(spark, "p double", ps, normal_quantile(F.col("p")))
+    assert got == pytest.approx([NormalDist().inv_cdf(p) for p in ps], rel=1e-13, abs=1e-15)
+    zs = [-9.0, -3.0, -0.5, 0.0, 0.3, 0.66, 0.67, 1.96, 4.0, 5.6, 5.7, 12.0, 30.0]
+    got = values(spark, "z double", zs, upper_tail(F.col("z")))
+    assert got == pytest.approx([0.5 * math.erfc(z / math.sqrt(2)) for z in zs], rel=1e-12)
