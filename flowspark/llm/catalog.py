@@ -1,6 +1,6 @@
 """Imports every operator module, which fills the registry."""
 
 from flowspark.llm import (  # noqa: F401
-    decontaminate, jaccard, langid, lines, packing,
+    arrow_tokens, decontaminate, forest, jaccard, langid, lines, packing, pii, sharding, substrings,
 )
 from flowspark.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -185,10 +185,11 @@ def _score(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return total, np.bincount(doc, counted, len(texts)), np.bincount(doc, minlength=len(texts)) > 0
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1: the winner's share of the likelihood,
-    taken over at most ``FULL_EVIDENCE`` average words)."""
-    rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def predict(docs: DataFrame, model: Model, text: str = "text",
+            keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (all columns, or those to ``keep``) with ``lang_pred`` and ``score`` (0 to 1: the
+    winner's share of the likelihood, taken over at most ``FULL_EVIDENCE`` average words)."""
+    rest = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
     schema = T.StructType([docs.schema[c] for c in rest]
                           + [T.StructField("lang_pred", T.StringType()),
                              T.StructField("score", T.DoubleType())])
@@ -229,7 +230,7 @@ def held_out(key: str = "doc_id"):
 def language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(labelled_sample(docs.where(~held_out())))
-    out = predict(docs.select("doc_id", "text"), model)
+    out = predict(docs, model, keep=["doc_id"])
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
