@@ -16,7 +16,8 @@ task receives is bounded whatever the size of the benchmark, and the scan is rep
 Frequent terms are never joined on before a rare one has cut the candidates.
 
 Edge cases: null texts have no words; an item without words is never found; an item shorter than a
-window is one window; repeated items count each under its own id (rows that share an id count once).
+window is one window; equal items count each under its own id, texts that share an id count once
+under it, and a null id is listed as the empty one.
 Every input row, repeated ones too, is judged on its own and gets its own row. Empty tables give
 documents without hits, or no rows. Extra columns are ignored.
 """
@@ -46,17 +47,19 @@ def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found in common.words(batch.column(1), common.ALNUM, lower=True):
             doc = found.docs()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc + found.lo)),
+                [batch.column(0).take(pa.array(doc + found.lo)), batch.column(2).take(pa.array(doc + found.lo)),
                  pa.array(np.arange(len(doc)) - found.first[doc], pa.int32()),
                  pa.array([found.text(i) for i in range(len(doc))], pa.string()),
                  pa.array(found.key.view(np.int64))],
-                ["item", "offset", "term", "key"])
+                ["item", "version", "offset", "term", "key"])
 
 
 def item_terms(items: DataFrame, text: str, key: str) -> DataFrame:
-    """(item, offset, term, key) of every word of every item."""
-    rows = items.select(F.col(key).cast("string").alias("item"), F.col(text).alias("text"))
-    return rows.distinct().mapInArrow(_terms_of, "item string, offset int, term string, key long")
+    """(item, version, offset, term, key) of every word of every text of every item."""
+    rows = items.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("item"),
+                        F.col(text).alias("text"), F.md5(text).alias("version"))
+    return rows.distinct().mapInArrow(
+        _terms_of, "item string, version string, offset int, term string, key long")
 
 
 def phrases(terms: DataFrame, size: int) -> DataFrame:
@@ -64,7 +67,7 @@ def phrases(terms: DataFrame, size: int) -> DataFrame:
 
     Equal windows of different items are looked for once.
     """
-    lists = terms.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("offset", "term"))).alias("w"))
+    lists = terms.groupBy("item", "version").agg(F.sort_array(F.collect_list(F.struct("offset", "term"))).alias("w"))
     lists = lists.select("item", F.col("w.term").alias("w"))
     start = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - (size - 1))))
     windows = lists.select("item", "w", start.alias("s")).select(
