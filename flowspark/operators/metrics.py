@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowspark.functions import bce
+from flowspark.operators.joins import key_join
 from flowspark.operators.order_stats import exact_quantiles
 
 
@@ -78,7 +79,7 @@ def metric_report(log: DataFrame) -> DataFrame:
         (F.stddev_samp("value") * 100).alias("std"),
         F.max("value").alias("max"), F.min("value").alias("min"),
     )
-    return basic.join(exact_quantiles(log, "value", {"median": 0.5}, keys), keys)
+    return key_join(basic, exact_quantiles(log, "value", {"median": 0.5}, keys), keys)
 
 
 def best_model(losses: DataFrame) -> DataFrame:

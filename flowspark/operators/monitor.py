@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from flowspark.operators.joins import key_join
 from flowspark.operators.order_stats import exact_quantiles, running
 
 TIMING_POINTS = {"median": 0.5, "quantile_75": 0.75, "quantile_95": 0.95, "quantile_99": 0.99}
@@ -80,7 +81,7 @@ def timing_metrics(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
     points = exact_quantiles(df, col, TIMING_POINTS, by)
     names = ["mean", *TIMING_POINTS, "max", "min"]
     if by:
-        return basic.join(points, by, "left").select(*by, *names)
+        return key_join(basic, points, by, "left").select(*by, *names)
     point = points.select(F.struct("*").alias("p")).scalar()
     both = basic.select("mean", "max", "min", *[point[p].alias(p) for p in TIMING_POINTS])
     return both.select(*[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in names])
@@ -104,18 +105,18 @@ def throughput_summary(df: DataFrame, workers: str, timer: str) -> DataFrame:
 def running_stats(
     df: DataFrame, order: str = "ts", tie: str = "event_id", buckets: int | None = None
 ) -> DataFrame:
-    """Totals and means as they stand after each alert."""
+    """Totals and means of the known times as they stand after each alert."""
     sums = {
         "total_packets": F.lit(1).cast("long"),
         "total_malicious": F.col("is_malicious").cast("long"),
-        "_latency": F.col("latency"),
-        "_classification": F.col("classification_time"),
     }
+    times = {"avg_latency": "latency", "avg_classification_time": "classification_time"}
+    for out, col in times.items():
+        sums |= {f"_sum_{out}": F.col(col), f"_known_{out}": F.col(col).isNotNull().cast("long")}
     rows = running(df, order, tie, sums, buckets=buckets)
     return rows.select(
         *df.columns, "total_packets", "total_malicious",
-        (F.col("_latency") / F.col("total_packets")).alias("avg_latency"),
-        (F.col("_classification") / F.col("total_packets")).alias("avg_classification_time"),
+        *[F.try_divide(f"_sum_{out}", f"_known_{out}").alias(out) for out in times],
     )
 
 

@@ -122,13 +122,12 @@ def bucket_sums(rows: DataFrame, by: list[str], sums: dict[str, Column]) -> Data
     """Per (``by``, bucket): each sum up to and with the bucket (``name``) and before it
     (``_before_name``). Rows fold map-side; the window sees one row per group and bucket."""
     totals = rows.groupBy(*by, "_bucket").agg(*[F.sum(e).alias(f"_t_{n}") for n, e in sums.items()])
-    upto = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    totals = totals.select(
-        *by, "_bucket", *[F.sum(f"_t_{n}").over(upto).alias(n) for n in sums],
-        *[F.col(f"_t_{n}") for n in sums],
-    )
+    order = W.partitionBy(*by).orderBy("_bucket")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    earlier = order.rowsBetween(W.unboundedPreceding, -1)  # not a difference: inf - inf is no number
     return totals.select(
-        *by, "_bucket", *sums, *[(F.col(n) - F.col(f"_t_{n}")).alias(f"_before_{n}") for n in sums]
+        *by, "_bucket", *[F.sum(f"_t_{n}").over(upto).alias(n) for n in sums],
+        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums],
     )
 
 

@@ -86,7 +86,8 @@ def _apply(
     """Replace each column by ``formula(x, row of the scaler)``.
 
     Without ``by`` the scaler is one row, read as a scalar subquery. With ``by`` it is settled, so
-    that its true size decides between a broadcast and a shuffled join.
+    that its true size decides between a broadcast and a shuffled join. Rows without a fit stay,
+    with null in every scaled column.
     """
     by = list(by)
     fields = [c for c in scaler.columns if c not in [*by, "feature"]]
@@ -95,7 +96,7 @@ def _apply(
         *[F.max(F.when(F.col("feature") == c, values)).alias(f"_s_{c}") for c in cols]
     )
     if by:
-        joined = key_join(df, settle(wide, "scaler"), by)
+        joined = key_join(df, settle(wide, "scaler"), by, "left")
         at = {c: F.col(f"_s_{c}") for c in cols}
     else:
         joined = df.withColumn("_s", settle(wide, "scaler").select(F.struct("*").alias("s")).scalar())

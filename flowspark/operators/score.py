@@ -110,6 +110,8 @@ def evaluate_models(
 
     Each row is read once and never multiplied: a task applies the models to its batches and emits
     one partial count per (model, test set). ``scalers`` holds the scale and offset of each model.
+    Rows with a missing feature or label cannot be scored: they are counted under ``unscored`` and
+    enter no rate and no loss. A missing test-set name is a test set of its own.
     """
     names = sorted(models)
     if len(names) > 1 and sum(t.size for m in models.values() for t in m) > MAX_PARAMETERS:
@@ -127,8 +129,8 @@ def evaluate_models(
 
         def flush():
             out = pd.DataFrame(
-                [(m, t, *(int(c) for c in v[:4]), float(v[4])) for (m, t), v in sums.items()],
-                columns=["model", by, "tp", "fp", "fn", "tn", "loss_sum"],
+                [(m, t, *(int(c) for c in v[:5]), float(v[5])) for (m, t), v in sums.items()],
+                columns=["model", by, "tp", "fp", "fn", "tn", "unscored", "loss_sum"],
             )
             sums.clear()
             return out
@@ -136,13 +138,17 @@ def evaluate_models(
         for pdf in batches:
             x = pdf[features].to_numpy(dtype=float)
             y = pdf[label].to_numpy(dtype=float)
-            codes, tests = pd.factorize(pdf[by])
+            codes, tests = pd.factorize(pdf[by], use_na_sentinel=False)
+            tests = [None if pd.isna(t) else t for t in tests]
+            known = np.isfinite(x).all(axis=1) & np.isfinite(y)
+            x, y = np.where(known[:, None], x, 0.0), np.where(known, y, 0.0)
             for name in names:
                 scale, offset = scales.get(name, (1.0, 0.0))
                 z = mlp.logits(nets[name], x * scale + offset)
                 loss = np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))
                 p, t = z > 0, y > 0.5
-                parts = [p & t, p & ~t, ~p & t, ~p & ~t, loss]
+                parts = [p & t & known, p & ~t & known, ~p & t & known, ~p & ~t & known, ~known,
+                         np.where(known, loss, 0.0)]
                 table = np.stack(
                     [np.bincount(codes, weights=q, minlength=len(tests)) for q in parts], axis=1
                 )
@@ -154,17 +160,17 @@ def evaluate_models(
         if sums:
             yield flush()
 
-    schema = f"model string, {by} string, tp long, fp long, fn long, tn long, loss_sum double"
+    schema = f"model string, {by} string, tp long, fp long, fn long, tn long, unscored long, loss_sum double"
     rows = df.select(
         *[F.col(f).cast("double") for f in features], F.col(label).cast("double"),
         F.col(by).cast("string"),
     )
     parts = rows.mapInPandas(partial, schema)
     sums = parts.groupBy("model", by).agg(
-        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "loss_sum")]
+        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn", "unscored", "loss_sum")]
     )
     n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
-    return rates(sums).withColumn("final_loss", F.col("loss_sum") / n).drop("loss_sum")
+    return rates(sums).withColumn("final_loss", F.try_divide("loss_sum", n)).drop("loss_sum")
 
 
 def as_metric_log(evaluated: DataFrame, client: str) -> DataFrame:
