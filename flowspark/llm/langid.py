@@ -127,6 +127,7 @@ def labelled_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key
                        F.xxhash64(F.col(key)).bitwiseAND((1 << 31) - 1).alias("h"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = rows.groupBy("lang").agg((F.lit(float(per_lang << 31)) / F.count("*")).alias("below"))
+    share = common.settle(share, "shares")  # its true size, a row per language, lets texts stay in place
     return rows.join(share, "lang").where("h < below").select("text", "lang")
 
 
