@@ -20,12 +20,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowspark.operators.joins import key_join
-from flowspark.session import SMALL_GROUP, SMALL_TABLE, default_buckets, settle
+from flowspark.session import default_buckets, settle
 
 #: Bounds are merged from this many groups of tasks, each described by this many points.
 _GROUPS, _POINTS = 512, 256
-#: A hot value is divided in at most this many parts.
-_TIE_BUCKETS = 1024
+#: Rows that a bucket is meant to hold, where the number of buckets is left open.
+_ROWS_PER_BUCKET = 1_000_000
 
 
 def _as_double(df: DataFrame, column: str) -> Column:
@@ -43,21 +43,21 @@ def _as_double(df: DataFrame, column: str) -> Column:
     return F.col(column).cast("double")
 
 
-def _bounds(df: DataFrame, columns: dict[str, tuple[Column, int]]) -> dict[str, list[float]]:
-    """For each column and number ``n``, ``n - 1`` values that cut the rows in about equal parts.
+def _bounds(df: DataFrame, columns: dict[str, Column], buckets: int | None) -> dict[str, list[float]]:
+    """For each column, values that cut the rows in about ``buckets`` equal parts.
 
-    Percentiles are taken per group of tasks, so that no reducer merges the summaries of all tasks;
+    Without ``buckets`` their number follows from the rows counted here. Percentiles are taken per group of tasks, so that no reducer merges the summaries of all tasks;
     what reaches the driver is a fixed number of points, weighted by the rows they stand for.
     """
     points = F.array(*[F.lit((i + 0.5) / _POINTS) for i in range(_POINTS)])
     group = F.pmod(F.spark_partition_id(), F.lit(_GROUPS)).alias("_group")
     aggs = []
-    for name, (c, _) in columns.items():
+    for name, c in columns.items():
         c = F.when(~F.isnan(c), c)
         aggs += [F.approx_percentile(c, points, F.lit(5_000)).alias(name), F.count(c).alias(f"n_{name}")]
     rows = df.groupBy(group).agg(*aggs).collect()
     out = {}
-    for name, (_, n) in columns.items():
+    for name in columns:
         parts = [(np.array(r[name], float), r[f"n_{name}"]) for r in rows if r[f"n_{name}"]]
         if not parts:
             out[name] = []
@@ -66,6 +66,7 @@ def _bounds(df: DataFrame, columns: dict[str, tuple[Column, int]]) -> dict[str,
         weights = np.concatenate([np.full(len(v), k / len(v)) for v, k in parts])
         order = np.argsort(values, kind="stable")
         upto = np.cumsum(weights[order])
+        n = buckets or max(default_buckets(df.sparkSession), math.ceil(upto[-1] / _ROWS_PER_BUCKET))
         cuts = min(n, max(2, len(values) // 2))  # no finer than the points can tell apart
         at = np.searchsorted(upto, upto[-1] * np.arange(1, cuts) / cuts)
         out[name] = [float(v) for v in values[order][np.minimum(at, len(values) - 1)]]
@@ -100,13 +101,12 @@ def order_buckets(
     along the quantiles of the numeric key ``tie`` over all rows. Without ``tie`` the values of
     ``order`` are taken to be few rows each (for example already grouped by value).
     """
-    n = buckets or default_buckets(df.sparkSession)
-    if n <= 1:
+    if buckets is not None and buckets <= 1:
         return df.withColumn(out, F.lit(0).cast("long"))
-    wanted = {"order": (_as_double(df, order), n)}
+    wanted = {"order": _as_double(df, order)}
     if tie is not None:
-        wanted["tie"] = (_as_double(df, tie), min(n, _TIE_BUCKETS))
-    bounds = _bounds(df, wanted)
+        wanted["tie"] = _as_double(df, tie)
+    bounds = _bounds(df, wanted, buckets)
     edges, hot = _splits(bounds["order"])
     df = _bucketed(df, edges, _as_double(df, order), out)
     if tie is None or not hot:
@@ -186,20 +186,9 @@ def global_rank(
     return running(df, order, tie, {out: F.lit(1).cast("long")}, by, buckets)
 
 
-def largest_group(df: DataFrame, by: list[str] = ()) -> int:
-    """Rows of the largest group (one partial aggregation over the keys)."""
-    row = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()
-    return row["n"] or 0
-
-
-def small_limit(by: list[str]) -> int:
-    """Rows of a group that one task may hold."""
-    return SMALL_GROUP if by else SMALL_TABLE
-
-
 def value_counts(
     df: DataFrame, value: str, by: list[str] = (), counts: dict[str, Column] | None = None,
-    small: int = SMALL_GROUP, buckets: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """One row per distinct value of a group, with its rank range.
 
@@ -213,12 +202,6 @@ def value_counts(
     per_value = rows.groupBy(*by, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(n) for n, e in counts.items()]
     )
-    if largest_group(rows, by) <= small:
-        below = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        whole = W.partitionBy(*by)
-        return per_value.withColumn(
-            "start", F.coalesce(F.sum("n").over(below), F.lit(0).cast("long"))
-        ).withColumn("total", F.sum("n").over(whole))
     per_value = settle(per_value, "value_counts")
     ranked = running(per_value, value, value, {"_upto": F.col("n")}, by, buckets)
     ranked = ranked.withColumn("start", F.col("_upto") - F.col("n")).drop("_upto")
@@ -230,30 +213,25 @@ def value_counts(
 
 def average_rank(
     df: DataFrame, value: str, by: list[str] = (), counts: dict[str, Column] | None = None,
-    small: int = SMALL_GROUP,
+    buckets: int | None = None,
 ) -> DataFrame:
     """:func:`value_counts` with ``avg_rank``: the mean rank of the rows that share the value."""
-    return value_counts(df, value, by, counts, small).withColumn(
+    return value_counts(df, value, by, counts, buckets).withColumn(
         "avg_rank", F.col("start") + (F.col("n") + 1) / 2
     )
 
 
 def exact_quantiles(
     df: DataFrame, value: str, qs: dict[str, float], by: list[str] = (),
-    small: int | None = None, buckets: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per ``by`` group.
+    """Exact quantiles with linear interpolation, one row per ``by`` group with a known value.
 
-    Groups of up to ``small`` rows use the built-in ``percentile``. Above it, bucket counts locate
-    the few buckets that hold the wanted positions and only their rows are counted by value.
+    Bucket counts locate the few buckets that hold the wanted positions and only their rows are
+    counted by value, whatever the size of a group.
     """
     by = list(by)
     rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    if largest_group(rows, by) <= (small_limit(by) if small is None else small):
-        points = F.percentile("_v", F.array(*[F.lit(float(q)) for q in qs.values()]))
-        return rows.groupBy(*by).agg(points.alias("_q")).select(
-            *by, *[F.get("_q", F.lit(i)).alias(name) for i, name in enumerate(qs)]
-        )
     rows = order_buckets(rows, "_v", None, buckets)
     totals = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("n"))
     below = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -296,14 +274,10 @@ def exact_quantiles(
         *[at(F.floor(position(q))).alias(f"_lo_{name}") for name, q in qs.items()],
         *[at(F.ceil(position(q))).alias(f"_hi_{name}") for name, q in qs.items()],
     )
-    return found.select(
-        *by,
-        *[
-            (
-                F.col(f"_lo_{name}")
-                + (position(q) - F.floor(position(q)))
-                * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))
-            ).alias(name)
-            for name, q in qs.items()
-        ],
-    )
+
+    def between(name: str, q: float) -> Column:
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        share = position(q) - F.floor(position(q))
+        return F.when(lo == hi, lo).otherwise(lo + share * (hi - lo))  # inf - inf is no number
+
+    return found.select(*by, *[between(name, q).alias(name) for name, q in qs.items()])

@@ -2,16 +2,14 @@
 
 Columns: ``round``, ``client``, ``layer``, ``pos``, ``value`` and a ``weight`` per client. Each rule
 is one aggregation per (round, layer, pos), so it grows with clients x parameters and holds no model
-in the driver.
+in the driver. A group of it has a row per client.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
-
-from flowspark.operators.order_stats import exact_quantiles, value_counts
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 KEY = ["round", "layer", "pos"]
 
@@ -29,20 +27,21 @@ def fed_avg(params: DataFrame) -> DataFrame:
 
 def fed_median(params: DataFrame) -> DataFrame:
     """Unweighted median of each parameter."""
-    return exact_quantiles(params, "value", {"value": 0.5}, KEY)
+    return params.groupBy(*KEY).agg(F.median("value").alias("value"))
 
 
 def fed_trimmed(params: DataFrame, beta: float = 0.2) -> DataFrame:
     """Mean after cutting ``floor(beta * clients)`` values at each end."""
     if not 0 <= beta < 0.5:
         raise ValueError("beta must be at least 0 and below one half")
-    counts = value_counts(params, "value", KEY)
-    cut = F.floor(F.lit(beta) * F.col("total"))
-    kept = F.least(F.col("start") + F.col("n"), F.col("total") - cut) - F.greatest(F.col("start"), cut)
-    counts = counts.withColumn("_kept", F.greatest(kept, F.lit(0)))
-    return counts.groupBy(*KEY).agg(
-        (F.sum(F.col("value") * F.col("_kept")) / F.sum("_kept")).alias("value")
+    own = W.partitionBy(*KEY)
+    ranked = params.filter(F.col("value").isNotNull()).select(
+        *KEY, "value", F.row_number().over(own.orderBy("value")).alias("_rank"),
+        F.count(F.lit(1)).over(own).alias("_total"),
     )
+    cut = F.floor(F.lit(beta) * F.col("_total"))
+    kept = ranked.filter((F.col("_rank") > cut) & (F.col("_rank") <= F.col("_total") - cut))
+    return kept.groupBy(*KEY).agg(F.avg("value").alias("value"))
 
 
 def fed_adaptive(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowspark.operators.joins import key_join
-from flowspark.operators.order_stats import exact_quantiles, largest_group, small_limit
+from flowspark.operators.order_stats import exact_quantiles
 from flowspark.session import settle
 
 
@@ -55,25 +55,12 @@ def fit_standard(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFram
 
 
 def fit_robust(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
-    """Median and interquartile range (1 for a range of 0)."""
+    """Median and interquartile range (1 for a range of 0); no row where all values are missing."""
     by = list(by)
+    doubles = df.select(*by, *[_known(c).alias(c) for c in cols])
+    stacked = doubles.unpivot(by, cols, "feature", "_x")
     points = {"q25": 0.25, "center": 0.5, "q75": 0.75}
-    if largest_group(df, by) <= small_limit(by):
-        levels = F.array(*[F.lit(q) for q in points.values()])
-        stats = df.groupBy(*by).agg(
-            *[F.percentile(_known(c), levels).alias(c) for c in cols]
-        ).select(
-            *by,
-            *[
-                F.get(c, F.lit(i)).alias(f"{c}__{name}")
-                for c in cols for i, name in enumerate(points)
-            ],
-        )
-        rows = _long(stats, cols, by, list(points))
-    else:
-        doubles = df.select(*by, *[_known(c).alias(c) for c in cols])
-        stacked = doubles.unpivot(by, cols, "feature", "_x")
-        rows = exact_quantiles(stacked, "_x", points, [*by, "feature"])
+    rows = exact_quantiles(stacked, "_x", points, [*by, "feature"])
     spread = F.col("q75") - F.col("q25")
     return rows.select(
         *by, "feature", "center", F.when(spread == 0, 1.0).otherwise(spread).alias("spread")

@@ -187,9 +187,12 @@ def grid_search(
 ) -> DataFrame:
     """k-fold score of every setting: rows (candidate, fold, score, n).
 
-    Folds come from a hash of the key. Each shard is trained on its rows outside a fold and scored
-    on those inside it, for all settings in turn, so rows are not copied per setting; the score of
-    a fold is the mean over shards, weighted by rows.
+    Folds come from a hash of the key. Every (setting, fold, shard) is a group of its own: rows are
+    copied once per setting and fold so that the search spreads over the cluster, and ``shards``
+    should be the sample to tune on. A shard is trained on its rows outside the fold and scored on
+    those inside it; the score of a fold is the mean over shards, weighted by rows. A shard with no
+    rows on one side of the fold has nothing to score: it counts 0 rows, and a fold of only such
+    shards has score NULL and n 0.
     """
     width = len(features)
 
@@ -197,27 +200,27 @@ def grid_search(
         pdf = pdf.sort_values(["key", *features, "label"])
         client, shard = str(pdf["client"].iloc[0]), int(pdf["shard"].iloc[0])
         x, y = pdf[features].to_numpy(dtype=float), pdf["label"].to_numpy(dtype=float)
-        fold = pdf["fold"].to_numpy()
-        out = []
-        for c, cfg in enumerate(grid):
+        c, f = divmod(int(pdf["run"].iloc[0]), k)
+        inside, cfg = pdf["fold"].to_numpy() == f, grid[c]
+        if not inside.any() or inside.all():
+            out = [(c, f, None, 0)]
+        else:
             start = mlp.init(width, cfg.hidden, cfg.seed)
-            for f in range(k):
-                inside = fold == f
-                if not inside.any() or inside.all():
-                    continue
-                seed = shard_seed(cfg.seed, c, f, client, shard)
-                params, _ = fit_arrays(start, x[~inside], y[~inside], cfg, seed)
-                right = (mlp.logits(params, x[inside]) > 0) == (y[inside] > 0.5)
-                out.append((c, f, float(right.mean()), int(inside.sum())))
+            seed = shard_seed(cfg.seed, c, f, client, shard)
+            params, _ = fit_arrays(start, x[~inside], y[~inside], cfg, seed)
+            right = (mlp.logits(params, x[inside]) > 0) == (y[inside] > 0.5)
+            out = [(c, f, float(right.mean()), int(inside.sum()))]
         return pd.DataFrame(out, columns=["candidate", "fold", "score", "n"])
 
     digits = F.substring(F.md5(F.concat(F.lit("fold:"), F.col("key").cast("string"))), 1, 8)
     folds = shards.withColumn("fold", (F.conv(digits, 16, 10).cast("long") % k).cast("int"))
-    scores = folds.groupBy("client", "shard").applyInPandas(
+    runs = folds.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(grid) * k - 1))))
+    scores = runs.groupBy("client", "shard", "run").applyInPandas(
         run, "candidate int, fold int, score double, n long"
     )
     return scores.groupBy("candidate", "fold").agg(
-        (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("score"), F.sum("n").alias("n")
+        F.try_divide(F.sum(F.col("score") * F.col("n")), F.sum("n")).alias("score"),
+        F.sum("n").alias("n"),
     )
 
 

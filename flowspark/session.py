@@ -1,4 +1,4 @@
-"""Shared scratch space, settled tables and size defaults."""
+"""Shared scratch space, settled tables and bucket numbers."""
 
 from __future__ import annotations
 
@@ -9,11 +9,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Groups up to this many rows may be handled by one task (plain window, built-in percentile).
-SMALL_GROUP = 250_000
-#: The same for a table without groups, of which a task holds only one.
-SMALL_TABLE = 1_000_000
-
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
@@ -69,7 +64,6 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def default_buckets(spark: SparkSession) -> int:
-    """Number of order buckets: four per shuffle partition, so that hashing them to partitions
-    evens out, within 16 .. 16,384."""
-    width = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, min(16_384, 4 * width))
+    """Least number of order buckets: four per shuffle partition, so that hashing them to partitions
+    evens out, and 16 at least."""
+    return max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -83,30 +83,44 @@ def test_times_order_rows(spark):
         assert out.count() == 0
 
 
+@pytest.mark.parametrize("buckets", [None, 1, 13])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_quantiles_both_ways(spark, frame, by):
+def test_quantiles(spark, frame, by, buckets):
     df = spark.createDataFrame(frame)
     qs = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     for col in ("x", "t"):
-        small = os_.exact_quantiles(df, col, qs, by).toPandas()
-        large = os_.exact_quantiles(df, col, qs, by, small=0, buckets=13).toPandas()
-        if by:
-            small, large = small.sort_values("g"), large.sort_values("g")
-        for q, level in qs.items():
-            np.testing.assert_allclose(small[q].to_numpy(), large[q].to_numpy(), atol=1e-12)
-        if not by:
-            assert small["p95"][0] == pytest.approx(np.quantile(frame[col], 0.95))
+        got = os_.exact_quantiles(df, col, qs, by, buckets=buckets).toPandas()
+        parts = frame.groupby("g") if by else [(None, frame)]
+        assert len(got) == len(list(parts))
+        for g, part in parts:
+            row = got[got["g"] == g].iloc[0] if by else got.iloc[0]
+            for q, level in qs.items():
+                assert row[q] == pytest.approx(np.quantile(part[col], level), abs=1e-12)
+
+
+def test_infinite_quantiles(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(-inf,), (1.0,), (inf,), (inf,), (inf,), (None,)], "v double")
+    row = os_.exact_quantiles(df, "v", {"a": 0.0, "b": 0.25, "c": 0.6, "d": 1.0}).first()
+    assert tuple(row) == (-inf, 1.0, inf, inf)
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(os_, "_ROWS_PER_BUCKET", 50)
+    df = spark.range(5000).select("id", (F.col("id") % 5).cast("double").alias("t"))
+    sizes = os_.order_buckets(df, "t", "id").groupBy("_bucket").count().toPandas()["count"]
+    assert len(sizes) > 100 and sizes.max() <= 3 * 50
 
 
 def test_fixed_quantiles(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 4.0, 8.0)], "v double")
-    row = os_.exact_quantiles(df, "v", {"a": 0.5, "b": 0.75, "c": 0.95}, small=0, buckets=3).first()
+    row = os_.exact_quantiles(df, "v", {"a": 0.5, "b": 0.75, "c": 0.95}, buckets=3).first()
     assert tuple(row) == pytest.approx((3.0, 5.0, 7.4))
 
 
-@pytest.mark.parametrize("small", [0, 10**9])
-def test_value_counts(spark, frame, small):
-    got = os_.average_rank(spark.createDataFrame(frame), "t", ["g"], small=small).toPandas()
+@pytest.mark.parametrize("buckets", [None, 1, 6])
+def test_value_counts(spark, frame, buckets):
+    got = os_.average_rank(spark.createDataFrame(frame), "t", ["g"], buckets=buckets).toPandas()
     want = frame.assign(r=frame.groupby("g")["t"].rank(method="average"))
     want = want.groupby(["g", "t"])["r"].first().reset_index()
     merged = got.merge(want, on=["g", "t"])
