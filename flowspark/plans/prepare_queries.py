@@ -88,10 +88,11 @@ def client_union(spark, sf):
     rows = keyed_flows(spark, sf)
     path = scratch_path(spark, "clients")
     split = F.when(F.col("class") == "1-URGENT", "TEST").otherwise("TRAIN")
-    write_flows(rows.withColumn("split", split), path, by=["client_id", "split"])
+    rows = rows.withColumn("split", split)
+    write_flows(rows, path, by=["client_id", "split"])
     registry = [
         (client, split, f"{path}/client_id={client}/split={split}")
-        for client in ("O", "F", "P") for split in ("TRAIN", "TEST")
+        for client, split in rows.select("client_id", "split").distinct().collect()
     ]
     return read_clients(spark, registry)
 
@@ -215,13 +216,13 @@ def class_share(spark, sf):
     return prep.class_share(flows(spark, sf), "class").select("class", "n", r6("share"))
 
 
-DUP_COLS = ["l_quantity", "l_discount", "l_tax"]
+DUP_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query(
     "duplicate_count",
-    """WITH a AS (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity, l_discount, l_tax, l_returnflag),
-    b AS (SELECT count(*) AS c FROM lineitem GROUP BY l_quantity, l_discount, l_tax)
+    f"""WITH a AS (SELECT count(*) AS c FROM lineitem GROUP BY {', '.join(DUP_COLS)}, l_returnflag),
+    b AS (SELECT count(*) AS c FROM lineitem GROUP BY {', '.join(DUP_COLS)})
     SELECT 'with class' AS kind, CAST(sum(c) AS BIGINT) AS n_rows, count(*) AS n_distinct,
       CAST(sum(c - 1) AS BIGINT) AS n_duplicates FROM a
     UNION ALL
@@ -248,7 +249,7 @@ def dup_by_class(spark, sf):
 
 @query(
     "dedup_central",
-    "SELECT DISTINCT l_quantity, l_discount, l_tax, l_returnflag AS class FROM lineitem",
+    "SELECT DISTINCT l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag AS class FROM lineitem",
 )
 def dedup_central(spark, sf):
     rows = flows(spark, sf, client=True).select(*DUP_COLS, "class", "client_id")
