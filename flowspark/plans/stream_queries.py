@@ -62,7 +62,10 @@ def _flat_key():
     return [F.col(f"metadata.{path}").alias(name) for name, path in names.items()]
 
 
-@query("stream_requests", f"SELECT {REQUEST_KEY}, l_quantity AS f0, l_tax AS f3 FROM lineitem")
+_VECTOR = ", ".join(f"{c} AS f{i}" for i, c in enumerate(FLOW_FEATURES))
+
+
+@query("stream_requests", f"SELECT {REQUEST_KEY}, {_VECTOR} FROM lineitem")
 def stream_requests(spark, sf):
     path, out, ckpt = (scratch_path(spark, n) for n in ("requests", "out", "ckpt"))
     write_json(_requests(spark, sf).repartition(4, "metadata"), path)
@@ -72,7 +75,8 @@ def stream_requests(spark, sf):
     )
     rows = spark.read.schema(REQUEST).parquet(out)
     return rows.select(
-        *_flat_key(), F.get("packet", F.lit(0)).alias("f0"), F.get("packet", F.lit(3)).alias("f3")
+        *_flat_key(),
+        *[F.get("packet", F.lit(i)).alias(f"f{i}") for i in range(len(FLOW_FEATURES))],
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -101,6 +103,8 @@ WORKER_FILE = T.StructType(
 #: Per client: metric -> model -> round values (federated), metric -> model values (central).
 FEDERATED_METRICS = T.MapType(T.StringType(), T.ArrayType(T.ArrayType(T.DoubleType())))
 CENTRAL_METRICS = T.MapType(T.StringType(), T.ArrayType(T.DoubleType()))
+#: Per model: client -> metric -> values.
+LOCAL_METRICS = T.MapType(T.StringType(), T.MapType(T.StringType(), T.ArrayType(T.DoubleType())))
 #: Per client: epoch name -> training loss.
 EPOCH_LOSSES = T.MapType(T.StringType(), T.StructType([T.StructField("loss", T.DoubleType())]))
 #: Per model: name -> history of (round, loss) pairs.
@@ -146,13 +150,11 @@ def parse_messages(df: DataFrame, column: str, schema: T.StructType) -> DataFram
     """Parse the JSON text ``column``; adds ``message`` and ``valid``.
 
     JSON keys are matched to the schema without regard to case, as the writers and readers of
-    these messages differ in it.
+    these messages differ in it. Only keys are: a quote inside a value is escaped.
     """
     text = F.col(column)
-    for path in required_paths(schema):
-        leaf = path.rsplit(".", 1)[-1]
-        if leaf != leaf.lower():
-            text = F.replace(text, F.lit(f'"{leaf.lower()}"'), F.lit(f'"{leaf}"'))
+    for key in sorted({k for path in required_paths(schema) for k in path.split(".")}):
+        text = F.regexp_replace(text, rf'(?i)(?<!\\)"{re.escape(key)}"(?=\s*:)', f'"{key}"')
     parsed = df.withColumn("message", F.from_json(text, schema, {"mode": "PERMISSIVE"}))
     return parsed.withColumn("valid", is_complete("message", schema))
 

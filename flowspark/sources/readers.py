@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from flowspark.functions import to_float, to_int
 from flowspark.operators.prep import union_clients
 from flowspark.schemas import (
-    ALERT, CENTRAL_METRICS, EPOCH_LOSSES, FEDERATED_METRICS, IDENTITY, REQUEST, ROUND_HISTORY,
+    ALERT, CENTRAL_METRICS, EPOCH_LOSSES, FEDERATED_METRICS, IDENTITY, LOCAL_METRICS, REQUEST,
+    ROUND_HISTORY,
 )
 
 
@@ -57,11 +58,23 @@ def read_metric_log(spark: SparkSession, path: str, setting: str = "federated")
     """Metric logs as rows (file, client, metric, model, round, value).
 
     ``federated`` logs hold a list of rounds per model; ``central`` logs one value per model, which
-    becomes round 1. Entries of another shape (such as the weighted history) are left out.
+    becomes round 1. ``local`` logs are held by model, client and metric; their ``model`` is a name.
+    The weighted history (:func:`read_round_losses`) is left out; any other shape is an error.
     """
+    shapes = {"federated": FEDERATED_METRICS, "central": CENTRAL_METRICS, "local": LOCAL_METRICS}
+    if setting not in shapes:
+        raise ValueError(f"unknown setting {setting!r}")
+    docs = _documents(spark, path).filter("name <> 'weighted_metrics'")
+    metrics = F.from_json("body", shapes[setting], {"mode": "FAILFAST"})
+    if setting == "local":
+        rows = docs.select("file", F.col("name").alias("model"), F.explode(metrics).alias("client", "_m"))
+        rows = rows.select("file", "client", "model", F.explode("_m").alias("metric", "_v"))
+        rows = rows.select("file", "client", "metric", "model", F.posexplode("_v").alias("_i", "value"))
+        return rows.select(
+            "file", "client", "metric", "model", (F.col("_i") + 1).alias("round"), "value"
+        )
     nested = setting == "federated"
-    docs = _documents(spark, path).withColumnRenamed("name", "client")
-    metrics = F.from_json("body", FEDERATED_METRICS if nested else CENTRAL_METRICS)
+    docs = docs.withColumnRenamed("name", "client")
     rows = docs.select("file", "client", F.explode(metrics).alias("metric", "models"))
     rows = rows.select("file", "client", "metric", F.posexplode("models").alias("model", "rounds"))
     if not nested:

@@ -55,3 +55,42 @@ def test_rows_that_cannot_be_scored(spark, tasks):
     assert abs(out["a"]["final_loss"] - loss) < 1e-12
     assert (out[None]["tn"], out[None]["unscored"]) == (1, 1) and abs(out[None]["final_loss"] - loss) < 1e-12
     assert out["c"]["unscored"] == 1 and out["c"]["final_loss"] is None
+
+
+def test_keys_in_any_case_and_values_untouched(spark):
+    from pyspark.sql import types as T
+
+    from flowspark.schemas import parse_messages
+
+    schema = T.StructType([
+        T.StructField("metadata", T.StructType([T.StructField("IPV4_SRC_ADDR", T.StringType())])),
+        T.StructField("note", T.StringType()),
+    ])
+    texts = [
+        '{"metadata": {"Ipv4_Src_Addr": "a"}, "NOTE": "n"}',
+        r'{"Metadata" : {"ipv4_src_addr" : "a"}, "note": "\"ipv4_src_addr\": \"Note\""}',
+        '{"metadata": {"ipv4": "a"}, "note": "n"}', None,
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string")
+    rows = parse_messages(df, "value", schema).orderBy("i").collect()
+    assert [bool(r["valid"]) for r in rows] == [True, True, False, False]
+    assert rows[0]["message"]["note"] == "n"
+    assert rows[1]["message"]["note"] == '"ipv4_src_addr": "Note"'
+
+
+def test_local_logs_and_unknown_shapes(spark, tmp_path):
+    import pytest
+
+    from flowspark.sources import read_metric_log
+
+    path = tmp_path / "local.json"
+    path.write_text('{"m1": {"A": {"acc": [0.5, 0.75]}, "B": {"acc": [1.0]}}, "m2": {"A": {"loss": [2.0]}}}')
+    rows = read_metric_log(spark, str(path), "local").drop("file").collect()
+    assert sorted(tuple(r) for r in rows) == [
+        ("A", "acc", "m1", 1, 0.5), ("A", "acc", "m1", 2, 0.75), ("A", "loss", "m2", 1, 2.0),
+        ("B", "acc", "m1", 1, 1.0),
+    ]
+    with pytest.raises(ValueError):
+        read_metric_log(spark, str(path), "other")
+    with pytest.raises(Exception):
+        read_metric_log(spark, str(path)).collect()
