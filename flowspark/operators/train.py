@@ -1,8 +1,10 @@
-"""Training on each client's rows, with the rows of a client spread over bounded shards.
+"""Training on each client's rows, which a stated number of tasks share.
 
-A shard is what one task trains on. A client of up to ``rows_per_shard`` rows is one shard, which is
-ordinary mini-batch training. A larger client is several shards, each trained from the same start
-and averaged by rows, so no client has to fit in one task.
+``TrainConfig.shards`` says how many tasks hold the rows of a client; it never follows from the data.
+With full batches (``batch_size=None``) the gradients of the shards are summed before every step, so
+the result is the same for any number. Mini-batches run inside a shard, and the shards' parameters
+and moments are averaged by rows after every epoch; one shard is ordinary mini-batch training.
+Choose as many shards as it takes for a share of the largest client to fit in a task.
 """
 
 from __future__ import annotations
@@ -16,10 +18,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowspark.operators import mlp
 from flowspark.operators.joins import key_join
+from flowspark.operators.score import MAX_PARAMETERS
 from flowspark.session import settle
 
-ROWS_PER_SHARD = 200_000
-
 
 @dataclass(frozen=True)
 class TrainConfig:
@@ -31,7 +32,8 @@ class TrainConfig:
     momentum: float = 0.9
     weight_decay: float = 0.1
     optimizer: str = "adamw"
-    batch_size: int = 512
+    batch_size: int | None = 512  # None: all rows of a client in every step
+    shards: int = 1  # tasks that share the rows of a client
     seed: int = 69
     mu: float | None = None  # proximal term, pulls towards the global model
     delta: float | None = None  # smoothing of the personal model, mixes with the global model
@@ -41,34 +43,56 @@ class TrainConfig:
         return replace(self, **changes)
 
 
+def begin(start: list[np.ndarray], own: list[np.ndarray] | None, cfg: TrainConfig) -> list[np.ndarray]:
+    """Where a client starts: the global model, or its mix with the client's own (Fed+)."""
+    if cfg.delta is None or own is None:
+        return [t.copy() for t in start]
+    return [(1 - cfg.lam) * w + cfg.lam * g for w, g in zip(own, start)]
+
+
+def advance(
+    opt: mlp.Optimizer, params: list[np.ndarray], grads: list[np.ndarray], start: list[np.ndarray],
+    own: list[np.ndarray] | None, cfg: TrainConfig,
+) -> list[np.ndarray]:
+    """One step; every rule works element by element, so it may be given any part of the tensors."""
+    if cfg.mu is not None:
+        grads = [d + cfg.mu * (p - g) for d, p, g in zip(grads, params, start)]
+    params = opt.step(params, grads)
+    if cfg.delta is None:
+        return params
+    sigma = (1 - 0.9) / (cfg.lr * 0.9)
+    k = 1 / (1 + cfg.lr * sigma)
+    theta = [(w - g) / (1 + cfg.delta) for w, g in zip(own or start, start)]
+    return [k * p + (1 - k) * (g + t) for p, g, t in zip(params, start, theta)]
+
+
+def pull(params: list[np.ndarray], start: list[np.ndarray], cfg: TrainConfig) -> float:
+    """The proximal part of the loss."""
+    return 0.0 if cfg.mu is None else (
+        cfg.mu / 2 * float(sum(((p - g) ** 2).sum() for p, g in zip(params, start)))
+    )
+
+
 def fit_arrays(
     start: list[np.ndarray], x: np.ndarray, y: np.ndarray, cfg: TrainConfig, seed: int,
-    local: list[np.ndarray] | None = None,
+    local: list[np.ndarray] | None = None, params: list[np.ndarray] | None = None,
+    opt: mlp.Optimizer | None = None,
 ) -> tuple[list[np.ndarray], list[float]]:
-    """Mini-batch training from ``start``; returns the tensors and the mean loss of each epoch."""
+    """Training from ``start``; returns the tensors and the mean loss of each epoch.
+
+    ``params`` and ``opt`` resume a training that has begun.
+    """
     rng = np.random.default_rng(seed)
-    opt = mlp.Optimizer(cfg.optimizer, cfg.lr, cfg.momentum, cfg.weight_decay)
-    params = [t.copy() for t in start]
-    if cfg.delta is not None:
-        own = local if local is not None else start
-        theta = [(w - g) / (1 + cfg.delta) for w, g in zip(own, start)]
-        sigma = (1 - 0.9) / (cfg.lr * 0.9)
-        k = 1 / (1 + cfg.lr * sigma)
-        params = [(1 - cfg.lam) * w + cfg.lam * g for w, g in zip(own, start)]
-    losses = []
+    opt = opt or mlp.Optimizer(cfg.optimizer, cfg.lr, cfg.momentum, cfg.weight_decay)
+    params = begin(start, local, cfg) if params is None else params
+    size, losses = cfg.batch_size or max(len(y), 1), []
     for _ in range(cfg.epochs):
         order, total = rng.permutation(len(y)), 0.0
-        for i in range(0, len(y), cfg.batch_size):
-            pick = order[i : i + cfg.batch_size]
+        for i in range(0, len(y), size):
+            pick = order[i : i + size]
             loss, grads, _ = mlp.gradients(params, x[pick], y[pick])
-            if cfg.mu is not None:
-                gaps = [p - g for p, g in zip(params, start)]
-                loss += cfg.mu / 2 * float(sum((d**2).sum() for d in gaps))
-                grads = [g + cfg.mu * d for g, d in zip(grads, gaps)]
-            params = opt.step(params, grads)
-            if cfg.delta is not None:
-                params = [k * p + (1 - k) * (g + t) for p, g, t in zip(params, start, theta)]
-            total += loss * len(pick)
+            total += (loss + pull(params, start, cfg)) * len(pick)
+            params = advance(opt, params, grads, start, local, cfg)
         losses.append(total / max(len(y), 1))
     return params, losses
 
@@ -78,40 +102,45 @@ def shard_seed(*parts) -> int:
 
 
 def to_shards(
-    df: DataFrame, features: list[str], label: str, client: str, key: str,
-    rows_per_shard: int = ROWS_PER_SHARD,
+    df: DataFrame, features: list[str], label: str, client: str, key: str, shards: int = 1
 ) -> DataFrame:
-    """Rows (client, shard, key, features, label) placed by shard.
+    """Rows (client, shard, key, features, label), the rows of a client dealt to ``shards`` by key.
 
     The shuffle is done here once; repeated training rounds on a persisted result need none.
     """
-    sizes = df.groupBy(client).agg(F.count(F.lit(1)).alias("_n"))
-    counts = settle(
-        sizes.select(client, F.ceil(F.col("_n") / rows_per_shard).cast("int").alias("shards")),
-        "shard_counts",
-    )
-    slot = F.pmod(F.xxhash64(F.lit("shard"), key), F.col("shards")).cast("int")
-    rows = key_join(df, counts, [client]).select(
-        F.col(client).cast("string").alias("client"), slot.alias("shard"), F.col(key).alias("key"),
-        *[F.col(f).cast("double").alias(f) for f in features], F.col(label).cast("double").alias("label"),
+    if shards < 1:
+        raise ValueError("at least one shard is needed")
+    rows = df.select(
+        F.col(client).cast("string").alias("client"),
+        F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards)).cast("int").alias("shard"),
+        F.col(key).alias("key"), *[F.col(f).cast("double").alias(f) for f in features],
+        F.col(label).cast("double").alias("label"),
     )
     return rows.repartition("client", "shard")
 
 
 _OUT = "client string, shard int, n long, layer int, values array<double>, losses array<double>"
+_STATE = (
+    "client string, layer int, n long, step int, values array<double>, m array<double>,"
+    " v array<double>, own array<double>, losses array<double>"
+)
 
 
-def _train_one(pdf: pd.DataFrame, features, start, cfg: TrainConfig, round_: int, local=None):
-    client, shard = str(pdf["client"].iloc[0]), int(pdf["shard"].iloc[0])
+def _arrays(pdf: pd.DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels in an order that does not depend on how rows arrived."""
     pdf = pdf.sort_values(["key", *features, "label"])
-    seed = shard_seed(cfg.seed, round_, client, shard)
-    x, y = pdf[features].to_numpy(dtype=float), pdf["label"].to_numpy(dtype=float)
-    params, losses = fit_arrays(start, x, y, cfg, seed, local)
-    return pd.DataFrame(
-        {
-            "client": client, "shard": shard, "n": len(pdf), "layer": range(len(params)),
-            "values": [t.ravel() for t in params], "losses": [losses] * len(params),
-        }
+    return pdf[features].to_numpy(dtype=float), pdf["label"].to_numpy(dtype=float)
+
+
+def _name(pdf: pd.DataFrame):
+    client = pdf["client"].iloc[0]
+    return None if pd.isna(client) else client
+
+
+def _own_tensors(local: DataFrame) -> DataFrame:
+    """Personal models (client, layer, pos, value) as one array per tensor."""
+    return local.groupBy("client", "layer").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "value")))["value"].alias("own")
     )
 
 
@@ -119,30 +148,38 @@ def client_update(
     shards: DataFrame, features: list[str], start: list[np.ndarray], cfg: TrainConfig,
     round_: int = 1, local: DataFrame | None = None,
 ) -> DataFrame:
-    """Train every shard from ``start``; rows (client, shard, n, layer, values, losses).
+    """Train every client from ``start``; rows (client, shard, n, layer, values, losses).
 
-    ``local`` (client, layer, pos, value) holds the personal models of the Fed+ update; it is
-    matched to the shards by a cogroup, so the models of many clients never meet in one place.
+    ``shards`` comes from :func:`to_shards` with ``cfg.shards``. ``local`` (client, layer, pos, value)
+    holds the personal models of the Fed+ update; it is matched to the rows by a cogroup, so the
+    models of many clients never meet in one place. With one shard all epochs run in one stage;
+    with several, every epoch is one, and the result has one row per client and tensor (shard 0).
     """
+    if sum(t.size for t in start) > MAX_PARAMETERS:
+        raise ValueError("the model is too large to ship to tasks")
+    if cfg.shards > 1:
+        return _shared_update(shards, features, start, cfg, round_, local)
     shared = shards.sparkSession.sparkContext.broadcast(start)
-    if local is None:
-        return shards.groupBy("client", "shard").applyInPandas(
-            lambda pdf: _train_one(pdf, features, shared.value, cfg, round_), _OUT
+
+    def fit(pdf: pd.DataFrame, own=None) -> pd.DataFrame:
+        client, shard = _name(pdf), int(pdf["shard"].iloc[0])
+        seed = shard_seed(cfg.seed, round_, client, shard)
+        params, losses = fit_arrays(shared.value, *_arrays(pdf, features), cfg, seed, own)
+        return pd.DataFrame(
+            {
+                "client": client, "shard": shard, "n": len(pdf), "layer": range(len(params)),
+                "values": [t.ravel() for t in params], "losses": [losses] * len(params),
+            }
         )
-    tensors = local.groupBy("client", "layer").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "value")))["value"].alias("values")
-    )
-    slots = settle(shards.select("client", "shard").distinct(), "slots")
-    placed = slots.join(tensors, "client")
+
+    if local is None:
+        return shards.groupBy("client", "shard").applyInPandas(lambda pdf: fit(pdf), _OUT)
+    placed = _own_tensors(local).withColumn("shard", F.lit(0))
 
     def run(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
             return pd.DataFrame(columns=["client", "shard", "n", "layer", "values", "losses"])
-        mine = None
-        if len(own):
-            values = own.sort_values("layer")["values"]
-            mine = [np.asarray(v).reshape(t.shape) for v, t in zip(values, shared.value)]
-        return _train_one(pdf, features, shared.value, cfg, round_, mine)
+        return fit(pdf, _tensors(own, "own", shared.value) if len(own) else None)
 
     return (
         shards.groupBy("client", "shard").cogroup(placed.groupBy("client", "shard"))
@@ -150,8 +187,103 @@ def client_update(
     )
 
 
+def _tensors(rows: pd.DataFrame, col: str, like: list[np.ndarray]) -> list[np.ndarray]:
+    found = rows.sort_values("layer")[col]
+    return [np.array(v, dtype=float).reshape(t.shape) for v, t in zip(found, like)]
+
+
+def _resumed(cfg: TrainConfig, step: int, m: list[np.ndarray], v: list[np.ndarray]) -> mlp.Optimizer:
+    opt = mlp.Optimizer(cfg.optimizer, cfg.lr, cfg.momentum, cfg.weight_decay)
+    opt.step_no, opt.m, opt.v = step, m, v
+    return opt
+
+
+def _shared_update(shards, features, start, cfg: TrainConfig, round_: int, local) -> DataFrame:
+    """Epoch by epoch: every shard works from its client's state, and a task per client and tensor
+    combines what the shards found (one tensor per shard of the client, bounded by ``cfg.shards``)."""
+    spark = shards.sparkSession
+    shared, whole = spark.sparkContext.broadcast(start), cfg.batch_size is None
+    slots = settle(shards.select("client", "shard").distinct(), "slots")
+    tensors = slots.select("client").distinct().withColumn(
+        "layer", F.explode(F.sequence(F.lit(0), F.lit(len(start) - 1)))
+    )
+    if local is None:
+        tensors = tensors.withColumn("own", F.lit(None).cast("array<double>"))
+    else:
+        tensors = key_join(tensors, _own_tensors(local), ["client", "layer"], "left")
+
+    def first(batches):
+        for pdf in batches:
+            out = []
+            for client, layer, own in zip(pdf["client"], pdf["layer"], pdf["own"]):
+                g = shared.value[layer].ravel()
+                mine = g if own is None else np.asarray(own, dtype=float)
+                zero = np.zeros_like(g)
+                out.append((client, layer, 0, 0, begin([g], [mine], cfg)[0], zero, zero, mine, []))
+            yield pd.DataFrame(out, columns=_names(_STATE))
+
+    def epoch(pdf: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or old.empty:
+            return pd.DataFrame(columns=_names(_STATE))
+        client, shard, step = _name(pdf), int(pdf["shard"].iloc[0]), int(old["step"].iloc[0])
+        params, m, v, own = (_tensors(old, c, shared.value) for c in ("values", "m", "v", "own"))
+        x, y = _arrays(pdf, features)
+        if whole:
+            loss, found, _ = mlp.gradients(params, x, y)
+            loss += pull(params, shared.value, cfg)
+        else:
+            opt = _resumed(cfg, step, m, v)
+            seed = shard_seed(cfg.seed, round_, client, shard, len(old["losses"].iloc[0]))
+            found, (loss,) = fit_arrays(
+                shared.value, x, y, cfg.with_(epochs=1), seed, own, params, opt
+            )
+            step, m, v = opt.step_no, opt.m, opt.v or v
+        return pd.DataFrame(
+            {
+                "client": client, "layer": range(len(found)), "n": len(y), "step": step,
+                "values": [t.ravel() for t in found], "m": [t.ravel() for t in m],
+                "v": [t.ravel() for t in v], "own": [t.ravel() for t in own],
+                "losses": [[loss]] * len(found),
+            }
+        )
+
+    def combine(parts: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        if parts.empty:
+            return old
+        n = int(parts["n"].sum())
+        order = np.argsort([tuple(v) for v in parts["losses"]], axis=0).ravel()  # sums in a fixed order
+
+        def mean(col: str) -> np.ndarray:
+            return sum(np.asarray(parts[col].iloc[i]) * (parts["n"].iloc[i] / n) for i in order)
+
+        now = old.iloc[0]
+        values, m, v, step = mean("values"), mean("m"), mean("v"), int(parts["step"].max())
+        if whole:
+            opt = _resumed(cfg, step, [m], [v])
+            g = shared.value[int(now["layer"])].ravel()
+            own = [np.asarray(now["own"], dtype=float)]
+            values = advance(opt, [np.asarray(now["values"], dtype=float)], [values], [g], own, cfg)[0]
+            step, m, v = opt.step_no, opt.m[0], opt.v[0]
+        losses = [*now["losses"], float(mean("losses")[0])]
+        row = (_name(parts), int(now["layer"]), n, step, values, m, v, now["own"], losses)
+        return pd.DataFrame([row], columns=_names(_STATE))
+
+    state = settle(tensors.select("client", "layer", "own").mapInPandas(first, _STATE), "begun")
+    for _ in range(cfg.epochs):
+        placed = key_join(slots, state, ["client"])
+        found = shards.groupBy("client", "shard").cogroup(placed.groupBy("client", "shard"))
+        found = found.applyInPandas(epoch, _STATE)
+        both = found.groupBy("client", "layer").cogroup(state.groupBy("client", "layer"))
+        state = settle(both.applyInPandas(combine, _STATE), "epoch")
+    return state.select("client", F.lit(0).alias("shard"), "n", "layer", "values", "losses")
+
+
+def _names(ddl: str) -> list[str]:
+    return [field.split()[0] for field in ddl.split(", ")]
+
+
 def merge_shards(
-    trained: DataFrame, round_: int = 1, weight_unit: str = "rows", batch_size: int = 512
+    trained: DataFrame, round_: int = 1, weight_unit: str = "rows", batch_size: int | None = 512
 ) -> DataFrame:
     """Client models as parameter rows: the mean of the shards of a client, weighted by rows.
 
@@ -162,7 +294,7 @@ def merge_shards(
         (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"), F.sum("n").alias("n")
     )
     if weight_unit == "batches":
-        weight = F.ceil(F.col("n") / batch_size).cast("long")
+        weight = F.ceil(F.col("n") / batch_size).cast("long") if batch_size else F.lit(1).cast("long")
     elif weight_unit == "rows":
         weight = F.col("n")
     else:

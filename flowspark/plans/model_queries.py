@@ -152,17 +152,18 @@ def eval_grid(spark, sf):
 # --- training -----------------------------------------------------------------------------------
 
 
-def _shards(spark, sf, rows_per_shard: int = train.ROWS_PER_SHARD):
+def _shards(spark, sf, shards: int = 1):
     data, _ = training_flows(spark, sf)
     scaler = scaling.fit_minmax(data, FLOW_FEATURES, ["client_id"])
     scaled = scaling.apply_minmax(data, scaler, FLOW_FEATURES, ["client_id"])
-    return train.to_shards(scaled, FLOW_FEATURES, "label", "client_id", "key", rows_per_shard)
+    return train.to_shards(scaled, FLOW_FEATURES, "label", "client_id", "key", shards)
 
 
 @query("local_training")
 def local_training(spark, sf):
     start = mlp.init(len(FLOW_FEATURES), SMALL.hidden, SMALL.seed)
-    trained = train.client_update(_shards(spark, sf, 50_000), FLOW_FEATURES, start, SMALL)
+    cfg = SMALL.with_(shards=4)
+    trained = train.client_update(_shards(spark, sf, cfg.shards), FLOW_FEATURES, start, cfg)
     return train.merge_shards(trained)
 
 
@@ -187,9 +188,9 @@ def gradient_step(spark, sf):
     """One full-batch step of a logistic regression from zero, per client."""
     rows = flows(spark, sf, client=True).withColumn("key", F.xxhash64("*"))
     scaled = scaling.apply_minmax(rows, scaling.fit_minmax(rows, FLOW_FEATURES), FLOW_FEATURES)
-    shards = train.to_shards(scaled, FLOW_FEATURES, "label", "client_id", "key", 4_000)
+    shards = train.to_shards(scaled, FLOW_FEATURES, "label", "client_id", "key", 3)
     cfg = train.TrainConfig(
-        hidden=(), epochs=1, lr=0.5, momentum=0.0, weight_decay=0.0, optimizer="sgd", batch_size=10**9
+        hidden=(), epochs=1, lr=0.5, momentum=0.0, weight_decay=0.0, optimizer="sgd", batch_size=None, shards=3
     )
     start = [np.zeros((len(FLOW_FEATURES), 1)), np.zeros(1)]
     merged = train.merge_shards(train.client_update(shards, FLOW_FEATURES, start, cfg))

@@ -33,14 +33,14 @@ def federated_run(
     rounds: int, strategy: fed.Strategy, cfg: TrainConfig, models: int = 1,
     fit_clients: int | None = None, eval_clients: int | None = None,
     config_fn: Callable[[int], dict] | None = None, on_round: Hook | None = None,
-    weight_unit: str = "rows", rows_per_shard: int = train.ROWS_PER_SHARD, out: str | None = None,
+    weight_unit: str = "rows", out: str | None = None,
 ) -> DataFrame:
     """Federated training; rows (model, round, client, metric, value).
 
     Rows are scaled per client by the fit on its own training rows and placed in shards once. A
     round trains all taking-part clients, combines them and evaluates the new global model; its
     parameters and metrics are written to shared scratch, so no round depends on an earlier plan.
-    ``config_fn`` may change settings per round; ``on_round`` sees the metrics of each round.
+    ``config_fn`` may change settings per round, save the number of shards; ``on_round`` sees the metrics of each round.
 
     ``out`` (by default a scratch folder) receives ``params`` (layer, pos, value), ``metrics`` and
     ``history`` (loss and accuracy over clients, weighted by rows), by model and round.
@@ -53,7 +53,7 @@ def federated_run(
     scaled_test = apply_minmax(test, scaler, features, [client]).select(client, *features, label)
     scaled_test = scaled_test.persist(StorageLevel.MEMORY_AND_DISK)
     scaled = apply_minmax(data, scaler, features, [client])
-    shards = train.to_shards(scaled, features, label, client, key, rows_per_shard)
+    shards = train.to_shards(scaled, features, label, client, key, cfg.shards)
     shards = shards.persist(StorageLevel.MEMORY_AND_DISK)
     clients = settle(shards.select("client").distinct(), "clients")
     shapes = mlp.shapes(len(features), cfg.hidden)
@@ -126,8 +126,7 @@ def _train_and_save(shards, features, start, cfg, run: int, base: str) -> DataFr
 
 def local_run(
     data: DataFrame, test: DataFrame, features: list[str], label: str, client: str, key: str,
-    cfg: TrainConfig, runs: int = 1, rows_per_shard: int = train.ROWS_PER_SHARD,
-    out: str | None = None,
+    cfg: TrainConfig, runs: int = 1, out: str | None = None,
 ) -> DataFrame:
     """One model per client, each evaluated on all clients with its own scaler.
 
@@ -137,7 +136,7 @@ def local_run(
     spark = data.sparkSession
     scaler = settle(fit_minmax(data, features, [client]), "scalers")
     scaled = apply_minmax(data, scaler, features, [client])
-    shards = train.to_shards(scaled, features, label, client, key, rows_per_shard)
+    shards = train.to_shards(scaled, features, label, client, key, cfg.shards)
     shards = shards.persist(StorageLevel.MEMORY_AND_DISK)
     shapes = mlp.shapes(len(features), cfg.hidden)
     size = sum(math.prod(shape) for shape in shapes)
@@ -166,8 +165,7 @@ def local_run(
 
 def central_run(
     data: DataFrame, test: DataFrame, features: list[str], label: str, client: str, key: str,
-    cfg: TrainConfig, runs: int = 1, rows_per_shard: int = train.ROWS_PER_SHARD,
-    out: str | None = None,
+    cfg: TrainConfig, runs: int = 1, out: str | None = None,
 ) -> DataFrame:
     """One model on the distinct rows of all clients, evaluated per client with its scaler.
 
@@ -178,7 +176,7 @@ def central_run(
     pooled = data.groupBy(*features, label).agg(F.min(key).alias(key))
     scaler = settle(fit_minmax(pooled, features), "scaler")
     scaled = apply_minmax(pooled, scaler, features).withColumn("_central", F.lit("central"))
-    shards = train.to_shards(scaled, features, label, "_central", key, rows_per_shard)
+    shards = train.to_shards(scaled, features, label, "_central", key, cfg.shards)
     shards = shards.persist(StorageLevel.MEMORY_AND_DISK)
     scalers = {"central": scaler_arrays(scaler, features)[""]}
     shapes = mlp.shapes(len(features), cfg.hidden)

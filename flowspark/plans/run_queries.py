@@ -7,14 +7,16 @@ combination of the clients and the evaluation are sums over the whole tables.
 from __future__ import annotations
 
 from flowspark.operators import mlp, params as fed, train
+from flowspark.operators.scaling import apply_minmax, fit_minmax
 from flowspark.plans import rounds
 from flowspark.plans.model_queries import _tuning_shards
 from flowspark.plans.prepare_queries import r6
 from flowspark.plans.registry import query
 from flowspark.plans.standins import FLOW_FEATURES, TRAINING, training_flows
+from flowspark.session import scratch_path
 
 LINEAR = train.TrainConfig(
-    hidden=(), epochs=2, lr=0.5, momentum=0.0, weight_decay=0.0, optimizer="sgd", batch_size=10**9
+    hidden=(), epochs=2, lr=0.5, momentum=0.0, weight_decay=0.0, optimizer="sgd", batch_size=None
 )
 _N = len(FLOW_FEATURES)
 _W = range(_N + 1)
@@ -111,11 +113,11 @@ def federated_sql(
     return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(evals)
 
 
-def _federated(spark, sf, name: str, n_rounds: int, epochs: int, **settings):
+def _federated(spark, sf, name: str, n_rounds: int, epochs: int, shards: int = 1, **settings):
     data, test = training_flows(spark, sf)
     log = rounds.federated_run(
         data, test, FLOW_FEATURES, "label", "client_id", "key", n_rounds,
-        fed.strategy(name, **settings), LINEAR.with_(epochs=epochs),
+        fed.strategy(name, **settings), LINEAR.with_(epochs=epochs, shards=shards),
     )
     return log.select("model", "round", "client", "metric", r6("value"))
 
@@ -125,6 +127,12 @@ def fedavg_linear(spark, sf):
     return _federated(spark, sf, "fedavg", 2, 2)
 
 
+@query("fedavg_linear_shards", federated_sql(2, 2))
+def fedavg_linear_shards(spark, sf):
+    """As ``fedavg_linear``, the rows of each client shared by seven tasks."""
+    return _federated(spark, sf, "fedavg", 2, 2, shards=7)
+
+
 @query("fedprox_linear", federated_sql(1, 3, mu=0.8))
 def fedprox_linear(spark, sf):
     return _federated(spark, sf, "fedprox", 1, 3, mu=0.8)
@@ -135,6 +143,11 @@ def fedplus_linear(spark, sf):
     return _federated(spark, sf, "fedavgplus", 2, 1)
 
 
+@query("fedplus_linear_shards", federated_sql(2, 1, delta=0.1))
+def fedplus_linear_shards(spark, sf):
+    return _federated(spark, sf, "fedavgplus", 2, 1, shards=7)
+
+
 @query(
     "fedadam_linear",
     federated_sql(1, 1, adam={"eta": 0.1, "tau": 1e-3, "beta_1": 0.9, "beta_2": 0.99}),
@@ -143,53 +156,184 @@ def fedadam_linear(spark, sf):
     return _federated(spark, sf, "fedadam", 1, 1, eta_l=LINEAR.lr, tau=1e-3)
 
 
-def local_sql(epochs: int) -> str:
-    lr, ctes, now = _number(LINEAR.lr), [PER_CLIENT], "w0"
-    ctes.append(f"w0 AS (SELECT client_id, {_each('w{i}')} FROM fit CROSS JOIN start)")
-    for e in range(epochs):
-        ctes.append(_gradient(f"g{e + 1}", now))
-        ctes.append(
-            f"""w{e + 1} AS (SELECT p.client_id, {_each(f'p.w{{i}} - {lr} * d.g{{i}}')}
-            FROM {now} p JOIN g{e + 1} d ON p.client_id = d.client_id)"""
-        )
-        now = f"w{e + 1}"
+#: Step rules by optimizer: the new moments, then the new weight, from weight w, moments m and v and
+#: gradient g of step t.
+_RULES = {
+    "sgd": ("{momentum} * m{i} + g{i} + {decay} * w{i}", "0e0", "w{i} - {lr} * m{i}"),
+    "adamw": (
+        "0.9e0 * m{i} + 0.1e0 * g{i}", "0.999e0 * v{i} + 0.001e0 * g{i} * g{i}",
+        "w{i} * (1 - {lr} * {decay}) - {lr} * (m{i} / (1 - 0.9e0 ** {t})) / (sqrt(v{i} / (1 - 0.999e0 ** {t})) + 1e-8)",
+    ),
+}
+
+
+def _steps(cfg: train.TrainConfig, begin: str, gradient) -> tuple[list[str], str]:
+    """CTEs of full-batch steps from the weights of CTE ``begin``; the name of the last one."""
+    m, v, w = _RULES[cfg.optimizer]
+    zeros = ", ".join(f"0e0 AS m{i}, 0e0 AS v{i}" for i in _W)
+    ctes, now = [f"s0 AS (SELECT *, {zeros} FROM {begin})"], "s0"
+    for t in range(1, cfg.epochs + 1):
+        fixed = {"lr": _number(cfg.lr), "decay": _number(cfg.weight_decay),
+                 "momentum": _number(cfg.momentum), "t": t}
+        moments = ", ".join(f"{m.format(i=i, **fixed)} AS m{i}, {v.format(i=i, **fixed)} AS v{i}" for i in _W)
+        weights = ", ".join(f"{w.format(i=i, **fixed)} AS w{i}" for i in _W)
+        ctes += [
+            gradient(f"g{t}", now),
+            f"""a{t} AS (SELECT client_id, {', '.join(f'w{i}' for i in _W)}, {moments}
+              FROM {now} JOIN g{t} USING (client_id))""",
+            f"s{t} AS (SELECT client_id, {weights}, {', '.join(f'm{i}, v{i}' for i in _W)} FROM a{t})",
+        ]
+        now = f"s{t}"
+    return ctes, now
+
+
+def local_sql(cfg: train.TrainConfig) -> str:
+    steps, now = _steps(
+        cfg, f"(SELECT client_id, {_each('w{i}')} FROM fit CROSS JOIN start)", _gradient
+    )
     z = f"(w.w{_N} + " + " + ".join(
         f"w.w{i} * (t.{c} - lo{i}) / (hi{i} - lo{i})" for i, c in enumerate(FLOW_FEATURES)
     ) + ")"
     scored = f"""SELECT 1 AS run, w.client_id AS model, t.client_id AS client, t.label, {z} AS z
       FROM training t CROSS JOIN {now} w JOIN fit ON fit.client_id = w.client_id WHERE t.held"""
-    return f"WITH {', '.join(ctes)} {_metrics('run, model, client', scored)}"
+    return f"WITH {', '.join([PER_CLIENT, *steps])} {_metrics('run, model, client', scored)}"
 
 
-@query("local_linear", local_sql(2))
-def local_linear(spark, sf):
+def _local(spark, sf, cfg: train.TrainConfig):
     data, test = training_flows(spark, sf)
-    log = rounds.local_run(data, test, FLOW_FEATURES, "label", "client_id", "key", LINEAR)
+    log = rounds.local_run(data, test, FLOW_FEATURES, "label", "client_id", "key", cfg)
     return log.select("run", "model", "client", "metric", r6("value"))
 
 
-_CENTRAL_ERROR = f"(1 / (1 + exp(-{_Z})) - x.label)"
+@query("local_linear", local_sql(LINEAR))
+def local_linear(spark, sf):
+    return _local(spark, sf, LINEAR)
 
 
-@query(
-    "central_linear",
-    f"""WITH {TRAINING},
+@query("local_linear_shards", local_sql(LINEAR))
+def local_linear_shards(spark, sf):
+    return _local(spark, sf, LINEAR.with_(shards=7))
+
+
+MOMENTUM = LINEAR.with_(epochs=3, momentum=0.9, weight_decay=0.1)
+ADAMW = LINEAR.with_(epochs=3, lr=0.05, weight_decay=0.1, optimizer="adamw")
+
+
+@query("momentum_linear", local_sql(MOMENTUM))
+def momentum_linear(spark, sf):
+    return _local(spark, sf, MOMENTUM)
+
+
+@query("adamw_linear", local_sql(ADAMW))
+def adamw_linear(spark, sf):
+    return _local(spark, sf, ADAMW)
+
+
+@query("adamw_linear_shards", local_sql(ADAMW))
+def adamw_linear_shards(spark, sf):
+    return _local(spark, sf, ADAMW.with_(shards=5))
+
+
+def central_sql(cfg: train.TrainConfig) -> str:
+    steps, now = _steps(cfg, "(SELECT 'central' AS client_id, start.* FROM start)", _gradient)
+    return f"""WITH {TRAINING},
     pooled AS (SELECT DISTINCT {', '.join(FLOW_FEATURES)}, label FROM training WHERE NOT held),
     fit AS (SELECT {_RANGES} FROM pooled),
-    x AS (SELECT label, {_SCALED} FROM pooled CROSS JOIN fit),
+    x AS (SELECT 'central' AS client_id, false AS held, label, {_SCALED} FROM pooled CROSS JOIN fit),
     start AS (SELECT {', '.join(f'{_number(v)} AS w{i}' for i, v in enumerate(_start()))}),
-    g AS (SELECT {', '.join(f'avg({_CENTRAL_ERROR} * x.x{i}) AS g{i}' for i in range(_N))},
-      avg({_CENTRAL_ERROR}) AS g{_N} FROM x CROSS JOIN start w),
-    w AS (SELECT {_each(f'w{{i}} - {_number(LINEAR.lr)} * g{{i}}')} FROM start CROSS JOIN g),
+    {', '.join(steps)},
     t AS (SELECT client_id, label, {_SCALED} FROM training CROSS JOIN fit WHERE held)
-    {_metrics('run, client', f"SELECT 1 AS run, x.client_id AS client, x.label, {_Z} AS z FROM t x CROSS JOIN w")}""",
-)
+    {_metrics('run, client', f"SELECT 1 AS run, x.client_id AS client, x.label, {_Z} AS z FROM t x CROSS JOIN {now} w")}"""
+
+
+def _central(spark, sf, cfg: train.TrainConfig):
+    data, test = training_flows(spark, sf)
+    log = rounds.central_run(data, test, FLOW_FEATURES, "label", "client_id", "key", cfg)
+    return log.select("run", "client", "metric", r6("value"))
+
+
+@query("central_linear", central_sql(LINEAR))
 def central_linear(spark, sf):
+    return _central(spark, sf, LINEAR)
+
+
+@query("central_linear_shards", central_sql(LINEAR))
+def central_linear_shards(spark, sf):
+    return _central(spark, sf, LINEAR.with_(shards=7))
+
+
+def _log_sql(cfg: train.TrainConfig) -> str:
+    steps, _ = _steps(
+        cfg, f"(SELECT client_id, {_each('w{i}')} FROM fit CROSS JOIN start)", _gradient
+    )
+    losses = " UNION ALL ".join(
+        f"""SELECT x.client_id AS client, {e} AS epoch, round(avg(greatest({_Z}, 0) - {_Z} * x.label
+          + ln(1 + exp(-abs({_Z})))), 6) AS loss FROM x JOIN s{e} w ON x.client_id = w.client_id
+          WHERE NOT held GROUP BY x.client_id""" for e in range(cfg.epochs)
+    )
+    return f"WITH {', '.join([PER_CLIENT, *steps])} {losses}"
+
+
+@query("train_log_linear", _log_sql(MOMENTUM))
+def train_log_linear(spark, sf):
+    """The training log that a local run leaves, read back."""
     data, test = training_flows(spark, sf)
-    log = rounds.central_run(
-        data, test, FLOW_FEATURES, "label", "client_id", "key", LINEAR.with_(epochs=1)
+    out = scratch_path(spark, "local")
+    cfg = MOMENTUM.with_(shards=3)
+    rounds.local_run(data, test, FLOW_FEATURES, "label", "client_id", "key", cfg, out=out)
+    log = spark.read.parquet(f"{out}/train_log/run=1")
+    return log.select("client", "epoch", r6("loss"))
+
+
+_HIDDEN = 3
+
+
+def layered_sql(start: list) -> str:
+    """One full-batch plain step of a network with one normalised hidden layer, per client."""
+    w, b, gain, shift, out, bias = (t.tolist() for t in start)
+    js, ins = range(_HIDDEN), range(_N)
+    pre = ", ".join(
+        " + ".join([*(f"{_number(w[i][j])} * x{i}" for i in ins), _number(b[j])]) + f" AS p{j}" for j in js
     )
-    return log.select("run", "client", "metric", r6("value"))
+    mean = "(" + " + ".join(f"p{j}" for j in js) + f") / {_HIDDEN}"
+    var = "(" + " + ".join(f"(p{j} - mu) ** 2" for j in js) + f") / {_HIDDEN}"
+    n = ", ".join(f"(p{j} - mu) * inv AS n{j}" for j in js)
+    o = ", ".join(f"{_number(gain[j])} * n{j} + {_number(shift[j])} AS o{j}" for j in js)
+    z = " + ".join([*(f"{_number(out[j][0])} * greatest(o{j}, 0)" for j in js), _number(bias[0])])
+    do = ", ".join(f"CASE WHEN o{j} > 0 THEN dz * {_number(out[j][0])} ELSE 0 END AS do{j}" for j in js)
+    dn = ", ".join(f"do{j} * {_number(gain[j])} AS dn{j}" for j in js)
+    dm = "(" + " + ".join(f"dn{j}" for j in js) + f") / {_HIDDEN} AS dm"
+    dnn = "(" + " + ".join(f"dn{j} * n{j}" for j in js) + f") / {_HIDDEN} AS dnn"
+    dp = ", ".join(f"inv * (dn{j} - dm - n{j} * dnn) AS dp{j}" for j in js)
+    grads = [
+        *((0, i * _HIDDEN + j, w[i][j], f"dp{j} * x{i}") for i in ins for j in js),
+        *((1, j, b[j], f"dp{j}") for j in js), *((2, j, gain[j], f"do{j} * n{j}") for j in js),
+        *((3, j, shift[j], f"do{j}") for j in js),
+        *((4, j, out[j][0], f"dz * greatest(o{j}, 0)") for j in js), (5, 0, bias[0], "dz"),
+    ]
+    rows = " UNION ALL ".join(
+        f"""SELECT client_id AS client, {layer} AS layer, {pos} AS pos,
+        round({_number(value)} - {_number(LINEAR.lr)} * avg({g}), 6) AS value FROM e GROUP BY client_id"""
+        for layer, pos, value, g in grads
+    )
+    return f"""WITH {PER_CLIENT}, a AS (SELECT *, {pre} FROM x WHERE NOT held),
+    b AS (SELECT *, {mean} AS mu, 1 / sqrt({var} + 1e-5) AS inv FROM a), c AS (SELECT *, {n} FROM b),
+    d0 AS (SELECT *, {o} FROM c), d1 AS (SELECT *, 1 / (1 + exp(-({z}))) - label AS dz FROM d0),
+    d2 AS (SELECT *, {do} FROM d1), d3 AS (SELECT *, {dn} FROM d2), d4 AS (SELECT *, {dm}, {dnn} FROM d3),
+    e AS (SELECT *, {dp} FROM d4) {rows}"""
+
+
+_LAYERED = mlp.init(_N, (_HIDDEN,), LINEAR.seed)
+
+
+@query("layered_step", layered_sql(_LAYERED))
+def layered_step(spark, sf):
+    data, _ = training_flows(spark, sf)
+    scaled = apply_minmax(data, fit_minmax(data, FLOW_FEATURES, ["client_id"]), FLOW_FEATURES, ["client_id"])
+    cfg = LINEAR.with_(hidden=(_HIDDEN,), epochs=1, shards=2)
+    shards = train.to_shards(scaled, FLOW_FEATURES, "label", "client_id", "key", cfg.shards)
+    merged = train.merge_shards(train.client_update(shards, FLOW_FEATURES, _LAYERED, cfg))
+    return merged.select("client", "layer", "pos", r6("value"))
 
 
 _RATES = (0.5, 2.0)

@@ -106,26 +106,51 @@ def test_one_shard_is_plain_training(spark):
         np.testing.assert_allclose(got, t, atol=1e-12)
 
 
-def test_large_client_is_split_and_repeatable(spark):
+def values_of(source, start, cfg):
+    out = train.merge_shards(train.client_update(source, FEATURES, start, cfg))
+    return out.orderBy("client", "layer", "pos").toPandas()
+
+
+def test_rows_of_a_client_are_dealt_to_shards_and_repeatable(spark):
     df = rows(spark, clients=("a", "a", "a", "b"))
-    shards = train.to_shards(df, FEATURES, "label", "client", "key", rows_per_shard=100)
+    cfg = CFG.with_(shards=3)
+    shards = train.to_shards(df, FEATURES, "label", "client", "key", 3)
     sizes = {(r["client"], r["shard"]): r["count"] for r in shards.groupBy("client", "shard").count().collect()}
-    assert sum(sizes.values()) == 400
-    assert {s for c, s in sizes if c == "a"} == {0, 1, 2} and {s for c, s in sizes if c == "b"} == {0}
+    assert sum(sizes.values()) == 400 and {s for _, s in sizes} == {0, 1, 2}
     start = mlp.init(3, CFG.hidden, 1)
-
-    def values(source):
-        out = train.merge_shards(train.client_update(source, FEATURES, start, CFG))
-        return out.orderBy("client", "layer", "pos").toPandas()
-
-    again = train.to_shards(df.repartition(9), FEATURES, "label", "client", "key", rows_per_shard=100)
-    a, b = values(shards), values(again)
+    a = values_of(shards, start, cfg)
+    b = values_of(train.to_shards(df.repartition(9), FEATURES, "label", "client", "key", 3), start, cfg)
     np.testing.assert_allclose(a["value"], b["value"], atol=1e-12)
     assert a.groupby("client")["weight"].first().to_dict() == {"a": 300, "b": 100}
     batches = train.merge_shards(
-        train.client_update(shards, FEATURES, start, CFG), weight_unit="batches", batch_size=32
+        train.client_update(shards, FEATURES, start, cfg), weight_unit="batches", batch_size=32
     )
     assert {r["weight"] for r in batches.select("weight").distinct().collect()} == {10, 4}
+    with pytest.raises(ValueError):
+        train.to_shards(df, FEATURES, "label", "client", "key", 0)
+
+
+@pytest.mark.parametrize(
+    "change", [{}, {"optimizer": "sgd", "momentum": 0.9, "mu": 0.5}, {"delta": 0.1, "lam": 0.3}]
+)
+def test_full_batches_do_not_depend_on_shards(spark, change):
+    df = rows(spark, clients=("a", "a", "b", None))
+    cfg = CFG.with_(batch_size=None, epochs=3, weight_decay=0.1, **change)
+    start, own = mlp.init(3, CFG.hidden, 1), None
+    if "delta" in change:
+        own = score.model_rows(spark, mlp.init(3, CFG.hidden, 2)).selectExpr("'a' AS client", "*")
+
+    def values(shards):
+        placed = train.to_shards(df, FEATURES, "label", "client", "key", shards)
+        trained = train.client_update(placed, FEATURES, start, cfg.with_(shards=shards), 1, own)
+        log = train.train_log(trained).orderBy("client", "epoch").toPandas()
+        merged = train.merge_shards(trained).orderBy("client", "layer", "pos").toPandas()
+        return merged["client"].tolist(), merged["value"], log["loss"]
+
+    one, many = values(1), values(4)
+    assert one[0] == many[0] and len(set(one[0])) == 3
+    np.testing.assert_allclose(one[1], many[1], atol=1e-9)
+    np.testing.assert_allclose(one[2], many[2], atol=1e-9)
 
 
 def test_train_log(spark):
