@@ -162,19 +162,22 @@ def stream_latest(spark, sf):
 
 
 def _as_of(col: str) -> str:
-    """SQL: the five top addresses after each malicious alert, by rank."""
-    return f"""bad AS (SELECT event_id, ts, {col} AS key FROM alerts WHERE is_malicious),
+    """SQL: the five top addresses after each alert, by rank (none before the first malicious one)."""
+    return f"""placed AS (SELECT event_id, ts, is_malicious, {col} AS key,
+      count(*) FILTER (WHERE is_malicious) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS nth FROM alerts),
+    bad AS (SELECT * FROM placed WHERE is_malicious),
     names AS (SELECT DISTINCT key FROM bad),
-    seen AS (SELECT bad.event_id, names.key,
+    seen AS (SELECT bad.nth, names.key,
       sum(CAST(bad.key = names.key AS INTEGER)) OVER (PARTITION BY names.key ORDER BY bad.ts, bad.event_id
         ROWS UNBOUNDED PRECEDING) AS value FROM bad CROSS JOIN names),
-    listed AS (SELECT event_id, key, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (
-      PARTITION BY event_id ORDER BY value DESC, key DESC) AS INTEGER) AS rank FROM seen WHERE value > 0
-      QUALIFY rank <= 5)"""
+    best AS (SELECT nth, key, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (
+      PARTITION BY nth ORDER BY value DESC, key DESC) AS INTEGER) AS rank FROM seen WHERE value > 0
+      QUALIFY rank <= 5),
+    listed AS (SELECT event_id, best.key, value, rank FROM placed JOIN best USING (nth))"""
 
 
 def _listed(rows, col: str):
-    items = rows.filter("is_malicious").select("event_id", F.posexplode(col).alias("_i", "_t"))
+    items = rows.select("event_id", F.posexplode(col).alias("_i", "_t"))
     return items.select("event_id", (F.col("_i") + 1).alias("rank"), "_t.key", "_t.value")
 
 

@@ -98,42 +98,24 @@ def live_latest(
     return alerts.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
 
 
-class CarriedCounts:
-    """Counts per (kind, key) carried from batch to batch in shared storage.
+_LISTED = {"src_ip": "malicious_ips", "dst_ip": "targeted_ips"}
 
-    A batch adds only its own counts; every ``every`` batches they are folded into a snapshot, so a
-    batch reads one snapshot and fewer than ``every`` small additions. A repeated batch rewrites its
-    own files and never reads them.
-    """
 
-    SCHEMA = "kind string, key string, value bigint"
-
-    def __init__(self, spark: SparkSession, path: str, every: int = 20):
-        self.spark, self.path, self.every = spark, path, every
-
-    def before(self, number: int) -> DataFrame:
-        """Counts of all batches before ``number``."""
-        base = number // self.every * self.every
-        parts = [f"{self.path}/add={i}" for i in range(base, number)]
-        if base:
-            parts.append(f"{self.path}/snapshot={base}")
-        if not parts:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        rows = self.spark.read.schema(self.SCHEMA).parquet(*parts)
-        return rows.groupBy("kind", "key").agg(F.sum("value").alias("value"))
-
-    def add(self, number: int, counts: DataFrame) -> None:
-        counts.select("kind", "key", "value").write.mode("overwrite").parquet(
-            f"{self.path}/add={number}"
-        )
-        if (number + 1) % self.every == 0:
-            base = number // self.every * self.every
-            rows = self.spark.read.schema(self.SCHEMA).parquet(
-                *[f"{self.path}/add={i}" for i in range(base, number + 1)],
-                *([f"{self.path}/snapshot={base}"] if base else []),
-            )
-            folded = rows.groupBy("kind", "key").agg(F.sum("value").alias("value"))
-            folded.write.mode("overwrite").parquet(f"{self.path}/snapshot={number + 1}")
+def with_counts(alerts: DataFrame) -> DataFrame:
+    """The alerts (kind NULL) and, as rows (kind, key, value), the malicious packets so far of every
+    address that a batch changes. For update mode; Spark's state store keeps one count per address."""
+    both = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("key")) for c in _LISTED])
+    bad = alerts.filter("is_malicious").select(F.explode(both).alias("_k")).select("_k.*")
+    counts = bad.filter("key IS NOT NULL").groupBy("kind", "key").agg(F.count(F.lit(1)).alias("value"))
+    return alerts.unionByName(counts, allowMissingColumns=True)
+
+
+def _means() -> dict:
+    """The value summed up and whether it is known, by name of the mean."""
+    return {
+        name: (F.coalesce(F.col(c), F.lit(0.0)), F.col(c).isNotNull().cast("long"))
+        for name, c in (("avg_latency", "latency"), ("avg_classification_time", "classification_time"))
+    }
 
 
 def snapshots(
@@ -141,26 +123,24 @@ def snapshots(
 ) -> DataFrame:
     """Each alert with totals, means and top lists as they stand after it.
 
-    ``carried`` (kind, key, value) and the one row ``totals`` hold what came before these alerts.
+    ``carried`` (kind, key, value) and the one row ``totals`` hold what came before these alerts. A
+    mean is over the known values so far, NULL where there are none yet.
     """
     sums = {
         "total_packets": F.lit(1).cast("long"),
         "total_malicious": F.col("is_malicious").cast("long"),
-        "_latency": F.col("latency"),
-        "_classification": F.col("classification_time"),
+        **{name: value for name, (value, _) in _means().items()},
+        **{f"{name}_known": known for name, (_, known) in _means().items()},
     }
-    lists = {"malicious_ips": "src_ip", "targeted_ips": "dst_ip"}
+    lists = {name: col for col, name in _LISTED.items()}
     rows = running_top(alerts, lists, n, sums=sums, base=carried)
     if totals is not None:
         start = totals.select(F.struct("*").alias("t")).scalar()
         for name in sums:
             rows = rows.withColumn(name, F.col(name) + start[name])
-    count = F.col("total_packets")
     return rows.select(
         *alerts.columns, "total_packets", "total_malicious",
-        (F.col("_latency") / count).alias("avg_latency"),
-        (F.col("_classification") / count).alias("avg_classification_time"),
-        *lists,
+        *[F.try_divide(F.col(name), F.col(f"{name}_known")).alias(name) for name in _means()], *lists,
     )
 
 
@@ -178,38 +158,56 @@ def alert_snapshots(
     """Every alert with running totals, means and top lists as of it.
 
     Rows are taken in the order (ts, event_id) within a batch; a late row counts in the batch in
-    which it arrives. Totals, counts per address and counts per worker are carried over batches.
+    which it arrives. Counts per address are a streaming aggregation of their own in the same query;
+    from batch to batch only the row of totals and ``n`` entries per list are carried, under the batch
+    number, so a repeated batch starts from what the first attempt started from.
     """
-    total_cols = "total_packets bigint, total_malicious bigint, _latency double, _classification double"
+    columns = alerts.columns
+    longs = ["total_packets", "total_malicious", *(f"{m}_known" for m in _means())]
+    fields = [*(f"{c} bigint" for c in longs), *(f"{m} double" for m in _means())]
+    total_cols, names = ", ".join(fields), [f.split()[0] for f in fields]
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        counts = CarriedCounts(spark, f"{state}/counts")
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            new = batch.filter("kind IS NULL").select(columns)
+            after = batch.filter("kind IS NOT NULL").select("kind", "key", "value")
             if number > 0:
                 totals = spark.read.schema(total_cols).parquet(f"{state}/totals={number - 1}")
+                top = spark.read.schema(after.schema).parquet(f"{state}/top={number - 1}")
             else:
-                totals = spark.createDataFrame([(0, 0, 0.0, 0.0)], total_cols)
-            rows = snapshots(batch, n, counts.before(number), totals)
+                totals = spark.createDataFrame([(0,) * len(longs) + (0.0,) * len(_means())], total_cols)
+                top = spark.createDataFrame([], after.schema)
+            added = [
+                monitor.address_counts(new, c).withColumn("kind", F.lit(c)) for c in _LISTED
+            ]
+            added = reduce(lambda a, b: a.unionByName(b), added).withColumnRenamed("value", "_new")
+            before = after.join(added, ["kind", "key"]).select(
+                "kind", "key", (F.col("value") - F.col("_new")).alias("value")
+            )
+            carried = before.filter("value > 0").unionByName(top).distinct()
+            rows = snapshots(new, n, carried, totals)
             rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
-            added = batch.agg(
-                F.count(F.lit(1)).alias("total_packets"),
-                F.count_if("is_malicious").alias("total_malicious"),
-                F.coalesce(F.sum("latency"), F.lit(0.0)).alias("_latency"),
-                F.coalesce(F.sum("classification_time"), F.lit(0.0)).alias("_classification"),
+            now = after.unionByName(top).groupBy("kind", "key").agg(F.max("value").alias("value"))
+            best = [
+                now.filter(F.col("kind") == c).orderBy(F.desc("value"), F.desc("key")).limit(n)
+                for c in _LISTED
+            ]
+            reduce(lambda a, b: a.unionByName(b), best).write.mode("overwrite").parquet(
+                f"{state}/top={number}"
             )
-            both = added.unionByName(totals)
-            both.agg(*[F.sum(c).alias(c) for c in both.columns]).write.mode("overwrite").parquet(
+            sums = new.select(
+                F.lit(1).cast("long").alias("total_packets"),
+                F.coalesce(F.col("is_malicious").cast("long"), F.lit(0)).alias("total_malicious"),
+                *[value.alias(m) for m, (value, _) in _means().items()],
+                *[known.alias(f"{m}_known") for m, (_, known) in _means().items()],
+            ).unionByName(totals)
+            sums.agg(*[F.sum(c).alias(c) for c in names]).write.mode("overwrite").parquet(
                 f"{state}/totals={number}"
             )
-            parts = [
-                monitor.address_counts(batch, c).withColumn("kind", F.lit(c))
-                for c in ("src_ip", "dst_ip")
-            ]
-            parts.append(monitor.worker_counts(batch).withColumn("kind", F.lit("worker")))
-            counts.add(number, reduce(lambda a, b: a.unionByName(b), parts))
         finally:
             batch.unpersist()
 
-    return alerts.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = with_counts(alerts).writeStream.outputMode("update").foreachBatch(run)
+    return writer.option("checkpointLocation", checkpoint)

@@ -59,14 +59,7 @@ def test_restart_has_no_gaps_or_repeats(spark, messages, tmp_path):
     assert newest == [r["event_id"] for r in monitor.latest(alerts(spark, SF)).collect()]
 
 
-def test_snapshots_over_batches(spark, messages, tmp_path, monkeypatch):
-    from flowspark.streaming import live
-
-    # fold carried counts after every second batch, so that the fold is exercised
-    original = live.CarriedCounts.__init__
-    monkeypatch.setattr(
-        live.CarriedCounts, "__init__", lambda self, s, p, every=2: original(self, s, p, every)
-    )
+def test_snapshots_over_batches(spark, messages, tmp_path):
     ordered = messages.withColumn("_part", F.ntile(5).over(Window.orderBy("event_id")))
     for part in range(1, 6):
         ordered.filter(F.col("_part") == part).drop("_part").write.json(str(tmp_path / "in" / f"part={part}"))
