@@ -12,9 +12,12 @@ from flowspark.operators import mlp
 from flowspark.operators.metrics import rates
 from flowspark.operators.prep import union_clients
 
-#: Parameters the driver will hold or ship to a task at once (512 MB of doubles).
+#: Parameters the driver will hold or ship to a task at once (512 MB as arrays of doubles; several
+#: times that while rows are being read into them).
 MAX_PARAMETERS = 64_000_000
 
+METRICS = ["accuracy", "precision", "recall", "f1_score", "final_loss"]
+
 
 def linear_logit(features: list[Column | str], weights: list[float], bias: float) -> Column:
     """Weighted sum plus bias as one generated expression."""
@@ -175,9 +178,8 @@ def evaluate_models(
 
 def as_metric_log(evaluated: DataFrame, client: str) -> DataFrame:
     """Evaluation as rows (model, client, metric, value)."""
-    metrics = ["accuracy", "precision", "recall", "f1_score", "final_loss"]
-    return evaluated.select("model", F.col(client).alias("client"), *metrics).unpivot(
-        ["model", "client"], metrics, "metric", "value"
+    return evaluated.select("model", F.col(client).alias("client"), *METRICS).unpivot(
+        ["model", "client"], METRICS, "metric", "value"
     )
 
 

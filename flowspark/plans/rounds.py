@@ -6,12 +6,14 @@ import math
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from flowspark.operators import mlp, params as fed, score, train
+from flowspark.operators.metrics import rates
+from flowspark.operators.prep import union_clients
 from flowspark.operators.scaling import apply_minmax, fit_minmax
 from flowspark.operators.score import (
-    as_metric_log, evaluate_models, load_models, model_rows, scaler_arrays,
+    METRICS, as_metric_log, evaluate_models, load_models, model_rows, scaler_arrays,
 )
 from flowspark.operators.train import TrainConfig
 from flowspark.session import scratch_path, settle
@@ -43,7 +45,8 @@ def federated_run(
     ``config_fn`` may change settings per round, save the number of shards; ``on_round`` sees the metrics of each round.
 
     ``out`` (by default a scratch folder) receives ``params`` (layer, pos, value), ``metrics`` and
-    ``history`` (loss and accuracy over clients, weighted by rows), by model and round.
+    ``history`` (loss and accuracy over clients, weighted by rows), by model and round; with Fed+ also
+    ``personal``, the metrics of :func:`own_scores` for every client's own model.
     """
     if rounds <= 0 or models <= 0:
         raise ValueError("at least one round and one model are needed")
@@ -97,6 +100,10 @@ def federated_run(
                 log = as_metric_log(scored, client).select("client", "metric", "value")
                 path = f"{base}/metrics/model={number}/round={r}"
                 log.write.parquet(path)
+                if personal:
+                    own_scores(scaled_test, local, shapes, features, label, client).write.parquet(
+                        f"{base}/personal/model={number}/round={r}"
+                    )
                 if on_round:
                     on_round(r, spark.read.parquet(path))
     finally:
@@ -105,6 +112,46 @@ def federated_run(
     return spark.read.parquet(f"{base}/metrics").select("model", "round", "client", "metric", "value")
 
 
+def _model_groups(models: DataFrame, size: int) -> list[Callable[[str], Column]]:
+    """Conditions on a client column that part the models into groups small enough to ship: one
+    group unless the models together are too large. A name and its scaler get the same group."""
+    clients = models.select("client").distinct().count()
+    groups = max(1, math.ceil(2 * clients * size / score.MAX_PARAMETERS))
+
+    def mine(g: int) -> Callable[[str], Column]:
+        return lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(groups)) == g
+
+    return [mine(g) for g in range(groups)]
+
+
+def own_scores(
+    test: DataFrame, models: DataFrame, shapes: list[tuple[int, ...]], features: list[str],
+    label: str, client: str,
+) -> DataFrame:
+    """Each client's own model on its own test set and on the central one, which is all test sets
+    together: rows (client, test, metric, value). ``models`` is (client, layer, pos, value)."""
+    size = sum(math.prod(shape) for shape in shapes)
+    parts = []
+    for mine in _model_groups(models, size):
+        nets = load_models(models.filter(mine("client")), shapes, "client")
+        scored = evaluate_models(test, nets, features, label, client)
+        parts.append(scored.withColumnRenamed(client, "_test"))
+    scored = settle(union_clients(parts), "own_scores")
+    n = F.expr("tp + fp + fn + tn")
+    counts = ["tp", "fp", "fn", "tn"]
+
+    def total(rows: DataFrame, name: str) -> DataFrame:
+        sums = rows.groupBy(F.col("model").alias("client")).agg(
+            *[F.sum(c).alias(c) for c in counts], F.sum(F.col("final_loss") * n).alias("_loss")
+        )
+        return rates(sums).withColumn("final_loss", F.try_divide("_loss", n)).select(
+            "client", F.lit(name).alias("test"), *METRICS
+        )
+
+    both = total(scored.filter("model = _test"), "own").unionByName(total(scored, "central"))
+    return both.unpivot(["client", "test"], METRICS, "metric", "value")
+
+
 def weighted_history(scored: DataFrame) -> DataFrame:
     """Loss and accuracy over the clients of a round, weighted by their rows."""
     rows = scored.withColumn("n", F.expr("tp + fp + fn + tn"))
@@ -146,13 +193,7 @@ def local_run(
             step = cfg.with_(seed=cfg.seed + run)
             start = mlp.init(len(features), cfg.hidden, step.seed)
             merged = _train_and_save(shards, features, start, step, run, base)
-            clients = merged.select("client").distinct().count()
-            groups = math.ceil(2 * clients * size / score.MAX_PARAMETERS)
-            for g in range(groups):  # one group unless the models together are too large to ship
-
-                def mine(column: str):
-                    return F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(groups)) == g
-
+            for mine in _model_groups(merged, size):
                 models = load_models(merged.filter(mine("client")), shapes, "client")
                 scalers = scaler_arrays(scaler.filter(mine(client)), features, client)
                 scored = evaluate_models(test, models, features, label, client, scalers)

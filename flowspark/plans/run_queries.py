@@ -70,9 +70,10 @@ def _metrics(select: str, rows: str) -> str:
 
 
 def federated_sql(
-    n_rounds: int, epochs: int, mu: float = 0.0, delta: float | None = None, adam: dict | None = None
+    n_rounds: int, epochs: int, mu: float = 0.0, delta: float | None = None, adam: dict | None = None,
+    personal: bool = False,
 ) -> str:
-    """SQL of a federated run with weights by rows."""
+    """SQL of a federated run with weights by rows; ``personal`` evaluates the clients' own models."""
     lr, ctes, evals = _number(LINEAR.lr), [PER_CLIENT], []
     ctes.append(f"global0 AS (SELECT {_each('w{i}')} FROM start)")
     ctes.append("own0 AS (SELECT client_id, global0.* FROM fit CROSS JOIN global0)")
@@ -107,6 +108,14 @@ def federated_sql(
             ctes.append(f"global{r} AS (SELECT {_each(moved)} FROM {now} t CROSS JOIN {g} old)")
         else:
             ctes.append(f"global{r} AS (SELECT {_each(mean)} FROM {now})")
+        if personal:
+            both = " UNION ALL ".join(
+                f"""SELECT {r} AS round, w.client_id AS client, '{test}' AS test, x.label, {_Z} AS z
+                FROM x JOIN own{r} w ON {match} WHERE held"""
+                for test, match in (("own", "x.client_id = w.client_id"), ("central", "true"))
+            )
+            evals.append(_metrics("round, client, test", both))
+            continue
         scored = f"""SELECT 1 AS model, {r} AS round, x.client_id AS client, x.label, {_Z} AS z
           FROM x CROSS JOIN global{r} w WHERE held"""
         evals.append(_metrics("model, round, client", scored))
@@ -143,6 +152,18 @@ def fedplus_linear(spark, sf):
     return _federated(spark, sf, "fedavgplus", 2, 1)
 
 
+@query("fedplus_personal", federated_sql(2, 1, delta=0.1, personal=True))
+def fedplus_personal(spark, sf):
+    """The clients' own models after each round, on their own test sets and on the central one."""
+    data, test = training_flows(spark, sf)
+    out = scratch_path(spark, "federated")
+    rounds.federated_run(
+        data, test, FLOW_FEATURES, "label", "client_id", "key", 2, fed.strategy("fedavgplus"),
+        LINEAR.with_(epochs=1), out=out,
+    )
+    return spark.read.parquet(f"{out}/personal").select("round", "client", "test", "metric", r6("value"))
+
+
 @query("fedplus_linear_shards", federated_sql(2, 1, delta=0.1))
 def fedplus_linear_shards(spark, sf):
     return _federated(spark, sf, "fedavgplus", 2, 1, shards=7)

@@ -12,6 +12,7 @@ from pyspark.sql.functions import arrow_udf
 from pyspark.sql.streaming import DataStreamWriter
 
 from flowspark.operators import mlp
+from flowspark.operators.score import MAX_PARAMETERS
 from flowspark.schemas import REQUEST, parse_messages
 
 _SCORED = T.StructType(
@@ -26,6 +27,8 @@ _SCORED = T.StructType(
 def _predictor(spark, model, scale, offset, form):
     if form not in ("offset", "legacy_min"):
         raise ValueError(f"unknown scaler form {form!r}")
+    if sum(t.size for t in model) > MAX_PARAMETERS:
+        raise ValueError("the model is too large to ship to tasks")
     shared = spark.sparkContext.broadcast((model, np.asarray(scale), np.asarray(offset)))
     width = len(scale)
 
