@@ -88,7 +88,7 @@ _TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 
 
 def _shape(word: str) -> str:
-    if word.isdigit():
+    if word.isascii() and word.isdigit():
         return f"d{min(len(word), 7)}"
     if word.isalpha():
         return ("x" if word.islower() else "X") + ("1" if len(word) == 1 else "+")
@@ -342,7 +342,8 @@ def _plausible(kind: str, text: str) -> bool:
             "." in text or "dot" in text.lower())
     if kind == "ip":
         return text.count(":") >= 3 or all(
-            p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in text.split(".")) and text.count(".") == 3
+            p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255
+            for p in text.split(".")) and text.count(".") == 3
     return 13 <= n <= 19 and luhn(_digits(text)) if kind == "card" else 7 <= n <= 15
 
 

@@ -304,6 +304,14 @@ def test_personal_data(spark):
     assert ("phone", made[2][1].index("(212)"), made[2][1].index(" now")) in flat(3, "spans")
 
 
+def test_digits_of_other_scripts_are_no_address(spark):
+    made = [(1, "login at 8.8.4.², then wait"), (2, "login at 8.8.①.4, then wait"), (3, "from 10.0.0.٣ to ³.¹.1.1"),
+            (4, "login at 8.8.4.4, then wait")]
+    out = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert not any(s["kind"] == "ip" for k in (1, 2, 3) for s in out[k])
+    assert [tuple(s) for s in out[4]] == [("ip", 9, 16)]
+
+
 def test_viterbi_is_exhaustive():
     field, n = pii.default_field(), len(pii._TAGS)
     rng = np.random.default_rng(1)
