@@ -7,8 +7,8 @@ trained on the small table below by gradient steps on the exact likelihood (forw
 and decoded by Viterbi for many sequences at once. Its spans are added where they do not touch a
 pattern's span: local phone numbers, spelled-out addresses, grouped card numbers.
 
-Prediction is one scan without a shuffle. Only the neighbourhood of words that hold a digit or ``@`` is
-labelled (``CONTEXT`` words on both sides); all other words are outside by definition. Sequences are
+Prediction is one scan without a shuffle. Only the neighbourhood of words that hold a digit, ``@`` or a
+spelled-out sign is labelled (``CONTEXT`` words on both sides); all other words are outside by definition. Sequences are
 padded in groups of similar length with a bound on cells, so memory does not depend on the text.
 
 Edge cases: null and empty texts have no spans. Positions are code points, ends exclusive. Repeated rows
@@ -295,7 +295,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 _MARKED = re.compile(r"[0-9@]")
-_SPELLED = re.compile(r"(?i)\(at\)|\(dot\)|\bdot\b")
+#: The bare word "at" counts only before a word and a "dot", as it is in every other sentence.
+_SPELLED = re.compile(r"(?i)\(at\)|\(dot\)|\bdot\b|\bat(?=\s+\S+\s+\(?dot\b)")
 
 
 def islands(text: str) -> list[Sequence]:

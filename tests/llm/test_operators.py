@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -312,6 +313,24 @@ def test_digits_of_other_scripts_are_no_address(spark):
     assert [tuple(s) for s in out[4]] == [("ip", 9, 16)]
 
 
+def test_labelled_lines_are_found(spark):
+    """Through the islands; a span that a pattern takes (a number that is a card number too) keeps its kind."""
+    made = []
+    for line in pii.LABELLED.strip().splitlines():
+        parts = re.split(r"\[(\w+)\|([^\]]*)\]", line)
+        text, want = parts[0], []
+        for kind, marked, after in zip(parts[1::3], parts[2::3], parts[3::3]):
+            want.append((kind, len(text), len(text) + len(marked)))
+            text += marked + after
+        made += [(len(made), text, want), (len(made) + 1, "we know that " + text + " and so on",
+                                           [(k, a + 13, b + 13) for k, a, b in want])]
+    table = spark.createDataFrame([r[:2] for r in made], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.find(table).collect()}
+    for i, text, want in made:
+        base = {tuple(s)[1:]: tuple(s) for s in out[i]["base"]}
+        assert {tuple(s) for s in out[i]["spans"]} == {base.get(w[1:], w) for w in want}, text
+
+
 def test_viterbi_is_exhaustive():
     field, n = pii.default_field(), len(pii._TAGS)
     rng = np.random.default_rng(1)
