@@ -4,11 +4,13 @@ A byte-level BPE vocabulary first splits a text into pieces (a word with its lea
 punctuation, white space) and merges within pieces only. The pieces are found here for a slice of
 texts at once, on arrays of code points; every distinct piece is encoded by the library's model and
 looked up for its other occurrences. The ids are those of encoding each text whole (tested against that).
-Strings of special tokens in a text are ordinary text.
+The strings of the vocabulary's added tokens (``<|endoftext|>``) are one id each wherever they stand in a
+text, as in the library; the parts between them are split into pieces as texts of their own.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -115,7 +117,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip for t in added.values()):
+            raise ValueError("added tokens that depend on their neighbours are not supported")
+        self.added = {t.content: i for i, t in added.items()}
+        longest = sorted(self.added, key=len, reverse=True)  # of those that begin at one place
+        self.marks = re.compile(f"({'|'.join(map(re.escape, longest))})") if longest else None
         self.clear()
 
     def clear(self) -> None:
@@ -148,6 +155,18 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, where each text begins; one more entry at the end)."""
+        split = [self.marks.split(t) if self.marks else [t] for t in texts]
+        ids, first = self._encode_plain([part for own in split for part in own[::2]])
+        bounds = np.concatenate([[0], np.cumsum([len(own) // 2 + 1 for own in split])]).astype(np.int64)
+        added = [self.added[mark] for own in split for mark in own[1::2]]
+        if not added:
+            return ids, first
+        later = np.ones(len(first), bool)  # parts with a mark before them
+        later[bounds] = False
+        return (np.insert(ids, first[later], added),
+                first[bounds] + np.concatenate([[0], np.cumsum(later)])[bounds])
+
+    def _encode_plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "".join(texts)
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)

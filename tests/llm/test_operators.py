@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from flowspark.llm import (
     arrow_tokens, blobs, decontaminate, forest, graph, jaccard, langid, lines, packing, pii, sharding,
@@ -181,6 +182,18 @@ def test_ids_are_those_of_the_library(texts):
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == library(texts)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "<|", " ", "\n", "a", "'s", " b's", "é"]),
+                         max_size=12).map("".join), max_size=6))
+def test_added_tokens_are_those_of_the_library(texts):
+    plain = Tokenizer.from_file(tokens.vocabulary())
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, first = tokens.encoder(tokens.vocabulary()).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
+    ids, first = tokens.encoder(tokens.vocabulary()).encode(["a <|endoftext|> b", "", "<|endoftext|><|endoftext|>"])
+    assert ids.tolist() == [64, 220, 50256, 275, 50256, 50256] and first.tolist() == [0, 4, 4, 6]
+
+
 def test_token_files(spark, tmp_path, rows):
     made = [r[:2] for r in rows] + [(10_000 + i, t) for i, t in enumerate(PIECES)] + [(10_000, "again"), (None, "n")]
     docs = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
