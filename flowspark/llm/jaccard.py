@@ -7,12 +7,12 @@ sketch is cut into more than T segments, and by the pigeonhole principle linked
 least one of them (in ``empty_allowance`` more, so that empty segments need not be joined on). A
 document takes part in its own band and the next, which holds every size it can link with.
 
-1. One scan gives every document its set size, a digest and a dense sketch; another sends the hashes of
-   its segments, as compressed columns, to buckets of bounded size. A bucket finds equal segments:
-   groups of up to ``SMALL_GROUP`` documents yield their pairs, larger ones the pairs with their first
-   document, and their members.
-2. Documents of equal sets are one node. Pairs are filtered by size and by the Hamming distance of the
-   dense sketches.
+1. One scan gives every document its set size, a digest and a dense sketch. Documents of equal sets are
+   one node, named by the smallest id. The texts of the nodes send the hashes of their segments, as
+   compressed columns, to buckets of bounded size on average (a segment shared by very many different
+   sets is still in one bucket). A bucket finds equal segments: groups of up to ``SMALL_GROUP`` nodes
+   yield their pairs, larger ones the pairs with their first node, and their members.
+2. Pairs are filtered by size and by the Hamming distance of the dense sketches.
 3. Pairs are verified by exact intersection: first the best pair of each document, then those pairs
    that still join different components.
 4. Larger groups that still hold several components are compared in full, in blocks of
@@ -378,7 +378,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", n:
     nodes = common.settle(whole.join(first, ["n_shingles", "digest"]).select(
         F.col("doc_id").alias("id"), "node", "n_shingles", "sketch"), "nodes")
 
-    found = (texts.where("doc_id is not null")
+    one = nodes.where("id = node").select(F.col("id").alias("doc_id"))
+    found = (texts.join(one, "doc_id", "left_semi")  # of copies, only the node's text is sent
              .mapInArrow(_send(n, percent, buckets), "bucket int, ids binary, rest binary, which binary")
              .repartition(buckets, "bucket")
              .groupBy("bucket").applyInArrow(_match, _FOUND))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from flowspark.llm import (
-    arrow_tokens, blobs, decontaminate, forest, graph, jaccard, langid, lines, packing, pii, sharding,
+    arrow_tokens, blobs, common, decontaminate, forest, graph, jaccard, langid, lines, packing, pii, sharding,
     substrings, tokens,
 )
 from tests.llm import brute
@@ -103,6 +103,17 @@ def test_near_duplicates(rows, docs, spark):
     assert kept == {k for k, _, c in brute.components([r[:2] for r in rows]) if k == c}
 
 
+def test_copies_send_their_segments_once(spark, monkeypatch):
+    written, settle = {}, common.settle
+    monkeypatch.setattr(common, "settle", lambda df, name: written.setdefault(name, []).append(
+        settle(df, name)) or written[name][-1])
+    made = [(i, text(21, 60)) for i in range(10, 60)] + [(5, text(22, 60)), (6, None), (None, text(21, 60))]
+    out, _ = jaccard.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"))
+    assert {(r["doc_id"], r["component_id"]) for r in out.collect()} == {
+        *((i, 10) for i in range(10, 60)), (5, 5), (6, 6), (None, None)}
+    assert written["found"][0].count() == 0  # neither pairs nor members between copies
+
+
 def test_open_groups(spark, monkeypatch):
     """Chains in a group larger than the small ones: the blocks must find the links between others."""
     monkeypatch.setattr(jaccard, "SMALL_GROUP", 2)
