@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from flowspark.session import scratch_path
 
@@ -182,3 +183,22 @@ def pack_u64(values: np.ndarray) -> bytes:
 
 def has_row(df: DataFrame) -> bool:
     return bool(df.take(1))
+
+
+def with_document_key(docs: DataFrame, name: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` with a key per document in column ``name``: rows that agree in id and text are one document.
+
+    The key is the id itself where it names one text. Documents without an id, and those that share theirs
+    with another text, get a number below all usual ids from a 62-bit hash of id and text instead, so that they are
+    judged on their own.
+    """
+    number = F.col(key).cast("long")
+    own = F.lit(-(1 << 62)) - F.xxhash64(number, number.isNull(), text).bitwiseAND((1 << 62) - 1)
+    hashed = docs.select(number.alias("_id"), F.xxhash64(text).alias("_h")).where("_id is not null")
+    shared = settle(hashed.groupBy("_id").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi"))
+                    .where("lo <> hi").select("_id"), "shared_ids")
+    if not has_row(shared):
+        return docs.withColumn(name, F.coalesce(number, own))
+    flagged = docs.join(shared.withColumn("_shared", F.lit(True)), number == F.col("_id"), "left")
+    return flagged.withColumn(name, F.when(F.col("_shared").isNull(), number).otherwise(own)).withColumn(
+        name, F.coalesce(name, own)).select(*docs.columns, name)

@@ -315,7 +315,14 @@ def decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents of which less than a twentieth of the words are in benchmark windows."""
-    out, _ = contamination(docs, items)
-    gone = out.where("contaminated").select(F.col("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents of which less than a twentieth of the words are in benchmark windows.
+
+    Every document is judged and dropped by its own key (``common.with_document_key``): a null id, an id that
+    several texts share and repeated rows change nothing. Rows with a null or empty text stay; without items all
+    rows stay. All columns are kept as they are, under any names.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id"), F.col("text"))
+    keyed = common.with_document_key(keyed, "_key")
+    out, _ = contamination(keyed, items, key="_key")
+    gone = out.where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(gone, "_key", "left_anti").select("_all.*")

@@ -3,8 +3,8 @@
 Each tree halves the space again and again at the median of a random projection. The trees are fitted on
 a bounded sample (``SAMPLE_ROWS`` rows by hash of the id); every row is then put into its leaf of every
 tree. A query descends all trees through one priority queue: the branch whose boundaries it is least far
-beyond comes next, whichever tree it is in, until the leaves reached hold ``share`` of the table, counted
-over all trees. Leaves are searched where their rows are: a task gets a block of a leaf and the queries that
+beyond comes next, whichever tree it is in, until the leaves reached hold ``share`` of the table, or
+``budget`` rows if that is given, counted over all trees. Leaves are searched where their rows are: a task gets a block of a leaf and the queries that
 reached it, and returns the best of each query by exact distance on the original vectors.
 
 A leaf with very many rows (equal vectors all share their leaves) is searched in blocks of
@@ -16,8 +16,9 @@ Recall depends on the data: vectors without structure in 64 dimensions need a la
 set for a recall above 0.9 on such vectors; lower it for vectors that cluster.
 
 Edge cases: null vectors, zero vectors, vectors with null or non-finite components, and vectors whose
-length is not the most common one take no part. Ties go to the smaller id. Rows that share an id are
-candidates each; a query's own id is never among its neighbours. Extra columns are ignored.
+length is not the most common one take no part. Ties go to the smaller id. Rows are told apart by a number of
+their own: rows that share an id, equal ones too, are candidates each, and queries each; a query's own id is never
+among its neighbours. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ from flowspark.llm.registry import query, table
 TREES = 8
 SAMPLE_ROWS = 16_384
 LEAF_ROWS = 2048
+#: Levels of a tree of a small table, as far as its rows support them.
+LEAST_DEPTH = 3
 SHARE = 1.3
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 2048
@@ -53,11 +56,12 @@ class Forest(NamedTuple):
 
 
 def usable(vectors: DataFrame, vector: str, key: str) -> DataFrame:
-    """(id, v) of the rows that take part."""
+    """(row, id, v) of the rows that take part; a written table, in which ``row`` is fixed."""
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite
                       & F.exists("v", lambda x: x != 0))
+    rows = common.settle(rows.select(F.monotonically_increasing_id().alias("row"), "id", "v"), "usable")
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return rows.where(F.size("v") == (sizes["d"] if sizes else 0))
 
@@ -71,7 +75,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def fit(sample: np.ndarray, rows: int, trees: int = TREES, seed: int = 7) -> Forest:
     """Trees over a sample (not empty) of a table of ``rows`` rows."""
     most = max(0, int(math.log2(max(1, len(sample) // 16))))
-    depth = min(most, max(0, math.ceil(math.log2(max(1, rows / LEAF_ROWS)))))
+    depth = min(most, max(LEAST_DEPTH, math.ceil(math.log2(max(1, rows / LEAF_ROWS)))))
     inner = (1 << depth) - 1
     rng = np.random.default_rng(seed)
     normals = rng.standard_normal((trees, inner, sample.shape[1]))
@@ -118,44 +122,49 @@ def reach(forest: Forest, counts: np.ndarray, point: np.ndarray, enough: float)
     return found
 
 
+_FOUND = "query long, row long, query_id long, vec_id long, score double"
+
+
 def _search(k: int):
     def run(rows: pa.Table, queries: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
-                          "score": pa.array([], pa.float64())})
-        if not len(rows) or not len(queries):
-            return empty
-        points = _matrix(rows["v"].combine_chunks())
-        ids = rows["id"].to_numpy()
-        square = np.einsum("ij,ij->i", points, points)
-        out = [[], [], []]
-        wanted = _matrix(queries["v"].combine_chunks())
-        for q, point in zip(queries["id"].to_numpy(), wanted):
-            rough = square - 2 * (points @ point)
-            rough[ids == q] = np.inf
-            at = np.arange(len(ids))
-            if len(ids) > k:
-                limit = np.partition(rough, k - 1)[k - 1]
-                at = np.flatnonzero(rough <= limit + 1e-9 * (1 + abs(limit) + point @ point))
-            at = at[ids[at] != q]
-            score = np.sqrt(((points[at] - point) ** 2).sum(1))
-            best = np.lexsort((ids[at], score))[:k]
-            out[0] += [q] * len(best)
-            out[1] += ids[at][best].tolist()
-            out[2] += score[best].tolist()
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()),
-                         "score": pa.array(out[2], pa.float64())})
+        out = [[np.zeros(0, np.int64)] for _ in range(4)] + [[np.zeros(0)]]
+        if len(rows) and len(queries):
+            points = _matrix(rows["v"].combine_chunks())
+            ids, numbers = rows["id"].to_numpy(), rows["row"].to_numpy()
+            square = np.einsum("ij,ij->i", points, points)
+            wanted = _matrix(queries["v"].combine_chunks())
+            for number, q, point in zip(queries["row"].to_numpy(), queries["id"].to_numpy(), wanted):
+                rough = square - 2 * (points @ point)
+                rough[ids == q] = np.inf
+                at = np.arange(len(ids))
+                if len(ids) > k:
+                    limit = np.partition(rough, k - 1)[k - 1]
+                    at = np.flatnonzero(rough <= limit + 1e-9 * (1 + abs(limit) + point @ point))
+                at = at[ids[at] != q]
+                score = np.sqrt(((points[at] - point) ** 2).sum(1))
+                best = np.lexsort((numbers[at], ids[at], score))[:k]
+                near = at[best]
+                for column, values in zip(out, (np.full(len(near), number), numbers[near], np.full(len(near), q),
+                                                ids[near], score[best])):
+                    column.append(values)
+        return pa.table([pa.array(np.concatenate(c)) for c in out], names=["query", "row", "query_id", "vec_id", "score"])
     return run
 
 
 def nearest(vectors: DataFrame, queries, k: int = 10, vector: str = "embedding", key: str = "vec_id",
-            trees: int = TREES, share: float = SHARE) -> DataFrame:
+            trees: int = TREES, share: float = SHARE, budget: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score`` (Euclidean distance) of the ``k`` nearest rows found for every
-    row of ``vectors`` that meets the condition ``queries`` (a column over ``id``)."""
+    row of ``vectors`` that meets the condition ``queries`` (a column over ``id``).
+
+    With a ``budget`` of rows per query the work grows with the queries, not with queries times rows; what it
+    does to the recall is for the caller to measure.
+    """
     spark = vectors.sparkSession
     rows = usable(vectors, vector, key)
     total = rows.count()
     below = float(SAMPLE_ROWS << 31) / max(1, total)
-    sample = rows.where(F.xxhash64("id").bitwiseAND((1 << 31) - 1) < below).select("v").toArrow()["v"]
+    drawn = F.xxhash64("id", "row").bitwiseAND((1 << 31) - 1)
+    sample = rows.where(drawn < below).select("v").toArrow()["v"]
     if total and not len(sample):  # a table of a few rows
         sample = rows.select("v").limit(SAMPLE_ROWS).toArrow()["v"]
     if not len(sample):
@@ -169,45 +178,47 @@ def nearest(vectors: DataFrame, queries, k: int = 10, vector: str = "embedding",
             for t in range(len(own)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(batch), t), pa.int32()), pa.array(own[t], pa.int32()),
-                     batch.column(0)], ["tree", "leaf", "id"])
+                     batch.column(0)], ["tree", "leaf", "row"])
 
-    index = common.settle(rows.mapInArrow(place, "tree int, leaf int, id long"), "forest")
+    index = common.settle(rows.select("row", "v").mapInArrow(place, "tree int, leaf int, row long"), "forest")
     sizes = index.groupBy("tree", "leaf").agg(F.count("*").alias("n"))
     counts = np.zeros((trees, 1 << forest.depth), np.int64)
     for r in sizes.collect():  # one entry per leaf, bounded by the sample
         counts[r["tree"], r["leaf"]] = r["n"]
     reached = spark.sparkContext.broadcast(counts)
+    enough = share * total if budget is None else budget
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for q, point in zip(batch.column(0).to_pylist(), _matrix(batch.column(1))):
-                own = np.array(reach(shared.value, reached.value, point, share * total), np.int64)
+            for number, q, point in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                        _matrix(batch.column(2))):
+                own = np.array(reach(shared.value, reached.value, point, enough), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([q] * len(own), pa.int64()), pa.array(own[:, 0], pa.int32()),
-                     pa.array(own[:, 1], pa.int32()),
-                     pa.array([point] * len(own), pa.list_(pa.float64()))], ["id", "tree", "leaf", "v"])
+                    [pa.array([number] * len(own), pa.int64()), pa.array([q] * len(own), pa.int64()),
+                     pa.array(own[:, 0], pa.int32()), pa.array(own[:, 1], pa.int32()),
+                     pa.array([point] * len(own), pa.list_(pa.float64()))], ["row", "id", "tree", "leaf", "v"])
 
-    asked = rows.where(queries).repartition("id")
-    probes = common.settle(asked.mapInArrow(probe, "id long, tree int, leaf int, v array<double>"), "probes")
+    asked = rows.where(queries).repartition("row")
+    probes = common.settle(asked.mapInArrow(probe, "row long, id long, tree int, leaf int, v array<double>"), "probes")
     need = probes.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts"))
     blocks = need.join(sizes, ["tree", "leaf"]).select(
         "tree", "leaf", "parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
 
     def part(of: str) -> F.Column:
-        return F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
+        return F.pmod(F.xxhash64("row"), F.col(of)).cast("int")
 
     def every(of: str) -> F.Column:
         return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
 
-    placed = index.join(rows, "id").join(blocks, ["tree", "leaf"])
-    placed = placed.select("tree", "leaf", "id", "v", part("blocks").alias("block"), every("parts").alias("part"))
+    columns = ["tree", "leaf", "row", "id", "v"]
+    placed = index.join(rows, "row").join(blocks, ["tree", "leaf"])
+    placed = placed.select(*columns, part("blocks").alias("block"), every("parts").alias("part"))
     probes = probes.join(blocks, ["tree", "leaf"])
-    probes = probes.select("tree", "leaf", "id", "v", every("blocks").alias("block"), part("parts").alias("part"))
+    probes = probes.select(*columns, every("blocks").alias("block"), part("parts").alias("part"))
     where = ["tree", "leaf", "block", "part"]
-    found = (placed.groupBy(*where).cogroup(probes.groupBy(*where))
-             .applyInArrow(_search(k), "query_id long, vec_id long, score double"))
+    found = placed.groupBy(*where).cogroup(probes.groupBy(*where)).applyInArrow(_search(k), _FOUND)
     found = found.distinct()  # a row is met once in every tree
-    order = W.partitionBy("query_id").orderBy("score", "vec_id")
+    order = W.partitionBy("query").orderBy("score", "vec_id", "row")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 

@@ -433,7 +433,26 @@ def op6(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    found, _ = near_duplicates(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near duplicates: that of the smallest id (null ids last), then text hash.
+
+    Rows that agree in id and text are one document, of which one row stays; documents with a null id, or an id
+    that several texts share, are compared like all others (``common.with_document_key``). Documents without
+    words are in no group. All columns are kept as they are, under any names.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("_all"), F.col("doc_id"), F.col("text"))
+    keyed = common.with_document_key(keyed, "_key")
+    names = keyed.select("_key", F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"))
+    names = common.settle(names.groupBy("_key").agg(
+        F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_h", "_key")).alias("_first"),
+        F.count("*").alias("_rows")), "names")
+    again = names.where("_rows > 1").select("_key")
+    if common.has_row(again):  # rows that agree in id and text are one
+        single = common.settle(keyed.join(again, "_key", "left_semi").dropDuplicates(["_key"]), "single")
+        keyed = keyed.join(again, "_key", "left_anti").unionByName(single)
+    found, _ = near_duplicates(keyed, key="_key")
+    found = common.settle(found.select(F.col("doc_id").alias("_key"), "component_id"), "members")
+    several = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1")
+    members = found.join(several, "component_id", "left_semi").join(names, "_key")
+    best = members.groupBy("component_id").agg(F.min("_first").alias("_best"))
+    gone = common.settle(members.join(best, "component_id").where("_key <> _best._key").select("_key"), "gone")
+    return keyed.join(gone, "_key", "left_anti").select("_all.*")

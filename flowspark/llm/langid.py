@@ -5,15 +5,14 @@ back to its character n-grams: the longest length of which at least one n-gram i
 adds the mean log frequency of the known ones. The language with the largest sum wins; ties go to
 the smaller name.
 
-The model is fitted by Spark on a bounded sample of labelled rows (``sample_docs`` per language,
-chosen by a hash of the id) and keeps the most frequent ``max_words`` words and ``max_grams`` n-grams
-of each length, so what tasks receive has a fixed bound. Prediction is one scan: no shuffle, no
-state, each text whole.
+The model is fitted by Spark on a bounded sample of labelled rows (``SAMPLE_DOCS`` per language,
+chosen by a hash of id and text) and keeps every word and n-gram of the sample, so what tasks receive is
+bounded by the sample. Prediction is one scan: no shuffle, no state, each text whole.
 
 Edge cases: a null text, an empty text and a text without letters are ``und`` with score 0, as is
-every text if no row is labelled. Rows with a null language are never learned from. Repeated rows
-count as often as they occur. Extra columns are kept in the result of ``predict``; columns of its
-own names are replaced.
+every text if no row is labelled. Rows with a null language are never learned from. Rows that agree in id,
+text and language are learned from once, whether their id is null or not. Equal sums go to the smaller name.
+Extra columns are kept in the result of ``predict``; columns of the names it gives its two are replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +32,6 @@ from flowspark.llm.registry import query, table
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 2000
-MAX_WORDS = 200_000
-MAX_GRAMS = 50_000
 LENGTHS = (5, 4, 3, 2, 1)
 #: Words from which on the score no longer grows with the length of a text.
 FULL_EVIDENCE = 8
@@ -122,41 +119,38 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def labelled_sample(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
                     per_lang: int = SAMPLE_DOCS) -> DataFrame:
-    """About ``per_lang`` labelled rows of every language (all, if it has fewer), by hash of the id."""
+    """About ``per_lang`` labelled documents of every language (all, if it has fewer), by hash of id and text.
+
+    Documents, not rows, are drawn: rows that agree in both are one, so that copies cannot swell the sample.
+    """
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"),
-                       F.xxhash64(F.col(key)).bitwiseAND((1 << 31) - 1).alias("h"))
+                       F.xxhash64(F.col(key), F.col(key).isNull(), F.col(text)).alias("doc"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = rows.groupBy("lang").agg((F.lit(float(per_lang << 31)) / F.count("*")).alias("below"))
+    share = rows.select("lang", "doc").distinct().groupBy("lang").agg(
+        (F.lit(float(per_lang << 31)) / F.count("*")).alias("below"))
     share = common.settle(share, "shares")  # its true size, a row per language, lets texts stay in place
-    return rows.join(share, "lang").where("h < below").select("text", "lang")
+    drawn = rows.join(share, "lang").where(F.col("doc").bitwiseAND((1 << 31) - 1) < F.col("below"))
+    return drawn.dropDuplicates(["lang", "doc"]).select("text", "lang")
 
 
-def fit(labelled: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    """Count words and n-grams of (text, lang) rows; the driver gets the bounded tables only."""
+def fit(labelled: DataFrame) -> Model:
+    """Count words and n-grams of (text, lang) rows; the driver gets the counts of this sample."""
     counts = labelled.select("text", "lang").mapInArrow(
         _count, "n int, key long, lang string, count long")
-    counts = counts.groupBy("n", "key", "lang").agg(F.sum("count").alias("count"))
-    total = counts.groupBy("n", "lang").agg(F.sum("count").alias("total"))
-    kinds = counts.groupBy("n", "key").agg(
-        F.sum("count").alias("total"),
-        F.collect_list(F.struct("lang", "count")).alias("by_lang"))  # one entry per language
-    kinds = common.settle(kinds, "langid")
-    totals = {(r["n"], r["lang"]): r["total"] for r in total.collect()}
+    counts = common.settle(counts.groupBy("n", "key", "lang").agg(F.sum("count").alias("count")), "langid")
+    totals = {(r["n"], r["lang"]): r["total"]
+              for r in counts.groupBy("n", "lang").agg(F.sum("count").alias("total")).collect()}
     langs = sorted({lang for _, lang in totals})
-    column = {lang: i for i, lang in enumerate(langs)}
+    number = F.array_position(F.array(*[F.lit(lang) for lang in langs]).cast("array<string>"), F.col("lang")) - 1
     keys, scores = {}, {}
     for n in (0, *LENGTHS):
-        best = (kinds.where(F.col("n") == n).orderBy(F.desc("total"), "key")
-                .limit(max_words if n == 0 else max_grams).toArrow())
-        found = best["key"].to_numpy().view(np.uint64)
-        table_ = np.zeros((len(found), len(langs)))
-        for i, entries in enumerate(best["by_lang"].to_pylist()):
-            for e in entries:
-                table_[i, column[e["lang"]]] = e["count"]
+        own = counts.where(F.col("n") == n).select("key", number.cast("int").alias("lang"), "count").toArrow()
+        found, row = np.unique(own["key"].to_numpy().view(np.uint64), return_inverse=True)
+        table_ = np.full((len(found), len(langs)), _SMOOTH)
+        table_[row, own["lang"].to_numpy()] += own["count"].to_numpy()
         norm = np.array([totals.get((n, lang), 0) + _SMOOTH * (len(found) + 1) for lang in langs])
-        order = np.argsort(found)
-        keys[n] = found[order]
-        scores[n] = np.log((table_[order] + _SMOOTH) / norm).astype(np.float32)
+        keys[n] = found
+        scores[n] = np.log(table_ / norm).astype(np.float32)
     return Model(langs, keys, scores)
 
 
@@ -187,13 +181,13 @@ def _score(model: Model, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text",
-            keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (all columns, or those to ``keep``) with ``lang_pred`` and ``score`` (0 to 1: the
-    winner's share of the likelihood, taken over at most ``FULL_EVIDENCE`` average words)."""
-    rest = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
+            keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` (all columns, or those to ``keep``) with the language and its score (0 to 1: the winner's
+    share of the likelihood, taken over at most ``FULL_EVIDENCE`` average words) in columns ``names``."""
+    rest = [c for c in keep or docs.columns if c not in names]
     schema = T.StructType([docs.schema[c] for c in rest]
-                          + [T.StructField("lang_pred", T.StringType()),
-                             T.StructField("score", T.DoubleType())])
+                          + [T.StructField(names[0], T.StringType()),
+                             T.StructField(names[1], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,10 +205,10 @@ def predict(docs: DataFrame, model: Model, text: str = "text",
                 langs += [model.langs[b] if ok else UNKNOWN for b, ok in zip(best, lettered)]
                 scores += np.where(lettered, share[np.arange(hi - lo), best], 0.0).tolist()
             kept = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != _TEXT]
-            names = [c for c in batch.schema.names if c != _TEXT]
+            others = [c for c in batch.schema.names if c != _TEXT]
             yield pa.RecordBatch.from_arrays(
                 kept + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names + ["lang_pred", "score"])
+                others + list(names))
 
     return docs.select(*rest, F.col(text).alias(_TEXT)).mapInArrow(run, schema)
 
@@ -240,10 +234,16 @@ MIN_SCORE = 0.3
 
 
 def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """Documents that have a language; those without letters or with no clear language go."""
+    """Documents that have a language; those without letters or with no clear language go.
+
+    Every row is judged on its own text, whatever its id. Where no row is labelled there is nothing to judge
+    by, and all documents with a letter stay. All columns are kept as they are, under any names.
+    """
     model = fit(labelled_sample(docs.where(~held_out())))
     if not model.langs:
-        return docs.where(F.lit(False))
-    names = docs.columns
-    found = predict(docs, model)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*names)
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    own = ("_lang_pred", "_lang_score")
+    while set(own) & set(docs.columns):
+        own = tuple("_" + c for c in own)
+    found = predict(docs, model, names=own)
+    return found.where((F.col(own[0]) != UNKNOWN) & (F.col(own[1]) >= min_score)).select(*docs.columns)

@@ -116,9 +116,17 @@ def line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """Documents without their repeated chunks; one of which nothing is left goes."""
-    names = docs.columns
-    out = remove_repeated_chunks(docs).where("n_removed = 0 or text <> ''")
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0)))
-    return out.select(*names)
+    """Documents without their repeated chunks; one of which nothing is left goes.
+
+    Rows with a null id, repeated rows and null texts are treated as ``remove_repeated_chunks`` says. ``text``
+    and ``n_chars``, where there is one, are brought up to date; all other columns, under any names, are kept as they
+    are.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    inner = docs.select("doc_id", "text", *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(rest)])
+    out = remove_repeated_chunks(inner).where("n_removed = 0 or text <> ''")
+    made = {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    made |= {c: F.col(f"_keep{i}") for i, c in enumerate(rest)}
+    if "n_chars" in made:
+        made["n_chars"] = F.coalesce(F.length("text").cast("long"), F.lit(0))
+    return out.select(*[made[c].alias(c) for c in docs.columns])

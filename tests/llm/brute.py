@@ -1,6 +1,7 @@
 """Plain versions of the operators on lists, for small fixtures."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -102,3 +103,47 @@ def patterns(text):
 
 def crc(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+def _letter_words(text):
+    """Letter runs of the lower-cased text."""
+    return re.findall(r"[^\W\d_]+", (text or "").lower())
+
+
+def language_model(rows):
+    """Counts of words (length 0) and n-grams per language; words have a blank on both sides."""
+    counts = {n: {} for n in range(6)}
+    for _, text, lang in rows:
+        for w in _letter_words(text):
+            for n in range(6):
+                padded = f" {w} "
+                for g in [w] if n == 0 else [padded[i:i + n] for i in range(len(padded) - n + 1)]:
+                    own = counts[n].setdefault(g, {})
+                    own[lang] = own.get(lang, 0) + 1
+    return sorted({lang for _, _, lang in rows}), counts
+
+
+def language(model, text):
+    langs, counts = model
+    words = _letter_words(text)
+    if not words:
+        return "und", 0.0
+    total = {n: {lang: sum(c.get(lang, 0) for c in counts[n].values()) for lang in langs} for n in counts}
+
+    def log(n, g, lang):
+        return math.log((counts[n][g].get(lang, 0) + .5) / (total[n][lang] + .5 * (len(counts[n]) + 1)))
+
+    sums, used = dict.fromkeys(langs, 0.0), 0
+    for w in words:
+        for n in (0, 5, 4, 3, 2, 1):
+            padded = f" {w} "
+            known = [g for g in ([w] if n == 0 else [padded[i:i + n] for i in range(len(padded) - n + 1)])
+                     if g in counts[n]]
+            if known:
+                used += 1
+                for lang in langs:
+                    sums[lang] += sum(log(n, g, lang) for g in known) / len(known)
+                break
+    mean = {lang: s / max(1, used) * min(used, 8) for lang, s in sums.items()}
+    best = max(langs, key=lambda lang: mean[lang])
+    return best, 1 / sum(math.exp(m - mean[best]) for m in mean.values())

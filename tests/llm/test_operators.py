@@ -172,11 +172,40 @@ def test_language(spark):
     assert [r["lang_pred"] for r in langid.predict(unseen, model).orderBy("doc_id").collect()] == ["xx", "yy"]
     assert out[900]["lang"] == "xx" and {i for i in out if zlib.crc32(str(i).encode()) % 3 == 1} == {
         r[0] for r in docs.where(langid.held_out()).select("doc_id").collect()}
+    clash = langid.predict(docs.withColumn("score", F.lit("x")), model, names=("guess", "lang"))
+    assert {r["score"] for r in clash.collect()} == {"x"} and clash.columns.count("lang") == 1
     empty = langid.fit(docs.limit(0).select("text", "lang"))
     assert {r["lang_pred"] for r in langid.predict(docs, empty).collect()} == {"und"}
     assert langid.keep_identified(docs).count() == 200
 
 
+def test_language_by_hand(spark):
+    """Every prediction equals the one of dictionaries of words and n-grams, ties to the smaller name."""
+    r = random.Random(4)
+    vocabulary = {lang: ["".join(r.choices(letters, k=r.randint(1, 7))) for _ in range(60)]
+                  for lang, letters in (("aa", "abcdé"), ("bb", "bcdefg"), ("cc", "xyzaß"))}
+    made = [(i, " ".join(r.choices(vocabulary[lang], k=r.randint(1, 25))) + r.choice(["", " 12", "!?"]), lang)
+            for i, lang in enumerate(["aa", "bb", "cc"] * 40)]
+    made += [(None, made[0][1], "aa")] * 30 + [(7, "bcd bcd", "bb")] * 5 + [(500, None, "aa"), (501, "...", None)]
+    made += [(600 + i, " ".join("".join(r.choices("abcdefgxyzß", k=5)) for _ in range(4)), None) for i in range(30)]
+    made += [(700, "qqq qqq", None), (701, "", None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(langid.labelled_sample(docs))
+    got = {(r["doc_id"], r["text"]): (r["lang_pred"], r["score"]) for r in langid.predict(docs, model).collect()}
+    learned = brute.language_model({(k, t, lang) for k, t, lang in made if t is not None and lang is not None})
+    for k, t, _ in made:
+        lang, score = brute.language(learned, t)
+        assert got[k, t][0] == lang and abs(got[k, t][1] - score) < 1e-4, (k, t)
+
+
+def test_sample_is_bounded(spark):
+    made = [(None, f"text {i}", "xx") for i in range(3000)] + [(5, f"other {i}", "yy") for i in range(3000)]
+    made += [(None, "same", "zz")] * 3000
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    n = {r["lang"]: r["count"] for r in langid.labelled_sample(docs, per_lang=500).groupBy("lang").count().collect()}
+    assert 400 < n["xx"] < 600 and 400 < n["yy"] < 600 and n["zz"] == 1
+
+
 PIECES = ["Hello world's  end\n\n x", "", None, "'s", "a's't'll'lx 're''s '!s 'S", " \n ", "x  ", "\t\tx　y",
           "<|endoftext|> a", "don't I'm we'd they've 12'3 'm\n's 'd", "²½ٳ x​ y\x1c\x85z", "a" * 5000]
 
@@ -295,6 +324,31 @@ def test_nearest(spark):
     assert forest.nearest(table.where("vec_id < 3"), F.lit(True)).count() == 6
 
 
+def test_nearest_with_repeated_ids(spark):
+    made = [(1, [0.0, 1.0])] * 3 + [(2, [0.0, 2.0])] * 2 + [(2, [0.0, 5.0]), (None, [0.0, 1.0])]
+    table = spark.createDataFrame(made, "vec_id long, embedding array<double>").withColumn("row", F.lit(0))
+    out = got(forest.nearest(table, F.col("id") == 1).select("query_id", "vec_id", "score", "rank"))
+    assert out == sorted([(1, 2, 1.0, 1), (1, 2, 1.0, 2), (1, 2, 4.0, 3)] * 3)
+
+
+@pytest.mark.parametrize("rows, least", [(500, 3), (20_000, 4)])
+def test_nearest_uses_trees(spark, rows, least):
+    """End to end: recall against all distances, through trees on small tables as on larger ones."""
+    rng = np.random.default_rng(rows)
+    points = rng.standard_normal((rows, 8))
+    assert forest.fit(points[:forest.SAMPLE_ROWS], rows).depth >= least
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    step = rows // 50
+    recall = {}
+    for budget in (None, rows // 4):
+        own = {}
+        for r in forest.nearest(table, F.col("id") % step == 0, budget=budget).collect():
+            own.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = sum(len(own[q] & set(np.argsort(((points - points[q]) ** 2).sum(1))[1:11].tolist())) for q in own)
+        recall[budget] = hits / (10 * len(own))
+    assert recall[None] >= 0.9 and 0.3 < recall[rows // 4] <= recall[None]
+
+
 def test_forest_recall():
     rng = np.random.default_rng(5)
     points = rng.standard_normal((20_000, 32))
