@@ -67,26 +67,27 @@ def remove_repeated_chunks(docs: DataFrame, text: str = "text", key: str = "doc_
     several = several.where("lo <> hi").select("h")
     wanted = multi.join(several, "h", "left_semi")
     by_row = wanted.groupBy("_row").agg(F.collect_set("chunk").alias("wanted"))
+    pieces = F.expr(f"""transform(array({_chunks('_text')}), cs -> transform(wanted,
+        i -> struct(i as chunk, array_join(cs[i], '\n') as bytes)))[0]""")
     seen = (rows.select("_row", "_text").join(by_row, "_row").dropDuplicates(["_row"])
-            .select("_row", "wanted", split.alias("chunks"))
-            .select("_row", F.explode("wanted").alias("chunk"), "chunks")
-            .select("_row", "chunk", F.array_join(F.get("chunks", F.col("chunk")), "\n").alias("bytes")))
+            .select("_row", F.explode(pieces).alias("p")).select("_row", "p.chunk", "p.bytes"))
     owner = (seen.groupBy("bytes")
              .agg(F.min(F.struct("_row", "chunk")).alias("first")))
     repeated = (seen.join(owner, "bytes")
                 .where(F.struct("_row", "chunk") != F.col("first"))
                 .groupBy("_row").agg(F.collect_set("chunk").alias("gone")))
     out = rows.join(repeated, "_row", "left").withColumn("chunks", split)
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.filter("chunks", lambda c, i: ~F.array_contains(gone, i))
-    lost = F.filter("chunks", lambda c, i: F.array_contains(gone, i))
+    kept = F.expr("""transform(array(struct(chunks as cs, concat(array(-1), array_sort(gone), array(size(chunks)))
+        as cut)), s -> flatten(transform(sequence(1, size(s.cut) - 1),
+            j -> slice(s.cs, s.cut[j - 1] + 2, s.cut[j] - s.cut[j - 1] - 1))))[0]""")  # what lies between removed ones
     lines = lambda cs: F.coalesce(F.aggregate(cs, F.lit(0), lambda n, c: n + F.size(c)), F.lit(0))
-    clean = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(
-        F.array_join(F.flatten(kept), "\n"))
+    out = out.withColumn("kept", F.when(F.col("gone").isNotNull(), kept))
+    clean = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(F.flatten("kept"), "\n"))
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(lines(F.col("chunks")) - lines(F.col("kept")))
     made = {text: clean} | {c: F.col(f"_c{i}") for i, c in enumerate(rest)}
     return out.select(*[made[c].alias(c) for c in docs.columns if c in made],
                       lines(F.col("chunks")).cast("long").alias("n_lines"),
-                      lines(lost).cast("long").alias("n_removed"))
+                      n_removed.cast("long").alias("n_removed"))
 
 
 ORACLE = f"""
