@@ -2,7 +2,7 @@
 
 Documents are dealt to shards by ranges of ``doc_id``; each task encodes its documents in that order and
 writes the ids, end to end, as one Arrow IPC file: batches of two fixed-size lists, ``input_ids`` and
-``attention_mask`` (false on the padding of the last sequence). The column buffers are plain arrays, so
+``attention_mask`` (a byte each, 0 on the padding of the last sequence). The column buffers are plain arrays, so
 a reader that maps a file into memory gets any sequence without copying. A second file lists the
 documents of the shard and where their ids begin. Ids are stored in 16 bits if the vocabulary allows.
 
@@ -50,7 +50,7 @@ class ShardWriter:
         self.kind, self.length = np.dtype(kind), length
         self.schema = pa.schema([
             ("input_ids", pa.list_(pa.from_numpy_dtype(self.kind), length)),
-            ("attention_mask", pa.list_(pa.bool_(), length))])
+            ("attention_mask", pa.list_(pa.uint8(), length))])
         self.docs_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [self.fs.open_output_stream(f"{self.part}.{x}") for x in ("arrow", "docs.arrow")]
         self.ids = pa.ipc.new_file(self.sinks[0], self.schema)
@@ -75,7 +75,7 @@ class ShardWriter:
             self.held, self.waiting = [flat[whole:]], len(flat) - whole
 
     def _write(self, flat: np.ndarray, used: int) -> None:
-        mask = np.arange(len(flat)) < used
+        mask = (np.arange(len(flat)) < used).astype(np.uint8)
         self.ids.write_batch(pa.record_batch(
             [pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length),
              pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
@@ -103,21 +103,22 @@ class ShardReader:
         self.file = opened(f"{base}/shard-{shard:06d}.arrow")
         self.docs = opened(f"{base}/shard-{shard:06d}.docs.arrow")
         self.length = self.file.schema.field("input_ids").type.list_size
-        self._at, self._flat = -1, None
+        self._at, self._flat, self._mask = -1, None, None
 
     def _batch(self, i: int) -> np.ndarray:
         if i != self._at:
-            column = self.file.get_batch(i).column(0)
-            values = column.values.slice(column.offset * self.length, len(column) * self.length)
-            self._at, self._flat = i, values.to_numpy(zero_copy_only=True)
+            flat = []
+            for column in self.file.get_batch(i).columns:
+                values = column.values.slice(column.offset * self.length, len(column) * self.length)
+                flat.append(values.to_numpy(zero_copy_only=True))
+            self._at, (self._flat, self._mask) = i, flat
         return self._flat
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence ``i``."""
-        batch = self.file.get_batch(i // BATCH_SEQUENCES)
-        at = i % BATCH_SEQUENCES
-        return (self._batch(i // BATCH_SEQUENCES)[at * self.length: (at + 1) * self.length],
-                batch.column(1)[at].values.to_numpy(zero_copy_only=False))
+        """(ids, mask) of sequence ``i``, both views of the mapped file; the mask has a byte per id, 1 or 0."""
+        at = i % BATCH_SEQUENCES * self.length
+        ids = self._batch(i // BATCH_SEQUENCES)
+        return ids[at: at + self.length], self._mask[at: at + self.length]
 
     def span(self, start: int, count: int) -> np.ndarray:
         """``count`` ids from position ``start`` of the shard on."""
