@@ -1,25 +1,30 @@
-"""Training on each client's rows, which a stated number of tasks share.
+"""Training on each client's rows, which many tasks share.
 
-``TrainConfig.shards`` says how many tasks hold the rows of a client; it never follows from the data.
-With full batches (``batch_size=None``) the gradients of the shards are summed before every step, so
+``TrainConfig.shards`` says into how many groups the rows of a client are dealt; it never follows from the
+data. With full batches (``batch_size=None``) the gradients of the shards are summed before every step, so
 the result is the same for any number. Mini-batches run inside a shard, and the shards' parameters
 and moments are averaged by rows after every epoch; one shard is ordinary mini-batch training.
 Choose as many shards as it takes for a share of the largest client to fit in a task.
+
+``TrainConfig.tasks`` asks for ordinary mini-batch training over many tasks instead (``allreduce``): that many
+tasks hold the rows of all clients and sum the gradients of every batch, so results do not depend on
+their number. A step then waits for all tasks, which takes Spark a second, so batches should be large.
 """
 
 from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from flowspark.operators import mlp
+from flowspark.operators import allreduce, mlp
 from flowspark.operators.joins import key_join
-from flowspark.operators.score import MAX_PARAMETERS
-from flowspark.session import settle
+from flowspark.operators.score import MAX_PARAMETERS, load_models
+from flowspark.session import scratch_path, settle
 
 
 @dataclass(frozen=True)
@@ -33,7 +38,8 @@ class TrainConfig:
     weight_decay: float = 0.1
     optimizer: str = "adamw"
     batch_size: int | None = 512  # None: all rows of a client in every step
-    shards: int = 1  # tasks that share the rows of a client
+    shards: int = 8  # groups that share the rows of a client
+    tasks: int | None = None  # if given: tasks that share all rows and sum the gradients of each batch
     seed: int = 69
     mu: float | None = None  # proximal term, pulls towards the global model
     delta: float | None = None  # smoothing of the personal model, mixes with the global model
@@ -42,6 +48,11 @@ class TrainConfig:
     def with_(self, **changes) -> TrainConfig:
         return replace(self, **changes)
 
+    @property
+    def groups(self) -> int | None:
+        """Shards to deal rows to; None where training deals them to its tasks."""
+        return None if self.tasks else self.shards
+
 
 def begin(start: list[np.ndarray], own: list[np.ndarray] | None, cfg: TrainConfig) -> list[np.ndarray]:
     """Where a client starts: the global model, or its mix with the client's own (Fed+)."""
@@ -102,21 +113,21 @@ def shard_seed(*parts) -> int:
 
 
 def to_shards(
-    df: DataFrame, features: list[str], label: str, client: str, key: str, shards: int = 1
+    df: DataFrame, features: list[str], label: str, client: str, key: str, shards: int | None
 ) -> DataFrame:
     """Rows (client, shard, key, features, label), the rows of a client dealt to ``shards`` by key.
 
-    The shuffle is done here once; repeated training rounds on a persisted result need none.
+    Without ``shards`` (None) rows stay where they are: training deals them to its tasks.
     """
-    if shards < 1:
+    if shards is not None and shards < 1:
         raise ValueError("at least one shard is needed")
     rows = df.select(
         F.col(client).cast("string").alias("client"),
-        F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards)).cast("int").alias("shard"),
+        F.pmod(F.xxhash64(F.lit("shard"), key), F.lit(shards or 1)).cast("int").alias("shard"),
         F.col(key).alias("key"), *[F.col(f).cast("double").alias(f) for f in features],
         F.col(label).cast("double").alias("label"),
     )
-    return rows.repartition("client", "shard")
+    return rows.repartition("client", "shard") if shards else rows
 
 
 _OUT = "client string, shard int, n long, layer int, values array<double>, losses array<double>"
@@ -151,12 +162,15 @@ def client_update(
     """Train every client from ``start``; rows (client, shard, n, layer, values, losses).
 
     ``shards`` comes from :func:`to_shards` with ``cfg.shards``. ``local`` (client, layer, pos, value)
-    holds the personal models of the Fed+ update; it is matched to the rows by a cogroup, so the
-    models of many clients never meet in one place. With one shard all epochs run in one stage;
-    with several, every epoch is one, and the result has one row per client and tensor (shard 0).
+    holds the personal models of the Fed+ update; with shards it is matched to the rows by a cogroup, so
+    the models of many clients never meet in one place. With one shard all epochs run in one stage;
+    with several, every epoch is one, and the result has one row per client and tensor (shard 0), as it has
+    with ``cfg.tasks``.
     """
     if sum(t.size for t in start) > MAX_PARAMETERS:
         raise ValueError("the model is too large to ship to tasks")
+    if cfg.tasks is not None:
+        return _together(shards, features, start, cfg, round_, local)
     if cfg.shards > 1:
         return _shared_update(shards, features, start, cfg, round_, local)
     shared = shards.sparkSession.sparkContext.broadcast(start)
@@ -187,6 +201,36 @@ def client_update(
     )
 
 
+def _together(rows, features, start, cfg: TrainConfig, round_: int, local) -> DataFrame:
+    """All clients by summed gradients, as many at a time as may be shipped together."""
+    spark = rows.sparkSession
+    clients = settle(rows.groupBy("client").agg(F.count(F.lit(1)).alias("n")), "clients")
+    size = sum(t.size for t in start) * (1 if local is None else 2)
+    at_once = max(1, MAX_PARAMETERS // (4 * size))  # a model comes with its two moments
+    listed = sorted(((r["client"], r["n"]) for r in clients.collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    path, shapes = scratch_path(spark, "trained"), [t.shape for t in start]
+    for at in range(0, max(1, len(listed)), at_once):
+        some = listed[at: at + at_once]
+        codes = spark.createDataFrame([(c, i) for i, (c, _) in enumerate(some)], "client string, part int")
+        own = {}
+        if local is not None:
+            mine = key_join(local, codes.select("client"), ["client"])
+            own = load_models(mine.withColumn("client", F.coalesce("client", F.lit("\0"))), shapes, "client")
+        jobs = []
+        for i, (client, n) in enumerate(some):
+            mine = own.get("\0" if client is None else client)
+            jobs.append(allreduce.Job(
+                client, i, False, n, cfg.batch_size, begin(start, mine, cfg),
+                partial(advance, cfg=cfg), partial(pull, cfg=cfg), start, mine,
+                mlp.Optimizer(cfg.optimizer, cfg.lr, cfg.momentum, cfg.weight_decay)))
+        placed = key_join(rows.drop("shard"), codes, ["client"])
+        allreduce.train(placed, features, jobs, cfg.epochs, f"{cfg.seed}:{round_}", cfg.tasks)
+        out = [(j.name, 0, j.rows, layer, t.ravel().tolist(), j.losses)
+               for j in jobs for layer, t in enumerate(j.params)]
+        spark.createDataFrame(out, _OUT).write.mode("append").parquet(path)
+    return spark.read.schema(_OUT).parquet(path)
+
+
 def _tensors(rows: pd.DataFrame, col: str, like: list[np.ndarray]) -> list[np.ndarray]:
     found = rows.sort_values("layer")[col]
     return [np.array(v, dtype=float).reshape(t.shape) for v, t in zip(found, like)]
@@ -315,44 +359,56 @@ def train_log(trained: DataFrame) -> DataFrame:
 
 
 def grid_search(
-    shards: DataFrame, features: list[str], grid: list[TrainConfig], k: int = 5
+    rows: DataFrame, features: list[str], grid: list[TrainConfig], k: int = 5, tasks: int | None = None
 ) -> DataFrame:
     """k-fold score of every setting: rows (candidate, fold, score, n).
 
-    Folds come from a hash of the key. Every (setting, fold, shard) is a group of its own: rows are
-    copied once per setting and fold so that the search spreads over the cluster, and ``shards``
-    should be the sample to tune on. A shard is trained on its rows outside the fold and scored on
-    those inside it; the score of a fold is the mean over shards, weighted by rows. A shard with no
-    rows on one side of the fold has nothing to score: it counts 0 rows, and a fold of only such
-    shards has score NULL and n 0.
+    Folds come from a hash of the key. ``rows`` (key, features, label; see :func:`to_shards`) are dealt to
+    ``tasks`` once per epoch and never copied: the models of all settings and folds are trained side by side
+    by summed gradients, each on the rows outside its fold, and then score the rows inside it in one scan.
+    Batches of all folds end together, so the tasks exchange as many sums as the smallest batches need.
+    A fold with no rows, or with all of them, has score NULL and n 0.
     """
-    width = len(features)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["key", *features, "label"])
-        client, shard = str(pdf["client"].iloc[0]), int(pdf["shard"].iloc[0])
-        x, y = pdf[features].to_numpy(dtype=float), pdf["label"].to_numpy(dtype=float)
-        c, f = divmod(int(pdf["run"].iloc[0]), k)
-        inside, cfg = pdf["fold"].to_numpy() == f, grid[c]
-        if not inside.any() or inside.all():
-            out = [(c, f, None, 0)]
-        else:
-            start = mlp.init(width, cfg.hidden, cfg.seed)
-            seed = shard_seed(cfg.seed, c, f, client, shard)
-            params, _ = fit_arrays(start, x[~inside], y[~inside], cfg, seed)
-            right = (mlp.logits(params, x[inside]) > 0) == (y[inside] > 0.5)
-            out = [(c, f, float(right.mean()), int(inside.sum()))]
-        return pd.DataFrame(out, columns=["candidate", "fold", "score", "n"])
-
+    spark, total = rows.sparkSession, rows.count()
     digits = F.substring(F.md5(F.concat(F.lit("fold:"), F.col("key").cast("string"))), 1, 8)
-    folds = shards.withColumn("fold", (F.conv(digits, 16, 10).cast("long") % k).cast("int"))
-    runs = folds.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(grid) * k - 1))))
-    scores = runs.groupBy("client", "shard", "run").applyInPandas(
-        run, "candidate int, fold int, score double, n long"
-    )
-    return scores.groupBy("candidate", "fold").agg(
-        F.try_divide(F.sum(F.col("score") * F.col("n")), F.sum("n")).alias("score"),
-        F.sum("n").alias("n"),
+    folds = rows.select("key", "label", *features, (F.conv(digits, 16, 10).cast("long") % k).cast("int").alias("part"))
+    runs = [(c, f) for c in range(len(grid)) for f in range(k)]
+    models = {}
+    for epochs, seed in sorted({(cfg.epochs, cfg.seed) for cfg in grid}):
+        own = [(c, f) for c, f in runs if (grid[c].epochs, grid[c].seed) == (epochs, seed)]
+        starts = {c: mlp.init(len(features), grid[c].hidden, seed) for c, _ in own}
+        size = max(sum(t.size for t in s) for s in starts.values())
+        at_once = max(1, MAX_PARAMETERS // (4 * size))
+        for at in range(0, len(own), at_once):
+            jobs = [allreduce.Job(
+                f"{c}:{f}", f, True, max(1, total * (k - 1) // k), grid[c].batch_size, begin(starts[c], None, grid[c]),
+                partial(advance, cfg=grid[c]), partial(pull, cfg=grid[c]), starts[c], None,
+                mlp.Optimizer(grid[c].optimizer, grid[c].lr, grid[c].momentum, grid[c].weight_decay),
+            ) for c, f in own[at: at + at_once]]
+            allreduce.train(folds, features, jobs, epochs, str(seed), tasks)
+            models |= {pair: job.params for pair, job in zip(own[at: at + at_once], jobs)}
+    shared = spark.sparkContext.broadcast(models)
+
+    def judge(batches):
+        right: dict = {}
+        for pdf in batches:
+            x, y = pdf[features].to_numpy(dtype=float), pdf["label"].to_numpy(dtype=float) > 0.5
+            part = pdf["part"].to_numpy()
+            for (c, f), params in shared.value.items():
+                inside = part == f
+                if inside.any():
+                    hits, n = right.get((c, f), (0, 0))
+                    good = (mlp.logits(params, x[inside]) > 0) == y[inside]
+                    right[c, f] = hits + int(good.sum()), n + int(inside.sum())
+        yield pd.DataFrame([(c, f, *v) for (c, f), v in right.items()], columns=["candidate", "fold", "hits", "n"])
+
+    counts = folds.mapInPandas(judge, "candidate int, fold int, hits long, n long")
+    counts = counts.groupBy("candidate", "fold").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+    every = spark.createDataFrame(runs, "candidate int, fold int").join(counts, ["candidate", "fold"], "left")
+    known = F.col("n") < total  # a fold of all rows leaves nothing to train on
+    return every.select(
+        "candidate", "fold", F.when(known, F.col("hits") / F.col("n")).alias("score"),
+        F.coalesce(F.when(known, F.col("n")), F.lit(0)).alias("n"),
     )
 
 

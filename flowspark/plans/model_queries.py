@@ -15,7 +15,7 @@ from flowspark.plans.standins import (
     FLOW_FEATURES, FLOWS, LINEAR_BIAS, LINEAR_WEIGHTS, flows, table, training_flows,
 )
 from flowspark.schemas import FEATURES
-from flowspark.session import spread
+from flowspark.session import settle, spread
 
 SMALL = train.TrainConfig(hidden=(16, 8), epochs=2, lr=1e-3, weight_decay=1e-2, batch_size=512)
 
@@ -152,7 +152,7 @@ def eval_grid(spark, sf):
 # --- training -----------------------------------------------------------------------------------
 
 
-def _shards(spark, sf, shards: int = 1):
+def _shards(spark, sf, shards: int):
     data, _ = training_flows(spark, sf)
     scaler = scaling.fit_minmax(data, FLOW_FEATURES, ["client_id"])
     scaled = scaling.apply_minmax(data, scaler, FLOW_FEATURES, ["client_id"])
@@ -170,7 +170,7 @@ def local_training(spark, sf):
 @query("train_log")
 def train_log(spark, sf):
     start = mlp.init(len(FLOW_FEATURES), SMALL.hidden, SMALL.seed)
-    return train.train_log(train.client_update(_shards(spark, sf), FLOW_FEATURES, start, SMALL))
+    return train.train_log(train.client_update(_shards(spark, sf, SMALL.groups), FLOW_FEATURES, start, SMALL))
 
 
 @query(
@@ -237,13 +237,17 @@ def central_run(spark, sf):
     return rounds.central_run(data, test, FLOW_FEATURES, "label", "client_id", "key", SMALL)
 
 
-def _tuning_shards(spark, sf):
-    """A tenth of the training rows of all clients, scaled together."""
+def tuning_rows(spark, sf, share: float):
+    """A share of the training rows of all clients, scaled together."""
     data, _ = training_flows(spark, sf)
-    sample = sampling.hash_sample(data, "key", 0.1, 69)
+    sample = sampling.hash_sample(data, "key", share, 69)
     scaled = scaling.apply_minmax(sample, scaling.fit_minmax(sample, FLOW_FEATURES), FLOW_FEATURES)
     pooled = scaled.withColumn("_all", F.lit("all"))
-    return train.to_shards(pooled, FLOW_FEATURES, "label", "_all", "key")
+    return settle(train.to_shards(pooled, FLOW_FEATURES, "label", "_all", "key", None), "tuning")
+
+
+#: Share of the training rows that settings are tuned on, as published.
+TUNING_SHARE = 0.1
 
 
 @query("grid_search")
@@ -253,7 +257,7 @@ def grid_search(spark, sf):
         base.with_(batch_size=b, lr=lr, weight_decay=w)
         for b in (256, 512) for lr in (1e-3, 1e-4) for w in (0.1, 0.01)
     ]
-    return train.grid_summary(train.grid_search(_tuning_shards(spark, sf), FLOW_FEATURES, grid))
+    return train.grid_summary(train.grid_search(tuning_rows(spark, sf, TUNING_SHARE), FLOW_FEATURES, grid))
 
 
 @query(

@@ -1,4 +1,8 @@
-"""Whole runs: federated, local and central training with evaluation on every client."""
+"""Whole runs: federated, local and central training with evaluation on every client.
+
+Scaled rows are written once; what is persisted on executors is their copy dealt to shards, which a lost
+executor rebuilds from that table by one scan and shuffle.
+"""
 
 from __future__ import annotations
 
@@ -42,7 +46,7 @@ def federated_run(
     Rows are scaled per client by the fit on its own training rows and placed in shards once. A
     round trains all taking-part clients, combines them and evaluates the new global model; its
     parameters and metrics are written to shared scratch, so no round depends on an earlier plan.
-    ``config_fn`` may change settings per round, save the number of shards; ``on_round`` sees the metrics of each round.
+    ``config_fn`` may change settings per round, save the number of shards or tasks; ``on_round`` sees the metrics of each round.
 
     ``out`` (by default a scratch folder) receives ``params`` (layer, pos, value), ``metrics`` and
     ``history`` (loss and accuracy over clients, weighted by rows), by model and round; with Fed+ also
@@ -54,9 +58,9 @@ def federated_run(
     base = out or scratch_path(spark, "federated")
     scaler = settle(fit_minmax(data, features, [client]), "scalers")
     scaled_test = apply_minmax(test, scaler, features, [client]).select(client, *features, label)
-    scaled_test = scaled_test.persist(StorageLevel.MEMORY_AND_DISK)
-    scaled = apply_minmax(data, scaler, features, [client])
-    shards = train.to_shards(scaled, features, label, client, key, cfg.shards)
+    scaled_test = settle(scaled_test, "scaled_test")
+    scaled = settle(apply_minmax(data, scaler, features, [client]), "scaled")
+    shards = train.to_shards(scaled, features, label, client, key, cfg.groups)
     shards = shards.persist(StorageLevel.MEMORY_AND_DISK)
     clients = settle(shards.select("client").distinct(), "clients")
     shapes = mlp.shapes(len(features), cfg.hidden)
@@ -108,7 +112,6 @@ def federated_run(
                     on_round(r, spark.read.parquet(path))
     finally:
         shards.unpersist()
-        scaled_test.unpersist()
     return spark.read.parquet(f"{base}/metrics").select("model", "round", "client", "metric", "value")
 
 
@@ -182,8 +185,8 @@ def local_run(
     """
     spark = data.sparkSession
     scaler = settle(fit_minmax(data, features, [client]), "scalers")
-    scaled = apply_minmax(data, scaler, features, [client])
-    shards = train.to_shards(scaled, features, label, client, key, cfg.shards)
+    scaled = settle(apply_minmax(data, scaler, features, [client]), "scaled")
+    shards = train.to_shards(scaled, features, label, client, key, cfg.groups)
     shards = shards.persist(StorageLevel.MEMORY_AND_DISK)
     shapes = mlp.shapes(len(features), cfg.hidden)
     size = sum(math.prod(shape) for shape in shapes)
@@ -216,8 +219,8 @@ def central_run(
     spark = data.sparkSession
     pooled = data.groupBy(*features, label).agg(F.min(key).alias(key))
     scaler = settle(fit_minmax(pooled, features), "scaler")
-    scaled = apply_minmax(pooled, scaler, features).withColumn("_central", F.lit("central"))
-    shards = train.to_shards(scaled, features, label, "_central", key, cfg.shards)
+    scaled = settle(apply_minmax(pooled, scaler, features).withColumn("_central", F.lit("central")), "scaled")
+    shards = train.to_shards(scaled, features, label, "_central", key, cfg.groups)
     shards = shards.persist(StorageLevel.MEMORY_AND_DISK)
     scalers = {"central": scaler_arrays(scaler, features)[""]}
     shapes = mlp.shapes(len(features), cfg.hidden)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from flowspark.operators import mlp, params as fed, train
 from flowspark.operators.scaling import apply_minmax, fit_minmax
 from flowspark.plans import rounds
-from flowspark.plans.model_queries import _tuning_shards
+from flowspark.plans.model_queries import TUNING_SHARE, tuning_rows
 from flowspark.plans.prepare_queries import r6
 from flowspark.plans.registry import query
 from flowspark.plans.standins import FLOW_FEATURES, TRAINING, training_flows
@@ -122,7 +122,7 @@ def federated_sql(
     return f"WITH {', '.join(ctes)} " + " UNION ALL ".join(evals)
 
 
-def _federated(spark, sf, name: str, n_rounds: int, epochs: int, shards: int = 1, **settings):
+def _federated(spark, sf, name: str, n_rounds: int, epochs: int, shards: int = LINEAR.shards, **settings):
     data, test = training_flows(spark, sf)
     log = rounds.federated_run(
         data, test, FLOW_FEATURES, "label", "client_id", "key", n_rounds,
@@ -283,6 +283,51 @@ def central_linear_shards(spark, sf):
     return _central(spark, sf, LINEAR.with_(shards=7))
 
 
+MINIBATCH = LINEAR.with_(epochs=2, batch_size=8192, momentum=0.9, lr=0.2)
+
+
+def minibatch_sql(cfg: train.TrainConfig) -> str:
+    """SQL of mini-batch training of the central model: one recursion step per batch.
+
+    A row's batch follows from md5(seed:run:epoch:key); the key of a distinct row is its smallest one.
+    """
+    key = "l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber"
+    error = f"(1 / (1 + exp(-{_Z})) - x.label)"
+    grads = [f"coalesce(avg({error} * x.x{i}), 0)" for i in range(_N)] + [f"coalesce(avg({error}), 0)"]
+    m = [f"({_number(cfg.momentum)} * any_value(w.m{i}) + {g})" for i, g in enumerate(grads)]
+    step = ", ".join([f"any_value(w.w{i}) - {_number(cfg.lr)} * {m[i]}" for i in _W] + m)
+    scored = f"""SELECT 1 AS run, x.client_id AS client, x.label, {_Z} AS z
+      FROM t x CROSS JOIN (SELECT * FROM w ORDER BY s DESC LIMIT 1) w"""
+    return f"""WITH RECURSIVE {TRAINING},
+    keyed AS (SELECT {', '.join(FLOW_FEATURES)}, CAST(l_returnflag = 'R' AS INTEGER) AS label, {key} AS key
+      FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    pooled AS MATERIALIZED (SELECT {', '.join(FLOW_FEATURES)}, label, min(key) AS key FROM keyed
+      WHERE substr(md5(key), 1, 2) >= '33' GROUP BY {', '.join(FLOW_FEATURES)}, label),
+    fit AS (SELECT {_RANGES} FROM pooled),
+    steps AS (SELECT CAST(ceil(count(*) / {cfg.batch_size}e0) AS BIGINT) AS n FROM pooled),
+    x AS MATERIALIZED (SELECT label, {_SCALED}, e * n
+        + ((CAST('0x' || substr(md5('{cfg.seed + 1}:1:' || e || ':' || key), 1, 8) AS BIGINT) * n) >> 32) AS s
+      FROM pooled CROSS JOIN fit CROSS JOIN steps CROSS JOIN range({cfg.epochs}) r(e)),
+    w AS (SELECT CAST(0 AS BIGINT) AS s, {', '.join(f'{_number(v)} AS w{i}' for i, v in enumerate(_start()))},
+        {', '.join(f'0e0 AS m{i}' for i in _W)}
+      UNION ALL SELECT w.s + 1, {step} FROM w LEFT JOIN x ON x.s = w.s
+      WHERE w.s < (SELECT {cfg.epochs} * n FROM steps) GROUP BY w.s),
+    t AS (SELECT client_id, label, {_SCALED} FROM training CROSS JOIN fit WHERE held)
+    {_metrics('run, client', scored)}"""
+
+
+@query("central_minibatch", minibatch_sql(MINIBATCH))
+def central_minibatch(spark, sf):
+    """Ordinary mini-batches of the whole central table, whose rows up to seven tasks share."""
+    return _central(spark, sf, MINIBATCH.with_(tasks=min(7, spark.sparkContext.defaultParallelism)))
+
+
+@query("central_minibatch_one", minibatch_sql(MINIBATCH))
+def central_minibatch_one(spark, sf):
+    """As ``central_minibatch``, in one task: the result is the same."""
+    return _central(spark, sf, MINIBATCH.with_(tasks=1))
+
+
 def _log_sql(cfg: train.TrainConfig) -> str:
     steps, _ = _steps(
         cfg, f"(SELECT client_id, {_each('w{i}')} FROM fit CROSS JOIN start)", _gradient
@@ -389,5 +434,5 @@ def grid_sql(k: int = 5) -> str:
 @query("grid_linear", grid_sql())
 def grid_linear(spark, sf):
     grid = [LINEAR.with_(epochs=1, lr=lr) for lr in _RATES]
-    rows = train.grid_summary(train.grid_search(_tuning_shards(spark, sf), FLOW_FEATURES, grid))
+    rows = train.grid_summary(train.grid_search(tuning_rows(spark, sf, TUNING_SHARE), FLOW_FEATURES, grid))
     return rows.select("candidate", r6("mean_score"), r6("std_score"), "best")

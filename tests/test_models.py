@@ -8,7 +8,7 @@ from flowspark.operators import mlp, params as fed, score, train
 from flowspark.plans import rounds
 from flowspark.plans.model_queries import demo_network
 
-CFG = train.TrainConfig(hidden=(5,), epochs=2, lr=1e-2, weight_decay=0.0, batch_size=32, seed=1)
+CFG = train.TrainConfig(hidden=(5,), epochs=2, lr=1e-2, weight_decay=0.0, batch_size=32, seed=1, shards=1)
 
 
 def rows(spark, n=400, clients=("a", "b"), seed=0):
@@ -94,7 +94,7 @@ def test_personal_mix():
 def test_one_shard_is_plain_training(spark):
     df = rows(spark)
     start = mlp.init(3, CFG.hidden, 1)
-    shards = train.to_shards(df, FEATURES, "label", "client", "key")
+    shards = train.to_shards(df, FEATURES, "label", "client", "key", 1)
     merged = train.merge_shards(train.client_update(shards, FEATURES, start, CFG))
     models = score.load_models(merged, mlp.shapes(3, CFG.hidden), "client")
     pdf = df.filter("client = 'a'").toPandas().sort_values("key")
@@ -154,7 +154,7 @@ def test_full_batches_do_not_depend_on_shards(spark, change):
 
 
 def test_train_log(spark):
-    shards = train.to_shards(rows(spark), FEATURES, "label", "client", "key")
+    shards = train.to_shards(rows(spark), FEATURES, "label", "client", "key", 1)
     log = train.train_log(train.client_update(shards, FEATURES, mlp.init(3, CFG.hidden, 1), CFG)).toPandas()
     assert sorted(log["epoch"].unique()) == [0, 1]
     for _, one in log.groupby("client"):
@@ -336,8 +336,8 @@ def test_local_and_central_runs(spark):
 
 
 def test_grid_search_prefers_a_working_rate(spark):
-    shards = train.to_shards(rows(spark, 500, ("all",)), FEATURES, "label", "client", "key")
-    grid = [CFG.with_(lr=1e-6, epochs=5), CFG.with_(lr=2e-2, epochs=5)]
+    shards = train.to_shards(rows(spark, 500, ("all",)), FEATURES, "label", "client", "key", None)
+    grid = [CFG.with_(lr=1e-6, batch_size=200), CFG.with_(lr=0.2, batch_size=100)]
     summary = train.grid_summary(train.grid_search(shards, FEATURES, grid)).toPandas()
     best = summary[summary["best"]]
-    assert list(best["candidate"]) == [1] and best["mean_score"].iloc[0] > 0.8
+    assert list(best["candidate"]) == [1] and best["mean_score"].iloc[0] > 0.8 and not set(summary["candidate"]) - {0, 1}
