@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowspark.functions import bce
-from flowspark.operators.order_stats import exact_quantiles
+from flowspark.operators.order_stats import column_quantiles
 
 
 def confusion(pred: str, label: str) -> list[Column]:
@@ -127,5 +127,5 @@ def describe(df: DataFrame, cols: list[str]) -> DataFrame:
         F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("std"),
         F.min("_x").alias("min"), F.max("_x").alias("max"),
     )
-    points = exact_quantiles(rows, "_x", {"q25": 0.25, "q50": 0.5, "q75": 0.75}, ["feature"])
+    points = column_quantiles(doubles, cols, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     return basic.join(points, "feature", "left")

@@ -70,9 +70,18 @@ def latest(df: DataFrame, n: int = 8, order: str = "ts", tie: str = "event_id")
     return df.orderBy(F.desc(order), F.desc(tie)).limit(n)
 
 
-def timing_metrics(df: DataFrame, col: str, by: list[str] = ()) -> DataFrame:
-    """Mean, median, p75, p95, p99, max and min. Without ``by``, zeros for no rows."""
+def timing_metrics(df: DataFrame, col: str, by: list[str] = (), total: str | None = None) -> DataFrame:
+    """Mean, median, p75, p95, p99, max and min. Without ``by``, zeros for no rows.
+
+    ``total`` names a further group of all rows, which is worked out in the same passes as the groups.
+    """
     by = list(by)
+    if total is not None:
+        (name,) = by
+        own = F.struct(F.col(name).cast("string").alias(name), F.lit(False).alias("_whole"))
+        whole = F.struct(F.lit(total).alias(name), F.lit(True).alias("_whole"))
+        rows = df.select(F.explode(F.array(own, whole)).alias("_g"), F.col(col)).select("_g.*", col)
+        return timing_metrics(rows, col, [name, "_whole"]).drop("_whole")
     basic = df.groupBy(*by).agg(
         F.avg(col).alias("mean"),
         F.max(F.col(col).cast("double")).alias("max"),

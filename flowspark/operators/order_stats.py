@@ -5,7 +5,7 @@ A window without PARTITION BY, or over one hot key, puts its rows in one task. H
 rows. Bucket totals (one row per bucket) are summed up first; each row then needs only a window
 inside its bucket plus the total of the buckets before it.
 
-Bucket bounds come from one pass of approximate percentiles. They only steer the balance; results
+Bucket bounds come from one pass of quantile sketches. They only steer the balance; results
 are exact whatever the bounds are. A value frequent enough to fill a bucket gets a bucket of its own,
 which is split again by a unique tie key.
 """
@@ -15,15 +15,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from flowspark.operators.joins import key_join
 from flowspark.session import default_buckets, settle
 
-#: Bounds are merged from this many groups of tasks, each described by this many points.
-_GROUPS, _POINTS = 512, 256
 #: Rows that a bucket is meant to hold, where the number of buckets is left open.
 _ROWS_PER_BUCKET = 1_000_000
 
@@ -46,31 +43,22 @@ def _as_double(df: DataFrame, column: str) -> Column:
 def _bounds(df: DataFrame, columns: dict[str, Column], buckets: int | None) -> dict[str, list[float]]:
     """For each column, values that cut the rows in about ``buckets`` equal parts.
 
-    Without ``buckets`` their number follows from the rows counted here. Percentiles are taken per group of tasks, so that no reducer merges the summaries of all tasks;
-    what reaches the driver is a fixed number of points, weighted by the rows they stand for.
+    Without ``buckets`` their number follows from the rows counted here. One aggregation sketches all
+    columns, sketches are merged map-side, and the driver gets the bounds alone.
     """
-    points = F.array(*[F.lit((i + 0.5) / _POINTS) for i in range(_POINTS)])
-    group = F.pmod(F.spark_partition_id(), F.lit(_GROUPS)).alias("_group")
     aggs = []
     for name, c in columns.items():
-        c = F.when(~F.isnan(c), c)
-        aggs += [F.approx_percentile(c, points, F.lit(5_000)).alias(name), F.count(c).alias(f"n_{name}")]
-    rows = df.groupBy(group).agg(*aggs).collect()
-    out = {}
+        aggs += [F.count(F.when(~F.isnan(c), c)).alias(f"n_{name}"), _sketch(c).alias(f"s_{name}")]
+    est = settle(df.agg(*aggs), "bounds")
+    rows = est.select(*[f"n_{name}" for name in columns]).first()
+    wanted = {}
     for name in columns:
-        parts = [(np.array(r[name], float), r[f"n_{name}"]) for r in rows if r[f"n_{name}"]]
-        if not parts:
-            out[name] = []
-            continue
-        values = np.concatenate([v for v, _ in parts])
-        weights = np.concatenate([np.full(len(v), k / len(v)) for v, k in parts])
-        order = np.argsort(values, kind="stable")
-        upto = np.cumsum(weights[order])
-        n = buckets or max(default_buckets(df.sparkSession), math.ceil(upto[-1] / _ROWS_PER_BUCKET))
-        cuts = min(n, max(2, len(values) // 2))  # no finer than the points can tell apart
-        at = np.searchsorted(upto, upto[-1] * np.arange(1, cuts) / cuts)
-        out[name] = [float(v) for v in values[order][np.minimum(at, len(values) - 1)]]
-    return out
+        if rows[f"n_{name}"]:
+            n = buckets or max(default_buckets(df.sparkSession), math.ceil(rows[f"n_{name}"] / _ROWS_PER_BUCKET))
+            points = F.expr(f"array({', '.join(f'{i / n}D' for i in range(1, n))})")
+            wanted[name] = F.kll_sketch_get_quantile_double(f"s_{name}", points)
+    found = est.select(*[c.alias(name) for name, c in wanted.items()]).first() if wanted else None
+    return {name: list(found[name]) if name in wanted else [] for name in columns}
 
 
 def _splits(bounds: list[float]) -> tuple[list[float], list[float]]:
@@ -221,63 +209,139 @@ def average_rank(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, value: str, qs: dict[str, float], by: list[str] = (),
-    buckets: int | None = None,
-) -> DataFrame:
-    """Exact quantiles with linear interpolation, one row per ``by`` group with a known value.
+#: Size of a quantile sketch, and the number of equal steps that are read from it: a step is wider than the
+#: rank error of such a sketch, so that bounds a step or two away from a quantile hardly ever miss it.
+_SKETCH, _STEPS = 2048, 200
+#: Rows of a group that may be counted by value; with more of them, windows are narrowed by a further pass.
+_INSIDE = 5_000_000
 
-    Bucket counts locate the few buckets that hold the wanted positions and only their rows are
-    counted by value, whatever the size of a group.
-    """
-    by = list(by)
-    rows = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    rows = order_buckets(rows, "_v", None, buckets)
-    totals = rows.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    below = W.partitionBy(*by).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    spans = totals.select(
-        *by, "_bucket", "n",
-        F.coalesce(F.sum("n").over(below), F.lit(0).cast("long")).alias("_from"),
-        F.sum("n").over(W.partitionBy(*by)).alias("_total"),
-    )
 
-    def position(q: float) -> Column:
-        return F.lit(float(q)) * (F.col("_total") - 1)
+def _position(q: float) -> Column:
+    return F.lit(float(q)) * (F.col("_total") - 1)
 
-    def covers(p: Column, first: Column, n: Column) -> Column:
-        return (p >= first) & (p < first + n)
 
-    wanted = reduce(
-        lambda a, b: a | b,
-        [
-            covers(edge(position(q)), F.col("_from"), F.col("n"))
-            for q in qs.values() for edge in (F.floor, F.ceil)
-        ],
-    )
-    targets = settle(spans.filter(wanted).drop("n"), "quantile_buckets")
-    counted = (
-        key_join(rows, targets, [*by, "_bucket"])
-        .groupBy(*by, "_bucket", "_from", "_total", "_v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    inside = (
-        W.partitionBy(*by, "_bucket").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    )
-    placed = counted.withColumn(
-        "_start", F.col("_from") + F.coalesce(F.sum("n").over(inside), F.lit(0).cast("long"))
-    )
+def _sketch(v: Column) -> Column:
+    return F.kll_sketch_agg_double(F.when(~F.isnan(v), v), F.lit(_SKETCH))
+
+
+def _steps(m: Column, sketch: Column) -> Column:
+    """Values at the ranks 1, 2, ... steps; NULL for a sketch of no rows."""
+    ranks = F.expr(f"array({', '.join(f'{i / _STEPS}D' for i in range(1, _STEPS))})")
+    return F.when(m > 0, F.kll_sketch_get_quantile_double(sketch, ranks))
+
+
+def _windows(est: DataFrame, qs: dict[str, float], spare: int | None) -> DataFrame:
+    """Move the ends of each window to ``spare`` steps around its quantile. NaN, the greatest value, is an
+    open upper end. Without ``spare`` the ends stay."""
+    if spare is None:
+        return est
+    out = {}
+    for name, q in qs.items():
+        m, steps = F.greatest(F.col(f"_m_{name}"), F.lit(1)), F.col(f"_steps_{name}")
+        first = F.floor((F.floor(_position(q)) - F.col(f"_below_{name}")) / m * _STEPS) - spare
+        last = F.ceil((F.ceil(_position(q)) + 1 - F.col(f"_below_{name}")) / m * _STEPS) + spare
+        low, high = F.get(steps, (first - 1).cast("int")), F.get(steps, (last - 1).cast("int"))
+        out[f"_lo_{name}"] = F.coalesce(low, F.col(f"_lo_{name}"))
+        out[f"_hi_{name}"] = F.coalesce(high, F.col(f"_hi_{name}"))
+    return est.withColumns(out)
+
+
+def _inside(name: str) -> Column:
+    return (F.col("_v") >= F.col(f"_lo_{name}")) & (F.col("_v") <= F.col(f"_hi_{name}"))
+
+
+def _narrowed(rows: DataFrame, windows: DataFrame, qs: dict[str, float], keys: list[str]) -> DataFrame:
+    """Counts and sketches of the rows inside each window, in one aggregation."""
+    ends = [c for n in qs for c in (f"_lo_{n}", f"_hi_{n}")]
+    joined = key_join(rows, windows.select(*keys, "_total", *ends), keys)
+    aggs = [F.max("_total").alias("_total")]
+    for n in qs:
+        aggs += [F.max(f"_lo_{n}").alias(f"_lo_{n}"), F.max(f"_hi_{n}").alias(f"_hi_{n}"),
+                 F.count_if(F.col("_v") < F.col(f"_lo_{n}")).alias(f"_below_{n}"),
+                 F.count_if(_inside(n) & ~F.isnan("_v")).alias(f"_m_{n}"),
+                 _sketch(F.when(_inside(n), F.col("_v"))).alias(f"_s_{n}")]
+    out = settle(joined.groupBy(*keys).agg(*aggs), "narrowed")
+    return out.withColumns({f"_steps_{n}": _steps(F.col(f"_m_{n}"), F.col(f"_s_{n}")) for n in qs})
+
+
+def _counted(rows: DataFrame, windows: DataFrame, qs: dict[str, float], keys: list[str]) -> DataFrame:
+    """Both neighbours of each quantile from one counted pass; NULL where a window misses its place.
+
+    Rows inside a window are counted by value, all others by the stretch between windows they are in.
+    """
+    ends = [c for n in qs for c in (f"_lo_{n}", f"_hi_{n}")]
+    joined = key_join(rows, windows.select(*keys, "_total", *ends), keys)
+    inside = reduce(lambda a, b: a | b, [_inside(n) for n in qs])
+    stretch = reduce(lambda a, b: a + b, [(F.col("_v") > F.col(f"_hi_{n}")).cast("int") for n in qs])
+    counts = joined.groupBy(
+        *keys, F.when(inside, F.col("_v")).alias("_value"), F.when(~inside, stretch).alias("_stretch")
+    ).agg(F.count(F.lit(1)).alias("n"), F.max("_v").alias("_last"), F.max("_total").alias("_total"))
+    before = W.partitionBy(*keys).orderBy("_last").rowsBetween(W.unboundedPreceding, -1)
+    placed = counts.withColumn("_from", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
 
     def at(p: Column) -> Column:
-        return F.max(F.when(covers(p, F.col("_start"), F.col("n")), F.col("_v")))
+        here = (p >= F.col("_from")) & (p < F.col("_from") + F.col("n")) & F.col("_stretch").isNull()
+        return F.max(F.when(here, F.col("_value")))
 
-    found = placed.groupBy(*by).agg(
+    return settle(placed.groupBy(*keys).agg(
         F.max("_total").alias("_total"),
-        *[at(F.floor(position(q))).alias(f"_lo_{name}") for name, q in qs.items()],
-        *[at(F.ceil(position(q))).alias(f"_hi_{name}") for name, q in qs.items()],
-    )
+        *[at(F.floor(_position(q))).alias(f"_left_{n}") for n, q in qs.items()],
+        *[at(F.ceil(_position(q))).alias(f"_right_{n}") for n, q in qs.items()],
+    ), "quantiles")
+
+
+def column_quantiles(
+    df: DataFrame, columns: list[str], qs: dict[str, float], by: list[str] = ()
+) -> DataFrame:
+    """Exact quantiles with linear interpolation of several columns: a row per ``by`` group and column
+    (``feature``) with a known value. NaN is the greatest value.
+
+    One aggregation sketches all columns of all groups; the sketches bound where each quantile lies, and one
+    pass counts the rows inside those bounds by value and all others as a whole. Results do not rest on
+    the sketches: if bounds miss a quantile, which the counts show, they are widened for that group and
+    counted again, at last over all its values. Where bounds hold too many rows they are narrowed first.
+    """
+    by, keys = list(by), [*by, "feature"]
+    doubles = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
+    aggs = []
+    for i, c in enumerate(columns):
+        aggs += [F.count(c).alias(f"_t{i}"), F.count(F.when(~F.isnan(c), F.col(c))).alias(f"_m{i}"),
+                 _sketch(F.col(c)).alias(f"_s{i}")]
+    each = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(f"_t{i}").alias("_total"), F.col(f"_m{i}").alias("_m"),
+                 _steps(F.col(f"_m{i}"), F.col(f"_s{i}")).alias("_steps")) for i, c in enumerate(columns)
+    ])).alias("_e")
+    est = doubles.groupBy(*by).agg(*aggs).select(*by, each).select(*by, "_e.*").filter("_total > 0")
+    est = settle(est, "sketches")
+    most = est.agg(F.max("_total")).first()[0] or 0
+    whole = est.select(*keys, "_total", *[c for n in qs for c in (
+        F.lit(-math.inf).alias(f"_lo_{n}"), F.lit(math.nan).alias(f"_hi_{n}"), F.lit(0).alias(f"_below_{n}"),
+        F.col("_m").alias(f"_m_{n}"), F.col("_steps").alias(f"_steps_{n}"))])
+    rows = doubles.unpivot(by, columns, "feature", "_v").filter("_v IS NOT NULL")
+    start, held = whole, 5 / _STEPS * most  # rows in a window
+    while held > _INSIDE:
+        start = _narrowed(rows, _windows(start, qs, 1), qs, keys)
+        held *= 5 / _STEPS
+    missing = reduce(lambda a, b: a | b, [F.col(f"_{s}_{n}").isNull() for n in qs for s in ("left", "right")])
+    found, left = [], rows
+    for from_, spare in ((start, 1), (whole, 20), (whole, None)):
+        done = _counted(left, _windows(from_, qs, spare), qs, keys)
+        found.append(done.filter(~missing))
+        again = done.filter(missing).select(*keys)
+        if not again.take(1):
+            break
+        left = key_join(rows, again, keys)
+    done = reduce(DataFrame.unionByName, found)
 
     def between(name: str, q: float) -> Column:
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        share = position(q) - F.floor(position(q))
+        lo, hi = F.col(f"_left_{name}"), F.col(f"_right_{name}")
+        share = _position(q) - F.floor(_position(q))
         return F.when(lo == hi, lo).otherwise(lo + share * (hi - lo))  # inf - inf is no number
 
-    return found.select(*by, *[between(name, q).alias(name) for name, q in qs.items()])
+    return done.select(*keys, *[between(name, q).alias(name) for name, q in qs.items()])
+
+
+def exact_quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """:func:`column_quantiles` of one column: one row per ``by`` group with a known value."""
+    rows = df.select(*by, F.col(value).cast("double").alias("_x"))
+    return column_quantiles(rows, ["_x"], qs, by).drop("feature")

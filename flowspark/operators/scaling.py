@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flowspark.operators.joins import key_join
-from flowspark.operators.order_stats import exact_quantiles
+from flowspark.operators.order_stats import column_quantiles
 from flowspark.session import settle
 
 
@@ -58,9 +58,7 @@ def fit_robust(df: DataFrame, cols: list[str], by: list[str] = ()) -> DataFrame:
     """Median and interquartile range (1 for a range of 0); no row where all values are missing."""
     by = list(by)
     doubles = df.select(*by, *[_known(c).alias(c) for c in cols])
-    stacked = doubles.unpivot(by, cols, "feature", "_x")
-    points = {"q25": 0.25, "center": 0.5, "q75": 0.75}
-    rows = exact_quantiles(stacked, "_x", points, [*by, "feature"])
+    rows = column_quantiles(doubles, cols, {"q25": 0.25, "center": 0.5, "q75": 0.75}, by)
     spread = F.col("q75") - F.col("q25")
     return rows.select(
         *by, "feature", "center", F.when(spread == 0, 1.0).otherwise(spread).alias("spread")

@@ -139,9 +139,7 @@ def _timing(col: str, lead: str = "") -> str:
 def timing_metrics(spark, sf):
     rows = alerts(spark, sf)
     names = ["worker", r6("mean"), *[r6(p) for p in monitor.TIMING_POINTS], "max", "min"]
-    each = monitor.timing_metrics(rows, "latency", ["worker"])
-    every = monitor.timing_metrics(rows, "latency").withColumn("worker", F.lit("all"))
-    return each.select(*names).unionByName(every.select(*names))
+    return monitor.timing_metrics(rows, "latency", ["worker"], "all").select(*names)
 
 
 @query(

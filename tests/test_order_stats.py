@@ -83,13 +83,14 @@ def test_times_order_rows(spark):
         assert out.count() == 0
 
 
-@pytest.mark.parametrize("buckets", [None, 1, 13])
+@pytest.mark.parametrize("inside", [5_000_000, 3])
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_quantiles(spark, frame, by, buckets):
+def test_quantiles(spark, frame, by, inside, monkeypatch):
+    monkeypatch.setattr(os_, "_INSIDE", inside)  # with few rows allowed, bounds are narrowed by more passes
     df = spark.createDataFrame(frame)
     qs = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     for col in ("x", "t"):
-        got = os_.exact_quantiles(df, col, qs, by, buckets=buckets).toPandas()
+        got = os_.exact_quantiles(df, col, qs, by).toPandas()
         parts = frame.groupby("g") if by else [(None, frame)]
         assert len(got) == len(list(parts))
         for g, part in parts:
@@ -114,7 +115,7 @@ def test_buckets_follow_the_rows(spark, monkeypatch):
 
 def test_fixed_quantiles(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 4.0, 8.0)], "v double")
-    row = os_.exact_quantiles(df, "v", {"a": 0.5, "b": 0.75, "c": 0.95}, buckets=3).first()
+    row = os_.exact_quantiles(df, "v", {"a": 0.5, "b": 0.75, "c": 0.95}).first()
     assert tuple(row) == pytest.approx((3.0, 5.0, 7.4))
 
 
@@ -168,3 +169,34 @@ def test_running_top(spark, frame, buckets):
             counts[r.g] = counts.get(r.g, 0) + 1
         best = sorted(counts.items(), key=lambda kv: (kv[1], kv[0]), reverse=True)[:2]
         assert got[r.id] == best
+
+
+@pytest.mark.parametrize("inside", [5_000_000, 20])
+def test_quantiles_of_hot_values_nan_and_groups(spark, inside, monkeypatch):
+    """Groups of one row to most of all rows, one value held by a third of them, NaN as greatest value."""
+    monkeypatch.setattr(os_, "_INSIDE", inside)
+    r = np.random.default_rng(8)
+    x = np.where(r.random(6000) < .34, 5.0, r.normal(0, 100, 6000))
+    y = np.where(r.random(6000) < .2, np.nan, r.exponential(3, 6000))
+    g = np.where(r.random(6000) < .9, 0, r.integers(1, 300, 6000))
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "x": x, "y": y}))
+    df = df.withColumn("z", F.when(F.col("g") % 2 == 1, F.col("x")))
+    qs = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.793, "e": 1.0}
+    got = {(r["g"], r["feature"]): r for r in os_.column_quantiles(df, ["x", "y", "z"], qs, ["g"]).collect()}
+    for group in np.unique(g):
+        for name, values in (("x", x), ("y", y)):
+            own = np.sort(values[g == group])  # NaN last
+            for q, level in qs.items():
+                p = level * (len(own) - 1)
+                lo, hi = own[int(np.floor(p))], own[int(np.ceil(p))]
+                want = lo if lo == hi or (np.isnan(lo) and np.isnan(hi)) else lo + (p - np.floor(p)) * (hi - lo)
+                assert got[group, name][q] == pytest.approx(want, abs=1e-9, nan_ok=True)
+        assert ((group, "z") in got) == (group % 2 == 1)
+    assert os_.column_quantiles(df.limit(0), ["x"], qs).count() == 0
+
+
+def test_missed_quantiles_are_counted_again(spark, monkeypatch):
+    """Bounds that lie wrong cost a pass, not the result."""
+    monkeypatch.setattr(os_, "_steps", lambda m, s: F.array_repeat(F.lit(1e9), 199))
+    df = spark.createDataFrame([(float(v),) for v in range(1000)], "v double")
+    assert tuple(os_.exact_quantiles(df, "v", {"a": 0.25, "b": 0.5}).first()) == pytest.approx((249.75, 499.5))
