@@ -22,8 +22,8 @@ from flowspark.session import scratch_path
 from flowspark.sources import alert_stream, message_stream, request_stream, write_json
 from flowspark.streaming import (
     alert_snapshots, current, dead_letter, flat_alerts, latest_batch, live_latest, live_top,
-    live_totals, live_workers, run_until_drained, save_changes, save_result, score_messages,
-    snapshot_messages, snapshots, write_alerts,
+    live_totals, live_workers, run_until_drained, save_changes, save_closed, save_result, score_messages,
+    snapshot_messages, snapshots, window_totals, write_alerts,
 )
 
 KEYED_ALERT = T.StructType(
@@ -229,3 +229,42 @@ def messages(spark, sf):
         F.col("message.stats.total_packets").alias("total_packets"),
         F.col("message.packet_info.metadata.IPV4_DST_ADDR").alias("dst_ip"),
     )
+
+
+def _closed_sql(hours: int, slide: int) -> str:
+    """SQL of the windows (of ``hours``, one every ``slide`` hours) that end two days before the last alert."""
+    first = f"time_bucket(INTERVAL {slide} HOUR, ts, TIMESTAMP '1970-01-01') - INTERVAL (k * {slide}) HOUR"
+    return f"""WITH {ALERTS}, placed AS (SELECT *, {first} AS window_start FROM alerts, range({hours // slide}) r(k))
+    SELECT window_start, window_start + INTERVAL {hours} HOUR AS window_end, count(*) AS total_packets,
+      count(*) FILTER (WHERE is_malicious) AS total_malicious, round(avg(latency), 6) AS avg_latency,
+      round(avg(classification_time), 6) AS avg_classification_time
+    FROM placed GROUP BY window_start
+    HAVING window_start + INTERVAL {hours} HOUR <= (SELECT max(ts) - INTERVAL 2 DAY FROM alerts)"""
+
+
+def _closed(spark, sf, size: str, slide: str | None):
+    """Alerts arrive up to a day late, in four deliveries; the stream is stopped and resumed between them."""
+    path, out, ckpt = (scratch_path(spark, n) for n in ("alert_messages", "windows", "ckpt"))
+    messages = alert_messages(spark, sf)
+    late = F.pmod(F.xxhash64("event_id"), F.lit(86400))
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + late * 1_000_000
+    ends = messages.agg(F.percentile_approx(arrival, [0.25, 0.5, 0.75]).alias("e")).first()["e"]
+    part = sum(((arrival > e).cast("int") for e in ends[1:]), (arrival > ends[0]).cast("int"))
+    for number in range(len(ends) + 1):
+        write_json(messages.filter(part == number), f"{path}/part={number}")
+        stream = flat_alerts(alert_stream(spark, f"{path}/*", None, KEYED_ALERT))
+        run_until_drained(save_closed(window_totals(stream, size, "2 days", slide), out, ckpt))
+    return spark.read.parquet(out).select(
+        "window_start", "window_end", "total_packets", "total_malicious", r6("avg_latency"),
+        r6("avg_classification_time"),
+    )
+
+
+@query("stream_window_totals", _closed_sql(24, 24))
+def stream_window_totals(spark, sf):
+    return _closed(spark, sf, "1 day", None)
+
+
+@query("stream_sliding_totals", _closed_sql(24, 6))
+def stream_sliding_totals(spark, sf):
+    return _closed(spark, sf, "24 hours", "6 hours")

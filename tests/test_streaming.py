@@ -14,8 +14,8 @@ from flowspark.schemas import ALERT, REQUEST
 from flowspark.sources import alert_stream, message_stream
 from flowspark.streaming import (
     alert_snapshots, current, dead_letter, flat_alerts, latest_batch, live_latest, live_totals,
-    live_workers, run_until_drained, save_changes, save_result, score_messages, score_stream,
-    write_alerts,
+    live_workers, run_until_drained, save_changes, save_closed, save_result, score_messages, score_stream,
+    window_totals, write_alerts,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -131,3 +131,24 @@ def test_scaler_forms_differ(spark):
     assert right == pytest.approx(1 / (1 + np.exp(-0.4))) and legacy == pytest.approx(1 / (1 + np.exp(0.15)))
     with pytest.raises(ValueError):
         score_stream(df, MODEL, scale, offset, "other")
+
+
+def test_windows_close_once_and_late_alerts_stay_out(spark, tmp_path):
+    """Out of order within the delay counts, beyond it does not; a null time is in no window."""
+    schema = "ts timestamp_ntz, is_malicious boolean, latency double, classification_time double"
+
+    def deliver(number, rows):
+        made = [(f"2024-01-01 {t}" if t else None, bad, latency, 1.0) for t, bad, latency in rows]
+        df = spark.createDataFrame(made, schema.replace("ts timestamp_ntz", "ts string"))
+        df.coalesce(1).write.json(str(tmp_path / "in" / f"part={number}"))
+        stream = spark.readStream.schema(schema).json(str(tmp_path / "in/*"))
+        run_until_drained(save_closed(window_totals(stream, "1 hour", "1 hour"), str(tmp_path / "out"), str(tmp_path / "c")))
+        rows = spark.read.parquet(str(tmp_path / "out")).orderBy("window_start").collect()
+        return [(r["window_start"].hour, r["total_packets"], r["total_malicious"], r["avg_latency"]) for r in rows]
+
+    deliver(0, [("00:10:00", True, 1.0), (None, True, 9.0), ("01:05:00", None, None)])
+    deliver(1, [("00:50:00", False, 3.0), ("02:30:00", True, 5.0)])  # 00:50 is late, but within the hour
+    got = deliver(2, [("00:20:00", True, 100.0), ("05:00:00", False, 2.0)])  # 00:20 comes after its window closed
+    assert got == [(0, 2, 1, 2.0), (1, 1, 0, None), (2, 1, 1, 5.0)]
+    whole = window_totals(spark.createDataFrame([], schema), "1 hour", "1 hour", "30 minutes")
+    assert whole.count() == 0
