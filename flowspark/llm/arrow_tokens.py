@@ -2,7 +2,7 @@
 
 Documents are dealt to shards by ranges of ``doc_id``; each task encodes its documents in that order and
 writes the ids, end to end, as one Arrow IPC file: batches of two fixed-size lists, ``input_ids`` and
-``attention_mask`` (a byte each, 0 on the padding of the last sequence). The column buffers are plain arrays, so
+``attention_mask`` (a bit each in whole bytes, 0 on the padding of the last sequence). The column buffers are plain arrays, so
 a reader that maps a file into memory gets any sequence without copying. A second file lists the
 documents of the shard and where their ids begin. Ids are stored in 16 bits if the vocabulary allows.
 
@@ -50,7 +50,7 @@ class ShardWriter:
         self.kind, self.length = np.dtype(kind), length
         self.schema = pa.schema([
             ("input_ids", pa.list_(pa.from_numpy_dtype(self.kind), length)),
-            ("attention_mask", pa.list_(pa.uint8(), length))])
+            ("attention_mask", pa.list_(pa.uint8(), -(-length // 8)))])
         self.docs_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [self.fs.open_output_stream(f"{self.part}.{x}") for x in ("arrow", "docs.arrow")]
         self.ids = pa.ipc.new_file(self.sinks[0], self.schema)
@@ -75,10 +75,10 @@ class ShardWriter:
             self.held, self.waiting = [flat[whole:]], len(flat) - whole
 
     def _write(self, flat: np.ndarray, used: int) -> None:
-        mask = (np.arange(len(flat)) < used).astype(np.uint8)
+        mask = np.packbits((np.arange(len(flat)) < used).reshape(-1, self.length), axis=1, bitorder="little")
         self.ids.write_batch(pa.record_batch(
             [pa.FixedSizeListArray.from_arrays(pa.array(flat), self.length),
-             pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)], schema=self.schema))
+             pa.FixedSizeListArray.from_arrays(pa.array(mask.ravel()), mask.shape[1])], schema=self.schema))
 
     def close(self) -> None:
         flat = np.concatenate([*self.held, np.zeros(0, self.kind)])
@@ -109,16 +109,21 @@ class ShardReader:
         if i != self._at:
             flat = []
             for column in self.file.get_batch(i).columns:
-                values = column.values.slice(column.offset * self.length, len(column) * self.length)
+                size = column.type.list_size
+                values = column.values.slice(column.offset * size, len(column) * size)
                 flat.append(values.to_numpy(zero_copy_only=True))
             self._at, (self._flat, self._mask) = i, flat
         return self._flat
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, mask) of sequence ``i``, both views of the mapped file; the mask has a byte per id, 1 or 0."""
-        at = i % BATCH_SEQUENCES * self.length
+        """(ids, packed mask) of sequence ``i``, both views of the mapped file; see ``unpacked``."""
+        at, size = i % BATCH_SEQUENCES, -(-self.length // 8)
         ids = self._batch(i // BATCH_SEQUENCES)
-        return ids[at: at + self.length], self._mask[at: at + self.length]
+        return ids[at * self.length: (at + 1) * self.length], self._mask[at * size: (at + 1) * size]
+
+    def unpacked(self, mask: np.ndarray) -> np.ndarray:
+        """A mask as one boolean per id."""
+        return np.unpackbits(mask, count=self.length, bitorder="little").astype(bool)
 
     def span(self, start: int, count: int) -> np.ndarray:
         """``count`` ids from position ``start`` of the shard on."""
