@@ -97,24 +97,26 @@ def metric_by_round(log: DataFrame, losses: DataFrame, metric: str) -> DataFrame
     return rows.select("client", "model", place.alias("round"), "value")
 
 
-def run_label(key: Column, approach: str) -> Column:
-    """Readable label of a run key, whose parts are the settings of the run."""
+#: What the parts of a run key are, in order, for approaches that vary more than the epochs.
+RUN_SETTINGS = {"fedprox": ["epochs", "mu"], "fedadam": ["epochs", "tau", "eta", "eta_l"]}
+
+
+def run_settings(key: Column, approach: str) -> list[Column]:
+    """The settings of a run, taken from its key, as number columns; NULL where a part is no number."""
     parts = F.split(key, "_")
-    names = {
-        "fedprox": ["epochs = ", ", mu = "],
-        "fedadam": ["epochs = ", ", tau = ", ", eta = ", ", etal="],
-    }.get(approach, ["epochs = "])
-    return F.concat(*[F.concat(F.lit(n), F.get(parts, F.lit(i))) for i, n in enumerate(names)])
+    names = RUN_SETTINGS.get(approach, ["epochs"])
+    return [F.get(parts, F.lit(i)).try_cast("double").alias(name) for i, name in enumerate(names)]
 
 
 def loss_curve(log: DataFrame, approach: str, metric: str = "final_loss") -> DataFrame:
-    """Loss by round (from 1) of the first model of each run, with the label of the run."""
-    first = F.min("model").over(W.partitionBy("run", "client"))
-    rows = log.filter(F.col("metric") == metric).withColumn("_first", first)
+    """Loss by round (from 1) of the first model of each run, next to the settings of the run."""
+    runs = ["run", "client"]
+    rows = log.filter(F.col("metric") == metric)
+    rows = rows.withColumn("_first", F.min("model").over(W.partitionBy(*runs)))
     rows = rows.filter(F.col("model") == F.col("_first"))
-    place = F.row_number().over(W.partitionBy("run", "client").orderBy("round"))
     return rows.select(
-        run_label(F.col("run"), approach).alias("label"), "client", place.alias("round"),
+        *run_settings(F.col("run"), approach), "client",
+        F.row_number().over(W.partitionBy(*runs).orderBy("round")).alias("round"),
         F.col("value").alias("loss"),
     )
 

@@ -411,7 +411,7 @@ def metric_by_round(spark, sf):
 
 @query(
     "loss_curve",
-    f"""WITH {METRIC_LOG} SELECT 'epochs = ' || length(client) || ', mu = 0' AS label, client,
+    f"""WITH {METRIC_LOG} SELECT CAST(length(client) AS DOUBLE) AS epochs, 0e0 AS mu, client,
       CAST(row_number() OVER (PARTITION BY client ORDER BY round) AS INTEGER) AS round,
       round(value, 6) AS loss
     FROM metric_log WHERE metric = 'final_loss' AND model = 0""",
@@ -420,7 +420,7 @@ def loss_curve(spark, sf):
     log = metric_log(spark, sf)
     file = F.concat(F.lit("metrics_"), F.length("client").cast("string"), F.lit("_0.json"))
     rows = metrics.loss_curve(log.withColumn("run", fn.run_key(file)), "fedprox")
-    return rows.select("label", "client", "round", r6("loss"))
+    return rows.select("epochs", "mu", "client", "round", r6("loss"))
 
 
 @query(
