@@ -265,6 +265,11 @@ ACCURACIES = [
     0.998199999332428, 0.9982200264930725, 0.9983100295066833, 0.9983699917793274,
     0.9983100295066833, 0.9983100295066833,
 ]
+REPORT = {
+    "mean": 99.82526739438374, "median": 0.9982849955558777, "variance": 1.1695612799051546e-08,
+    "std": 0.01081462565188992, "max": 0.9983900189399719, "min": 0.9980000257492065,
+}
+SHAPIRO = {"w": 0.9057387262978227, "p": 0.011636766789959065}
 # End of fixed values.
 
 
@@ -275,11 +280,11 @@ def accuracies(spark):
 
 def test_published_report(spark):
     row = metrics.metric_report(accuracies(spark)).first()
-    assert row["mean"] == pytest.approx(99.82526739438374, abs=1e-10)
-    assert row["median"] == pytest.approx(0.9982849955558777, abs=1e-12)
-    assert row["variance"] == pytest.approx(1.1695612799051546e-08, rel=1e-6)
-    assert row["std"] == pytest.approx(0.01081462565188992, rel=1e-6)
-    assert (row["max"], row["min"]) == (0.9983900189399719, 0.9980000257492065)
+    assert row["mean"] == pytest.approx(REPORT["mean"], abs=1e-10)
+    assert row["median"] == pytest.approx(REPORT["median"], abs=1e-12)
+    assert row["variance"] == pytest.approx(REPORT["variance"], rel=1e-6)
+    assert row["std"] == pytest.approx(REPORT["std"], rel=1e-6)
+    assert (row["max"], row["min"]) == (REPORT["max"], REPORT["min"])
 
 
 def test_published_shapiro(spark):
@@ -288,8 +293,8 @@ def test_published_shapiro(spark):
     for buckets in (1, 6):
         row = shapiro(accuracies(spark), "value", "model", ["client"], buckets).first()
         assert row["n"] == 30
-        assert row["w"] == pytest.approx(0.9057387262978227, abs=1e-6)
-        assert row["p"] == pytest.approx(0.011636766789959065, abs=1e-5)
+        assert row["w"] == pytest.approx(SHAPIRO["w"], abs=1e-6)
+        assert row["p"] == pytest.approx(SHAPIRO["p"], abs=1e-5)
 
 
 def test_shapiro_edges(spark):
@@ -316,3 +321,42 @@ def test_mann_whitney(spark):
         assert got["apart"]["z"] == pytest.approx(1.7457431, abs=1e-6)
         assert got["apart"]["p"] == pytest.approx(0.0808556, abs=1e-6)
         assert got["tied"]["z"] is None
+
+
+@pytest.mark.parametrize("leaf", [1, 40, 4096])
+def test_cuts_of_any_depth(spark, leaf):
+    """The hash at a place is that of sorting, for one class of nearly all rows and many of one row."""
+    cls = F.when(F.col("id") < 3000, F.lit(-1)).otherwise(F.col("id") % 500)
+    rows = spark.range(3500).select(cls.alias("cls"), F.md5(F.col("id").cast("string")).alias("h"))
+    rows = rows.unionByName(spark.sql("SELECT 7000L AS cls, md5('same') AS h FROM range(60)"))
+    quotas = sampling.class_sizes(rows, "cls").select(
+        "cls", F.ceil(F.col("n") / 3).alias("a"), F.col("n").alias("b"), F.lit(0).cast("long").alias("c")
+    )
+    got = {r["cls"]: (r["a"], r["b"], r["c"]) for r in sampling.cuts(rows, "cls", "h", quotas, ["a", "b", "c"], leaf).collect()}
+    want = {}
+    for c, one in rows.toPandas().groupby("cls"):
+        h = sorted(one["h"])
+        want[c] = (h[-(-len(h) // 3) - 1], h[-1], None)
+    assert got == want
+
+
+def test_ranked_is_a_total_order(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).alias("x"), F.col("id").alias("k"))
+    got = sampling.ranked(rows.repartition(5), [F.desc("x"), F.asc("k")], "place").orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1, 1001))
+    assert [(r["x"], r["k"]) for r in got] == sorted(((k % 3, k) for k in range(1000)), key=lambda t: (-t[0], t[1]))
+    assert sampling.ranked(rows.limit(0), [F.asc("k")], "place").count() == 0
+
+
+def test_head_with_repeated_keys_and_no_rows(spark):
+    rows = spark.sql("SELECT 'k' AS key, id FROM range(300)")
+    assert sampling.shuffled_head(rows, "key", 7, 1).count() == 7
+    assert sampling.shuffled_head(rows.limit(0), "key", 7, 1).count() == 0
+
+
+def test_run_settings(spark):
+    rows = [("5_0.8", "c", "final_loss", 0, 1, 0.5), ("5_0.8", "c", "final_loss", 1, 1, 0.1),
+            ("5_x", "c", "final_loss", 0, 2, 0.4)]
+    log = spark.createDataFrame(rows, "run string, client string, metric string, model int, round int, value double")
+    got = sorted(map(tuple, metrics.loss_curve(log, "fedprox").collect()), key=str)
+    assert got == [(5.0, 0.8, "c", 1, 0.5), (5.0, None, "c", 1, 0.4)]
