@@ -21,9 +21,9 @@ from flowspark.schemas import ALERT, REQUEST, SNAPSHOT, parse_messages
 from flowspark.session import scratch_path
 from flowspark.sources import alert_stream, message_stream, request_stream, write_json
 from flowspark.streaming import (
-    alert_snapshots, current, dead_letter, flat_alerts, latest_batch, live_latest, live_top,
-    live_totals, live_workers, run_until_drained, save_changes, save_closed, save_result, score_messages,
-    snapshot_messages, snapshots, window_totals, write_alerts,
+    alert_snapshots, current, dead_letter, finished, flat_alerts, latest_batch, live_latest, live_top,
+    live_totals, live_workers, once, run_until_drained, save_batches, save_changes, save_closed, save_result,
+    score_messages, snapshot_messages, snapshots, window_totals, write_alerts,
 )
 
 KEYED_ALERT = T.StructType(
@@ -146,7 +146,7 @@ def stream_top(spark, sf):
 @query("stream_workers", f"WITH {ALERTS} SELECT worker AS key, count(*) AS value FROM alerts GROUP BY worker")
 def stream_workers(spark, sf):
     out, ckpt = scratch_path(spark, "workers"), scratch_path(spark, "ckpt")
-    run_until_drained(save_changes(live_workers(flat_alerts(_alert_source(spark, sf))), out, ckpt))
+    run_until_drained(save_changes(live_workers(flat_alerts(_alert_source(spark, sf))), out, ckpt, ["key"]))
     return current(spark, out, ["key"])
 
 
@@ -268,3 +268,19 @@ def stream_window_totals(spark, sf):
 @query("stream_sliding_totals", _closed_sql(24, 6))
 def stream_sliding_totals(spark, sf):
     return _closed(spark, sf, "24 hours", "6 hours")
+
+
+@query("stream_replay", f"WITH {ALERTS} SELECT event_id, src_ip, dst_ip, is_malicious, latency, worker FROM alerts")
+def stream_replay(spark, sf):
+    """Alerts are delivered in four stretches of days, those of a stretch whose number ends in 3 again in the
+    same one and in the next. The stream is stopped and resumed between the stretches."""
+    path, out, ckpt = (scratch_path(spark, n) for n in ("alert_messages", "alerts", "ckpt"))
+    messages = alert_messages(spark, sf)
+    stretch = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    again = messages.filter(F.col("event_id") % 10 == 3)
+    for part in range(4):
+        sent = messages.filter(stretch == part).unionByName(again.filter(stretch.isin(part, part - 1)))
+        write_json(sent, f"{path}/part={part}")
+        stream = flat_alerts(alert_stream(spark, f"{path}/*", None, KEYED_ALERT))
+        run_until_drained(save_batches(once(stream, "event_id", "20 days"), out, ckpt))
+    return finished(spark, out).select("event_id", "src_ip", "dst_ip", "is_malicious", "latency", "worker")

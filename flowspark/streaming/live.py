@@ -47,46 +47,147 @@ def run_until_drained(writer: DataStreamWriter, timeout: int | None = None) -> N
         raise TimeoutError(f"stream not drained in {timeout} s")
 
 
-def save_result(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Keep the whole result of each batch (complete mode); read it with :func:`latest_batch`."""
+def _folders(spark: SparkSession, path: str, kind: str):
+    """The file system of a result and its finished folders ``kind=N``, as numbers in order.
+
+    A folder is finished once the job that wrote it left its success marker; a repeated batch takes the
+    marker away before it writes again.
+    """
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}=*/_SUCCESS")
+    files = marker.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getParent().getName() for f in files.globStatus(marker) or []]
+    return files, sorted(int(n.split("=")[1]) for n in names)
+
+
+def committed(spark: SparkSession, path: str, kind: str = "batch") -> list[int]:
+    """Numbers of the finished batches of a result, in order."""
+    return _folders(spark, path, kind)[1]
+
+
+def _expire(spark: SparkSession, path: str, kind: str, before: int) -> None:
+    """Remove the finished folders numbered less than ``before``."""
+    files, numbers = _folders(spark, path, kind)
+    for n in numbers:
+        if n < before:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{kind}={n}"), True)
+
+
+def _retained(retain: int) -> int:
+    if retain < 2:
+        raise ValueError("two batches at least are kept, as one may be repeated")
+    return retain
+
+
+def save_result(df: DataFrame, path: str, checkpoint: str, retain: int = 10) -> DataStreamWriter:
+    """Keep the whole result of each batch (complete mode); read it with :func:`latest_batch`.
+
+    The newest ``retain`` batches stay; a reader has to be done before that many more are written.
+    """
+    keep = _retained(retain)
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _expire(batch.sparkSession, path, "batch", number + 1 - keep)
 
     writer = df.writeStream.outputMode("complete").foreachBatch(save)
     return writer.option("checkpointLocation", checkpoint)
 
 
-def save_changes(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Keep the changed rows of each batch (update mode); read them with :func:`current`."""
+def save_changes(
+    df: DataFrame, path: str, checkpoint: str, keys: list[str], compact: int = 10
+) -> DataStreamWriter:
+    """Keep the changed rows of each batch (update mode); read them with :func:`current`.
+
+    Every ``compact`` batches, the newest row of each key is written as a base, and what lies before the
+    base of the time before is removed. So a reader meets one base and fewer than ``2 * compact`` batches.
+    """
+    if compact < 1:
+        raise ValueError("a base is written every batch at most")
 
     def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if (number + 1) % compact == 0:
+            now = current(spark, path, keys, number)
+            now.write.mode("overwrite").parquet(f"{path}/base={number}")
+            _expire(spark, path, "batch", number + 1 - compact)
+            _expire(spark, path, "base", number - compact)
 
     writer = df.writeStream.outputMode("update").foreachBatch(save)
     return writer.option("checkpointLocation", checkpoint)
 
 
 def latest_batch(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the newest batch folder."""
-    rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("batch").alias("b"))
-    return rows.filter(F.col("batch") == newest.scalar()).drop("batch")
+    """Rows of the newest finished batch; no other folder is read."""
+    done = committed(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no finished batch in {path}")
+    return spark.read.parquet(f"{path}/batch={done[-1]}")
+
 
+def current(spark: SparkSession, path: str, keys: list[str], upto: int | None = None) -> DataFrame:
+    """The newest row of each key over the changes so far: the last base and the batches after it.
 
-def current(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The newest row of each key over all batches of changes."""
-    rows = spark.read.parquet(path)
+    A base of batch ``upto`` itself is not used, so that a repeated batch can write it again.
+    """
+    bases = [n for n in committed(spark, path, "base") if upto is None or n < upto]
+    start = bases[-1] if bases else -1
+    later = [n for n in committed(spark, path) if n > start and (upto is None or n <= upto)]
+    if not bases and not later:
+        raise FileNotFoundError(f"no finished batch in {path}")
+    parts = []
+    if bases:
+        parts.append(spark.read.parquet(f"{path}/base={start}").withColumn("batch", F.lit(-1)))
+    if later:
+        folders = [f"{path}/batch={n}" for n in later]
+        parts.append(spark.read.option("basePath", path).parquet(*folders))
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
     values = [c for c in rows.columns if c not in [*keys, "batch"]]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
     return newest.select(*keys, "_v.*")
 
 
+def once(alerts: DataFrame, key: str, delay: str, order: str = "ts") -> DataFrame:
+    """One alert per key, though messages are delivered again.
+
+    A stream forgets a key ``delay`` after its event time, so repeats have to arrive within it; alerts
+    older than ``delay`` behind the newest one are left out.
+    """
+    timed = alerts.withColumn("_at", F.col(order).cast("timestamp"))
+    if not alerts.isStreaming:
+        return alerts.dropDuplicates([key])
+    return timed.withWatermark("_at", delay).dropDuplicatesWithinWatermark([key]).drop("_at")
+
+
+def save_batches(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """Append the rows of each batch in a folder under its number; read them with :func:`finished`.
+
+    A batch that is repeated after a failure takes the place of its first attempt.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return df.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+
+
+def finished(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the finished batches of a result; half-written ones are not seen."""
+    done = committed(spark, path)
+    if not done:
+        raise FileNotFoundError(f"no finished batch in {path}")
+    return spark.read.parquet(*[f"{path}/batch={n}" for n in done])
+
+
 def live_latest(
     alerts: DataFrame, path: str, checkpoint: str, n: int = 8, order: str = "ts",
-    tie: str = "event_id",
+    tie: str = "event_id", retain: int = 10,
 ) -> DataStreamWriter:
-    """Keep the ``n`` newest alerts; batch k merges its own n newest with those of batch k - 1."""
+    """Keep the ``n`` newest alerts; batch k merges its own n newest with those of batch k - 1.
+
+    The newest ``retain`` batches stay.
+    """
+    stay = _retained(retain)
 
     def keep(batch: DataFrame, number: int) -> None:
         newest = monitor.latest(batch, n, order, tie)
@@ -94,6 +195,7 @@ def live_latest(
             kept = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={number - 1}")
             newest = monitor.latest(newest.unionByName(kept), n, order, tie)
         newest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _expire(batch.sparkSession, path, "batch", number + 1 - stay)
 
     return alerts.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
 

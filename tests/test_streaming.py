@@ -13,9 +13,9 @@ from flowspark.plans.stream_queries import KEYED_ALERT
 from flowspark.schemas import ALERT, REQUEST
 from flowspark.sources import alert_stream, message_stream
 from flowspark.streaming import (
-    alert_snapshots, current, dead_letter, flat_alerts, latest_batch, live_latest, live_totals,
-    live_workers, run_until_drained, save_changes, save_closed, save_result, score_messages, score_stream,
-    window_totals, write_alerts,
+    alert_snapshots, committed, current, dead_letter, finished, flat_alerts, latest_batch, live_latest,
+    live_totals, live_workers, once, run_until_drained, save_batches, save_changes, save_closed, save_result,
+    score_messages, score_stream, window_totals, write_alerts,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -48,7 +48,7 @@ def test_restart_has_no_gaps_or_repeats(spark, messages, tmp_path):
         stream = alert_stream(spark, str(tmp_path / "in/*"), None, KEYED_ALERT)
         run_until_drained(write_alerts(stream, str(tmp_path / "out"), str(tmp_path / "c1")))
         flat = flat_alerts(stream)
-        run_until_drained(save_changes(live_workers(flat), str(tmp_path / "w"), str(tmp_path / "c2")))
+        run_until_drained(save_changes(live_workers(flat), str(tmp_path / "w"), str(tmp_path / "c2"), ["key"]))
         run_until_drained(live_latest(flat, str(tmp_path / "l"), str(tmp_path / "c3")))
     out = spark.read.schema(KEYED_ALERT).json(str(tmp_path / "out"))
     assert out.count() == out.select("event_id").distinct().count() == messages.count()
@@ -152,3 +152,64 @@ def test_windows_close_once_and_late_alerts_stay_out(spark, tmp_path):
     assert got == [(0, 2, 1, 2.0), (1, 1, 0, None), (2, 1, 1, 5.0)]
     whole = window_totals(spark.createDataFrame([], schema), "1 hour", "1 hour", "30 minutes")
     assert whole.count() == 0
+
+
+def test_results_of_many_batches_stay_few(spark, messages, tmp_path):
+    """Fifty batches leave the right answer, and a bounded number of folders to read."""
+    files = messages.repartitionByRange(50, "event_id").drop("ts")
+    files.write.json(str(tmp_path / "in"))
+    stream = flat_alerts(alert_stream(spark, str(tmp_path / "in"), 1, KEYED_ALERT))
+    w, r = str(tmp_path / "w"), str(tmp_path / "r")
+    run_until_drained(save_changes(live_workers(stream), w, str(tmp_path / "c1"), ["key"], compact=7))
+    run_until_drained(save_result(live_totals(stream), r, str(tmp_path / "c2"), retain=3))
+    want = {x["key"]: x["value"] for x in monitor.worker_counts(alerts(spark, SF)).collect()}
+    assert {x["key"]: x["value"] for x in current(spark, w, ["key"]).collect()} == want
+    assert committed(spark, w, "base") == [41, 48] and committed(spark, w) == list(range(42, 50))
+    assert committed(spark, r) == [47, 48, 49]
+    assert latest_batch(spark, r).first()["total_packets"] == sum(want.values())
+
+
+def test_repeated_base_is_the_same(spark, tmp_path):
+    """A batch that is repeated after its base was written starts from the base before."""
+    out = str(tmp_path)
+    for n, rows in enumerate(([("a", 1), ("b", 1)], [("a", 2)], [("b", 3)])):
+        spark.createDataFrame(rows, "key string, value long").write.parquet(f"{out}/batch={n}")
+    for _ in range(2):
+        current(spark, out, ["key"], 1).write.mode("overwrite").parquet(f"{out}/base=1")
+        got = {r["key"]: r["value"] for r in current(spark, out, ["key"], 1).collect()}
+        assert got == {"a": 2, "b": 1}
+    assert {r["key"]: r["value"] for r in current(spark, out, ["key"]).collect()} == {"a": 2, "b": 3}
+
+
+def test_replay_after_a_kill(spark, messages, tmp_path):
+    """A batch is written, the stream dies before it commits: repeats and half-written folders do not count."""
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "c"))
+    twice = messages.unionByName(messages.filter("event_id % 5 = 0"))
+    twice.repartition(4, "event_id").write.json(src)
+    flat = flat_alerts(alert_stream(spark, src, 2, KEYED_ALERT))
+
+    def dies(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if number == 1:
+            raise RuntimeError("killed before the commit")
+
+    with pytest.raises(Exception, match="killed before the commit"):
+        run_until_drained(
+            once(flat, "event_id", "90 days").writeStream.foreachBatch(dies).option("checkpointLocation", ckpt)
+        )
+    assert committed(spark, out) == [0, 1]
+    messages.limit(5).write.parquet(f"{out}/batch=77")  # an attempt without its marker
+    (tmp_path / "out" / "batch=77" / "_SUCCESS").unlink()
+    run_until_drained(save_batches(once(flat, "event_id", "90 days"), out, ckpt))
+    rows = finished(spark, out)
+    assert rows.count() == rows.select("event_id").distinct().count() == messages.count()
+    batch = flat_alerts(twice)
+    assert once(batch, "event_id", "1 day").count() == messages.count()
+
+
+def test_nothing_finished_is_an_error(spark, tmp_path):
+    for read in (latest_batch, finished, lambda s, p: current(s, p, ["key"])):
+        with pytest.raises(FileNotFoundError):
+            read(spark, str(tmp_path / "none"))
+    with pytest.raises(ValueError):
+        save_result(spark.readStream.format("rate").load(), "p", "c", retain=1)
