@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from flowspark.operators import prep, sampling, scaling
 from flowspark.plans.registry import query
 from flowspark.plans.standins import (
-    ALERTS, FLOW_FEATURES, FLOWS, KEYED, METRIC_LOG, WORKER_FILES, alerts, flows,
-    keyed_flows, message_texts, metric_log, table, worker_files,
+    ALERTS, FLOW_FEATURES, FLOWS, KEYED, LOSSES, METRIC_LOG, WORKER_FILES, alerts, flows,
+    keyed_flows, message_texts, metric_log, model_losses, table, worker_files,
 )
 from flowspark.schemas import ALERT, WORKER_FILE, check_width, parse_messages
 from flowspark.session import scratch_path
 from flowspark.sources import (
-    read_clients, read_flows, read_flows_csv, read_json_glob, read_metric_log, read_packets, read_scaler,
-    write_csv, write_flows, write_json, write_metric_log, write_scaler,
+    read_clients, read_flows, read_flows_csv, read_json_glob, read_metric_log, read_packets, read_round_losses,
+    read_scaler, read_train_log, write_csv, write_flows, write_json, write_metric_log, write_round_losses,
+    write_scaler, write_train_log,
 )
 
 
@@ -112,6 +113,52 @@ def metric_log_long(spark, sf):
     return docs.select("client", "metric", "model", "round", r6("value"))
 
 
+@query(
+    "metric_log_central",
+    f"""WITH {METRIC_LOG} SELECT client, metric, CAST(row_number() OVER (PARTITION BY client, metric ORDER BY model)
+      - 1 AS INTEGER) AS model, 1 AS round, round(max_by(value, round), 6) AS value
+    FROM metric_log GROUP BY client, metric, metric_log.model""",
+)
+def metric_log_central(spark, sf):
+    path = scratch_path(spark, "metric_log")
+    write_metric_log(metric_log(spark, sf), path, setting="central")
+    docs = read_metric_log(spark, path, "central")
+    return docs.select("client", "metric", "model", "round", r6("value"))
+
+
+@query(
+    "metric_log_local",
+    f"""WITH {METRIC_LOG} SELECT client, metric, 'net' || model AS model, CAST(row_number() OVER (
+      PARTITION BY client, metric, model ORDER BY round) AS INTEGER) AS round, round(value, 6) AS value
+    FROM metric_log""",
+)
+def metric_log_local(spark, sf):
+    path = scratch_path(spark, "metric_log")
+    log = metric_log(spark, sf).withColumn("model", F.concat(F.lit("net"), F.col("model").cast("string")))
+    write_metric_log(log, path, setting="local")
+    docs = read_metric_log(spark, path, "local")
+    return docs.select("client", "metric", "model", "round", r6("value"))
+
+
+@query(
+    "train_log_read",
+    f"""WITH {METRIC_LOG} SELECT client, round AS epoch, round(value, 6) AS loss FROM metric_log
+    WHERE metric = 'final_loss' AND model = 1""",
+)
+def train_log_read(spark, sf):
+    path = scratch_path(spark, "train_log")
+    log = metric_log(spark, sf).filter("metric = 'final_loss' AND model = 1")
+    write_train_log(log.select("client", F.col("round").alias("epoch"), F.col("value").alias("loss")), path)
+    return read_train_log(spark, path).select("client", "epoch", r6("loss"))
+
+
+@query("round_losses_read", f"WITH {LOSSES} SELECT model, round, round(loss, 6) AS loss FROM losses")
+def round_losses_read(spark, sf):
+    path = scratch_path(spark, "round_losses")
+    write_round_losses(model_losses(spark, sf), path)
+    return read_round_losses(spark, path).select("model", "round", r6("loss"))
+
+
 @query("read_json_glob", f"WITH {WORKER_FILES} SELECT processed_packets, total_timer FROM worker_files")
 def json_glob(spark, sf):
     path = scratch_path(spark, "workers")

@@ -100,21 +100,6 @@ WORKER_FILE = T.StructType(
     ]
 )
 
-#: Per client: metric -> model -> round values (federated), metric -> model values (central).
-FEDERATED_METRICS = T.MapType(T.StringType(), T.ArrayType(T.ArrayType(T.DoubleType())))
-CENTRAL_METRICS = T.MapType(T.StringType(), T.ArrayType(T.DoubleType()))
-#: Per model: client -> metric -> values.
-LOCAL_METRICS = T.MapType(T.StringType(), T.MapType(T.StringType(), T.ArrayType(T.DoubleType())))
-#: Per client: epoch name -> training loss.
-EPOCH_LOSSES = T.MapType(T.StringType(), T.StructType([T.StructField("loss", T.DoubleType())]))
-#: Per model: name -> history of (round, loss) pairs.
-ROUND_HISTORY = T.ArrayType(
-    T.MapType(
-        T.StringType(),
-        T.StructType([T.StructField("losses_distributed", T.ArrayType(T.ArrayType(T.DoubleType())))]),
-    )
-)
-
 
 def required_paths(schema: T.StructType, prefix: str = "") -> list[str]:
     """Every leaf of a nested schema as a dotted path."""

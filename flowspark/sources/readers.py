@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from flowspark.functions import to_float, to_int
 from flowspark.operators.prep import union_clients
-from flowspark.schemas import (
-    ALERT, CENTRAL_METRICS, EPOCH_LOSSES, FEDERATED_METRICS, IDENTITY, LOCAL_METRICS, REQUEST,
-    ROUND_HISTORY,
-)
+from flowspark.schemas import ALERT, IDENTITY, REQUEST
 
 
 def read_flows(spark: SparkSession, path: str, drop: list[str] = ()) -> DataFrame:
@@ -46,12 +43,71 @@ def read_clients(spark: SparkSession, registry: list[tuple[str, str, str]]) -> D
     )
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (file, name, body): the entries of each JSON document of a folder, bodies as text."""
+#: Levels below the document itself that a log may have.
+_LEVELS = 7
+
+
+def log_leaves(spark: SparkSession, path: str) -> DataFrame:
+    """The values of JSON logs of any shape: rows (file, kinds, parts, value).
+
+    ``parts`` leads from the document to the value, ``kinds`` has a letter per part: ``n`` for the name of
+    an entry, ``i`` for the index of an item. Empty lists and objects have no rows, a null is a NULL; text, truth values
+    and documents that are no JSON are errors that name the place. A file is one document, which is one row while
+    it is taken apart and so has to fit a task; there may be any number of files.
+    """
     docs = spark.read.text(path, wholetext=True)
     file = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    entries = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
-    return docs.select(file.alias("file"), F.explode(entries).alias("name", "body"))
+    whole = F.try_parse_json("value")
+    rows = docs.select(
+        file.alias("file"), F.lit("").alias("kinds"), F.array().cast("array<string>").alias("parts"),
+        F.when(whole.isNull(), F.raise_error(F.concat(F.lit("no JSON in "), file)))
+        .otherwise(whole).alias("node"),
+    )
+    for _ in range(_LEVELS):
+        children = spark.tvf.variant_explode_outer(F.col("node").outer())
+        rows = rows.lateralJoin(children)
+        inner, named = F.col("pos").isNotNull(), F.col("key").isNotNull()
+        rows = rows.filter(inner | ~F.schema_of_variant("node").rlike("^(OBJECT|ARRAY)"))
+        part = F.coalesce(F.col("key"), F.col("pos").cast("string"))
+        rows = rows.select(
+            "file",
+            F.when(~inner, F.col("kinds")).otherwise(
+                F.concat("kinds", F.when(named, F.lit("n")).otherwise(F.lit("i")))
+            ).alias("kinds"),
+            F.when(inner, F.array_append("parts", part)).otherwise(F.col("parts")).alias("parts"),
+            F.when(inner, F.col("value")).otherwise(F.col("node")).alias("node"),
+        )
+    number = F.schema_of_variant("node").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    place = F.concat(F.lit("no number at "), F.col("file"), F.lit(": "), F.array_join("parts", " / "))
+    value = F.when(number, F.try_variant_get("node", "$", "double")).when(
+        ~F.is_variant_null("node"), F.raise_error(place).cast("double")
+    )
+    return rows.select("file", "kinds", "parts", value.alias("value"))
+
+
+def _of_shape(leaves: DataFrame, kinds: str) -> DataFrame:
+    """The leaves, all of which have to lie at a place of the given kinds."""
+    place = F.concat(F.lit("unknown log shape at "), F.col("file"), F.lit(": "), F.array_join("parts", " / "))
+    known = F.col("kinds") == kinds
+    return leaves.withColumn("parts", F.when(known, F.col("parts")).otherwise(
+        F.raise_error(place).cast("array<string>")
+    ))
+
+
+def _part(i: int) -> Column:
+    return F.get("parts", F.lit(i))
+
+
+def _number(i: int) -> Column:
+    return _part(i).cast("int")
+
+
+#: Per shape of metric log: the kinds of its places, and where client, metric, model and round are in it.
+_METRIC_LOGS = {
+    "federated": ("nnii", ["parts[0]", "parts[1]", "int(parts[2])", "int(parts[3]) + 1"]),
+    "central": ("nni", ["parts[0]", "parts[1]", "int(parts[2])", "1"]),
+    "local": ("nnni", ["parts[1]", "parts[2]", "parts[0]", "int(parts[3]) + 1"]),
+}
 
 
 def read_metric_log(spark: SparkSession, path: str, setting: str = "federated") -> DataFrame:
@@ -59,57 +115,41 @@ def read_metric_log(spark: SparkSession, path: str, setting: str = "federated")
 
     ``federated`` logs hold a list of rounds per model; ``central`` logs one value per model, which
     becomes round 1. ``local`` logs are held by model, client and metric; their ``model`` is a name.
-    The weighted history (:func:`read_round_losses`) is left out; any other shape is an error.
+    The weighted history (:func:`read_round_losses`) is left out; any other shape is an error that names
+    the place.
     """
-    shapes = {"federated": FEDERATED_METRICS, "central": CENTRAL_METRICS, "local": LOCAL_METRICS}
-    if setting not in shapes:
+    if setting not in _METRIC_LOGS:
         raise ValueError(f"unknown setting {setting!r}")
-    docs = _documents(spark, path).filter("name <> 'weighted_metrics'")
-    metrics = F.from_json("body", shapes[setting], {"mode": "FAILFAST"})
-    if setting == "local":
-        rows = docs.select("file", F.col("name").alias("model"), F.explode(metrics).alias("client", "_m"))
-        rows = rows.select("file", "client", "model", F.explode("_m").alias("metric", "_v"))
-        rows = rows.select("file", "client", "metric", "model", F.posexplode("_v").alias("_i", "value"))
-        return rows.select(
-            "file", "client", "metric", "model", (F.col("_i") + 1).alias("round"), "value"
-        )
-    nested = setting == "federated"
-    docs = docs.withColumnRenamed("name", "client")
-    rows = docs.select("file", "client", F.explode(metrics).alias("metric", "models"))
-    rows = rows.select("file", "client", "metric", F.posexplode("models").alias("model", "rounds"))
-    if not nested:
-        return rows.select(
-            "file", "client", "metric", "model", F.lit(1).alias("round"), F.col("rounds").alias("value")
-        )
-    rows = rows.select(
-        "file", "client", "metric", "model", F.posexplode("rounds").alias("_round", "value")
-    )
-    return rows.select(
-        "file", "client", "metric", "model", (F.col("_round") + 1).alias("round"), "value"
-    )
+    kinds, places = _METRIC_LOGS[setting]
+    leaves = log_leaves(spark, path).filter(~_part(0).eqNullSafe("weighted_metrics"))
+    rows = _of_shape(leaves, kinds)
+    names = ("client", "metric", "model", "round")
+    return rows.select("file", *[F.expr(e).alias(n) for e, n in zip(places, names)], "value")
 
 
 def read_round_losses(spark: SparkSession, path: str) -> DataFrame:
-    """Weighted loss history of federated logs as rows (file, model, round, loss)."""
-    docs = _documents(spark, path).filter("name = 'weighted_metrics'")
-    models = docs.select("file", F.posexplode(F.from_json("body", ROUND_HISTORY)).alias("model", "_m"))
-    rows = models.select("file", "model", F.explode("_m").alias("_name", "_history"))
-    rows = rows.select("file", "model", F.explode("_history.losses_distributed").alias("_pair"))
-    return rows.select(
-        "file", "model", F.get("_pair", F.lit(0)).cast("int").alias("round"),
-        F.get("_pair", F.lit(1)).alias("loss"),
+    """Weighted loss history of federated logs as rows (file, model, round, loss).
+
+    A history is a list of models, each a name with lists of (round, value) pairs.
+    """
+    leaves = log_leaves(spark, path).filter(_part(0).eqNullSafe("weighted_metrics"))
+    losses = leaves.filter(~_part(3).eqNullSafe("metrics_distributed"))
+    pairs = _of_shape(losses, "ninnii").select(
+        "file", _number(1).alias("model"), _part(3).alias("kind"), _number(4).alias("_pair"),
+        _number(5).alias("_side"), "value",
+    ).filter("kind = 'losses_distributed'")
+    whole = pairs.groupBy("file", "model", "_pair").agg(
+        F.max(F.when(F.col("_side") == 0, F.col("value"))).cast("int").alias("round"),
+        F.max(F.when(F.col("_side") == 1, F.col("value"))).alias("loss"),
     )
+    return whole.select("file", "model", "round", "loss")
 
 
 def read_train_log(spark: SparkSession, path: str) -> DataFrame:
-    """Training logs as rows (file, client, epoch, loss)."""
-    docs = _documents(spark, path)
-    rows = docs.select(
-        "file", F.col("name").alias("client"),
-        F.explode(F.from_json("body", EPOCH_LOSSES)).alias("_epoch", "_log"),
-    )
-    epoch = F.regexp_extract("_epoch", r"(\d+)$", 1).cast("int")
-    return rows.select("file", "client", epoch.alias("epoch"), F.col("_log.loss").alias("loss"))
+    """Training logs (client, epoch, loss) as rows (file, client, epoch, loss)."""
+    rows = _of_shape(log_leaves(spark, path), "nnn").filter(_part(2) == "loss")
+    epoch = F.regexp_extract(_part(1), r"(\d+)$", 1).cast("int")
+    return rows.select("file", _part(0).alias("client"), epoch.alias("epoch"), F.col("value").alias("loss"))
 
 
 def read_json_glob(

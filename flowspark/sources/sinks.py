@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def write_flows(df: DataFrame, path: str, mode: str = "error", by: list[str] = ()) -> None:
@@ -20,24 +20,72 @@ def write_csv(df: DataFrame, path: str, mode: str = "error") -> None:
     df.write.mode(mode).csv(path, header=True)
 
 
-def write_metric_log(log: DataFrame, path: str, mode: str = "error") -> None:
-    """Metric rows as nested logs, a document per client: metric -> model -> values by round.
+def _series(log: DataFrame, by: list[str], order: str, value: str, out: str) -> DataFrame:
+    """The values of each group as a list in order: its length is the number of rounds or models."""
+    return log.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct(order, value)))[value].alias(out)
+    )
+
+
+def _write_documents(docs: DataFrame, folder: str, body: Column, path: str, mode: str) -> None:
+    writer = docs.select(F.col(folder).alias("log"), F.to_json(body).alias("value")).write
+    writer.mode(mode).partitionBy("log").text(path)
+
 
-    A list holds the rounds of one model of one client: its length is the number of rounds.
+def _under(name: str, body: Column) -> Column:
+    return F.map_from_arrays(F.array(name), F.array(body))
+
+
+def write_metric_log(log: DataFrame, path: str, mode: str = "error", setting: str = "federated") -> None:
+    """Metric rows (client, metric, model, round, value) as nested JSON logs, in a folder per client.
+
+    ``federated``: client -> metric -> a list of rounds per model. ``central``: client -> metric -> a value
+    per model, that of its last round. ``local``: model -> client -> metric -> values by round.
+    Models of the first two are told apart by their place in the list.
     """
-    per_model = log.groupBy("client", "metric", "model").agg(
-        F.sort_array(F.collect_list(F.struct("round", "value")))["value"].alias("rounds")
-    )
-    per_metric = per_model.groupBy("client", "metric").agg(
-        F.sort_array(F.collect_list(F.struct("model", "rounds")))["rounds"].alias("models")
+    by = ["client", "metric"]
+    if setting == "federated":
+        lists = _series(log, [*by, "model"], "round", "value", "values")
+        lists = _series(lists, by, "model", "values", "values")
+    elif setting == "central":
+        last = log.groupBy(*by, "model").agg(F.max_by("value", "round").alias("value"))
+        lists = _series(last, by, "model", "value", "values")
+    elif setting == "local":
+        by = ["model", *by]
+        lists = _series(log.withColumn("model", F.col("model").cast("string")), by, "round", "value", "values")
+    else:
+        raise ValueError(f"unknown setting {setting!r}")
+    docs = lists.groupBy(*by[:-1]).agg(
+        F.map_from_entries(F.collect_list(F.struct("metric", "values"))).alias("metrics")
     )
-    docs = per_metric.groupBy("client").agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", "models"))).alias("metrics")
-    )
-    text = F.to_json(F.map_from_arrays(F.array("client"), F.array("metrics")))
-    docs.select(F.col("client").alias("log"), text.alias("value")).write.mode(mode).partitionBy(
-        "log"
-    ).text(path)
+    body = _under("client", F.col("metrics"))
+    if setting == "local":
+        models = F.struct("model", body)
+        docs = docs.groupBy("client").agg(F.map_from_entries(F.collect_list(models)).alias("models"))
+        body = F.col("models")
+    _write_documents(docs, "client", body, path, mode)
+
+
+def write_train_log(log: DataFrame, path: str, mode: str = "error") -> None:
+    """Training losses (client, epoch, loss) as JSON logs, a document per client: epoch_<n> -> loss."""
+    epoch = F.struct(F.concat(F.lit("epoch_"), F.col("epoch").cast("string")), F.struct("loss"))
+    docs = log.groupBy("client").agg(F.map_from_entries(F.sort_array(F.collect_list(epoch))).alias("_epochs"))
+    _write_documents(docs, "client", _under("client", F.col("_epochs")), path, mode)
+
+
+def write_round_losses(losses: DataFrame, path: str, mode: str = "error") -> None:
+    """The weighted loss history (model, round, loss) of one run as one JSON document.
+
+    It holds a list per model of its (round, loss) pairs: a row per model and round of a run.
+    """
+    pair = F.array(F.col("round").cast("double"), F.col("loss"))
+    models = _series(losses.withColumn("_pair", pair), ["model"], "round", "_pair", "losses_distributed")
+    name = F.concat(F.lit("model_"), (F.col("model") + 1).cast("string"))
+    body = F.struct(F.expr("map() :: map<string, double>").alias("metrics_distributed"), "losses_distributed")
+    entries = models.withColumn("_name", name).select("model", F.to_json(_under("_name", body)).alias("_m"))
+    listed = _series(entries, [], "model", "_m", "_all")
+    text = F.concat(F.lit('{"weighted_metrics":['), F.array_join("_all", ","), F.lit("]}"))
+    listed.select(text.alias("value")).write.mode(mode).text(path)
 
 
 def write_scaler(scaler: DataFrame, features: list[str], path: str, mode: str = "error") -> None:

@@ -5,7 +5,7 @@ from flowspark.operators import joins, metrics, monitor, prep, sampling, scaling
 from flowspark.schemas import ALERT, SNAPSHOT, WORKER_FILE, check_width, validate
 from flowspark.sources import (
     read_clients, read_json_glob, read_metric_log, read_packets, read_round_losses, read_scaler,
-    read_train_log, write_csv, write_flows, write_metric_log, write_scaler,
+    read_train_log, write_csv, write_flows, write_metric_log, write_round_losses, write_scaler, write_train_log,
 )
 
 
@@ -360,3 +360,48 @@ def test_run_settings(spark):
     log = spark.createDataFrame(rows, "run string, client string, metric string, model int, round int, value double")
     got = sorted(map(tuple, metrics.loss_curve(log, "fedprox").collect()), key=str)
     assert got == [(5.0, 0.8, "c", 1, 0.5), (5.0, None, "c", 1, 0.4)]
+
+
+@pytest.mark.parametrize("setting", ["federated", "central", "local"])
+def test_metric_logs_of_every_shape_round_trip(spark, tmp_path, setting):
+    kind = "string" if setting == "local" else "int"
+    models = ["m: a", 'm "b"'] if setting == "local" else [0, 1]
+    rounds = (1,) if setting == "central" else (1, 2, 11)
+    rows = [(c, f, m, i, (len(c) + i) / 8) for c in ("x y", "z") for f in ("f1", "acc") for m in models
+            for i in range(1, len(rounds) + 1)]
+    log = spark.createDataFrame(rows, f"client string, metric string, model {kind}, round int, value double")
+    path = str(tmp_path / "log")
+    write_metric_log(log, path, setting=setting)
+    back = read_metric_log(spark, path, setting).drop("file")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    with pytest.raises(ValueError):
+        write_metric_log(log, str(tmp_path / "none"), setting="other")
+
+
+def test_train_logs_and_histories_round_trip(spark, tmp_path):
+    rows = [("c", e, e / 4) for e in (0, 1, 10)] + [("d", 0, 1e-17)]
+    write_train_log(spark.createDataFrame(rows, "client string, epoch int, loss double"), str(tmp_path / "t"))
+    assert sorted(map(tuple, read_train_log(spark, str(tmp_path / "t")).drop("file").collect())) == sorted(rows)
+    rows = [(m, r, m + r / 10) for m in range(12) for r in (1, 2, 10)]
+    write_round_losses(spark.createDataFrame(rows, "model int, round int, loss double"), str(tmp_path / "r"))
+    assert sorted(map(tuple, read_round_losses(spark, str(tmp_path / "r")).drop("file").collect())) == rows
+
+
+@pytest.mark.parametrize("text,message", [
+    ('{"c": {"f1": [[0.1, "high"]]}}', "no number at log.json: c / f1 / 0 / 1"),
+    ('{"c": {"f1": [[true]]}}', "no number at log.json: c / f1 / 0 / 0"),
+    ('{"c": {"f1": {"a": [1]}}}', "unknown log shape at log.json: c / f1 / a / 0"),
+    ('{"c": {"f1": [[0.1', "no JSON in log.json"),
+    ("7", "unknown log shape at log.json"),
+    ('{"c": [[[[[[[[1]]]]]]]]}', "at log.json: c / 0 / 0"),
+])
+def test_unknown_logs_name_the_place(spark, tmp_path, text, message):
+    (tmp_path / "log.json").write_text(text)
+    with pytest.raises(Exception, match=message):
+        read_metric_log(spark, str(tmp_path / "log.json")).collect()
+
+
+def test_logs_without_values(spark, tmp_path):
+    (tmp_path / "log.json").write_text('{"c": {"f1": [[null, 2], []], "f2": []}, "d": {}}')
+    rows = read_metric_log(spark, str(tmp_path / "log.json")).drop("file").collect()
+    assert sorted(map(tuple, rows), key=lambda r: r[3]) == [("c", "f1", 0, 1, None), ("c", "f1", 0, 2, 2.0)]
