@@ -74,6 +74,42 @@ def score(
     return df.withColumn(out, predict_columns(*[F.col(f).cast("double") for f in features]))
 
 
+def register_scorer(spark: SparkSession, name: str, models: dict[str, list[np.ndarray]]) -> None:
+    """Make ``name(model, vector)`` callable from SQL: the logit of a vector by the model of that name.
+
+    NULL where the vector is missing, of the wrong width or holds a missing value, and where no model has
+    the name. Each row may name another model. Models come from :func:`load_models` or from arrays; they
+    are shipped once, below the same size limit.
+    """
+    if sum(t.size for m in models.values() for t in m) > MAX_PARAMETERS:
+        raise ValueError("the models are too large to broadcast: register them in groups")
+    shared = spark.sparkContext.broadcast(models)
+
+    @arrow_udf(T.DoubleType())
+    def scorer(model: pa.Array, vectors: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+        out, known = np.full(len(vectors), np.nan), np.zeros(len(vectors), bool)
+        for key in model.unique().drop_null().to_pylist():
+            net = shared.value.get(key)
+            if net is None:
+                continue
+            mine = pc.fill_null(pc.equal(model, key), False).to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(mine & (sizes == net[0].shape[0]))
+            if not len(at):
+                continue
+            flat = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False)
+            x = flat.astype(float).reshape(len(at), -1)
+            whole = ~np.isnan(x).any(axis=1)
+            at = at[whole]
+            if len(at):
+                out[at], known[at] = mlp.logits(net, x[whole]), True
+        return pa.array(out, mask=~known)
+
+    spark.udf.register(name, scorer)
+
+
 def model_rows(spark: SparkSession, model: list[np.ndarray]) -> DataFrame:
     """A model as rows (layer, pos, value)."""
     layer = np.concatenate([np.full(t.size, i) for i, t in enumerate(model)])

@@ -118,6 +118,20 @@ def score_mlp(spark, sf):
     return rows.select("l_orderkey", "l_linenumber", r6("logit"))
 
 
+@query("sql_score", network_sql(demo_network(), "l_orderkey, l_linenumber", "lineitem", _SCALED))
+def sql_score(spark, sf):
+    """The network as a function of SQL, its parameters read from a table of rows."""
+    net = demo_network()
+    rows = settle(score.model_rows(spark, net).withColumn("model", F.lit("demo")), "model")
+    score.register_scorer(spark, "net_score", score.load_models(rows, [t.shape for t in net], "model"))
+    vector = ", ".join(f"{c} / {d}D" for c, d in zip(FLOW_FEATURES, (50.0, 100000.0, 0.1, 0.1)))
+    return spark.sql(
+        f"""SELECT l_orderkey, l_linenumber, round(net_score('demo', array({vector})), 6) AS logit
+        FROM {{line}}""",
+        line=spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *FLOW_FEATURES)),
+    )
+
+
 _FIT = ", ".join(f"min({c}) AS lo{i}, max({c}) AS hi{i}" for i, c in enumerate(FLOW_FEATURES))
 
 

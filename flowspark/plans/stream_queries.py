@@ -6,10 +6,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F, types as T
 
-from flowspark.operators import scaling, score
+from flowspark.operators import mlp, scaling, score
 from flowspark.operators.monitor import ranked
 from flowspark.operators.running_top import running_top
-from flowspark.plans.model_queries import _LOGIT, _RANGE
+from flowspark.operators.train import TrainConfig
+from flowspark.plans.model_queries import _LOGIT, _RANGE, packet_vector
 from flowspark.plans.monitor_queries import TOTALS, _top
 from flowspark.plans.prepare_queries import r6
 from flowspark.plans.registry import query
@@ -17,7 +18,7 @@ from flowspark.plans.standins import (
     ALERTS, CUT_TEXT, FLOW_FEATURES, LINEAR_BIAS, LINEAR_WEIGHTS, alert_messages, alerts,
     message_texts, table,
 )
-from flowspark.schemas import ALERT, REQUEST, SNAPSHOT, parse_messages
+from flowspark.schemas import ALERT, FEATURES, REQUEST, SNAPSHOT, parse_messages
 from flowspark.session import scratch_path
 from flowspark.sources import alert_stream, message_stream, request_stream, write_json
 from flowspark.streaming import (
@@ -38,7 +39,7 @@ def _alert_source(spark, sf, files: int = 6, per_batch: int = 2):
     return alert_stream(spark, path, per_batch, KEYED_ALERT)
 
 
-def _requests(spark, sf):
+def _requests(spark, sf, packet=FLOW_FEATURES):
     line = table(spark, sf, "lineitem")
     metadata = F.struct(
         F.concat(F.lit("10.0.0."), F.col("l_suppkey").cast("string")).alias("IPV4_SRC_ADDR"),
@@ -49,7 +50,7 @@ def _requests(spark, sf):
     sent = F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1e6
     return line.select(
         sent.alias("send_timestamp"), metadata.alias("metadata"),
-        F.array(*[F.col(c) for c in FLOW_FEATURES]).alias("packet"),
+        F.array(*packet).alias("packet"),
     )
 
 
@@ -117,6 +118,18 @@ def stream_score(spark, sf):
     return rows.select(*_flat_key(), "is_malicious")
 
 
+@query("stream_score_full")
+def stream_score_full(spark, sf):
+    """Messages of 39 features, classified by the published network (tested against the batch operator)."""
+    path, out, dead, ckpt = (scratch_path(spark, n) for n in ("requests", "out", "dead", "ckpt"))
+    write_json(_requests(spark, sf, packet_vector()).repartition(16, "metadata"), path)
+    model = mlp.init(len(FEATURES), TrainConfig().hidden, 69)
+    one, zero = np.ones(len(FEATURES)), np.zeros(len(FEATURES))
+    run_until_drained(score_messages(message_stream(spark, path, 8), model, one, zero, out, dead, ckpt))
+    rows = spark.read.schema(ALERT).json(out)
+    return rows.select(*_flat_key(), "is_malicious")
+
+
 @query("stream_dead_letter", f"SELECT {CUT_TEXT} AS value FROM events WHERE event_id % 50 = 7")
 def stream_dead_letter(spark, sf):
     path, good, dead, ckpt = (scratch_path(spark, n) for n in ("messages", "good", "dead", "ckpt"))

@@ -341,3 +341,19 @@ def test_grid_search_prefers_a_working_rate(spark):
     summary = train.grid_summary(train.grid_search(shards, FEATURES, grid)).toPandas()
     best = summary[summary["best"]]
     assert list(best["candidate"]) == [1] and best["mean_score"].iloc[0] > 0.8 and not set(summary["candidate"]) - {0, 1}
+
+
+def test_scorer_in_sql(spark):
+    """Each row names its model; what cannot be scored is NULL, and no row ends the query."""
+    from flowspark.operators import mlp, score
+
+    nets = {"a": mlp.init(3, (4,), 1), "line": mlp.init(2, (), 2)}
+    score.register_scorer(spark, "test_score", nets)
+    rows = [("a", [1.0, 2.0, 3.0]), ("line", [0.5, -1.0]), ("a", [1.0, 2.0]), ("a", [1.0, None, 3.0]),
+            ("none", [1.0, 2.0, 3.0]), (None, [1.0, 2.0, 3.0]), ("line", None), ("line", [])]
+    df = spark.createDataFrame(rows, "model string, v array<double>").coalesce(1)
+    got = [r["z"] for r in spark.sql("SELECT test_score(model, v) AS z FROM {df}", df=df).collect()]
+    assert got[0] == pytest.approx(float(mlp.logits(nets["a"], np.array([[1.0, 2.0, 3.0]]))[0]))
+    assert got[1] == pytest.approx(float(mlp.logits(nets["line"], np.array([[0.5, -1.0]]))[0]))
+    assert got[2:] == [None] * 6
+    assert spark.sql("SELECT test_score(model, v) AS z FROM {df}", df=df.limit(0)).count() == 0

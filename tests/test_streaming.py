@@ -213,3 +213,24 @@ def test_nothing_finished_is_an_error(spark, tmp_path):
             read(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError):
         save_result(spark.readStream.format("rate").load(), "p", "c", retain=1)
+
+
+def test_streamed_network_decides_as_in_batch(spark):
+    from flowspark.operators import mlp, score
+    from flowspark.operators.train import TrainConfig
+    from flowspark.plans.model_queries import packet_vector
+    from flowspark.plans.standins import table
+    from flowspark.plans.stream_queries import stream_score_full
+    from flowspark.schemas import FEATURES
+
+    net = mlp.init(len(FEATURES), TrainConfig().hidden, 69)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = score.score(
+        table(spark, SF, "lineitem").select(*keys, F.array(*packet_vector()).alias("v")), net, "v"
+    )
+    want = sorted(
+        (f"10.0.0.{r['l_suppkey']}", r["l_linenumber"], f"192.168.0.{r['l_partkey']}", r["l_orderkey"], r["logit"] > 0)
+        for r in rows.collect()
+    )
+    assert sorted(map(tuple, stream_score_full(spark, SF).collect())) == want
+    assert {w[-1] for w in want} == {True, False}
