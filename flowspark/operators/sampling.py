@@ -81,21 +81,19 @@ def largest_remainder(sizes: DataFrame, cls: str, size: str, share: float, out:
 
 
 def _placed(rows: DataFrame, cls: str, leaves: DataFrame) -> DataFrame:
-    """The hash at the wanted place of each leaf: rows (cls, _name, _h)."""
+    """The hash at the wanted place of each leaf: rows (cls, _name, _h, _take); that many rows of the
+    hash itself are within the place."""
     near = key_join(rows, leaves.drop("_n"), [cls, "_p"])
-    place = F.row_number().over(W.partitionBy(cls, "_p", "_name").orderBy("_h"))
-    return near.withColumn("_place", place).filter("_place = _need").select(cls, "_name", "_h")
+    order = W.partitionBy(cls, "_p", "_name").orderBy("_h")
+    near = near.withColumn("_place", F.row_number().over(order)).withColumn("_rank", F.rank().over(order))
+    near = near.filter("_place = _need")
+    return near.select(cls, "_name", "_h", (F.col("_place") - F.col("_rank") + 1).alias("_take"))
 
 
-def cuts(
+def _points(
     df: DataFrame, cls: str, hashed: str, quotas: DataFrame, names: list[str], leaf: int = LEAF_ROWS
 ) -> DataFrame:
-    """For each class and quota, the hash of the row at that place in hash order.
-
-    ``quotas`` has one row per class and a count column per name; the result has the same rows with
-    a text column per name: NULL where the quota is 0.
-    """
-    quotas = settle(quotas.select(cls, *names), "quotas")
+    """The radix select of :func:`cuts`, a row per class and quota above 0."""
     rows = df.select(cls, F.col(hashed).alias("_h"))
     spots = quotas.unpivot(cls, names, "_name", "_need").filter("_need > 0")
     spots = spots.withColumn("_p", F.lit(""))
@@ -120,7 +118,19 @@ def cuts(
         spots = spots.filter(~last).drop("_n")
         if depth >= _WIDTH or spots.isEmpty():
             break
-    places = reduce(lambda a, b: a.unionByName(b), found).groupBy(cls).agg(
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def cuts(
+    df: DataFrame, cls: str, hashed: str, quotas: DataFrame, names: list[str], leaf: int = LEAF_ROWS
+) -> DataFrame:
+    """For each class and quota, the hash of the row at that place in hash order.
+
+    ``quotas`` has one row per class and a count column per name; the result has the same rows with
+    a text column per name: NULL where the quota is 0.
+    """
+    quotas = settle(quotas.select(cls, *names), "quotas")
+    places = _points(df, cls, hashed, quotas, names, leaf).groupBy(cls).agg(
         *[F.max(F.when(F.col("_name") == n, F.col("_h"))).alias(n) for n in names]
     )
     return settle(key_join(quotas.select(cls), places, [cls], "left"), "cuts")
@@ -181,12 +191,13 @@ def shuffled_head(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
 
     Rows of equal keys have one hash; where the cut falls among them, any of them fill the number.
     """
-    rows = df.withColumn("_h", hash_key(key, seed)).withColumn("_all", F.lit(0))
-    size = rows.agg(F.count("_h")).first()[0]
-    if size <= n:
-        return rows.filter("_h IS NOT NULL").orderBy("_h").select(*df.columns)
+    if n <= 0:
+        return df.limit(0)
+    rows = df.withColumn("_h", hash_key(key, seed)).filter("_h IS NOT NULL")
     quota = df.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(n).cast("long").alias("head"))
-    last = cuts(rows.filter("_h IS NOT NULL"), "_all", "_h", quota, ["head"]).first()["head"]
-    below = rows.filter(F.col("_h") < F.lit(last))
-    edge = rows.filter(F.col("_h") == F.lit(last)).limit(n - below.count())
+    last = _points(rows.withColumn("_all", F.lit(0)), "_all", "_h", quota, ["head"]).first()
+    if last is None:  # fewer rows than wanted
+        return rows.orderBy("_h").select(*df.columns)
+    below = rows.filter(F.col("_h") < F.lit(last["_h"]))
+    edge = rows.filter(F.col("_h") == F.lit(last["_h"])).limit(last["_take"])
     return below.unionByName(edge).orderBy("_h").select(*df.columns)
