@@ -23,8 +23,8 @@ from flowspark.session import scratch_path
 from flowspark.sources import alert_stream, message_stream, request_stream, write_json
 from flowspark.streaming import (
     alert_snapshots, current, dead_letter, finished, flat_alerts, latest_batch, live_latest, live_top,
-    live_totals, live_workers, once, run_until_drained, save_batches, save_changes, save_closed, save_result,
-    score_messages, snapshot_messages, snapshots, window_totals, write_alerts,
+    live_totals, live_workers, on_time, once, run_until_drained, save_batches, save_changes, save_closed,
+    save_result, score_messages, snapshot_messages, snapshots, split_late, window_totals, write_alerts,
 )
 
 KEYED_ALERT = T.StructType(
@@ -218,7 +218,7 @@ def stream_snapshots(spark, sf):
         write_json(messages.filter(third == part), f"{path}/part={part}")
         stream = flat_alerts(alert_stream(spark, f"{path}/*", None, KEYED_ALERT))
         run_until_drained(alert_snapshots(stream, out, state, ckpt))
-    rows = spark.read.parquet(out)
+    rows = finished(spark, out)
     n = F.col("total_packets")
     means = ["avg_latency", "avg_classification_time"]
     stats = rows.select(
@@ -283,6 +283,64 @@ def stream_sliding_totals(spark, sf):
     return _closed(spark, sf, "24 hours", "6 hours")
 
 
+#: SQL: alerts, the delivery of each, up to when windows were closed for it, and the ends of its windows
+#: (of 24 hours, one every 6 hours).
+_DELIVERED = f"""{ALERTS}, sent AS (SELECT *, least((day(ts) - 1) // 8, 3) AS stretch FROM alerts),
+    parts AS (SELECT *, least(stretch + CASE event_id % 10 WHEN 3 THEN 2 WHEN 5 THEN 1 ELSE 0 END, 3) AS part FROM sent),
+    marks AS (SELECT part, max(max(ts)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+      - INTERVAL 1 DAY AS closed FROM parts GROUP BY part),
+    judged AS (SELECT parts.*, closed,
+      time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') + INTERVAL 24 HOUR AS last_end
+      FROM parts JOIN marks USING (part))"""
+
+
+def _delivered(spark, sf):
+    """Alerts come in four deliveries of about a week, one in ten a delivery late and one in ten two; the
+    stream is stopped and resumed between them. Returns the folders of alerts on time and aside, and the
+    totals of their windows."""
+    path, good, late, state, out, c1, c2 = (
+        scratch_path(spark, n) for n in ("alert_messages", "good", "late", "state", "windows", "c1", "c2")
+    )
+    messages = alert_messages(spark, sf)
+    stretch = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    behind = F.when(F.col("event_id") % 10 == 3, 2).when(F.col("event_id") % 10 == 5, 1).otherwise(0)
+    part = F.least(stretch + behind, F.lit(3))
+    for number in range(4):
+        write_json(messages.filter(part == number), f"{path}/part={number}")
+        stream = flat_alerts(alert_stream(spark, f"{path}/*", None, KEYED_ALERT))
+        run_until_drained(split_late(stream, good, late, state, c1, "24 hours", "1 day", "6 hours"))
+        windows = window_totals(
+            on_time(spark, good, stream.schema), "24 hours", "1 day", "6 hours", closed="_closed"
+        )
+        run_until_drained(save_closed(windows, out, c2))
+    return good, late, out
+
+
+@query(
+    "stream_late",
+    f"""WITH {_DELIVERED} SELECT event_id, closed, CASE WHEN last_end <= closed THEN 'closed'
+      ELSE 'partly closed' END AS reason FROM judged WHERE last_end - INTERVAL 18 HOUR <= closed""",
+)
+def stream_late(spark, sf):
+    """What came too late for a window, kept aside."""
+    _, late, _ = _delivered(spark, sf)
+    return finished(spark, late).select("event_id", F.col("_closed").cast("timestamp_ntz").alias("closed"), "reason")
+
+
+@query(
+    "stream_on_time_totals",
+    f"""WITH {_DELIVERED} SELECT last_end - INTERVAL (24 + k * 6) HOUR AS window_start, count(*) AS total_packets,
+      count(*) FILTER (WHERE is_malicious) AS total_malicious, round(avg(latency), 6) AS avg_latency
+    FROM judged, range(4) r(k) WHERE closed IS NULL OR last_end - INTERVAL (k * 6) HOUR > closed
+    GROUP BY window_start
+    HAVING window_start + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM alerts)""",
+)
+def stream_on_time_totals(spark, sf):
+    """Sliding windows of the alerts on time: with those of ``stream_late``, no alert is lost."""
+    _, _, out = _delivered(spark, sf)
+    return spark.read.parquet(out).select("window_start", "total_packets", "total_malicious", r6("avg_latency"))
+
+
 @query("stream_replay", f"WITH {ALERTS} SELECT event_id, src_ip, dst_ip, is_malicious, latency, worker FROM alerts")
 def stream_replay(spark, sf):
     """Alerts are delivered in four stretches of days, those of a stretch whose number ends in 3 again in the

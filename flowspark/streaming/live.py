@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -262,7 +261,10 @@ def alert_snapshots(
     Rows are taken in the order (ts, event_id) within a batch; a late row counts in the batch in
     which it arrives. Counts per address are a streaming aggregation of their own in the same query;
     from batch to batch only the row of totals and ``n`` entries per list are carried, under the batch
-    number, so a repeated batch starts from what the first attempt started from.
+    number, so a repeated batch starts from what the first attempt started from. Of what is carried, two
+    batches stay. A batch is written once before it is used, so that a lost executor neither asks the
+    state for it again nor repeats its reading; this copy goes when the batch is done. Read the rows with
+    :func:`finished`.
     """
     columns = alerts.columns
     longs = ["total_packets", "total_malicious", *(f"{m}_known" for m in _means())]
@@ -271,45 +273,42 @@ def alert_snapshots(
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            new = batch.filter("kind IS NULL").select(columns)
-            after = batch.filter("kind IS NOT NULL").select("kind", "key", "value")
-            if number > 0:
-                totals = spark.read.schema(total_cols).parquet(f"{state}/totals={number - 1}")
-                top = spark.read.schema(after.schema).parquet(f"{state}/top={number - 1}")
-            else:
-                totals = spark.createDataFrame([(0,) * len(longs) + (0.0,) * len(_means())], total_cols)
-                top = spark.createDataFrame([], after.schema)
-            added = [
-                monitor.address_counts(new, c).withColumn("kind", F.lit(c)) for c in _LISTED
-            ]
-            added = reduce(lambda a, b: a.unionByName(b), added).withColumnRenamed("value", "_new")
-            before = after.join(added, ["kind", "key"]).select(
-                "kind", "key", (F.col("value") - F.col("_new")).alias("value")
-            )
-            carried = before.filter("value > 0").unionByName(top).distinct()
-            rows = snapshots(new, n, carried, totals)
-            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
-            now = after.unionByName(top).groupBy("kind", "key").agg(F.max("value").alias("value"))
-            best = [
-                now.filter(F.col("kind") == c).orderBy(F.desc("value"), F.desc("key")).limit(n)
-                for c in _LISTED
-            ]
-            reduce(lambda a, b: a.unionByName(b), best).write.mode("overwrite").parquet(
-                f"{state}/top={number}"
-            )
-            sums = new.select(
-                F.lit(1).cast("long").alias("total_packets"),
-                F.coalesce(F.col("is_malicious").cast("long"), F.lit(0)).alias("total_malicious"),
-                *[value.alias(m) for m, (value, _) in _means().items()],
-                *[known.alias(f"{m}_known") for m, (_, known) in _means().items()],
-            ).unionByName(totals)
-            sums.agg(*[F.sum(c).alias(c) for c in names]).write.mode("overwrite").parquet(
-                f"{state}/totals={number}"
-            )
-        finally:
-            batch.unpersist()
+        shape = batch.schema
+        batch.write.mode("overwrite").parquet(f"{state}/input={number}")
+        batch = spark.read.schema(shape).parquet(f"{state}/input={number}")
+        new = batch.filter("kind IS NULL").select(columns)
+        after = batch.filter("kind IS NOT NULL").select("kind", "key", "value")
+        if number > 0:
+            totals = spark.read.schema(total_cols).parquet(f"{state}/totals={number - 1}")
+            top = spark.read.schema(after.schema).parquet(f"{state}/top={number - 1}")
+        else:
+            totals = spark.createDataFrame([(0,) * len(longs) + (0.0,) * len(_means())], total_cols)
+            top = spark.createDataFrame([], after.schema)
+        added = [monitor.address_counts(new, c).withColumn("kind", F.lit(c)) for c in _LISTED]
+        added = reduce(lambda a, b: a.unionByName(b), added).withColumnRenamed("value", "_new")
+        before = after.join(added, ["kind", "key"]).select(
+            "kind", "key", (F.col("value") - F.col("_new")).alias("value")
+        )
+        carried = before.filter("value > 0").unionByName(top).distinct()
+        snapshots(new, n, carried, totals).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        now = after.unionByName(top).groupBy("kind", "key").agg(F.max("value").alias("value"))
+        best = [
+            now.filter(F.col("kind") == c).orderBy(F.desc("value"), F.desc("key")).limit(n)
+            for c in _LISTED
+        ]
+        best = reduce(lambda a, b: a.unionByName(b), best)
+        best.write.mode("overwrite").parquet(f"{state}/top={number}")
+        sums = new.select(
+            F.lit(1).cast("long").alias("total_packets"),
+            F.coalesce(F.col("is_malicious").cast("long"), F.lit(0)).alias("total_malicious"),
+            *[value.alias(m) for m, (value, _) in _means().items()],
+            *[known.alias(f"{m}_known") for m, (_, known) in _means().items()],
+        ).unionByName(totals)
+        sums = sums.agg(*[F.sum(c).alias(c) for c in names])
+        sums.write.mode("overwrite").parquet(f"{state}/totals={number}")
+        _expire(spark, state, "input", number + 1)
+        for kind in ("top", "totals"):
+            _expire(spark, state, kind, number - 1)
 
     writer = with_counts(alerts).writeStream.outputMode("update").foreachBatch(run)
     return writer.option("checkpointLocation", checkpoint)

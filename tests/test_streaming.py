@@ -14,8 +14,8 @@ from flowspark.schemas import ALERT, REQUEST
 from flowspark.sources import alert_stream, message_stream
 from flowspark.streaming import (
     alert_snapshots, committed, current, dead_letter, finished, flat_alerts, latest_batch, live_latest,
-    live_totals, live_workers, once, run_until_drained, save_batches, save_changes, save_closed, save_result,
-    score_messages, score_stream, window_totals, write_alerts,
+    live_totals, live_workers, on_time, once, run_until_drained, save_batches, save_changes, save_closed,
+    save_result, score_messages, score_stream, split_late, window_totals, write_alerts,
 )
 
 SF = "/root/testdata/sf0.001"
@@ -67,7 +67,9 @@ def test_snapshots_over_batches(spark, messages, tmp_path):
         run_until_drained(
             alert_snapshots(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "c"))
         )
-    got = {r["event_id"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    kept = {f.name.split("=")[0] for f in (tmp_path / "state").iterdir()}
+    assert kept == {"top", "totals"} and len(list((tmp_path / "state").iterdir())) == 4
+    got = {r["event_id"]: r for r in finished(spark, str(tmp_path / "out")).collect()}
     batch = monitor.running_stats(alerts(spark, SF))
     want = {r["event_id"]: r for r in batch.collect()}
     tops = {r["event_id"]: r for r in running_top(
@@ -234,3 +236,61 @@ def test_streamed_network_decides_as_in_batch(spark):
     )
     assert sorted(map(tuple, stream_score_full(spark, SF).collect())) == want
     assert {w[-1] for w in want} == {True, False}
+
+
+def deliver_late(spark, tmp_path, number, rows, slide=None):
+    schema = "id long, ts string, is_malicious boolean, latency double, classification_time double"
+    made = [(i, f"2024-01-01 {t}" if t else None, True, 1.0, 1.0) for i, t in rows]
+    spark.createDataFrame(made, schema).coalesce(1).write.json(str(tmp_path / "in" / f"part={number}"))
+    stream = spark.readStream.schema(schema.replace("ts string", "ts timestamp_ntz")).json(str(tmp_path / "in/*"))
+    good, late, state, out = (str(tmp_path / n) for n in ("good", "late", "state", "out"))
+    run_until_drained(split_late(stream, good, late, state, str(tmp_path / "c1"), "1 hour", "30 minutes", slide))
+    windows = window_totals(
+        on_time(spark, good, stream.schema), "1 hour", "30 minutes", slide, closed="_closed"
+    )
+    run_until_drained(save_closed(windows, out, str(tmp_path / "c2")))
+    aside = {r["id"]: r["reason"] for r in finished(spark, late).collect()}
+    closed = {
+        r["window_start"].strftime("%H:%M"): r["total_packets"] for r in spark.read.parquet(out).collect()
+    }
+    return aside, closed
+
+
+def test_late_alerts_are_kept_aside(spark, tmp_path):
+    """Each alert is counted or kept aside; a window that ends exactly at the mark is closed."""
+    aside, _ = deliver_late(spark, tmp_path, 0, [(1, "00:10:00"), (2, None), (3, "02:30:00"), (3, "02:30:00")])
+    assert aside == {2: "no time"}  # nothing is late in the first batch, the mark is at 02:00 after it
+    aside, _ = deliver_late(spark, tmp_path, 1, [(4, "01:59:59.999999"), (5, "02:00:00"), (6, "00:20:00")])
+    assert aside == {2: "no time", 4: "closed", 6: "closed"}
+    aside, closed = deliver_late(spark, tmp_path, 2, [(7, "09:00:00")])
+    assert aside == {2: "no time", 4: "closed", 6: "closed"} and closed == {"00:00": 1, "02:00": 3}
+
+
+def test_alert_late_for_some_of_its_windows(spark, tmp_path):
+    """Windows of an hour, one every 20 minutes: an alert counts in those that are open."""
+    deliver_late(spark, tmp_path, 0, [(1, "02:30:00")], "20 minutes")
+    aside, _ = deliver_late(spark, tmp_path, 1, [(2, "01:45:00"), (3, "02:00:00")], "20 minutes")
+    assert aside == {2: "partly closed"}  # the window from 01:00 is closed, those from 01:20 and 01:40 are open
+    aside, closed = deliver_late(spark, tmp_path, 2, [(4, "09:00:00")], "20 minutes")
+    assert aside == {2: "partly closed"}
+    assert closed == {"01:20": 2, "01:40": 3, "02:00": 2, "02:20": 1}
+
+
+def test_repeated_batch_judges_as_at_first(spark, tmp_path):
+    """Without the commit of its last batch, a stream repeats it: nothing is written or lost twice."""
+    deliver_late(spark, tmp_path, 0, [(1, "00:10:00"), (2, "03:00:00")])
+    first, _ = deliver_late(spark, tmp_path, 1, [(3, "00:30:00"), (4, "03:10:00")])
+    newest = max(int(f.name) for f in (tmp_path / "c1" / "commits").iterdir() if f.name.isdigit())
+    (tmp_path / "c1" / "commits" / str(newest)).unlink()
+    (tmp_path / "c1" / "commits" / f".{newest}.crc").unlink(missing_ok=True)
+    again, closed = deliver_late(spark, tmp_path, 2, [(5, "09:00:00")])
+    assert first == again == {3: "closed"}
+    assert sorted(r["id"] for r in finished(spark, str(tmp_path / "good")).collect()) == [1, 2, 4, 5]
+    assert closed == {"00:00": 1, "03:00": 2}
+
+
+def test_late_split_of_nothing(spark, tmp_path):
+    aside, closed = deliver_late(spark, tmp_path, 0, [(1, None)])
+    assert aside == {1: "no time"} and closed == {}
+    aside, closed = deliver_late(spark, tmp_path, 1, [(2, "00:10:00")])
+    assert aside == {1: "no time"}  # no time came before, so no window is closed
