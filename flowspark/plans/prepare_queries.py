@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from flowspark.operators import prep, sampling, scaling
 from flowspark.plans.registry import query
 from flowspark.plans.standins import (
-    ALERTS, FLOW_FEATURES, FLOWS, KEYED, LOSSES, METRIC_LOG, WORKER_FILES, alerts, flows,
-    keyed_flows, message_texts, metric_log, model_losses, table, worker_files,
+    ALERTS, CUT_TEXT, FLOW_FEATURES, FLOWS, KEYED, KEYED_ALERT, LOSSES, METRIC_LOG, WORKER_FILES,
+    alert_messages, alerts, flows, keyed_flows, message_texts, metric_log, model_losses, table, worker_files,
 )
 from flowspark.schemas import ALERT, WORKER_FILE, check_width, parse_messages
 from flowspark.session import scratch_path
 from flowspark.sources import (
-    read_clients, read_flows, read_flows_csv, read_json_glob, read_metric_log, read_packets, read_round_losses,
+    FileRecords, read_clients, read_flows, read_flows_csv, read_json_glob, read_metric_log, read_packets, read_round_losses,
     read_scaler, read_train_log, write_csv, write_flows, write_json, write_metric_log, write_round_losses,
     write_scaler, write_train_log,
 )
+from flowspark.streaming import flat_alerts
 
 
 def r6(c, name: str | None = None):
@@ -166,6 +167,36 @@ def json_glob(spark, sf):
     return read_json_glob(spark, path, "part-", WORKER_FILE)
 
 
+@query(
+    "datasource_files",
+    f"WITH {ALERTS} SELECT event_id, ts, src_ip, dst_ip, is_malicious, latency, worker FROM alerts",
+)
+def datasource_files(spark, sf):
+    """Alert files in two folders, by prefix and schema, through the registered format."""
+    path = scratch_path(spark, "alert_files")
+    messages = alert_messages(spark, sf)
+    for odd in (0, 1):
+        write_json(messages.filter(F.col("event_id") % 2 == odd), f"{path}/run={odd}")
+    spark.dataSource.register(FileRecords)
+    schema = T.StructType([*KEYED_ALERT.fields, T.StructField("_file", T.StringType())])
+    reader = spark.read.format("file_records").schema(schema).option("path", path)
+    rows = reader.option("prefix", "part-").option("block", 1 << 20).load()
+    return flat_alerts(rows.filter("_file LIKE 'run=_/part-%.json'")).select(
+        "event_id", "ts", "src_ip", "dst_ip", "is_malicious", "latency", "worker"
+    )
+
+
+@query("datasource_rejects", f"SELECT {CUT_TEXT} AS value FROM events WHERE event_id % 50 = 7")
+def datasource_rejects(spark, sf):
+    """Lines that are no message of the schema, as they stand in the files."""
+    path = scratch_path(spark, "messages")
+    message_texts(spark, sf).select("value").write.text(path)
+    spark.dataSource.register(FileRecords)
+    schema = T.StructType([*ALERT.fields, T.StructField("_bad", T.StringType())])
+    reader = spark.read.format("file_records").schema(schema).option("path", path)
+    return reader.option("extension", ".txt").load().filter("_bad IS NOT NULL").select(F.col("_bad").alias("value"))
+
+
 @query("parquet_roundtrip", FLOW_ROWS)
 def parquet_roundtrip(spark, sf):
     path = scratch_path(spark, "flows")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from flowspark.schemas import ALERT
 from flowspark.session import spread
 
 
@@ -195,6 +196,12 @@ WORKER_FILES = """worker_files AS (
   FROM events GROUP BY ALL)"""
 
 
+#: Alerts with their order key.
+KEYED_ALERT = T.StructType(
+    [T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), *ALERT.fields]
+)
+
+
 def alert_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts as nested messages; ``event_id`` and ``ts`` travel along as the order key."""
     a = alerts(spark, sf_dir)

@@ -4,7 +4,7 @@ drained and returns what the job wrote."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import functions as F, types as T
+from pyspark.sql import functions as F
 
 from flowspark.operators import mlp, scaling, score
 from flowspark.operators.monitor import ranked
@@ -15,23 +15,18 @@ from flowspark.plans.monitor_queries import TOTALS, _top
 from flowspark.plans.prepare_queries import r6
 from flowspark.plans.registry import query
 from flowspark.plans.standins import (
-    ALERTS, CUT_TEXT, FLOW_FEATURES, LINEAR_BIAS, LINEAR_WEIGHTS, alert_messages, alerts,
+    ALERTS, CUT_TEXT, FLOW_FEATURES, KEYED_ALERT, LINEAR_BIAS, LINEAR_WEIGHTS, alert_messages, alerts,
     message_texts, table,
 )
 from flowspark.schemas import ALERT, FEATURES, REQUEST, SNAPSHOT, parse_messages
 from flowspark.session import scratch_path
-from flowspark.sources import alert_stream, message_stream, request_stream, write_json
+from flowspark.sources import FileRecords, alert_stream, message_stream, request_stream, write_json
 from flowspark.streaming import (
     alert_snapshots, current, dead_letter, finished, flat_alerts, latest_batch, live_latest, live_top,
     live_totals, live_workers, on_time, once, run_until_drained, save_batches, save_changes, save_closed,
     save_result, score_messages, snapshot_messages, snapshots, split_late, window_totals, write_alerts,
 )
 
-KEYED_ALERT = T.StructType(
-    [T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()), *ALERT.fields]
-)
-
-
 def _alert_source(spark, sf, files: int = 6, per_batch: int = 2):
     """Alerts as files, read back as a stream of several batches."""
     path = scratch_path(spark, "alert_messages")
@@ -91,6 +86,19 @@ def stream_alerts(spark, sf):
     return spark.read.parquet(out).select("event_id", "src_ip", "dst_ip", "latency", "worker")
 
 
+@query("datasource_stream", f"WITH {ALERTS} SELECT event_id, src_ip, dst_ip, latency, worker FROM alerts")
+def datasource_stream(spark, sf):
+    """Alert files as a stream of the registered format, in two arrivals; the second run resumes."""
+    path, out, ckpt = (scratch_path(spark, n) for n in ("alert_files", "out", "ckpt"))
+    messages = alert_messages(spark, sf)
+    spark.dataSource.register(FileRecords)
+    for odd in (0, 1):
+        write_json(messages.filter(F.col("event_id") % 2 == odd), f"{path}/run={odd}")
+        reader = spark.readStream.format("file_records").schema(KEYED_ALERT).option("path", path)
+        run_until_drained(save_batches(flat_alerts(reader.load()), out, ckpt))
+    return finished(spark, out).select("event_id", "src_ip", "dst_ip", "latency", "worker")
+
+
 @query("stream_alert_sink", f"WITH {ALERTS} SELECT src_ip, dst_ip, worker, is_malicious FROM alerts")
 def stream_alert_sink(spark, sf):
     out, ckpt = scratch_path(spark, "alerts"), scratch_path(spark, "ckpt")
