@@ -13,8 +13,8 @@ from flowspark.plans.standins import (
 from flowspark.schemas import ALERT, WORKER_FILE, check_width, parse_messages
 from flowspark.session import scratch_path
 from flowspark.sources import (
-    FileRecords, read_clients, read_flows, read_flows_csv, read_json_glob, read_metric_log, read_packets, read_round_losses,
-    read_scaler, read_train_log, write_csv, write_flows, write_json, write_metric_log, write_round_losses,
+    read_clients, read_flows, read_flows_csv, read_json_glob, read_metric_log, read_packets, read_round_losses,
+    read_scaler, read_train_log, register_file_records, write_csv, write_flows, write_json, write_metric_log, write_round_losses,
     write_scaler, write_train_log,
 )
 from flowspark.streaming import flat_alerts
@@ -177,7 +177,7 @@ def datasource_files(spark, sf):
     messages = alert_messages(spark, sf)
     for odd in (0, 1):
         write_json(messages.filter(F.col("event_id") % 2 == odd), f"{path}/run={odd}")
-    spark.dataSource.register(FileRecords)
+    register_file_records(spark)
     schema = T.StructType([*KEYED_ALERT.fields, T.StructField("_file", T.StringType())])
     reader = spark.read.format("file_records").schema(schema).option("path", path)
     rows = reader.option("prefix", "part-").option("block", 1 << 20).load()
@@ -191,7 +191,7 @@ def datasource_rejects(spark, sf):
     """Lines that are no message of the schema, as they stand in the files."""
     path = scratch_path(spark, "messages")
     message_texts(spark, sf).select("value").write.text(path)
-    spark.dataSource.register(FileRecords)
+    register_file_records(spark)
     schema = T.StructType([*ALERT.fields, T.StructField("_bad", T.StringType())])
     reader = spark.read.format("file_records").schema(schema).option("path", path)
     return reader.option("extension", ".txt").load().filter("_bad IS NOT NULL").select(F.col("_bad").alias("value"))

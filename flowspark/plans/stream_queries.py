@@ -20,7 +20,7 @@ from flowspark.plans.standins import (
 )
 from flowspark.schemas import ALERT, FEATURES, REQUEST, SNAPSHOT, parse_messages
 from flowspark.session import scratch_path
-from flowspark.sources import FileRecords, alert_stream, message_stream, request_stream, write_json
+from flowspark.sources import alert_stream, message_stream, register_file_records, request_stream, write_json
 from flowspark.streaming import (
     alert_snapshots, current, dead_letter, finished, flat_alerts, latest_batch, live_latest, live_top,
     live_totals, live_workers, on_time, once, run_until_drained, save_batches, save_changes, save_closed,
@@ -91,7 +91,7 @@ def datasource_stream(spark, sf):
     """Alert files as a stream of the registered format, in two arrivals; the second run resumes."""
     path, out, ckpt = (scratch_path(spark, n) for n in ("alert_files", "out", "ckpt"))
     messages = alert_messages(spark, sf)
-    spark.dataSource.register(FileRecords)
+    register_file_records(spark)
     for odd in (0, 1):
         write_json(messages.filter(F.col("event_id") % 2 == odd), f"{path}/run={odd}")
         reader = spark.readStream.format("file_records").schema(KEYED_ALERT).option("path", path)

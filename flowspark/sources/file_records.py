@@ -1,6 +1,6 @@
 """A data source for folders of JSON-lines files, by prefix, extension and schema, as a table or a stream.
 
-``spark.dataSource.register(FileRecords)`` makes it known to a session; then
+:func:`register_file_records` makes it known to a session; then
 
     spark.read.format("file_records").schema("processed_packets long, total_timer double")
         .option("path", root).option("prefix", "worker").load()
@@ -32,12 +32,14 @@ from __future__ import annotations
 import io
 import json
 import os
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal
 
-from pyspark.sql import types as T
+from pyspark import cloudpickle
+from pyspark.sql import SparkSession, types as T
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceStreamReader, InputPartition,
 )
@@ -232,3 +234,12 @@ class FileRecords(DataSource):
 
     def streamReader(self, schema: T.StructType) -> _StreamReader:
         return _StreamReader(schema, self.options)
+
+
+def register_file_records(spark: SparkSession) -> None:
+    """Make the format known to a session.
+
+    The processes that plan a read do not see files added to the session, so the code goes with the class.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    spark.dataSource.register(FileRecords)

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import types as T
 
-from flowspark.sources import FileRecords
+from flowspark.sources import register_file_records
 from flowspark.sources.file_records import Slice, _Reader
 from flowspark.streaming import finished, run_until_drained, save_batches
 
@@ -20,7 +20,7 @@ def put(root, name, text, changed=None):
 
 
 def load(spark, root, schema, **options):
-    spark.dataSource.register(FileRecords)
+    register_file_records(spark)
     reader = spark.read.format("file_records").schema(schema).option("path", str(root))
     for key, value in options.items():
         reader = reader.option(key, value)
@@ -88,7 +88,7 @@ def test_options(spark, tmp_path):
     with pytest.raises(Exception, match="gone"):
         load(spark, tmp_path / "gone", "a long").collect()
     with pytest.raises(Exception, match="schema"):
-        spark.dataSource.register(FileRecords)
+        register_file_records(spark)
         spark.read.format("file_records").option("path", str(tmp_path)).load()
 
 
@@ -96,7 +96,7 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     """Over restarts, with files of one time, and after files taken before are removed."""
     src, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "c")
     src.mkdir()
-    spark.dataSource.register(FileRecords)
+    register_file_records(spark)
 
     def drain():
         stream = spark.readStream.format("file_records").schema("a long").option("path", str(src)).load()
