@@ -94,13 +94,63 @@ def packet_vector():
     ]
 
 
-@query("score_mlp_full")
+def _waves(layer: int, rows: int, cols: int) -> np.ndarray:
+    return np.sin(np.arange(1, rows * cols + 1) * (1.7 + 0.3 * layer)).round(3).reshape(rows, cols)
+
+
+def wide_network() -> list[np.ndarray]:
+    """The published layers (39 features to 512-256-128-96-48-1) with weights from a rule, for SQL to repeat.
+
+    Per layer and unit, the weights of the inputs and then the bias are the next values of a wave.
+    """
+    widths, model = [len(FEATURES), *train.TrainConfig().hidden, 1], []
+    for layer, (n, m) in enumerate(zip(widths, widths[1:])):
+        units = _waves(layer, m, n + 1)
+        model += [np.ascontiguousarray(units[:, :n].T), units[:, n].copy()]
+        if layer < len(widths) - 2:
+            wave = _waves(layer, 1, m)[0]
+            model += [1 + wave / 2, wave / 4]
+    return model
+
+
+def wide_network_sql(key: str, source: str) -> str:
+    """SQL, as common table expressions up to ``z`` (key, logit), of the wide network over packet vectors."""
+    widths = [len(FEATURES), *train.TrainConfig().hidden, 1]
+    packet = ", ".join(
+        f"CAST({FLOW_FEATURES[i % 4]} AS DOUBLE) / {(50, 100000, 0.1, 0.1)[i % 4]}e0 * {1 + i / 10}e0"
+        for i in range(len(FEATURES))
+    )
+    steps = [f"h0 AS (SELECT {key}, [{packet}, 1] AS x FROM {source})"]
+    for i, (n, m) in enumerate(zip(widths, widths[1:])):
+        turn = f"{1.7 + 0.3 * i}e0"
+        wave = f"round(sin(j * {turn}), 3)"
+        steps += [
+            f"""w{i} AS MATERIALIZED (SELECT [[round(sin((u * {n + 1} + v + 1) * {turn}), 3)
+              for v in range({n + 1})] for u in range({m})] AS w)""",
+            f"""a{i} AS MATERIALIZED (SELECT {key}, [list_dot_product(x, u) for u in w] AS a
+              FROM h{i}, w{i})""",
+        ]
+        if i < len(widths) - 2:
+            steps += [
+                f"""c{i} AS (SELECT {key}, [y - mu for y in a] AS c
+                  FROM (SELECT *, list_avg(a) AS mu FROM a{i}))""",
+                f"""h{i + 1} AS MATERIALIZED (SELECT {key}, list_append(list_transform(c, lambda y, j:
+                  greatest(y / dev * (1 + {wave} / 2) + {wave} / 4, 0)), 1) AS x
+                  FROM (SELECT *, sqrt(list_dot_product(c, c) / {m} + 1e-5) AS dev FROM c{i}))""",
+            ]
+    return f"{', '.join(steps)}, z AS (SELECT {key}, a[1] AS logit FROM a{len(widths) - 2})"
+
+
+@query(
+    "score_mlp_full",
+    f"""WITH {wide_network_sql('l_orderkey, l_linenumber', 'lineitem')}
+    SELECT l_orderkey, l_linenumber, round(logit, 6) AS logit FROM z""",
+)
 def score_mlp_full(spark, sf):
     """The published network, 39 features to 512-256-128-96-48-1, over every row."""
     line = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *FLOW_FEATURES))
     rows = line.select("l_orderkey", "l_linenumber", *packet_vector())
-    model = mlp.init(len(FEATURES), train.TrainConfig().hidden, 69)
-    scored = score.score(rows, model, [f"p{i}" for i in range(len(FEATURES))])
+    scored = score.score(rows, wide_network(), [f"p{i}" for i in range(len(FEATURES))])
     return scored.select("l_orderkey", "l_linenumber", r6("logit"))
 
 

@@ -6,11 +6,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from flowspark.operators import mlp, scaling, score
+from flowspark.operators import scaling, score
 from flowspark.operators.monitor import ranked
 from flowspark.operators.running_top import running_top
-from flowspark.operators.train import TrainConfig
-from flowspark.plans.model_queries import _LOGIT, _RANGE, packet_vector
+from flowspark.plans.model_queries import _LOGIT, _RANGE, packet_vector, wide_network, wide_network_sql
 from flowspark.plans.monitor_queries import TOTALS, _top
 from flowspark.plans.prepare_queries import r6
 from flowspark.plans.registry import query
@@ -126,14 +125,18 @@ def stream_score(spark, sf):
     return rows.select(*_flat_key(), "is_malicious")
 
 
-@query("stream_score_full")
+@query(
+    "stream_score_full",
+    f"""WITH keyed AS (SELECT {REQUEST_KEY}, {', '.join(FLOW_FEATURES)} FROM lineitem),
+    {wide_network_sql('src, sport, dst, dport', 'keyed')}
+    SELECT src, sport, dst, dport, logit > 0 AS is_malicious FROM z""",
+)
 def stream_score_full(spark, sf):
-    """Messages of 39 features, classified by the published network (tested against the batch operator)."""
+    """Messages of 39 features, classified by the published network."""
     path, out, dead, ckpt = (scratch_path(spark, n) for n in ("requests", "out", "dead", "ckpt"))
     write_json(_requests(spark, sf, packet_vector()).repartition(16, "metadata"), path)
-    model = mlp.init(len(FEATURES), TrainConfig().hidden, 69)
     one, zero = np.ones(len(FEATURES)), np.zeros(len(FEATURES))
-    run_until_drained(score_messages(message_stream(spark, path, 8), model, one, zero, out, dead, ckpt))
+    run_until_drained(score_messages(message_stream(spark, path, 8), wide_network(), one, zero, out, dead, ckpt))
     rows = spark.read.schema(ALERT).json(out)
     return rows.select(*_flat_key(), "is_malicious")
 

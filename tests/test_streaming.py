@@ -218,14 +218,14 @@ def test_nothing_finished_is_an_error(spark, tmp_path):
 
 
 def test_streamed_network_decides_as_in_batch(spark):
-    from flowspark.operators import mlp, score
-    from flowspark.operators.train import TrainConfig
-    from flowspark.plans.model_queries import packet_vector
+    from flowspark.operators import score
+    from flowspark.plans.model_queries import packet_vector, wide_network
     from flowspark.plans.standins import table
     from flowspark.plans.stream_queries import stream_score_full
     from flowspark.schemas import FEATURES
 
-    net = mlp.init(len(FEATURES), TrainConfig().hidden, 69)
+    net = wide_network()
+    assert [t.shape[0] for t in net[::4]] == [len(FEATURES), 512, 256, 128, 96, 48]
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     rows = score.score(
         table(spark, SF, "lineitem").select(*keys, F.array(*packet_vector()).alias("v")), net, "v"
