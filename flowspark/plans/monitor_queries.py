@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from flowspark import functions as fn
@@ -574,6 +576,30 @@ def fed_trimmed(spark, sf):
     return fed.fed_trimmed(params(spark, sf)).select(*fed.KEY, r6("value"))
 
 
+_TRIM = 0.25  # a setting other than the rule's own
+_BY_NAME = ["fedavg", "fedprox", "fedavgplus", "fedmedian", "fedtrimmed"]
+
+
+@query(
+    "fed_by_name",
+    f"""WITH {PARAMS}, r AS (SELECT *, row_number() OVER (PARTITION BY round, pos ORDER BY value) AS i,
+      count(*) OVER (PARTITION BY round, pos) AS n FROM params), rules AS (
+    SELECT unnest(['fedavg', 'fedprox', 'fedavgplus']) AS strategy, * FROM ({AVG})
+    UNION ALL SELECT 'fedmedian', round, layer, pos, median(value) FROM params GROUP BY ALL
+    UNION ALL SELECT 'fedtrimmed', round, layer, pos, avg(value) FROM r
+    WHERE i > floor({_TRIM} * n) AND i <= n - floor({_TRIM} * n) GROUP BY ALL)
+    SELECT strategy, round, layer, pos, round(value, 6) AS value FROM rules""",
+)
+def fed_by_name(spark, sf):
+    """The rules without a state, looked up by name; one with a setting of its own."""
+    rows = params(spark, sf)
+    out = []
+    for name in _BY_NAME:
+        rule = fed.strategy(name, **({"beta": _TRIM} if name == "fedtrimmed" else {}))
+        out.append(rule.aggregate(rows).select(F.lit(name).alias("strategy"), *fed.KEY, r6("value")))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 STATE = """st AS (SELECT round, layer, pos, avg(value) AS value, avg(value) / 10 AS m,
   avg(value) * avg(value) AS v FROM params GROUP BY round, layer, pos)"""
 

@@ -6,6 +6,8 @@ combination of the clients and the evaluation are sums over the whole tables.
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from flowspark.operators import mlp, params as fed, train
 from flowspark.operators.scaling import apply_minmax, fit_minmax
 from flowspark.plans import rounds
@@ -71,10 +73,14 @@ def _metrics(select: str, rows: str) -> str:
 
 def federated_sql(
     n_rounds: int, epochs: int, mu: float = 0.0, delta: float | None = None, adam: dict | None = None,
-    personal: bool = False,
+    personal: bool = False, schedule: list[dict] | None = None,
 ) -> str:
-    """SQL of a federated run with weights by rows; ``personal`` evaluates the clients' own models."""
-    lr, ctes, evals = _number(LINEAR.lr), [PER_CLIENT], []
+    """SQL of a federated run with weights by rows; ``personal`` evaluates the clients' own models.
+
+    ``schedule`` holds epochs and lr of each round where they change.
+    """
+    schedule = schedule or [{"epochs": epochs, "lr": LINEAR.lr}] * n_rounds
+    ctes, evals = [PER_CLIENT], []
     ctes.append(f"global0 AS (SELECT {_each('w{i}')} FROM start)")
     ctes.append("own0 AS (SELECT client_id, global0.* FROM fit CROSS JOIN global0)")
     for r in range(1, n_rounds + 1):
@@ -82,8 +88,8 @@ def federated_sql(
         begin = f"own{r - 1}" if delta is not None else f"begin{r}"
         if delta is None:
             ctes.append(f"begin{r} AS (SELECT client_id, {g}.* FROM fit CROSS JOIN {g})")
-        now = begin
-        for e in range(epochs):
+        now, lr = begin, _number(schedule[r - 1]["lr"])
+        for e in range(schedule[r - 1]["epochs"]):
             ctes.append(_gradient(f"g{r}_{e}", now))
             step = f"p.w{{i}} - {lr} * (d.g{{i}} + {_number(mu)} * (p.w{{i}} - {g}.w{{i}}))"
             if delta is not None:
@@ -142,6 +148,27 @@ def fedavg_linear_shards(spark, sf):
     return _federated(spark, sf, "fedavg", 2, 2, shards=7)
 
 
+#: Settings of each round: one epoch with large steps, then two with smaller ones.
+_SCHEDULE = [{"epochs": 1, "lr": 0.8}, {"epochs": 2, "lr": 0.2}]
+
+
+@query(
+    "fedavg_schedule",
+    f"""SELECT round, client, metric, value FROM ({federated_sql(2, 2, schedule=_SCHEDULE)})""",
+)
+def fedavg_schedule(spark, sf):
+    """Settings that change from round to round; the rows are those the callback of each round saw."""
+    data, test = training_flows(spark, sf)
+    seen = []
+    rounds.federated_run(
+        data, test, FLOW_FEATURES, "label", "client_id", "key", 2, fed.strategy("fedavg"), LINEAR,
+        config_fn=lambda r: _SCHEDULE[r - 1],
+        on_round=lambda r, metrics: seen.append(metrics.withColumn("round", F.lit(r))),
+    )
+    first, second = seen
+    return first.unionByName(second).select("round", "client", "metric", r6("value"))
+
+
 @query("fedprox_linear", federated_sql(1, 3, mu=0.8))
 def fedprox_linear(spark, sf):
     return _federated(spark, sf, "fedprox", 1, 3, mu=0.8)
