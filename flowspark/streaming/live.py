@@ -290,6 +290,8 @@ def alert_snapshots(
             "kind", "key", (F.col("value") - F.col("_new")).alias("value")
         )
         carried = before.filter("value > 0").unionByName(top).distinct()
+        carried.write.mode("overwrite").parquet(f"{state}/before={number}")  # read for both lists, twice
+        carried = spark.read.schema(after.schema).parquet(f"{state}/before={number}")
         snapshots(new, n, carried, totals).write.mode("overwrite").parquet(f"{path}/batch={number}")
         now = after.unionByName(top).groupBy("kind", "key").agg(F.max("value").alias("value"))
         best = [
@@ -306,7 +308,8 @@ def alert_snapshots(
         ).unionByName(totals)
         sums = sums.agg(*[F.sum(c).alias(c) for c in names])
         sums.write.mode("overwrite").parquet(f"{state}/totals={number}")
-        _expire(spark, state, "input", number + 1)
+        for kind in ("input", "before"):
+            _expire(spark, state, kind, number + 1)
         for kind in ("top", "totals"):
             _expire(spark, state, kind, number - 1)
 
