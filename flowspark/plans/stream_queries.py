@@ -18,7 +18,7 @@ from flowspark.plans.standins import (
     message_texts, table,
 )
 from flowspark.schemas import ALERT, FEATURES, REQUEST, SNAPSHOT, parse_messages
-from flowspark.session import scratch_path
+from flowspark.session import scratch_path, spread
 from flowspark.sources import alert_stream, message_stream, register_file_records, request_stream, write_json
 from flowspark.streaming import (
     alert_snapshots, current, dead_letter, finished, flat_alerts, latest_batch, live_latest, live_top,
@@ -33,8 +33,21 @@ def _alert_source(spark, sf, files: int = 6, per_batch: int = 2):
     return alert_stream(spark, path, per_batch, KEYED_ALERT)
 
 
+#: Rows of a compressed file of messages, and files of a batch at most.
+FILE_ROWS, BATCH_FILES = 50_000, 240
+
+
+def _request_files(spark, sf, packet=FLOW_FEATURES) -> tuple[str, int]:
+    """Requests as files, which follow the splits of the table and its rows; the folder, and how many of them make a
+    batch (two batches or more). Rows stay where they are: messages are several times as large as their rows."""
+    path = scratch_path(spark, "requests")
+    write_json(_requests(spark, sf, packet), path, rows_per_file=FILE_ROWS)
+    return path, min(BATCH_FILES, max(1, -(-len(spark.read.text(path).inputFiles()) // 2)))
+
+
 def _requests(spark, sf, packet=FLOW_FEATURES):
-    line = table(spark, sf, "lineitem")
+    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", *FLOW_FEATURES]
+    line = spread(table(spark, sf, "lineitem").select(*columns))
     metadata = F.struct(
         F.concat(F.lit("10.0.0."), F.col("l_suppkey").cast("string")).alias("IPV4_SRC_ADDR"),
         F.col("l_linenumber").alias("L4_SRC_PORT"),
@@ -62,9 +75,8 @@ _VECTOR = ", ".join(f"{c} AS f{i}" for i, c in enumerate(FLOW_FEATURES))
 
 @query("stream_requests", f"SELECT {REQUEST_KEY}, {_VECTOR} FROM lineitem")
 def stream_requests(spark, sf):
-    path, out, ckpt = (scratch_path(spark, n) for n in ("requests", "out", "ckpt"))
-    write_json(_requests(spark, sf).repartition(4, "metadata"), path)
-    stream = request_stream(spark, path, 2)
+    out, ckpt = scratch_path(spark, "out"), scratch_path(spark, "ckpt")
+    stream = request_stream(spark, *_request_files(spark, sf))
     run_until_drained(
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
     )
@@ -113,14 +125,12 @@ def stream_alert_sink(spark, sf):
     SELECT {REQUEST_KEY}, {LINEAR_BIAS}e0 + {_LOGIT} > 0 AS is_malicious FROM lineitem, f""",
 )
 def stream_score(spark, sf):
-    path, out, dead, ckpt = (scratch_path(spark, n) for n in ("requests", "out", "dead", "ckpt"))
-    write_json(_requests(spark, sf).repartition(4, "metadata"), path)
+    out, dead, ckpt = (scratch_path(spark, n) for n in ("out", "dead", "ckpt"))
     fit = scaling.fit_minmax(table(spark, sf, "lineitem"), FLOW_FEATURES)
     scale, offset = score.scaler_arrays(fit, FLOW_FEATURES)[""]
     linear = [np.array(LINEAR_WEIGHTS)[:, None], np.array([LINEAR_BIAS])]
-    run_until_drained(
-        score_messages(message_stream(spark, path, 2), linear, scale, offset, out, dead, ckpt)
-    )
+    messages = message_stream(spark, *_request_files(spark, sf))
+    run_until_drained(score_messages(messages, linear, scale, offset, out, dead, ckpt))
     rows = spark.read.schema(ALERT).json(out)
     return rows.select(*_flat_key(), "is_malicious")
 
@@ -133,10 +143,10 @@ def stream_score(spark, sf):
 )
 def stream_score_full(spark, sf):
     """Messages of 39 features, classified by the published network."""
-    path, out, dead, ckpt = (scratch_path(spark, n) for n in ("requests", "out", "dead", "ckpt"))
-    write_json(_requests(spark, sf, packet_vector()).repartition(16, "metadata"), path)
+    out, dead, ckpt = (scratch_path(spark, n) for n in ("out", "dead", "ckpt"))
     one, zero = np.ones(len(FEATURES)), np.zeros(len(FEATURES))
-    run_until_drained(score_messages(message_stream(spark, path, 8), wide_network(), one, zero, out, dead, ckpt))
+    messages = message_stream(spark, *_request_files(spark, sf, packet_vector()))
+    run_until_drained(score_messages(messages, wide_network(), one, zero, out, dead, ckpt))
     rows = spark.read.schema(ALERT).json(out)
     return rows.select(*_flat_key(), "is_malicious")
 

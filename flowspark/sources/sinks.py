@@ -10,9 +10,15 @@ def write_flows(df: DataFrame, path: str, mode: str = "error", by: list[str] = (
     df.write.mode(mode).option("compression", "gzip").partitionBy(*by).parquet(path)
 
 
-def write_json(df: DataFrame, path: str, mode: str = "error") -> None:
-    """JSON lines, timestamps to the microsecond."""
+def write_json(df: DataFrame, path: str, mode: str = "error", rows_per_file: int | None = None) -> None:
+    """JSON lines, timestamps to the microsecond.
+
+    With ``rows_per_file`` they are compressed, in files of at most so many rows: a compressed file is read
+    by one task.
+    """
     writer = df.write.mode(mode).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    if rows_per_file:
+        writer = writer.option("compression", "gzip").option("maxRecordsPerFile", rows_per_file)
     writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
 
 

@@ -112,21 +112,23 @@ def score_messages(
     messages: DataFrame, model: list[np.ndarray], scale, offset, out: str, dead: str,
     checkpoint: str, form: str = "offset",
 ) -> DataStreamWriter:
-    """Raw request text to alerts; malformed and unscorable messages to ``dead``.
+    """Raw request text to alerts (compressed JSON); malformed and unscorable messages to ``dead``.
 
-    The input counts as read only when both folders of a batch are written.
+    The input counts as read only when both folders of a batch are written. What is kept of a batch in between
+    has the text of failed messages only.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         parsed = parse_messages(batch, "value", REQUEST)
         requests = parsed.select("value", "valid", "message.*")
-        scored = score_stream(requests, model, scale, offset, form)
+        failed = ~F.col("valid") | F.col("p").isNull()
+        scored = score_stream(requests, model, scale, offset, form).withColumn("_failed", failed)
+        scored = scored.withColumn("value", F.when(F.col("_failed"), F.col("value"))).drop("valid", "p")
         scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            failed = ~F.col("valid") | F.col("p").isNull()
-            alerts = scored.filter(~failed).drop("value", "valid", "p")
-            alerts.write.mode("overwrite").json(f"{out}/batch={number}")
-            scored.filter(failed).select("value").write.mode("overwrite").parquet(f"{dead}/batch={number}")
+            alerts = scored.filter("NOT _failed").drop("value", "_failed")
+            alerts.write.mode("overwrite").option("compression", "gzip").json(f"{out}/batch={number}")
+            scored.filter("_failed").select("value").write.mode("overwrite").parquet(f"{dead}/batch={number}")
         finally:
             scored.unpersist()
 

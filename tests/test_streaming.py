@@ -8,6 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from flowspark.operators import monitor
 from flowspark.operators.running_top import running_top
+from flowspark.plans import stream_queries
 from flowspark.plans.standins import alert_messages, alerts
 from flowspark.plans.stream_queries import KEYED_ALERT
 from flowspark.schemas import ALERT, REQUEST
@@ -125,6 +126,22 @@ def test_scored_messages(spark, tmp_path):
     assert sorted(dead) == sorted(lines[3:])
 
 
+def test_request_files_follow_the_rows_and_are_compressed(spark, tmp_path, monkeypatch):
+    """Neither a fixed number of files nor a shuffle of whole messages; alerts are compressed too."""
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 500)
+    path, per_batch = stream_queries._request_files(spark, SF)
+    files = spark.read.text(path).inputFiles()
+    assert len(files) >= 12 and per_batch == -(-len(files) // 2) and all(f.endswith(".json.gz") for f in files)
+    assert spark.read.text(path).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    linear = [np.ones((4, 1)), np.zeros(1)]
+    out = str(tmp_path / "out")
+    run_until_drained(
+        score_messages(message_stream(spark, path, per_batch), linear, [1.0] * 4, [0.0] * 4, out,
+                       str(tmp_path / "dead"), str(tmp_path / "c"))
+    )
+    assert all(f.endswith(".gz") for f in spark.read.text(out).inputFiles())
+
+
 def test_scaler_forms_differ(spark):
     df = spark.createDataFrame([(0.0, None, [1.0, 0.2])], REQUEST)
     scale, offset = [0.1, 1.0], [0.5, 0.0]
