@@ -345,7 +345,7 @@ def minibatch_sql(cfg: train.TrainConfig) -> str:
 
 @query("central_minibatch", minibatch_sql(MINIBATCH))
 def central_minibatch(spark, sf):
-    """Ordinary mini-batches of the whole central table, whose rows up to seven tasks share."""
+    """Ordinary mini-batches of the whole central table, with up to seven tasks at work."""
     return _central(spark, sf, MINIBATCH.with_(tasks=min(7, spark.sparkContext.defaultParallelism)))
 
 

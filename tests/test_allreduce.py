@@ -65,6 +65,41 @@ def test_any_number_of_tasks_trains_as_one_does(spark, tasks, change):
             np.testing.assert_allclose(seen, losses, atol=1e-9)
 
 
+@pytest.mark.parametrize("change", [{}, {"delta": 0.1, "lam": 0.3}])
+def test_steps_by_exchange(spark, monkeypatch, change):
+    rows, cfg = data(), CFG.with_(tasks=3, **change)
+    monkeypatch.setattr(allreduce, "EXCHANGE_WORK", 0)
+    monkeypatch.setattr(allreduce, "_chained", None)
+    got = trained(spark, rows, cfg)
+    for client in ("x", "y", None):
+        params, losses = by_hand([r for r in rows if r[0] == client], cfg)
+        for layer, want in enumerate(params):
+            np.testing.assert_allclose(got[client, layer][1], want.ravel(), atol=1e-9)
+            np.testing.assert_allclose(got[client, layer][2], losses, atol=1e-9)
+
+
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_small_steps_follow_each_other_without_an_exchange(spark, monkeypatch, tasks):
+    """Stretches that end inside batches hand their sums over; no step waits for other tasks."""
+    rows, cfg = data(400), CFG.with_(tasks=tasks, batch_size=30, optimizer="sgd")
+    monkeypatch.setattr(allreduce, "_epoch", None)
+    monkeypatch.setattr(allreduce, "STRETCH_ROWS", 60)
+    got = trained(spark, rows, cfg)
+    for client in ("x", "y", None):
+        params, losses = by_hand([r for r in rows if r[0] == client], cfg)
+        for layer, want in enumerate(params):
+            np.testing.assert_allclose(got[client, layer][1], want.ravel(), atol=1e-9)
+            np.testing.assert_allclose(got[client, layer][2], losses, atol=1e-9)
+
+
+def test_which_steps_are_worth_an_exchange():
+    def job(rows, batch, params):
+        return allreduce.Job("j", 0, False, rows, batch, [np.zeros(params)], None, None, [], None, None)
+
+    assert not allreduce._exchanges([job(3_000_000, 8192, 5)])
+    assert allreduce._exchanges([job(200_000_000, None, 5)]) and allreduce._exchanges([job(10**7, 65536, 200_000)])
+
+
 def test_more_tasks_than_rows_and_one_client_of_all_rows(spark):
     few = [("x", 1, .1, .2, .3, 1.0)]
     got = trained(spark, few, CFG.with_(tasks=4))
