@@ -106,6 +106,32 @@ def test_one_shard_is_plain_training(spark):
         np.testing.assert_allclose(got, t, atol=1e-12)
 
 
+@pytest.mark.parametrize("batch", [None, 32])
+def test_no_task_holds_a_shard(spark, monkeypatch, batch):
+    """Rows of shards stream through the tasks; results are those of shards held in memory."""
+    df = rows(spark, clients=("a", "a", "a", None))
+    cfg = CFG.with_(shards=3, batch_size=batch, optimizer="sgd", momentum=0.0, epochs=1)
+    start = mlp.init(3, CFG.hidden, 1)
+    placed = train.to_shards(df, FEATURES, "label", "client", "key", 3)
+    pdf = placed.toPandas().sort_values("key")
+    monkeypatch.setattr(train, "_arrays", None)  # what makes arrays of a whole group
+    got = train.merge_shards(train.client_update(placed, FEATURES, start, cfg))
+    got = {r["client"]: r["value"] for r in got.filter("layer = 0 AND pos = 0").collect()}
+    for client in ("a", None):
+        mine = pdf[pdf["client"].isna() if client is None else pdf["client"] == client]
+        want = 0.0
+        for shard, part in mine.groupby("shard"):
+            if batch:
+                found, _ = train.fit_arrays(
+                    start, part[FEATURES].to_numpy(), part["label"].to_numpy(), cfg,
+                    train.shard_seed(cfg.seed, 1, client, shard, 0))
+            else:
+                _, grads, _ = mlp.gradients(start, part[FEATURES].to_numpy(), part["label"].to_numpy())
+                found = [t - cfg.lr * g for t, g in zip(start, grads)]
+            want += found[0].ravel()[0] * len(part) / len(mine)
+        assert got[client] == pytest.approx(want, abs=1e-12)
+
+
 def values_of(source, start, cfg):
     out = train.merge_shards(train.client_update(source, FEATURES, start, cfg))
     return out.orderBy("client", "layer", "pos").toPandas()
