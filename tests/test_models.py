@@ -23,6 +23,21 @@ def rows(spark, n=400, clients=("a", "b"), seed=0):
 FEATURES = ["x0", "x1", "x2"]
 
 
+def test_logits_work_in_place_and_agree_with_training():
+    """A block needs two arrays as large as its widest layer, whatever the number of operations on it."""
+    import tracemalloc
+
+    params = [t + 0.1 for t in mlp.init(39, (512, 64), 1)]
+    x = np.random.default_rng(2).normal(size=(1024, 39)) * 50 + 300
+    tracemalloc.start()
+    got = mlp.logits(params, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    np.testing.assert_allclose(got, mlp.gradients(params, x, np.zeros(1024))[2], atol=1e-9)
+    assert peak < 2.5 * 8 * 1024 * 512
+    assert mlp.logits(params, x[:0]).shape == (0,)
+
+
 def test_gradients_by_finite_difference():
     rng = np.random.default_rng(4)
     params = [t + rng.normal(scale=0.1, size=t.shape) for t in mlp.init(4, (6, 5), 2)]
