@@ -147,6 +147,21 @@ def test_no_task_holds_a_shard(spark, monkeypatch, batch):
         assert got[client] == pytest.approx(want, abs=1e-12)
 
 
+def test_order_of_an_epoch_takes_eight_bytes_a_row():
+    """The order is that of a permutation, drawn without its eight-byte numbers."""
+    import tracemalloc
+
+    n = 3_000_000
+    tracemalloc.start()
+    place = train._places(n, 7)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 11 * n and place.nbytes == 4 * n
+    for size in (0, 1, 5, n):
+        order = np.random.default_rng(7).permutation(size)
+        assert (train._places(size, 7)[order] == np.arange(size)).all()
+
+
 def values_of(source, start, cfg):
     out = train.merge_shards(train.client_update(source, FEATURES, start, cfg))
     return out.orderBy("client", "layer", "pos").toPandas()
