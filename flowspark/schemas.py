@@ -135,11 +135,18 @@ def parse_messages(df: DataFrame, column: str, schema: T.StructType) -> DataFram
     """Parse the JSON text ``column``; adds ``message`` and ``valid``.
 
     JSON keys are matched to the schema without regard to case, as the writers and readers of
-    these messages differ in it. Only keys are: a quote inside a value is escaped.
+    these messages differ in it. Only keys are: a quote inside a value is escaped. Texts whose keys are
+    all spelled as in the schema are parsed as they are.
     """
-    text = F.col(column)
-    for key in sorted({k for path in required_paths(schema) for k in path.split(".")}):
-        text = F.regexp_replace(text, rf'(?i)(?<!\\)"{re.escape(key)}"(?=\s*:)', f'"{key}"')
+    text, keys = F.col(column), sorted({k for path in required_paths(schema) for k in path.split(".")})
+    named = "|".join(map(re.escape, keys))
+    behind = F.octet_length(F.substring_index(text, '"', -1))  # no key lies behind the last quote
+    head = F.substring(text.cast("binary"), F.lit(1), F.octet_length(text) - behind).cast("string")
+    other = head.rlike(rf'"(?!(?:{named})")(?i:{named})"')
+    spelled = text
+    for key in keys:
+        spelled = F.regexp_replace(spelled, rf'(?i)(?<!\\)"{re.escape(key)}"(?=\s*:)', f'"{key}"')
+    text = F.when(other, spelled).otherwise(text)
     parsed = df.withColumn("message", F.from_json(text, schema, {"mode": "PERMISSIVE"}))
     return parsed.withColumn("valid", is_complete("message", schema))
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Compression of messages: a third more bytes than at the usual level, in a quarter of its time.
+FAST = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
 
 def write_flows(df: DataFrame, path: str, mode: str = "error", by: list[str] = ()) -> None:
     """Parquet with gzip, optionally in a folder per value of ``by``."""
@@ -13,12 +16,12 @@ def write_flows(df: DataFrame, path: str, mode: str = "error", by: list[str] = (
 def write_json(df: DataFrame, path: str, mode: str = "error", rows_per_file: int | None = None) -> None:
     """JSON lines, timestamps to the microsecond.
 
-    With ``rows_per_file`` they are compressed, in files of at most so many rows: a compressed file is read
-    by one task.
+    With ``rows_per_file`` they are compressed (:data:`FAST`), in files of at most so many rows: a compressed file
+    is read by one task.
     """
     writer = df.write.mode(mode).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
     if rows_per_file:
-        writer = writer.option("compression", "gzip").option("maxRecordsPerFile", rows_per_file)
+        writer = writer.options(**FAST).option("maxRecordsPerFile", rows_per_file)
     writer.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from flowspark.operators import mlp
 from flowspark.operators.score import MAX_PARAMETERS
 from flowspark.schemas import REQUEST, parse_messages
+from flowspark.sources.sinks import FAST
 
 _SCORED = T.StructType(
     [
@@ -127,7 +128,7 @@ def score_messages(
         scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             alerts = scored.filter("NOT _failed").drop("value", "_failed")
-            alerts.write.mode("overwrite").option("compression", "gzip").json(f"{out}/batch={number}")
+            alerts.write.mode("overwrite").options(**FAST).json(f"{out}/batch={number}")
             scored.filter("_failed").select("value").write.mode("overwrite").parquet(f"{dead}/batch={number}")
         finally:
             scored.unpersist()

@@ -78,6 +78,41 @@ def test_keys_in_any_case_and_values_untouched(spark):
     assert rows[1]["message"]["note"] == '"ipv4_src_addr": "Note"'
 
 
+def test_only_keys_spelled_otherwise_cost_a_rewrite(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from flowspark.schemas import REQUEST, parse_messages
+
+    ends = '"IPV4_SRC_ADDR": "a", "L4_SRC_PORT": 1, "IPV4_DST_ADDR": "\u00e9 \\"packet", "L4_DST_PORT": 2'
+    vector = f"[{', '.join(['0.25'] * 300)}]"
+    plain = f'{{"send_timestamp": 1.5, "metadata": {{{ends}}}, "packet": {vector}}}'
+    turned = f'{{"packet": {vector}, "metadata": {{{ends}}}, "send_timestamp": 1.5}}'
+    spellings = [('"packet":', '"Packet":'), ("SRC_PORT", "src_Port"), ('"packet":', '"PACKET" :')]
+    odd = [plain.replace(*pair) for pair in spellings]
+    twice = plain.replace('"packet":', '"Packet": [1.0], "packet":')
+    last = plain[:-1] + ', "PACKET": [2.0]}'
+    texts = [plain, turned, *odd, twice, last, "", "no quote", '"', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, value string")
+    got = [r["message"] for r in parse_messages(df, "value", REQUEST).orderBy("i").collect()]
+    assert all(m == got[0] for m in got[:6]) and len(got[0]["packet"]) == 300
+    assert got[0]["metadata"]["IPV4_DST_ADDR"] == '\u00e9 "packet' and got[6]["packet"] == [2.0]
+    assert not any(m and m["packet"] for m in got[7:])
+
+    def seconds(text):
+        rows = spark.range(4000, numPartitions=1)
+        rows = rows.select(F.concat(F.lit(text), F.repeat(F.lit(" "), F.col("id").cast("int") % 7)).alias("value"))
+        took = []
+        for _ in range(4):
+            begin = time.perf_counter()
+            parse_messages(rows, "value", REQUEST).write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - begin)
+        return min(took)
+
+    assert 1.5 * seconds(plain) < seconds(odd[0])
+
+
 def test_local_logs_and_unknown_shapes(spark, tmp_path):
     import pytest
 
