@@ -165,6 +165,73 @@ def test_grid_search_by_hand(spark):
             assert got[c, f] == (pytest.approx(right.mean()), len(inside))
 
 
+def test_stratified_folds(spark):
+    """No fold has more than one row more than another, in all or in a class, and all rows are dealt."""
+    rows = [(None, i % 70, float(i), 0.0, 0.0, label) for i, label in enumerate([1.0] * 41 + [0.0] * 98 + [None] * 4)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for k in (1, 3, 5, 200):
+        folds, sizes = train.stratified_folds(df, FEATURES, k)
+        got = [(r["part"], r["label"], r["a"]) for r in folds.collect()]
+        assert sorted(a for _, _, a in got) == [float(i) for i in range(143)]
+        assert [sum(p == f for p, _, _ in got) for f in range(k)] == sizes and max(sizes) - min(sizes) <= 1
+        for label in (1.0, 0.0, None):
+            mine = [sum((p, y) == (f, label) for p, y, _ in got) for f in range(k)]
+            assert max(mine) - min(mine) <= 1
+    folds, sizes = train.stratified_folds(df.limit(0), FEATURES, 3)
+    assert folds.count() == 0 and sizes == [0, 0, 0]
+
+
+def test_stratified_search_and_its_refit_by_hand(spark):
+    rows = data(300, ("all",))
+    df = train.to_shards(spark.createDataFrame(rows, SCHEMA), FEATURES, "label", "client", "key", None)
+    base = CFG.with_(batch_size=None, epochs=3)
+    grid = train.settings(base, optimizer=("sgd", "adam"), momentum=(0.0, 0.9), lr=(1e-6, 0.2))
+    assert [(c.optimizer, c.momentum, c.lr) for c in grid[:3]] == [("sgd", 0, 1e-6), ("sgd", 0, .2), ("sgd", .9, 1e-6)]
+    scores = train.grid_search(df, FEATURES, grid, 3, tasks=3, stratified=True)
+    got = {(r["candidate"], r["fold"]): (r["score"], r["n"]) for r in scores.collect()}
+    fold = {r["key"]: r["part"] for r in train.stratified_folds(df, FEATURES, 3)[0].collect()}
+
+    def fit(cfg, outside):
+        x = np.array([r[2:] for r in outside])
+        params = mlp.init(3, cfg.hidden, cfg.seed)
+        opt = mlp.Optimizer(cfg.optimizer, cfg.lr, cfg.momentum, cfg.weight_decay)
+        for _ in range(cfg.epochs):
+            loss, grads, _ = mlp.gradients(params, x[:, :3], x[:, 3])
+            params = opt.step(params, grads)
+        return params, loss
+
+    for c, cfg in enumerate(grid):
+        for f in range(3):
+            t = np.array([r[2:] for r in rows if fold[r[1]] == f])
+            params, _ = fit(cfg, [r for r in rows if fold[r[1]] != f])
+            right = (mlp.logits(params, t[:, :3]) > 0) == (t[:, 3] > .5)
+            assert got[c, f] == (pytest.approx(right.mean()), 100)
+    summary = train.grid_summary(scores)
+    best = summary.filter("best").first()["candidate"]
+    refit = train.refit_best(df, FEATURES, grid, summary, tasks=2).collect()
+    params, loss = fit(grid[best], rows)
+    assert [(r["candidate"], r["n"]) for r in refit] == [(best, 300)] and refit[0]["loss"] == pytest.approx(loss)
+    for got_, want in zip(refit[0]["model"], params, strict=True):
+        np.testing.assert_allclose(got_, want.ravel(), atol=1e-9)
+    assert train.refit_best(df, FEATURES, grid, summary.withColumn("mean_score", F.lit(None))).count() == 0
+
+
+def test_the_search_tries_every_published_setting(spark):
+    from flowspark.plans.model_queries import grid_search
+
+    rows = grid_search(spark, "/root/testdata/sf0.001").collect()
+    tried = {(r["optimizer"], r["batch_size"], r["lr"], r["momentum"], r["weight_decay"]) for r in rows}
+    assert len(tried) == len(rows) == 144
+    assert {(o, b, lr, None, w) for o in ("adamw", "adam") for b in (256, 512, 1024) for lr in (1e-3, 1e-4)
+            for w in (0.1, 0.01, 0.001)} < tried
+    assert {("sgd", b, lr, m, w) for b in (64, 128, 512, 1024) for lr in (0.1, 0.02, 1e-4) for m in (0.0, 0.6, 0.9)
+            for w in (0.01, 0.001, 1e-4)} < tried
+    best = [r for r in rows if r["best"]]
+    assert len(best) == 1 and [len(t) for t in best[0]["model"]] == [32, 8, 8, 8, 8, 1]
+    assert best[0]["mean_score"] == max(r["mean_score"] for r in rows)
+    assert all(r["model"] is None for r in rows if not r["best"])
+
+
 def test_a_fold_without_rows_has_no_score(spark):
     df = train.to_shards(spark.createDataFrame(data(4), SCHEMA), FEATURES, "label", "client", "key", None)
     got = train.grid_search(df, FEATURES, [CFG.with_(batch_size=None, epochs=1)], 40, tasks=2)
