@@ -249,3 +249,47 @@ def test_places_cut_the_line_in_equal_steps(spark):
         for p in got[:300]:
             s = p * steps >> 32
             assert bounds[s] <= p < bounds[s + 1]
+
+
+def test_plain_models_of_the_same_batches_step_together(spark, monkeypatch):
+    """Stacked gradients are those of each model, and a search comes out as that of one model at a time."""
+    r = np.random.default_rng(5)
+    for hidden in ((), (4,), (5, 3)):
+        nets = [[t + r.normal(size=t.shape) for t in mlp.init(3, hidden, s)] for s in range(4)]
+        x, y = r.normal(size=(40, 3)), (r.random(40) > .5).astype(float)
+        for stack in (1, 500, 1 << 15):
+            monkeypatch.setattr(mlp, "_STACK", stack)
+            losses, grads = mlp.stacked_gradients([np.stack(t) for t in zip(*nets)], x, y)
+            for m, net in enumerate(nets):
+                loss, want, _ = mlp.gradients(net, x, y)
+                assert losses[m] == pytest.approx(loss)
+                for got, g in zip(grads, want, strict=True):
+                    np.testing.assert_allclose(got[m], g, atol=1e-12)
+    rows = data(400, ("all",))
+    df = train.to_shards(spark.createDataFrame(rows, SCHEMA), FEATURES, "label", "client", "key", None)
+    grid = train.settings(CFG, optimizer=("sgd", "adam", "adamw"), lr=(.01, .1), batch_size=(30, 50))
+    grid.append(CFG.with_(batch_size=30, mu=0.5))
+    kept, train_, apart = [], allreduce.train, False
+
+    def keep(rows, features, jobs, *rest):
+        for job in jobs if apart else ():
+            job.plain = False
+        kept.append(train_(rows, features, jobs, *rest))
+        return kept[-1]
+
+    monkeypatch.setattr(allreduce, "train", keep)
+    monkeypatch.setattr(allreduce, "STRETCH_ROWS", 90)
+    sizes = {len(g) for g in allreduce._groups([allreduce.Job(
+        "j", 0, True, 300, b, nets[0], None, None, nets[0], None, mlp.Optimizer("sgd", .1, 0, 0), plain=p)
+        for b, p in ((30, True), (50, True), (30, True), (30, False))])}
+    assert sizes == {1, 2}
+    for tasks in (1, 3):
+        train.grid_search(df, FEATURES, grid, 3, tasks=tasks, stratified=True).count()
+    apart = True
+    train.grid_search(df, FEATURES, grid, 3, tasks=1, stratified=True).count()
+    for got in kept[:2]:
+        for a, b in zip(got, kept[2], strict=True):
+            assert a.name == b.name and a.opt.step_no == b.opt.step_no > 0
+            np.testing.assert_allclose(a.losses, b.losses, atol=1e-9)
+            for s, t in zip(a.params, b.params, strict=True):
+                np.testing.assert_allclose(s, t, atol=1e-8)
